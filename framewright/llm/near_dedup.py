@@ -202,3 +202,21 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     out = signed.select("doc_id", "n", "vid").join(classes, "vid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near_groups(): the one of the smallest doc_id, with all columns.
+
+    Of rows that share a kept doc_id one stays; rows without a doc_id all stay.
+    """
+    groups = stored(near_groups(docs, n, percent).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    gone = groups.where("not kept").select("doc_id").distinct()
+    few = gone.count() <= MOST_BROADCAST
+    stay = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = stored(groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    times = repeated.count()
+    if not times:
+        return stay
+    repeated = F.broadcast(repeated) if times <= MOST_BROADCAST else repeated
+    once = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

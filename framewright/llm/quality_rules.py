@@ -66,32 +66,32 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` -> doc_id and the measurements, all long; one row per row, null text counts as empty."""
+def measured(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """``(doc_id, text)`` -> doc_id (or another column) and the measurements, all long; one row per row, null text counts as empty."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    base = docs.select("doc_id", text.alias("text"), words.alias("words"))
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    base = docs.select(carried, text.alias("text"), words.alias("words"))
     n = F.size("words")
     return base.select(
-        "doc_id",
+        carried,
         n.cast("long").alias("n_words"),
         F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.size(lines).cast("long").alias("n_lines"),
         _repeated(F.col("words"), n).cast("long").alias("n_repeat_words"),
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
     """The measurements of each document and ``failures``, the bits of the rules it fails.
 
     Nulls, empty and blank texts have measurements of 0 and fail the rule on few
     words; the ratios of an empty text fail nothing.  Repeated rows get equal
     rows, columns but doc_id and text are ignored, no rows give no rows.
     """
-    m = measured(docs)
+    m = measured(docs, carried)
     fails = {
         "few_words": F.col("n_words") < 50,
         "repeated_windows": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
@@ -121,3 +121,9 @@ def ablations(ledger: DataFrame) -> DataFrame:
     n = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
     of = counts.join(F.broadcast(cases))  # at most 2^rules rows by a fixed list
     return of.groupBy("policy", "rule").agg(n(failing.bitwiseAND(F.col("bit")) != 0, "fails"), n(failing == F.col("bit"), "fails_alone"), n(failing.bitwiseOR(F.col("bit")) == F.col("bit"), "kept_without"))
+
+
+def passing(docs: DataFrame, version: str = "v2") -> DataFrame:
+    """The rows of docs that the policy keeps, with all their columns."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return apply_policy(ledger(whole, "row"), version).where("kept").select("row.*")
