@@ -66,42 +66,51 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def measured(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
-    """``(doc_id, text)`` -> doc_id (or another column) and the measurements, all long; one row per row, null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    base = docs.select(carried, text.alias("text"), words.alias("words"))
-    n = F.size("words")
-    return base.select(
-        carried,
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.size(lines).cast("long").alias("n_lines"),
-        _repeated(F.col("words"), n).cast("long").alias("n_repeat_words"),
+def _measures(text: Column) -> Column:
+    """The measurements of a text as a struct of longs; null counts as empty."""
+
+    def of(t: Column, words: Column) -> Column:
+        n = F.size(words)
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+        values = {
+            "n_words": n,
+            "word_chars": F.length(F.translate(t, SPACE, "")),
+            "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            "n_lines": F.size(lines),
+            "n_repeat_words": _repeated(words, n),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+
+    words = lambda t: F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != "")
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: of(t, w)))
+
+
+def _failures(m: Column) -> Column:
+    """The bits of the rules that measurements m fail."""
+    fails = (
+        m["n_words"] < 50,
+        100 * m["n_repeat_words"] > 50 * m["n_words"],
+        10 * m["n_symbols"] > 3 * m["n_words"],
+        100 * m["n_dup_lines"] > 50 * m["n_lines"],
+        m["word_chars"] < 2 * m["n_words"],
+        m["word_chars"] > 20 * m["n_words"],
     )
+    bits = F.lit(0).cast("long")
+    for k, failed in enumerate(fails):
+        bits = bits.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return bits
 
 
-def ledger(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
-    """The measurements of each document and ``failures``, the bits of the rules it fails.
+def ledger(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` -> doc_id, the measurements (long) and ``failures``, the bits of the rules the document fails.
 
     Nulls, empty and blank texts have measurements of 0 and fail the rule on few
     words; the ratios of an empty text fail nothing.  Repeated rows get equal
     rows, columns but doc_id and text are ignored, no rows give no rows.
     """
-    m = measured(docs, carried)
-    fails = {
-        "few_words": F.col("n_words") < 50,
-        "repeated_windows": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
-        "symbols": 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"),
-        "short_words": F.col("word_chars") < 2 * F.col("n_words"),
-        "long_words": F.col("word_chars") > 20 * F.col("n_words"),
-    }
-    bits = sum((F.when(fails[r], F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES[1:], 1)), F.when(fails[RULES[0]], F.lit(1)).otherwise(F.lit(0)))
-    return m.withColumn("failures", bits.cast("long"))
+    kept = _let(_measures(F.col("text")), lambda m: F.struct(m.alias("m"), _failures(m).alias("failures")))
+    return docs.select("doc_id", kept.alias("kept")).select("doc_id", "kept.m.*", "kept.failures")
 
 
 def apply_policy(ledger: DataFrame, version: str) -> DataFrame:
@@ -125,5 +134,5 @@ def ablations(ledger: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The rows of docs that the policy keeps, with all their columns."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return apply_policy(ledger(whole, "row"), version).where("kept").select("row.*")
+    failures = _let(_measures(F.col("text")), _failures)
+    return docs.where(failures.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
