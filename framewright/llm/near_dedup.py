@@ -7,11 +7,13 @@
 3. Classes that share a band are candidates.  Each bucket is linked to its most
    popular member (the one whose buckets are largest, which is the original of a
    family of copies): as many candidates as members, never all pairs.
-4. Candidates whose sizes or whose collision-corrected bit estimate rule out the
-   threshold go; the rest is decided on the full sets.
+4. Candidates whose collision-corrected bit estimate is low go; the rest is
+   decided on the full sets, and the differences of the sets are kept.
 5. What a bucket still holds apart from its largest component is compared with
-   the rest of that bucket, bits first, then full sets, so that a member linked
-   to any other member, not only to the popular one, is found.
+   the rest of that bucket, so that a member linked to any other member, not only
+   to the popular one, is found.  Sizes and bits come first; two members whose
+   differences from the popular one are known are then decided from those, which
+   say exactly how much the two have in common; others on their full sets.
 
 A pair at the threshold of 0.8 misses all bands with probability
 (1 - 0.8^5)^40 = 1.2e-7; its bit estimate is five deviations above the cut.
@@ -37,6 +39,8 @@ BANDS, ROWS, SIGNED = 40, 5, 192
 MINIMA = BANDS * ROWS
 #: Most of the 192 low-bit pairs that may differ: an estimate of 0.62 (see similarity()).
 MOST_DIFFERENT = 54
+#: The same for a member of a bucket and its popular member, whose difference is taken to compare members: an estimate of 0.35.
+MOST_APART = 93
 #: Ids of candidate documents up to this number go to all executors (8 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -121,8 +125,8 @@ def _setter(n: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs of class ids whose full sets are similar enough."""
+def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) pairs of class ids, whether their full sets are similar enough, and what each set has that the other lacks."""
     used = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct()
     ids = stored(reps.join(used, "vid").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     few = ids.count() <= MOST_BROADCAST
@@ -131,17 +135,33 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     sets = sets.groupBy("vid").agg(F.first("shingles").alias("shingles"))
     of = lambda c: sets.select(F.col("vid").alias(c), F.col("shingles").alias("set_" + c))
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    more = both.select("a", "b", F.array_except("set_a", "set_b").alias("added"), F.array_except("set_b", "set_a").alias("removed"), F.size("set_b").alias("size_b"))
+    common, union = F.col("size_b") - F.size("removed"), F.col("size_b") + F.size("added")
+    return more.withColumn("linked", 100 * common >= percent * union)
 
 
-def _possible(a: str, b: str, percent: int):
-    """Whether sizes and bits leave the pair of rows a and b above the threshold."""
+def _differ(a: str, b: str):
+    """How many of the 192 low-bit pairs of rows a and b differ."""
     x, y = (lambda i: F.element_at(f"{a}.bits", i)), (lambda i: F.element_at(f"{b}.bits", i))
-    differ = sum((F.bit_count(x(i).bitwiseXOR(y(i)).bitwiseOR(x(i + 3).bitwiseXOR(y(i + 3)))) for i in (2, 3)), F.bit_count(x(1).bitwiseXOR(y(1)).bitwiseOR(x(4).bitwiseXOR(y(4)))))
-    near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return near & (differ <= MOST_DIFFERENT)
+    one = lambda i: F.bit_count(x(i).bitwiseXOR(y(i)).bitwiseOR(x(i + 3).bitwiseXOR(y(i + 3))))
+    return one(1) + one(2) + one(3)
+
+
+def _possible(percent: int):
+    """Whether sizes and bits leave the pair of rows x and y above the threshold."""
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_differ("x", "y") <= MOST_DIFFERENT)
+
+
+def _known_alike(percent: int):
+    """Whether rows x and y, of which the differences from one set c are known, are similar enough; null if one isn't known.
+
+    A shingle that both lack of c, or that both have beyond c, is one that the
+    sum of the differences counts twice.
+    """
+    again = F.size(F.array_intersect("x.removed", "y.removed")) + F.size(F.array_intersect("x.added", "y.added"))
+    common = F.col("x.size_b") - F.size("x.removed") - F.size("y.removed") + again
+    union = F.col("x.size_b") + F.size("x.added") + F.size("y.added") - again
+    return F.when(F.col("x.removed").isNotNull() & F.col("y.removed").isNotNull(), 100 * common >= percent * union)
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -175,21 +195,28 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     top = shared.join(popular, "vid").groupBy("bucket").agg(F.max(F.struct("popularity", "vid")).alias("top")).select("bucket", F.col("top.vid").alias("b"))
     stars = shared.select("bucket", F.col("vid").alias("a")).join(top, "bucket").where("a <> b").select("a", "b").distinct()
     known_as = lambda c: facts.select(F.col("vid").alias(c), F.struct("n", "bits").alias("of_" + c))
-    pairs = stored(stars.join(known_as("a"), "a").join(known_as("b"), "b").where(_possible("of_a", "of_b", percent)).select("a", "b"), "pairs")
-    links = stored(_links(pairs, reps, docs, n, percent), "links")
+    pairs = stored(stars.join(known_as("a"), "a").join(known_as("b"), "b").where(_differ("of_a", "of_b") <= MOST_APART).select("a", "b"), "pairs")
+    judged = stored(_judged(pairs, reps, docs, n, percent), "judged")
+    links = judged.where("linked").select("a", "b")
     labels = components(links)
 
     # what is left in buckets of several components
     held = shared.select("bucket", "vid").join(labels.select(F.col("v").alias("vid"), "label"), "vid", "left").select("bucket", "vid", F.coalesce("label", "vid").alias("label"))
     counted = held.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     mains = counted.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.label").alias("main"))
-    mixed = stored(held.join(mains, "bucket").join(facts, "vid"), "mixed")
+    mixed = held.join(mains, "bucket").join(top, "bucket").join(facts, "vid")
+    apart = judged.select(F.col("a").alias("vid"), "b", "added", "removed", "size_b")
+    none, itself = F.array().cast("array<bigint>"), F.col("vid") == F.col("b")
+    own = lambda c, at_center: F.when(itself, at_center).otherwise(F.col(c)).alias(c)
+    mixed = stored(mixed.join(apart, ["vid", "b"], "left").select("bucket", "vid", "label", "main", "n", "bits", own("added", none), own("removed", none), own("size_b", F.col("n").cast("int"))), "mixed")
     odd, rest = mixed.where("label <> main").alias("x"), mixed.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.vid") < F.col("y.vid")))
-    more = odd.join(rest, apart & _possible("x", "y", percent)).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
-    tried = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.union(_links(more, reps, docs, n, percent))
+    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.vid") < F.col("y.vid")))
+    alike = F.coalesce(_known_alike(percent), F.lit(True))
+    sure = F.col("x.removed").isNotNull() & F.col("y.removed").isNotNull()
+    more = stored(odd.join(rest, across & _possible(percent) & alike).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), sure.alias("sure")).distinct(), "more")
+    links = links.union(more.where("sure").select("a", "b"))
+    open_pairs = more.where("not sure").join(more.where("sure"), ["a", "b"], "left_anti").select("a", "b")
+    links = links.union(_judged(stored(open_pairs, "open"), reps, docs, n, percent).where("linked").select("a", "b"))
 
     # a doc_id with several texts is one document
     several = known.groupBy("doc_id").agg(F.min("vid").alias("a"), F.max("vid").alias("z")).where("a <> z").select("doc_id", "a")
