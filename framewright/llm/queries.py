@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import decontaminate, mixing, near_dedup, quality_rules, secrets
+from framewright.llm import chat_views, decontaminate, mixing, near_dedup, pseudo_likelihood, quality_classifier, quality_rules, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_views.views(_table(spark, sf_dir, "conversations"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_table(spark, sf_dir, "documents"))
 
@@ -25,10 +29,31 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    weights = quality_classifier.train(docs, labels.where(~quality_classifier.held_out()))
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.train(docs))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
 def op9_quality_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
     base_failed = F.col("failures").bitwiseAND(F.lit(quality_rules.mask(quality_rules.POLICIES["base"]))) != 0
@@ -37,16 +62,43 @@ def op9_quality_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_chat_perspectives": op2_chat_perspectives,
     "op3_secret_scan": op3_secret_scan,
     "op4_sainte_lague_mix": op4_sainte_lague_mix,
+    "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_masked_pseudo_likelihood": op7_masked_pseudo_likelihood,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_rule_ledger": op9_quality_rule_ledger,
+    "op10_warc_index_merge": op10_warc_index_merge,
     "pipeline": corpus_pipeline.run,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL = {
+    "op2_chat_perspectives": r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+r AS (SELECT m.conv_id, p.perspective, m.turn, m.speaker, m.text, CASE WHEN m.speaker = 'system' THEN 'system' WHEN m.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS chat_role
+      FROM m JOIN p ON m.conv_id = p.conv_id),
+h AS (SELECT *, '<|' || chat_role || '|>' || CASE WHEN chat_role = 'user' THEN ' ' || speaker ELSE '' END || chr(10) AS head FROM r),
+t AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM h),
+o AS (SELECT *, row_number() OVER w - 1 AS place, sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS stop FROM t
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text))
+SELECT conv_id, perspective, place, turn, speaker, chat_role, rendered, stop - length(rendered) AS start, stop,
+       CASE WHEN chat_role = 'assistant' THEN stop - length(rendered) + length(head) ELSE stop END AS mask_start, stop AS mask_stop FROM o""",
+    "op10_warc_index_merge": r"""
+WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+             regexp_extract(url, '^(.*?)://([^/?#]*)(.*)$', 2) AS host, regexp_extract(url, '^(.*?)://([^/?#]*)((.|
+)*)$', 3) AS rest FROM d)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+       CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest ELSE url END AS urlkey,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id % 315360000), '%Y%m%d%H%M%S') AS captured FROM f""",
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
