@@ -1,55 +1,7 @@
-"""Intermediate tables in the folder that the driver and all executors share.
-
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it
-back, so that a lost executor costs no recomputation of earlier passes.
-"""
+"""Intermediate tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _written:
-        atexit.register(clear, spark)
-    _written.append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a reader of what was written."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from framewright.scratch import clear, new_path, shared_dir, stored
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table written so far; results that still read them become invalid."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # the session has ended; its folder goes with it
-        return
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        try:
-            path.getFileSystem(conf).delete(path, True)
-        except Exception:  # best effort at interpreter exit
-            return
+__all__ = ["clear", "new_path", "shared_dir", "stored"]
