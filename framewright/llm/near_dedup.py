@@ -180,7 +180,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("percent must be at least 80")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_signer(n), "doc_id long, n long, print binary, vid long, bands array<bigint>, bits array<bigint>"), "signed")
     known = signed.where("doc_id is not null and vid is not null")
     # copies of one set: a class, summed per task before the shuffle

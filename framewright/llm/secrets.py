@@ -197,16 +197,15 @@ def default_forest(spark: SparkSession) -> Forest:
     return _forests[key]
 
 
-def scanned(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> DataFrame:
-    """docs with ``__found``: array of (value, word_no, score) of its candidates in order, copies included.
+def found(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> Column:
+    """Array of (value, word_no, score) of the candidates of a row's text in order, copies included.
 
     path names a column whose value stands for the place of the text, used where
     it exists.  Null and empty texts have no candidates.
     """
     forest = forest or default_forest(docs.sparkSession)
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    found = F.transform(_candidates(F.col("text"), place), lambda c: F.struct(c["value"].alias("value"), c["word_no"].alias("word_no"), forest.score(c["x"]).alias("score")))
-    return docs.withColumn("__found", found)
+    return F.transform(_candidates(F.col("text"), place), lambda c: F.struct(c["value"].alias("value"), c["word_no"].alias("word_no"), forest.score(c["x"]).alias("score")))
 
 
 def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
@@ -215,16 +214,18 @@ def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     The value itself isn't returned.  Documents without candidates have no row;
     repeated rows repeat their findings; other columns are ignored.
     """
-    found = scanned(docs.select("doc_id", "text", *[c for c in ("source",) if c in docs.columns]), forest)
-    rows = found.select("doc_id", F.posexplode("__found").alias("finding_no", "f"))
+    rows = docs.select("doc_id", F.posexplode(found(docs, forest)).alias("finding_no", "f"))
     score = F.round("f.score", 6)
     return rows.select("doc_id", "finding_no", "f.word_no", F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), score.alias("score"), (score >= THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """docs with every occurrence of a secret in its text replaced by [SECRET]; all rows and columns stay, n_chars is brought up to date."""
-    secrets = F.array_distinct(F.transform(F.filter("__found", lambda c: F.round(c["score"], 6) >= THRESHOLD), lambda c: c["value"]))
-    # longer secrets first: a shorter one may be part of them
-    longest = F.reverse(F.sort_array(F.transform(secrets, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    clean = F.when(F.col("text").isNotNull(), F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(MASK))))
-    return with_chars(scanned(docs, forest).withColumn("text", clean).select(*docs.columns))
+
+    def masked(candidates: Column) -> Column:
+        secrets = F.array_distinct(F.transform(F.filter(candidates, lambda c: F.round(c["score"], 6) >= THRESHOLD), lambda c: c["value"]))
+        # longer secrets first: a shorter one may be part of them
+        longest = F.reverse(F.sort_array(F.transform(secrets, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+        return F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
+
+    return with_chars(docs.withColumn("text", F.when(F.col("text").isNotNull(), _let(found(docs, forest), masked))))

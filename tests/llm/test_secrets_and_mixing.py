@@ -1,0 +1,96 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from framewright.llm import mixing, secrets
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    rows = secrets.generated(spark, 11_000).withColumn("doc_id", F.monotonically_increasing_id()).where(f"doc_id >= {secrets.FINDINGS}").withColumnRenamed("path", "source").persist()
+    found = secrets.findings(rows).join(rows.select("doc_id", "label"), "doc_id")
+    right = found.where((F.col("label") == 1) == F.col("is_secret")).count()
+    assert right >= 0.97 * found.count()
+    assert found.where("label = 1").select("doc_id").distinct().count() >= 0.99 * rows.where("label = 1").count()
+
+
+def test_scan_and_redaction(spark):
+    key, token = "AKIA" + "7Q2ZK9XW1LMN4BVC", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [
+        (1, f'the token = "{token}" of the one\nand token = "{token}"'), (2, f"login with {key}, please"), (3, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b checksum"), (4, None), (5, ""), (6, "no secret in here"),
+        (7, "write to some.body.42@mail8.example.com or call 4167788149714389"), (8, "word " * 20_000 + f"password={token[:18]} end"), (9, f"password={token[:18]}"), (9, f"password={token[:18]}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("value", F.lit(1)).withColumn("__found", F.lit("mine")).withColumn("n_chars", F.length("text"))
+    got = secrets.findings(df).collect()
+    assert {r.doc_id for r in got if r.is_secret} == {1, 2, 8, 9} and sum(r.is_secret for r in got if r.doc_id == 9) == 2
+    assert [r.finding_no for r in got if r.doc_id == 1] == [0, 1]
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    left = {r.doc_id: r for r in clean.collect()}
+    assert left[1].text == 'the token = "[SECRET]" of the one\nand token = "[SECRET]"' and left[2].text == "login with [SECRET], please" and left[9].text == "password=[SECRET]"
+    assert left[4].text is None and all(left[i].text == dict(rows)[i] for i in (3, 5, 6, 7)) and left[8].text.endswith("password=[SECRET] end")
+    assert all(r.text is None or r.n_chars == len(r.text) for r in left.values()) and left[1]["__found"] == "mine"
+    assert secrets.findings(df.limit(0)).count() == 0
+
+
+def test_equal_findings_give_an_equal_forest(spark):
+    made = secrets.generated(spark, 600)
+    a, b = secrets.train(made), secrets.train(made)
+    assert a.__dict__ == b.__dict__
+
+
+def sainte_lague(weights, seats):
+    out = [0] * len(weights)
+    for _ in range(seats):
+        out[max(range(len(weights)), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_apportionment_is_that_of_highest_quotients(spark):
+    rng = random.Random(1)
+    cases = [([rng.random() * rng.choice([1, 10, 1000]) for _ in range(rng.randrange(1, 25))], rng.randrange(0, 300)) for _ in range(12)] + [([1.0, 1.0, 1.0], 4), ([5.0], 7), ([1e-9, 1.0], 50)]
+    rows = [(g, k, w, n) for g, (ws, n) in enumerate(cases) for k, w in enumerate(ws)]
+    got = {(r.g, r.k): r.quota for r in mixing.apportion(spark.createDataFrame(rows, "g int, k int, w double, n long"), "g", "k", "w", "n").collect()}
+    for g, (ws, n) in enumerate(cases):
+        assert [got[g, k] for k in range(len(ws))] == sainte_lague(ws, n)
+
+
+def shared(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        left, all_w = total - sum(fixed.values()), sum(w[s] for s in free)
+        t = {s: left * w[s] / all_w for s in free}
+        over = [s for s in free if t[s] > most * sizes[s]]
+        if not over:
+            return fixed | t
+        fixed |= {s: most * sizes[s] for s in over}
+
+
+def test_mix(spark):
+    rng = random.Random(3)
+    names = ["b", "a", None, "Z", "é", "tiny", "none"]
+    rows = [(i, None if i % 50 == 7 else " ".join(["w"] * rng.randrange(1, 400)), rng.choices(names[:5], [50, 20, 5, 3, 2])[0]) for i in range(800)] + [(900, "x y z", "tiny"), (901, "", "none"), (902, None, "none"), (None, "p q", "a"), (5, "same row", "a"), (5, "same row", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("mine")).withColumn("taken", F.lit(0))
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
+    expected = shared(sizes)
+    for s in sizes:
+        own = [r for r in got if r.source == s]
+        assert all(r.source_size == sizes[s] and abs(r.target - expected[s]) < 1e-6 for r in own)
+        assert abs(sum(r.taken for r in own) - expected[s]) <= max(0.02 * expected[s], 3)
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert sorted(map(key, mixing.mix(df.repartition(7)).collect())) == sorted(map(key, got))
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [50, 700])
+def test_shards(spark, monkeypatch, words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", words)
+    df = spark.createDataFrame([(i, "w " * (i % 30 + 1), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()
+    assert all(abs(r.k - r.t) <= 0.05 * r.t for r in got)
