@@ -114,5 +114,5 @@ def keyframe_files(frames: DataFrame, files: DataFrame) -> DataFrame:
 
 def recognised_lines(answer: Column) -> Column:
     """Lines of a recogniser's answer, trimmed, without blanks; "NO_TEXT" has none."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.trim(answer) == "NO_TEXT", F.array().cast("array<string>")).otherwise(lines)
