@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright import catalog
 from framewright.functions import text as T
-from framewright.operators import fulltext, segment, vocab
+from framewright.operators import fulltext, segment, textclean, vocab
 from framewright.registry.retrieval import _FRAMES
 
 QUERY = "and the thtion of the"
@@ -143,7 +143,8 @@ def x18(spark, d):
 
 
 def x19(spark, d):
-    return _tokens(spark, d).select("token", T.risky_token(F.upper("token")).alias("risky"), T.edge_stripped(F.col("token")).alias("core"))
+    # the German sharp s has no capital of one letter in one of the engines
+    return _tokens(spark, d).where("not contains(token, 'ß')").select("token", T.risky_token(F.upper("token")).alias("risky"), T.edge_stripped(F.col("token")).alias("core"))
 
 
 def a6(spark, d):
@@ -169,6 +170,26 @@ def u3(spark, d):
     return lines.withColumn("k", first).where("k = 1 or key = ''").select("doc_id", "line_no", "line")
 
 
+def x9(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("texts"), F.lit(None).cast("array<array<double>>").alias("bboxs"), F.lit(None).cast("array<double>").alias("confidences"))
+    found = textclean.normalised_frames(docs, ["doc_id"], foreign=True)
+    return found.select("doc_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
+
+
+def w6(spark, d):
+    return vocab.in_context(_docs(spark, d).where("lang = 'es' and length(text) < 4000"), "doc_id", "text")
+
+
+def k5(spark, d):
+    """Scenes of a cut series, cut into chunks, with cluster keyframes of each from the vectors that stand at its frames."""
+    f = catalog.frames(spark, d).select(F.col("video_id").cast("long").alias("video_id"), F.col("pos").cast("int").alias("pos"), "embedding")
+    cuts = _cuts(spark, d).where("video_id < 10")
+    pieces = segment.chunks(segment.scenes(cuts, 0.5), 11)
+    inside = f.join(pieces, (f["video_id"] == pieces["video_id"]) & f["pos"].between(pieces["start"], pieces["end"])).select(f["video_id"], "start", "pos", "embedding")
+    kept = segment.select_frames(inside, ["video_id", "start"], "pos", "embedding", segment.cluster_keyframes)
+    return kept.withColumn("keyframe_id", F.row_number().over(W.partitionBy("video_id").orderBy("pos")) - 1)
+
+
 def _cuts(spark, d):
     e = catalog.table(spark, d, "events")
     return e.select(F.col("user_id").alias("video_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("pos"), (F.col("value") / 100).alias("p"))
@@ -197,7 +218,7 @@ QUERIES = {
     "f1_f4_f5_f8_bm25": f8, "f2_f3_f7_phrases": f2, "f6_fuzzy_expansions": f6, "f9_list_tokens": f9, "f11_boosted_query": f_full, "f12_speech_search": f12, "f13_f14_snippets": f14, "f15_watermark_weights": f15,
     "x1_events": x1, "x2_x3_sub_queries": x2, "x5_strip_accents": x5, "x6_glued_parts": x6, "x7_math_notation": x7, "x8_repetition": x8, "x10_token_class": x10, "x12_foreign_lines": x12, "x11_x14_line_correction": x14,
     "x13_token_resolver": x13, "x15_suggestions": x15, "x17_accents_in_context": x17, "x18_real_word_flags": x18, "x19_token_guards": x19, "a6_document_frequency": a6, "a7_domain_vocabulary": a7,
-    "a8_watermark_vocabulary": a8, "d11_bigrams": d11, "u3_line_dedupe": u3, "k1_scenes": k1, "k2_chunks": k2, "k3_cluster_keyframes": k3, "k4_distinct_in_order": k4,
+    "a8_watermark_vocabulary": a8, "d11_bigrams": d11, "u3_line_dedupe": u3, "k1_scenes": k1, "k2_chunks": k2, "k3_cluster_keyframes": k3, "k5_keyframe_pipeline": k5, "x9_p12_p13_frame_normalisation": x9, "w6_token_context": w6, "k4_distinct_in_order": k4,
 }
 
 _WORDS = "list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')"
@@ -250,7 +271,35 @@ _DF = "w AS (SELECT source, doc_id, lang, " + _WORDS + " AS ws FROM documents),
 _LINES = "l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 _ACC, _PLAIN = T.ACCENTED + T.ACCENTED.upper(), T.UNACCENTED + T.UNACCENTED.upper()
 
+_CTX = (
+    "c AS (SELECT doc_id, i - 1 AS pos, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS before, ws[i + 1] AS after FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)), "
+    "b AS (SELECT before AS w1, token AS w2, count(*) AS n FROM c WHERE before IS NOT NULL GROUP BY 1, 2)"
+)
+_BEST = """
+p AS (SELECT DISTINCT before, token, after FROM c WHERE before IS NOT NULL OR after IS NOT NULL),
+e AS (SELECT p.*, k.word, coalesce(l.n, 0) + coalesce(r.n, 0) AS evidence, coalesce(x.n, 0) + coalesce(y.n, 0) AS other FROM p JOIN k ON k.token = p.token
+ LEFT JOIN b l ON l.w1 = p.before AND l.w2 = p.token LEFT JOIN b r ON r.w1 = p.token AND r.w2 = p.after LEFT JOIN b x ON x.w1 = p.before AND x.w2 = k.word LEFT JOIN b y ON y.w1 = k.word AND y.w2 = p.after)
+SELECT before, token, after, max(other) AS other, any_value(evidence) AS evidence FROM e GROUP BY before, token, after"""
+
 ORACLE_SQL = {
+    "w6_token_context": f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'es' AND length(text) < 4000), {_CTX} SELECT * FROM c",
+    "x17_accents_in_context": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'fr'), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
+d AS (SELECT token, translate(token, '{_ACC}', '{_PLAIN}') AS plain FROM df WHERE df >= greatest(2, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w)))), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON x.plain = y.plain AND x.token <> y.token),
+{_BEST} HAVING max(other) >= 2 AND max(other) >= (any_value(evidence) + 1) * 1.5""",
+    "x18_real_word_flags": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'en'), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
+d AS (SELECT token FROM df WHERE df >= greatest(4, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w))) AND regexp_matches(token, '^\\p{{L}}+$')),
+s AS (SELECT w1 AS word FROM b WHERE n >= 15 UNION SELECT w2 FROM b WHERE n >= 15), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON abs(length(x.token) - length(y.token)) <= 1 AND x.token <> y.token AND levenshtein(x.token, y.token) = 1 WHERE y.token IN (SELECT word FROM s)),
+{_BEST} HAVING max(other) >= 30 AND max(other) >= (any_value(evidence) + 1) * 10.0""",
+    "x19_token_guards": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), t AS (SELECT DISTINCT token FROM (SELECT unnest(ws) AS token FROM w) WHERE NOT contains(token, 'ß')),
+c AS (SELECT token, regexp_replace(token, '^[(),"'']+|[(),"'']+$', '', 'g') AS core, regexp_replace(upper(token), '^[(),"'']+|[(),"'']+$', '', 'g') AS up FROM t)
+SELECT token, core, (regexp_matches(up, '^\\p{{L}}{{2,}}$') AND upper(up) = up) OR (regexp_matches(up, '\\p{{L}}') AND regexp_matches(up, '[0-9&.]')) AS risky FROM c""",
+    "k1_scenes": """WITH e AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 100 AS p FROM events),
+v AS (SELECT video_id, (count(*) - 1)::INT AS last, coalesce(list(pos::INT ORDER BY pos) FILTER (p > 0.5), []) AS cuts FROM e GROUP BY video_id),
+f AS (SELECT video_id, last, CASE WHEN cuts[1] = 0 THEN cuts[2:] ELSE cuts END AS cuts0, cuts FROM v),
+s AS (SELECT video_id, last, list_reduce(list_prepend(struct_pack(s := 0, a := []::STRUCT(s INT, e INT)[]), list_transform(cuts, lambda c: struct_pack(s := c, a := []::STRUCT(s INT, e INT)[]))),
+ lambda acc, c: CASE WHEN c.s > acc.s THEN struct_pack(s := c.s + 1, a := list_append(acc.a, struct_pack(s := acc.s, e := c.s))) ELSE acc END) AS r FROM f),
+t AS (SELECT video_id, last, CASE WHEN r.s <= last THEN list_append(r.a, struct_pack(s := r.s, e := last)) ELSE r.a END AS a FROM s),
+u AS (SELECT video_id, unnest(CASE WHEN len(a) = 0 THEN [struct_pack(s := 0, e := last)] ELSE a END) AS x FROM t) SELECT video_id, x.s AS start, x.e AS "end" FROM u""",
     "f1_f4_f5_f8_bm25": f"WITH {_tok()}, {_matched(TERMS)} SELECT k AS doc_id, matched, round(bm25, 6) AS bm25, matched >= {max(1, int(_N * .5))} AS half, matched >= {max(1, int(_N * .85))} AS most, matched = {_N} AS all_terms FROM m",
     "f2_f3_f7_phrases": f"WITH {_tok()}, {_matched(['of', 'the'])} SELECT k AS doc_id, " + ", ".join(f"round({_slop(['of', 'the'], s)}, 6) AS slop{s}" for s in (0, 3, 10)) + " FROM m WHERE matched = 2",
     "f6_fuzzy_expansions": f"""WITH {_tok()} SELECT query_term, term FROM (SELECT q AS query_term, f.term, row_number() OVER (PARTITION BY q ORDER BY levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES ('thtion'), ('there'), ('an')) v(q) ON f.term[1:2] = q[1:2]

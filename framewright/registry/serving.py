@@ -10,6 +10,7 @@ from framewright.functions import text as T
 from framewright.operators import fulltext, rerank, serve, vector
 from framewright.plans.query_plan import plan
 from framewright.plans.search import SearchSystem, hash_encoder
+from framewright.registry import language
 from framewright.registry.retrieval import _FRAMES, _META, SUBS, _agg, _hits, hits, query_vectors, vectors
 from framewright.scratch import new_path
 from framewright.sources import files, sinks
@@ -167,7 +168,7 @@ def x24(spark, d):
 def x27(spark, d):
     e = catalog.table(spark, d, "events").select("user_id", F.round(F.pmod(F.col("value"), F.lit(1.0)), 2).alias("v"))
     raw = F.concat(F.lit('{"object_match":'), F.col("v"), F.lit(',"emotion_match":1,"confidence":0.25}'))
-    return rerank.reranked(e.select("user_id", raw.alias("raw"), F.col("v").alias("clip")), ["user_id"], "raw", "clip")
+    return rerank.reranked(e.select("user_id", raw.alias("raw"), F.col("v").alias("clip")), ["user_id"], "raw", "clip").select("user_id", "relevance_score", "decision", "confidence")
 
 
 def x29(spark, d):
@@ -207,6 +208,27 @@ def t11(spark, d):
     return docs.orderBy(F.desc("score"), "doc_id").limit(30)
 
 
+def u2(spark, d):
+    """Overlap of a document's words with the next one's, and what either lacks, over sources."""
+    docs = catalog.table(spark, d, "documents").select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
+    both = docs.alias("a").join(docs.alias("b"), F.col("a.doc_id") + 1 == F.col("b.doc_id"))
+    common = F.size(F.array_intersect("a.w", "b.w"))
+    return both.select("a.doc_id", F.round(common / F.greatest(F.lit(1), F.least(F.size("a.w"), F.size("b.w"))), 6).alias("overlap"), F.size(F.array_except("a.w", "b.w")).alias("only_a"))
+
+
+def u4(spark, d):
+    e = catalog.table(spark, d, "events")
+    first = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return e.withColumn("k", first).where("k = 1").select("user_id", "event_type", "event_id")
+
+
+def p1(spark, d):
+    """Display columns that exist, of frames with a usable id and of videos with enough frames."""
+    m = catalog.metadata(spark, d).withColumn("vec_id", F.when(F.col("vec_id") % 17 == 0, -1).otherwise(F.col("vec_id")))
+    enough = m.where("vec_id >= 0").withColumn("n", F.count("*").over(W.partitionBy("video_id"))).where("n >= 45")
+    return serve.display(enough, (*catalog.DISPLAY, "score", "missing")).drop("source_name", "embedding_path", "dataset")
+
+
 def q1(spark, d):
     p = plan("A dog runs, in the park. a DOG runs,  in the park; two birds", "auto")
     return spark.createDataFrame([(p.mode, i, j, s) for i, e in enumerate(p.events) for j, s in enumerate(e)], "mode string, event_idx int, sub_idx int, text string")
@@ -244,14 +266,38 @@ QUERIES = {
     "s1_metadata_csv": s1, "s3_path_keys": s3, "s4_ocr_json": s4, "s8_frequency_tsv": s8, "s12_keyframe_files": s12, "s13_fulltext_index": s13, "s14_vector_index": s14, "s16_s7_keyframe_maps": s16,
     "s17_incremental_stream": s17, "s17_skip_processed": s17_skip, "stream_sessions": sessions, "x32_recognised_lines": x32, "a10_by_video": a10, "w7_pages": w7, "q4_flattened": q4, "q8_serialised": q8,
     "x20_safe_casts": x20, "x21_paths": x21, "x22_x23_times": x22, "x24_x26_judgements": x24, "x27_a13_sequence_rerank": x27, "x29_model_output": x29, "x33_boxes": x33, "a11_latency": a11, "a12_bleu_char_f": a12,
-    "t10_substring_score": t10, "t11_token_score": t11, "q1_query_plan": q1, "q2_dispatch": q2, "q3_advanced_frames": q3, "q3_m10_advanced_temporal": q3t, "f10_f11_ocr_search": f11,
+    "t10_substring_score": t10, "t11_token_score": t11, "q1_query_plan": q1, "u2_u5_u6_sets": u2, "u4_first_of_each": u4, "p1_p2_p3_p4_display": p1, "q2_dispatch": q2, "q3_advanced_frames": q3, "q3_m10_advanced_temporal": q3t, "f10_f11_ocr_search": f11,
 }
 
 _RANKED = f"{_FRAMES}, {_hits(SUBS, 30)}, rk AS (SELECT *, row_number() OVER (ORDER BY alignment_score DESC, vec_id) AS rank FROM {_agg('hits', len(SUBS))} QUALIFY rank <= 60), r AS (SELECT rk.*, f.video_id, f.pos AS ts, alignment_score AS score FROM rk JOIN frames f ON f.vec_id = rk.vec_id)"
 _REL = "0.25 * {o} + 0.2 * {a} + 0.15 * {s} + 0.1 * {t} + 0.1 * {r} + 0.04 * {x} + 0.03 * {e}"
 _DEC = "CASE WHEN {r} >= 0.75 THEN 'strong' WHEN {r} >= 0.45 THEN 'relevant' WHEN {r} >= 0.2 THEN 'weak' ELSE 'irrelevant' END"
 
+_BIG = "(SELECT conv_id, array_to_string(ws[i:i + {m}], ' ') AS g, count(*) AS c FROM (SELECT conv_id, ws, unnest(range(1, len(ws) - {m} + 1)) AS i FROM {t}) GROUP BY 1, 2)"
+
+
+def _bleu():
+    parts = []
+    for n in range(1, 5):
+        r, h = _BIG.format(m=n - 1, t="r"), _BIG.format(m=n - 1, t="h")
+        parts.append(f"SELECT ln((coalesce(sum(least(h.c, coalesce(r.c, 0))), 0) + 1.0) / (coalesce(sum(h.c), 0) + 1)) AS p FROM {h} h LEFT JOIN {r} r ON r.conv_id = h.conv_id AND r.g = h.g")
+    words = "list_filter(string_split_regex(trim(lower({c}), ' '), '[\\s\\x0b]+'), lambda x: x <> '')"
+    chars = "(SELECT conv_id, ch, count(*) AS c FROM (SELECT conv_id, unnest(string_split(replace(lower({c}), ' ', ''), '')) AS ch FROM p) WHERE ch <> '' GROUP BY 1, 2)"
+    return f"""WITH p AS (SELECT conv_id, text, replace(text, 'th', 't') AS o FROM conversations WHERE turn = 0), r AS (SELECT conv_id, {words.format(c='text')} AS ws FROM p), h AS (SELECT conv_id, {words.format(c='o')} AS ws FROM p),
+l AS ({' UNION ALL '.join(parts)}), s AS (SELECT (SELECT sum(len(ws)) FROM r) AS a, (SELECT sum(len(ws)) FROM h) AS b),
+m AS (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, sum(least(coalesce(x.c, 0), coalesce(y.c, 0))) AS o, sum(coalesce(x.c, 0)) AS r, sum(coalesce(y.c, 0)) AS h FROM {chars.format(c='text')} x FULL JOIN {chars.format(c='o')} y ON x.conv_id = y.conv_id AND x.ch = y.ch GROUP BY 1),
+f AS (SELECT avg(coalesce(2 * (m.o / greatest(m.h, 1)) * (m.o / greatest(m.r, 1)) / greatest(m.o / greatest(m.h, 1) + m.o / greatest(m.r, 1), 1e-12), 0)) AS f FROM p LEFT JOIN m ON m.conv_id = p.conv_id)
+SELECT round(100 * CASE WHEN b >= a THEN 1.0 ELSE exp(1 - a / greatest(b, 1)::DOUBLE) END * exp((SELECT avg(p) FROM l)), 6) AS bleu, round(100 * (SELECT f FROM f), 6) AS char_f FROM s"""
+
+
 ORACLE_SQL = {
+    "a12_bleu_char_f": _bleu(),
+    "u2_u5_u6_sets": "WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')) AS w FROM documents), j AS (SELECT a.doc_id, a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS c FROM w a JOIN w b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(c / greatest(1, least(len(a), len(b))), 6) AS overlap, (len(a) - c)::INT AS only_a FROM j",
+    "u4_first_of_each": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
+    "p1_p2_p3_p4_display": f"WITH {_META}, n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM metadata WHERE vec_id % 17 <> 0) SELECT video_id, keyframe_id, frame_idx, timestamp_sec, fps, keyframe_path FROM n WHERE n >= 45",
+    "x27_a13_sequence_rerank": f"""WITH e AS (SELECT user_id, avg(round(value % 1.0, 2)) AS o, max(round(value % 1.0, 2)) AS clip FROM events GROUP BY user_id), r AS (SELECT *, 0.0::DOUBLE + 0.25 * o + 0.03 * 1.0 AS rel FROM e),
+f AS (SELECT user_id, round(rel, 4) AS relevance_score, {_DEC.format(r='rel')} AS decision, 0.25::DOUBLE AS confidence FROM r) SELECT * FROM f""",
+    "s13_fulltext_index": language._full(["de", "la"], "doc_id", 25, where="lang = 'es'"),
     "s1_metadata_csv": f"WITH {_META} SELECT video_id, keyframe_id, keyframe_id_int, frame_idx, timestamp_sec, fps, keyframe_path FROM metadata",
     "s3_path_keys": f"WITH {_META} SELECT vec_id, 'emb' AS dataset, video_id, keyframe_id_int, keyframe_id, CASE WHEN vec_id % 3 <> 1 THEN frame_idx END AS frame_idx FROM metadata",
     "s4_ocr_json": "SELECT lpad(doc_id::VARCHAR, 6, '0') AS keyframe_id, len(string_split(text, chr(10)))::INT AS boxes, md5(replace(text, chr(10), '|')) AS texts_md5 FROM documents",

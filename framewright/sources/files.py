@@ -81,6 +81,12 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("token")).where("token <> '' and not startswith(token, '#')").distinct()
 
 
+def hunspell_stems(spark: SparkSession, path: str) -> DataFrame:
+    """The words of a .dic file in lower case, without their count line and affix flags; several files make one list."""
+    stem = F.lower(F.trim(F.regexp_replace("value", r"/.*$|\t.*$", "")))
+    return spark.read.text(path).select(stem.alias("token")).where(r"token <> '' and not token rlike '^[0-9]+$'").distinct()
+
+
 def frequency_tsv(spark: SparkSession, path: str, words: int = 1) -> DataFrame:
     """word(s) and count, tab by tab; a header and bad rows are passed over."""
     names = [f"w{i + 1}" for i in range(words)] if words > 1 else ["token"]

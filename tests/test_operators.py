@@ -244,3 +244,17 @@ def test_intervals_and_shapes(spark):
     assert [r.c for r in boxes.collect()] == [[0.0, 0.0, 10.0, 10.0], None]
     perfect = spark.createDataFrame([(1, "a b c d e")], "id int, t string").withColumn("o", F.col("t"))
     assert serve.bleu(perfect, "id", "t", "o").collect()[0].bleu == 100.0 and serve.char_f(perfect, "id", "t", "o").collect()[0].char_f == 100.0
+
+
+def test_frames_are_normalised(spark):
+    from framewright.operators import textclean
+
+    rows = [(1, [[1.0], [2.0], [3.0]], ["Chiều cao: 1m72", "đẹp đẹp đẹp đẹp đẹp", "Chiều cao"], None), (2, None, ["please keep off the grass and the road"], [0.9]), (3, None, ["x² của tôi", None], [0.2, 0.1])]
+    df = spark.createDataFrame(rows, "id int, bboxs array<array<double>>, texts array<string>, confidences array<double>")
+    got = {r.id: (r.texts, r.bboxs) for r in textclean.normalised_frames(df, ["id"]).collect()}
+    assert got == {1: (["Chiều cao", "1m72"], [[1.0], [1.0]]), 3: (["x^2 của tôi"], [None])}
+
+
+def test_stems(spark, tmp_path):
+    (tmp_path / "a.dic").write_text("3\nHà/AB\nnội\nhà\n")
+    assert {r.token for r in files.hunspell_stems(spark, str(tmp_path / "a.dic")).collect()} == {"hà", "nội"}
