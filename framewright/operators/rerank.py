@@ -62,3 +62,13 @@ def reranked(rows: DataFrame, keys: list[str], raw: str, clip: str, answer: str
     r = relevance(F.col("s"))
     out = whole.select(*keys, F.round(r, 4).alias("relevance_score"), decision(r).alias("decision"), F.round("confidence", 4).alias("confidence"), final_score(F.col("clip"), r).alias("final_score"))
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("final_score"), *keys)))
+
+
+def closest_grid(width: int, height: int, most: int = 12, tile: int = 448) -> tuple[int, int]:
+    """Columns and rows, at most so many tiles, whose shape is nearest to the picture's; of equal ones the larger, if the picture has over half its area."""
+    best, apart = (1, 1), float("inf")
+    for c, r in sorted(((c, r) for c in range(1, most + 1) for r in range(1, most + 1) if c * r <= most), key=lambda g: g[0] * g[1]):
+        d = abs(width / height - c / r)
+        if d < apart or d == apart and width * height > 0.5 * tile * tile * c * r:
+            best, apart = (c, r), d
+    return best

@@ -258,3 +258,56 @@ def test_frames_are_normalised(spark):
 def test_stems(spark, tmp_path):
     (tmp_path / "a.dic").write_text("3\nHà/AB\nnội\nhà\n")
     assert {r.token for r in files.hunspell_stems(spark, str(tmp_path / "a.dic")).collect()} == {"hà", "nội"}
+
+
+def test_listings_and_padding(spark, tmp_path):
+    for name in ("ds/v1/12.PNG", "ds/v1/000012.jpg", "ds/v1/a.txt", "ds/v1/b.mp4"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    images = files.listing(spark, str(tmp_path), files.IMAGE_SUFFIXES)
+    assert sorted((r.video_id, r.stem, r.length) for r in images.collect()) == [("v1", "000012", 1), ("v1", "12", 1)]
+    assert [r.stem for r in files.listing(spark, str(tmp_path), files.VIDEO_SUFFIXES).collect()] == ["b"]
+    wanted = spark.createDataFrame([("ds", "v1", "12", 12), ("ds", "v1", "13", 13)], "dataset string, video_id string, source_name string, keyframe_id_int int")
+    got = {r.keyframe_id_int: r.path for r in files.keyframe_files(wanted, images).collect()}
+    assert got[12].endswith("/ds/v1/12.PNG") and got[13] == "ds/v1/000013.jpg"
+    stems = spark.createDataFrame([("000291",), ("debug_4_frame_77",), ("shot3at9",), ("k5",)], "s string").select(files.keyframe_of_stem(F.col("s")).alias("k"))
+    assert [tuple(r.k) for r in stems.collect()] == [(291, "000291", None), (4, "000004", 77), (3, "000003", 9), (5, "000005", None)]
+
+
+def test_synthetic_rows_repeat(spark):
+    from framewright.sources import synthetic
+
+    a, b = synthetic.screen_text(spark, 2, 10).collect(), synthetic.screen_text(spark, 2, 10).collect()
+    assert a == b and len(a) == 20 and all(1 <= len(r.texts) == len(r.bboxs) <= 15 and all(x[2] <= synthetic.WIDTH and x[3] <= synthetic.HEIGHT for x in r.bboxs) for r in a)
+    s = synthetic.speech(spark, 2, 60).orderBy("video_id", "start_time").collect()
+    assert all(3 <= r.end_time - r.start_time <= 8 for r in s) and all(x.end_time == y.start_time for x, y in zip(s, s[1:]) if x.video_id == y.video_id) and max(r.end_time for r in s) <= 60
+
+
+def test_grids():
+    assert rerank.closest_grid(896, 448) == (2, 1) and rerank.closest_grid(448, 448) == (1, 1) and rerank.closest_grid(1600, 400)[0] == 4 * rerank.closest_grid(1600, 400)[1]
+
+
+def test_facade(spark):
+    from framewright.plans.search import SearchSystem, hash_encoder
+
+    texts = ["a dog runs in a park", "a cat sleeps on a sofa", "two birds fly over a lake", "a dog sleeps"] * 3
+    rows = [(i, "d", f"v{i // 4}", str(i), float(i % 4), t) for i, t in enumerate(texts)]
+    frames = spark.createDataFrame(rows, "vec_id long, dataset string, video_id string, keyframe_id string, ts double, text string")
+    vectors = frames.select("vec_id", vector.hash_encode(F.col("text")).cast("array<float>").alias("embedding"))
+    docs = frames.select(F.col("vec_id").alias("doc"), "text")
+    places = frames.select(F.col("vec_id").alias("doc"), "video_id", "keyframe_id")
+    speech = spark.createDataFrame([("s1", "v1", 0.0, 1.5, "a dog barks")], "segment_id string, video_id string, start_time double, end_time double, text string")
+    system = SearchSystem(spark, frames.drop("text"), {"m": (vectors, hash_encoder)}, (fulltext.postings(docs, "doc", "text"), places), (fulltext.postings(speech, "segment_id", "text"), speech.drop("text")), translate=lambda q: q.replace("chien", "dog"))
+    assert {r.vec_id % 4 for r in system.semantic("a chien runs in a park", 3).where("rank <= 3").collect()} == {0}
+    found = system.temporal("a dog runs in a park. two birds fly over a lake", 3).collect()
+    assert len(found) == 3 and all(list(r.path) == [0, 2] for r in found)
+    assert {r.vec_id % 4 for r in system.ocr_search("cat sofa", 3).collect()} == {1}
+    assert system.asr_search("barks", 2).collect()[0].frames == [4, 5]
+    assert system.advanced("a dog runs in a park", ["m"], use_ocr=True, use_asr=True, top_k=4).count() == 4
+    sequences = system.advanced("a dog runs. two birds fly", ["m"], temporal_mode=True, use_ocr=True, use_asr=True, top_k=4).collect()
+    assert sequences and all(list(r.path) == sorted(set(r.path)) for r in sequences)
+    assert system.search("", "semantic")[1].count() == 0 and system.search("a. b", "auto")[0].mode == "temporal" and system.available_models() == ["m"]
+    with pytest.raises(KeyError):
+        system.semantic("x", model="none")
+    with pytest.raises(RuntimeError):
+        SearchSystem(spark, frames, {})
