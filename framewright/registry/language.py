@@ -10,6 +10,7 @@ from framewright.functions import text as T
 from framewright.operators import fulltext, segment, textclean, vocab
 from framewright.registry.retrieval import _FRAMES
 
+GOLDEN = "500ml 2kg S00ml 20/07/2026 14:30 50% 20.000đ 0987654321 L28V001 VTV vtv1 Việt THU".split()
 QUERY = "and the thtion of the"
 TERMS = fulltext.terms_of(QUERY)
 
@@ -98,7 +99,7 @@ def _tokens(spark, d):
 
 
 def x10(spark, d):
-    t = _tokens(spark, d).union(spark.createDataFrame([(t,) for t in "500ml 2kg S00ml 20/07/2026 14:30 50% 20.000đ 0987654321 L28V001 VTV vtv1 Việt THU".split()], "token string")).distinct()
+    t = _tokens(spark, d).union(spark.createDataFrame([(t,) for t in GOLDEN], "token string")).distinct()
     c = t.select("token", T.token_class(F.col("token")).alias("c"))
     return c.where("c is not null").select("token", "c.*")
 
@@ -225,11 +226,11 @@ _WORDS = "list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'),
 _EN = "d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), "
 
 
-def _tok(where="lang = 'en'", key="doc_id", table="documents", text="text"):
+def _tok(where="lang = 'en'", key="doc_id", table="documents", text="text", weight="1"):
     return (
         f"a AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS ts FROM {table} WHERE {where}), "
         "t AS (SELECT k, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM a), l AS (SELECT k, count(*) AS dl FROM t GROUP BY k), st AS (SELECT count(*) AS n, avg(dl) AS av FROM l), "
-        "p AS (SELECT t.k, term, count(*) AS tf, list(pos ORDER BY pos) AS ps, dl FROM t JOIN l ON l.k = t.k GROUP BY t.k, term, dl), "
+        f"p AS (SELECT t.k, term, count(*) * {weight} AS tf, list(pos ORDER BY pos) AS ps, dl FROM t JOIN l ON l.k = t.k GROUP BY t.k, term, dl), "
         "f AS (SELECT term, count(*) AS df FROM p GROUP BY term), "
         "s AS (SELECT p.*, df, av, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS part FROM p JOIN f ON f.term = p.term CROSS JOIN st)"
     )
@@ -271,6 +272,35 @@ _DF = "w AS (SELECT source, doc_id, lang, " + _WORDS + " AS ws FROM documents),
 _LINES = "l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 _ACC, _PLAIN = T.ACCENTED + T.ACCENTED.upper(), T.UNACCENTED + T.UNACCENTED.upper()
 
+def _token_class():
+    """The token classes in SQL; both regex engines read the same patterns."""
+    num, loose, units, money = T.NUMBER, T.LOOSE, T.UNITS, T.CURRENCIES
+    date, time, percent = r"^\d{1,2}[/\-.]\d{1,2}([/\-.]\d{2,4})?$", r"^\d{1,2}:\d{2}(:\d{2})?$", f"^{num}%$"
+    date_l, time_l = rf"^({loose})[/\-.]({loose})(?:[/\-.]({loose}))?$", f"^({loose}):({loose})(?::({loose}))?$"
+    measure, cash = rf"(?i)^{num}\s*(?:{units})$", rf"(?i)^{num}\s*(?:{money})$"
+    measure_l, cash_l, percent_l = rf"(?i)^({loose})\s*({units})$", rf"(?i)^({loose})\s*({money})$", f"^({loose})(%)$"
+    part = lambda pattern, i: f"regexp_extract(t, '{pattern}', {i})"
+    fixed = lambda x: f"translate({x}, '{T.CONFUSABLE}', '{T.DIGITS}')"
+    unit = lambda pattern: f"{fixed(part(pattern, 1))} || {part(pattern, 2)}"
+    three = lambda pattern, sign: f"{fixed(part(pattern, 1))} || {sign} || {fixed(part(pattern, 2))} || CASE WHEN {part(pattern, 3)} <> '' THEN {sign} || {fixed(part(pattern, 3))} ELSE '' END"
+    sign = "(CASE WHEN contains(t, '/') THEN '/' WHEN contains(t, '-') THEN '-' ELSE '.' END)"
+    is_ = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+    acronyms = ", ".join(f"'{a}'" for a in T.ACRONYMS)
+    acronym = f"list_filter([{acronyms}], lambda a: upper(a) = upper(t))[1]"
+    bare = "translate(t, '.- ', '')"
+    loan = ", ".join(f"'{w}'" for w in T.LOANWORDS)
+    cases = [
+        (is_("t", date), "date", "t", "pass"), (is_("t", time), "time", "t", "pass"), (is_("t", date_l) + " AND " + is_(f"({three(date_l, sign)})", date), "date", three(date_l, sign), "correct"),
+        (is_("t", time_l) + " AND " + is_(f"({three(time_l, chr(39) + ':' + chr(39))})", time), "time", three(time_l, "':'"), "correct"), (is_("t", percent), "percent", "t", "pass"), (is_("t", cash), "currency", "t", "pass"),
+        (is_("t", percent_l) + " AND " + is_(f"({unit(percent_l)})", percent), "percent", unit(percent_l), "correct"), (is_("t", cash_l) + " AND " + is_(f"({unit(cash_l)})", cash), "currency", unit(cash_l), "correct"),
+        (is_("t", measure), "measurement", "t", "pass"), (is_("t", measure_l) + " AND " + is_(f"({unit(measure_l)})", measure), "measurement", unit(measure_l), "correct"),
+        (is_(bare, r"^(0|\+84)\d{9,10}$"), "phone", bare, "pass"), ("regexp_matches(t, '^[A-Z0-9]{4,}$') AND regexp_matches(t, '[0-9]')", "code", "t", "pass"), (f"lower(t) IN ({loan})", "loanword", "t", "pass"), (f"{acronym} IS NOT NULL", "acronym", acronym, "pass"),
+    ]
+    pick = "CASE " + " ".join(f"WHEN {c} THEN struct_pack(category := '{k}', corrected := {v}, action := '{a}')" for c, k, v, a in cases) + " END"
+    golden = ", ".join(f"('{t}')" for t in GOLDEN)
+    return f"WITH w AS (SELECT {_WORDS} AS ws FROM documents), u AS (SELECT unnest(ws) AS t FROM w UNION SELECT * FROM (VALUES {golden}) v(t)), c AS (SELECT t, {pick} AS c FROM (SELECT DISTINCT t FROM u)) SELECT t AS token, c.category AS category, c.corrected AS corrected, c.action AS action FROM c WHERE c IS NOT NULL"
+
+
 _CTX = (
     "c AS (SELECT doc_id, i - 1 AS pos, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS before, ws[i + 1] AS after FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)), "
     "b AS (SELECT before AS w1, token AS w2, count(*) AS n FROM c WHERE before IS NOT NULL GROUP BY 1, 2)"
@@ -282,6 +312,10 @@ e AS (SELECT p.*, k.word, coalesce(l.n, 0) + coalesce(r.n, 0) AS evidence, coale
 SELECT before, token, after, max(other) AS other, any_value(evidence) AS evidence FROM e GROUP BY before, token, after"""
 
 ORACLE_SQL = {
+    "x10_token_class": _token_class(),
+    "x2_x3_sub_queries": """WITH q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark), p AS (SELECT item_id, list_filter(list_transform(list_prepend(q, string_split(q, ',')), lambda x: trim(x)), lambda x: x <> '') AS p FROM q),
+u AS (SELECT item_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(x) ORDER BY i) AS r FROM u)
+SELECT item_id, string_agg(x, '|' ORDER BY i) AS parts, 'a dog and then a cat after rain, and sun, a dog ' || item_id || '|a dog|a cat|rain|sun|a dog ' || item_id AS connective FROM k WHERE r = 1 GROUP BY item_id""",
     "w6_token_context": f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'es' AND length(text) < 4000), {_CTX} SELECT * FROM c",
     "x17_accents_in_context": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'fr'), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
 d AS (SELECT token, translate(token, '{_ACC}', '{_PLAIN}') AS plain FROM df WHERE df >= greatest(2, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w)))), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON x.plain = y.plain AND x.token <> y.token),
@@ -308,6 +342,7 @@ WHERE levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <
 b AS (SELECT *, coalesce(sum(len(ts)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 * line_no AS s FROM a), t AS (SELECT doc_id, unnest(ts) AS term, s + unnest(range(0, len(ts))) AS pos FROM b)
 SELECT doc_id, count(*) AS n, max(pos)::INT AS last, count(DISTINCT term) AS terms FROM t GROUP BY doc_id""",
     "f11_boosted_query": _full(TERMS, "doc_id", 50),
+    "f15_watermark_weights": _full(["the", "of", "and"], "doc_id", 20, weight="CASE WHEN term = 'the' THEN 0.1 ELSE 1.0 END"),
     "f12_speech_search": _full(["of", "the"], "segment_id", 30, where="true", key="conv_id::VARCHAR || '-' || turn::INT", table="conversations"),
     "x1_events": """WITH q AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text[1:300], chr(10), ' '), '[.;]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS e FROM documents),
 u AS (SELECT doc_id, unnest(e) AS p, unnest(range(0, len(e))) AS i FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(p) ORDER BY i) AS r FROM u), g AS (SELECT doc_id, count(*) AS events, string_agg(p, '|' ORDER BY i) AS joined FROM k WHERE r = 1 GROUP BY doc_id)
