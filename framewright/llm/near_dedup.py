@@ -43,6 +43,8 @@ MOST_DIFFERENT = 54
 MOST_APART = 93
 #: Ids of candidate documents up to this number go to all executors (8 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Pairs with one popular member that are judged in one place; the set of a member of more pairs goes to as many places.
+PAIRS = 256
 
 _rng = np.random.default_rng(7)
 _A, _C = (_rng.integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -134,7 +136,13 @@ def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     sets = texts.mapInArrow(_setter(n), "vid long, shingles array<bigint>").where("vid is not null")
     sets = sets.groupBy("vid").agg(F.first("shingles").alias("shingles"))
     of = lambda c: sets.select(F.col("vid").alias(c), F.col("shingles").alias("set_" + c))
-    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    # a popular member's pairs are spread
+    many = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("parts")).where("parts > 1"), "popular")
+    many = F.broadcast(many) if many.count() <= MOST_BROADCAST else many
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    placed = pairs.select("a", "b").join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    copied = of("b").join(many, "b", "left").select("b", "set_b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    both = placed.join(of("a"), "a").join(copied, ["b", "part"])
     more = both.select("a", "b", F.array_except("set_a", "set_b").alias("added"), F.array_except("set_b", "set_a").alias("removed"), F.size("set_b").alias("size_b"))
     common, union = F.col("size_b") - F.size("removed"), F.col("size_b") + F.size("added")
     return more.withColumn("linked", 100 * common >= percent * union)
