@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import words as W
-from framewright.llm.store import stored
+from framewright.llm.store import small_batches, stored
 
 #: Words of one automaton, about 300 bytes each.
 MOST_WORDS = 200_000
@@ -161,6 +161,7 @@ class Automaton:
 
 def automata(benchmark: DataFrame, window: int) -> list[Automaton]:
     """One automaton for each block of at most MOST_WORDS words of the items, read block by block; null texts have none."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
     sized = items.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))
     out, block, n = [], [], 0

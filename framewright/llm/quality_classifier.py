@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import words as W
+from framewright.llm.store import small_batches
 
 #: Bits of the feature hash; labelled rows learnt from at most (by order of a hash of doc_id); passes over them.
 BITS, SAMPLE, PASSES = 18, 8_000, 2
@@ -101,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     ``labels`` is ``(doc_id, quality)``; rows with nulls are left out; no labels give weights of 0.
     """
+    small_batches(docs.sparkSession)
     place = F.xxhash64(F.lit(3), "doc_id")
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where("doc_id is not null and label is not null")
     chosen = known.withColumn("place", place).orderBy("place", "doc_id", "label").limit(SAMPLE)
@@ -129,6 +131,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     Null and empty texts have the constant alone.  Repeated rows get equal
     scores, other columns are ignored, no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(_scorer(shared), rows.select("doc_id", F.lit(0.0).alias("score")).schema)

@@ -1,7 +1,20 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share, and the size of Arrow batches."""
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from framewright.scratch import clear, new_path, shared_dir, stored
 
-__all__ = ["clear", "new_path", "shared_dir", "stored"]
+__all__ = ["clear", "new_path", "shared_dir", "small_batches", "stored"]
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts of an Arrow batch at most: they are held by the JVM and by the Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
+    have = int(spark.conf.get(_ROWS))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import words as W
+from framewright.llm.store import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are counted at once; words beyond this length go one by one.
-SLICE, LONG = 1 << 23, 256
+SLICE, LONG = 1 << 22, 256
 
 
 def load_pieces(path: str) -> list[bytes]:
@@ -156,6 +157,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     its length; repeated rows get equal rows; other columns are ignored; no rows
     give no rows.  The automaton is of the size of the vocabulary, which is fixed.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(load_pieces(path)))
     rows = docs.select("doc_id", "text")
     zero = F.lit(0).cast("long")
