@@ -111,9 +111,9 @@ def substring_score(text: Column, terms: list[str]) -> Column:
     return reduce(lambda s, t: s + (F.length(low) - F.length(F.replace(low, F.lit(t.lower()), F.lit("")))) / len(t), terms, F.lit(0.0))
 
 
-def token_score(text: Column, query: str) -> Column:
-    """0.75 of the share of query words that occur, and 0.25 of the share of words that are query words, to four digits."""
+def token_score(text: Column, query: str, digits: int = 4) -> Column:
+    """0.75 of the share of query words that occur, and 0.25 of the share of words that are query words, to so many digits."""
     asked = list(dict.fromkeys(query.lower().split()))
     own = F.array_distinct(T.words(F.lower(text)))
     common = F.size(F.array_intersect(own, F.lit(asked)))
-    return F.round(0.75 * common / max(1, len(asked)) + 0.25 * common / F.greatest(F.size(own), F.lit(1)), 4)
+    return F.round(0.75 * common / max(1, len(asked)) + 0.25 * common / F.greatest(F.size(own), F.lit(1)), digits)

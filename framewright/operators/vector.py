@@ -85,10 +85,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
 
 
 def aggregate_queries(hits: DataFrame, n_queries: int, top_k: int | None, by: str = "vec_id", group: tuple[str, ...] = ()) -> DataFrame:
-    """Hits of several queries as one ranking: mean and best score over the lists with the item, share of queries matched, 0.8 mean + 0.2 share."""
+    """Hits of several queries as one ranking: mean and best score over the lists with the item, share of queries matched, 0.8 mean + 0.2 share.
+
+    Means and shares count to eight digits and the sum to nine, so that sixth digits of scores are never halved."""
     a = hits.groupBy(*group, by).agg(F.avg("score").alias("avg_score"), F.max("score").alias("max_score"), F.countDistinct("query_id").alias("matched_queries"))
-    a = a.withColumn("avg_score", F.round("avg_score", 6)).withColumn("coverage_score", F.round(F.col("matched_queries") / F.lit(max(1, n_queries)), 6))
-    a = a.withColumn("alignment_score", F.round(0.8 * F.col("avg_score") + 0.2 * F.col("coverage_score"), 6))
+    a = a.withColumn("avg_score", F.round("avg_score", 8)).withColumn("coverage_score", F.round(F.col("matched_queries") / F.lit(max(1, n_queries)), 8))
+    a = a.withColumn("alignment_score", F.round(0.8 * F.col("avg_score") + 0.2 * F.col("coverage_score"), 9))
     order = [F.desc("alignment_score"), by]
     if top_k is None:
         return a
@@ -108,9 +110,9 @@ def legacy_rerank(hits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     whole = hits.agg(F.greatest(F.lit(1), F.countDistinct("sub_query_idx")).alias("n"))
     for k in keys:
         hits = hits.where(F.col(k).isNotNull())
-    a = hits.groupBy(*keys).agg(F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"), F.countDistinct("sub_query_idx").alias("matched_queries"))
-    a = a.join(F.broadcast(whole)).withColumn("coverage_score", F.round(F.col("matched_queries") / F.col("n"), 6)).drop("n")  # one row
-    return a.withColumn("alignment_score", F.round(0.9 * F.col("avg_score") + 0.1 * F.col("coverage_score"), 6))
+    a = hits.groupBy(*keys).agg(F.round(F.avg("score"), 8).alias("avg_score"), F.max("score").alias("max_score"), F.countDistinct("sub_query_idx").alias("matched_queries"))
+    a = a.join(F.broadcast(whole)).withColumn("coverage_score", F.round(F.col("matched_queries") / F.col("n"), 8)).drop("n")  # one row
+    return a.withColumn("alignment_score", F.round(0.9 * F.col("avg_score") + 0.1 * F.col("coverage_score"), 9))
 
 
 def train_centroids(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:

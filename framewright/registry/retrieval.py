@@ -253,8 +253,8 @@ def _hits(ids, k, name="hits"):
 
 def _agg(source, n):
     return (
-        f"(SELECT vec_id, avg_score, max_score, matched_queries, coverage_score, round(0.8 * avg_score + 0.2 * coverage_score, 6) AS alignment_score FROM "
-        f"(SELECT vec_id, round(avg(score), 6) AS avg_score, max(score) AS max_score, count(DISTINCT query_id) AS matched_queries, round(count(DISTINCT query_id) / {n}::DOUBLE, 6) AS coverage_score FROM {source} GROUP BY vec_id))"
+        f"(SELECT vec_id, avg_score, max_score, matched_queries, coverage_score, round(0.8 * avg_score + 0.2 * coverage_score, 9) AS alignment_score FROM "
+        f"(SELECT vec_id, round(avg(score), 8) AS avg_score, max(score) AS max_score, count(DISTINCT query_id) AS matched_queries, round(count(DISTINCT query_id) / {n}::DOUBLE, 8) AS coverage_score FROM {source} GROUP BY vec_id))"
     )
 
 
@@ -280,8 +280,8 @@ SELECT query_id, vec_id, rank, round(d, 5) AS distance FROM (SELECT *, row_numbe
     "v7_encode_once": "WITH t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, text FROM conversations) SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS length FROM t",
     "j1_t1_top_k_per_query": f"WITH {_hits(SUBS, 30)} SELECT query_id, vec_id, score, rank FROM hits",
     "a1_multi_query_aggregation": f"WITH {_hits(SUBS, 30)} SELECT * FROM {_agg('hits', len(SUBS))}",
-    "a2_legacy_rerank": f"""WITH {_hits(SUBS, 30)}, a AS (SELECT vec_id AS keyframe_id, round(avg(score), 6) AS avg_score, max(score) AS max_score, count(DISTINCT query_id) AS matched_queries FROM hits WHERE vec_id % 11 <> 0 GROUP BY vec_id),
-c AS (SELECT *, round(matched_queries / (SELECT count(DISTINCT query_id) FROM hits)::DOUBLE, 6) AS coverage_score FROM a) SELECT *, round(0.9 * avg_score + 0.1 * coverage_score, 6) AS alignment_score FROM c""",
+    "a2_legacy_rerank": f"""WITH {_hits(SUBS, 30)}, a AS (SELECT vec_id AS keyframe_id, round(avg(score), 8) AS avg_score, max(score) AS max_score, count(DISTINCT query_id) AS matched_queries FROM hits WHERE vec_id % 11 <> 0 GROUP BY vec_id),
+c AS (SELECT *, round(matched_queries / (SELECT count(DISTINCT query_id) FROM hits)::DOUBLE, 8) AS coverage_score FROM a) SELECT *, round(0.9 * avg_score + 0.1 * coverage_score, 9) AS alignment_score FROM c""",
     "a3_weighted_rrf": f"""WITH {_search('a', EVENTS[0], 60, 40)}, {_search('b', EVENTS[1], 60, 40)},
 u AS (SELECT vec_id, rank, 1.0::DOUBLE AS w, 'one' AS l, 0 AS k FROM a_r UNION ALL SELECT vec_id, rank, 0.5::DOUBLE, 'two', 1 FROM b_r),
 g AS (SELECT vec_id AS keyframe_id, round(sum(w / (60 + rank)), 9) AS rrf_score, count(*) AS matched_sources, string_agg(l, ',' ORDER BY l) AS sources, min(k * 1000 + rank) AS seen FROM u GROUP BY vec_id)

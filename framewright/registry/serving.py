@@ -204,7 +204,7 @@ def t10(spark, d):
 
 
 def t11(spark, d):
-    docs = catalog.table(spark, d, "documents").select("doc_id", serve.token_score(F.col("text"), "the of and ereaan").alias("score"))
+    docs = catalog.table(spark, d, "documents").select("doc_id", serve.token_score(F.col("text"), "the of and ereaan", 9).alias("score"))
     return docs.orderBy(F.desc("score"), "doc_id").limit(30)
 
 
@@ -327,6 +327,6 @@ SELECT event_id, CASE WHEN x2 > x1 AND y2 > y1 THEN round(x1, 6) END AS c0, CASE
     "a11_latency": "SELECT event_type, user_id % 3 AS scenes, count(*) AS runs, round(avg(value / 1000), 6) AS mean_s, round(min(value / 1000), 6) AS min_s, round(max(value / 1000), 6) AS max_s FROM events GROUP BY 1, 2",
     "t10_substring_score": "WITH s AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) / 3 AS score FROM documents) SELECT doc_id, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30",
     "t11_token_score": """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')) AS ws FROM documents),
-s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('the', 'of', 'and', 'ereaan'))) AS c FROM w) SELECT doc_id, round(0.75 * c / 4 + 0.25 * c / greatest(n, 1), 4) AS score FROM s ORDER BY score DESC, doc_id LIMIT 30""",
+s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('the', 'of', 'and', 'ereaan'))) AS c FROM w) SELECT doc_id, round(0.75 * c / 4 + 0.25 * c / greatest(n, 1), 9) AS score FROM s ORDER BY score DESC, doc_id LIMIT 30""",
     "q1_query_plan": "SELECT * FROM (VALUES ('temporal', 0, 0, 'A dog runs, in the park'), ('temporal', 0, 1, 'A dog runs'), ('temporal', 0, 2, 'in the park'), ('temporal', 1, 0, 'two birds')) t(mode, event_idx, sub_idx, text)",
 }
