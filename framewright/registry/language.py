@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from framewright import catalog
 from framewright.functions import text as T
 from framewright.operators import fulltext, segment, textclean, vocab
-from framewright.registry.retrieval import _FRAMES
 
 GOLDEN = "500ml 2kg S00ml 20/07/2026 14:30 50% 20.000đ 0987654321 L28V001 VTV vtv1 Việt THU".split()
 QUERY = "and the thtion of the"
@@ -223,7 +222,6 @@ QUERIES = {
 }
 
 _WORDS = "list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')"
-_EN = "d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), "
 
 
 def _tok(where="lang = 'en'", key="doc_id", table="documents", text="text", weight="1"):
@@ -367,4 +365,3 @@ t AS (SELECT token FROM df WHERE df = 1 AND length(token) BETWEEN 3 AND 6 AND re
 j AS (SELECT t.token, d.token AS word, d.df, levenshtein(t.token, d.token) AS edits FROM t JOIN dict d ON abs(length(t.token) - length(d.token)) <= 2), m AS (SELECT *, min(edits) OVER (PARTITION BY token) AS least FROM j WHERE edits BETWEEN 1 AND 2)
 SELECT token, word, edits::INT AS edits, row_number() OVER (PARTITION BY token ORDER BY df DESC, word) AS k FROM m WHERE edits = least""",
 }
-del _EN, _FRAMES

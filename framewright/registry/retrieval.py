@@ -91,15 +91,13 @@ def j11(spark, d):
 
 
 def _candidates(spark, d):
-    """Per model and event: the best 40 of its sub-queries; the second model sees the halves of the vectors swapped."""
+    """Per model and event: the best 40 of its sub-queries; the second model sees the first half of the vectors twice."""
     e = vectors(spark, d)
-    swapped = F.concat(F.slice("x", 33, 32), F.slice("x", 1, 32))
     parts = []
-    for model, change in (("plain", lambda c: F.col(c)), ("swapped", lambda c: F.expr(f"concat(slice({c}, 33, 32), slice({c}, 1, 16), slice({c}, 1, 16))"))):
+    for model, change in (("plain", F.col), ("doubled", lambda c: F.concat(F.slice(c, 1, 32), F.slice(c, 1, 32)))):
         for i, ids in enumerate(EVENTS):
             found = vector.multi_query_search(e.select("vec_id", change("embedding").alias("embedding")), query_vectors(spark, d, ids).select("query_id", change("vector").alias("vector")), 40, 60)
             parts.append(found.select(F.lit(model).alias("model_key"), F.lit(i).alias("event_idx"), F.col("vec_id").alias("keyframe_id"), F.col("alignment_score").alias("candidate_score"), F.col("rank").alias("candidate_rank")))
-    del swapped
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
