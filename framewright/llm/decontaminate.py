@@ -216,7 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_FOUND).alias("ranges"), F.array().cast("array<string>").alias("items"))
     machines = automata(benchmark, window)
     for k, machine in enumerate(machines):
-        rows = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(machine)), rows.schema)
+        rows = rows.mapInArrow(W.released(_matcher(spark.sparkContext.broadcast(machine))), rows.schema)
         if k + 1 < len(machines):
             rows = stored(rows, "matched")
     return rows.drop("text")
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     out = docs
     machines = automata(benchmark, window)
     for k, machine in enumerate(machines):
-        out = out.mapInArrow(_cleaner(spark.sparkContext.broadcast(machine), docs.columns.index("text"), coverage), docs.schema)
+        out = out.mapInArrow(W.released(_cleaner(spark.sparkContext.broadcast(machine), docs.columns.index("text"), coverage)), docs.schema)
         if k + 1 < len(machines):
             out = stored(out, "cleaned")
     return with_chars(out)

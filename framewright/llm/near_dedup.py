@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import words as W
 from framewright.llm.components import components
-from framewright.llm.store import stored
+from framewright.llm.store import small_batches, stored
 
 BANDS, ROWS, SIGNED = 40, 5, 192
 MINIMA = BANDS * ROWS
@@ -133,7 +133,7 @@ def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     ids = stored(reps.join(used, "vid").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     few = ids.count() <= MOST_BROADCAST
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_setter(n), "vid long, shingles array<bigint>").where("vid is not null")
+    sets = texts.mapInArrow(W.released(_setter(n)), "vid long, shingles array<bigint>").where("vid is not null")
     sets = sets.groupBy("vid").agg(F.first("shingles").alias("shingles"))
     of = lambda c: sets.select(F.col("vid").alias(c), F.col("shingles").alias("set_" + c))
     # a popular member's pairs are spread
@@ -188,8 +188,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("percent must be at least 80")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_signer(n), "doc_id long, n long, print binary, vid long, bands array<bigint>, bits array<bigint>"), "signed")
+    signed = stored(docs.mapInArrow(W.released(_signer(n)), "doc_id long, n long, print binary, vid long, bands array<bigint>, bits array<bigint>"), "signed")
     known = signed.where("doc_id is not null and vid is not null")
     # copies of one set: a class, summed per task before the shuffle
     reps = known.groupBy("vid", "n").agg(F.min("doc_id").alias("rep"))

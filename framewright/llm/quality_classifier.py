@@ -107,8 +107,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where("doc_id is not null and label is not null")
     chosen = known.withColumn("place", place).orderBy("place", "doc_id", "label").limit(SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", "text")
-    rows = texts.mapInArrow(_featurise, "place long, label double, i array<int>, x array<float>")
-    got = rows.repartition(1).sortWithinPartitions("place", "label", "i").mapInArrow(_learn, "weights binary").collect()
+    rows = texts.mapInArrow(W.released(_featurise), "place long, label double, i array<int>, x array<float>")
+    got = rows.repartition(1).sortWithinPartitions("place", "label", "i").mapInArrow(W.released(_learn), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 
@@ -134,7 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_scorer(shared), rows.select("doc_id", F.lit(0.0).alias("score")).schema)
+    return rows.mapInArrow(W.released(_scorer(shared)), rows.select("doc_id", F.lit(0.0).alias("score")).schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -161,4 +161,4 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(load_pieces(path)))
     rows = docs.select("doc_id", "text")
     zero = F.lit(0).cast("long")
-    return rows.mapInArrow(_counter(shared), rows.select("doc_id", zero.alias("n_words"), zero.alias("n_tokens")).schema)
+    return rows.mapInArrow(W.released(_counter(shared)), rows.select("doc_id", zero.alias("n_words"), zero.alias("n_tokens")).schema)
