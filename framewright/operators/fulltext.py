@@ -79,9 +79,8 @@ def _shift_from(wanted: Column):
     return lambda p: F.struct(F.abs(p - wanted).alias("far"), (p - wanted).alias("d"))
 
 
-def phrase_frequency(terms: list[str], slop: int) -> Column:
-    """Sum of 1 / (1 + d) over the occurrences of the first term, where d, at most slop, is how far the nearest
-    occurrences of the others are spread about their places in the phrase; slop 0 counts exact phrases."""
+def spreads(terms: list[str]) -> Column:
+    """For each occurrence of the phrase's first term, how far the nearest occurrences of the others are spread about their places."""
     distinct = list(dict.fromkeys(terms))
     place = lambda i: F.col(f"p{distinct.index(terms[i])}")
 
@@ -91,7 +90,12 @@ def phrase_frequency(terms: list[str], slop: int) -> Column:
             shifts.append(F.array_min(F.transform(place(i), _shift_from(x + i)))["d"])
         return F.greatest(*shifts, F.lit(0)) - F.least(*shifts, F.lit(0))
 
-    hits = F.filter(F.transform(place(0), spread), lambda d: d <= slop)
+    return F.transform(place(0), spread)
+
+
+def phrase_frequency(spread: Column, slop: int) -> Column:
+    """Sum of 1 / (1 + d) over the spreads d of at most slop; slop 0 counts exact phrases."""
+    hits = F.filter(spread, lambda d: d <= slop)
     return F.coalesce(F.aggregate(hits, F.lit(0.0), lambda s, d: s + 1.0 / (1 + d)), F.lit(0.0))
 
 
@@ -136,7 +140,9 @@ def search(index: DataFrame, key: str, query: str, top_k: int | None = None, wei
     if weights is not None:
         index = index.join(F.broadcast(weights.withColumnRenamed("weight", "__weight")), "term", "left").withColumn("tf", F.col("tf") * F.coalesce("__weight", F.lit(1.0))).drop("__weight")
     m = matched(index, key, terms).where(F.col("matched") >= at_least(n, 0.5)).join(fuzzy_scores(index, key, terms), key, "left")
-    phrase = lambda slop: F.col("idf_sum") * tf_part(phrase_frequency(terms, slop), F.col("dl"), F.col("avgdl"))
+    m = m.withColumn("__spreads", spreads(terms))
+    m = m.withColumns({f"__slop{s}": phrase_frequency(F.col("__spreads"), s) for s in (0, 3, 10)})
+    phrase = lambda slop: F.col("idf_sum") * tf_part(F.col(f"__slop{slop}"), F.col("dl"), F.col("avgdl"))
     clauses = {
         "phrase": phrase(0), "near_phrase": phrase(3), "proximity": phrase(10), "fuzzy": F.coalesce("fuzzy", F.lit(0.0)),
         "all_terms": F.when(F.col("matched") == n, F.col("bm25")).otherwise(0.0), "most_terms": F.when(F.col("matched") >= at_least(n, 0.85), F.col("bm25")).otherwise(0.0),

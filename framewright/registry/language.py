@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright import catalog
 from framewright.functions import text as T
 from framewright.operators import fulltext, segment, textclean, vocab
+from framewright.scratch import stored
 
 GOLDEN = "500ml 2kg S00ml 20/07/2026 14:30 50% 20.000đ 0987654321 L28V001 VTV vtv1 Việt THU".split()
 QUERY = "and the thtion of the"
@@ -19,7 +20,7 @@ def _docs(spark, d):
 
 
 def _index(spark, d):
-    return fulltext.postings(_docs(spark, d).where("lang = 'en'"), "doc_id", "text")
+    return stored(fulltext.postings(_docs(spark, d).where("lang = 'en'"), "doc_id", "text"), "postings")
 
 
 def f8(spark, d):
@@ -36,7 +37,7 @@ def f9(spark, d):
 
 def f2(spark, d):
     m = fulltext.matched(_index(spark, d), "doc_id", ["of", "the"]).where("matched = 2")
-    return m.select("doc_id", *[F.round(fulltext.phrase_frequency(["of", "the"], s), 6).alias(f"slop{s}") for s in (0, 3, 10)])
+    return m.select("doc_id", *[F.round(fulltext.phrase_frequency(fulltext.spreads(["of", "the"]), s), 6).alias(f"slop{s}") for s in (0, 3, 10)])
 
 
 def f6(spark, d):
@@ -50,7 +51,7 @@ def f_full(spark, d):
 def f12(spark, d):
     """Speech search: segments of conversations by the same boosted query."""
     s = catalog.segments(spark, d).select(F.concat_ws("-", "video_id", F.col("start_time").cast("int")).alias("segment_id"), "text")
-    return fulltext.search(fulltext.postings(s, "segment_id", "text"), "segment_id", "of the", 30)
+    return fulltext.search(stored(fulltext.postings(s, "segment_id", "text"), "postings"), "segment_id", "of the", 30)
 
 
 def f15(spark, d):

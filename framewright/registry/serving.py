@@ -12,7 +12,7 @@ from framewright.plans.query_plan import plan
 from framewright.plans.search import SearchSystem, hash_encoder
 from framewright.registry import language
 from framewright.registry.retrieval import _FRAMES, _META, SUBS, _agg, _hits, hits, query_vectors, vectors
-from framewright.scratch import new_path
+from framewright.scratch import new_path, stored
 from framewright.sources import files, sinks
 from framewright.streaming import ingest
 
@@ -240,7 +240,7 @@ def _system(spark, d):
     places = docs.select("doc", (F.col("doc") % 10).cast("string").alias("video_id"), (F.col("doc") % 500).cast("string").alias("keyframe_id"))
     seg = catalog.segments(spark, d).withColumn("segment_id", F.concat_ws("-", "video_id", F.col("start_time").cast("int")))
     swapped = vectors(spark, d).select("vec_id", F.reverse("embedding").alias("embedding"))
-    return SearchSystem(spark, f, {"hash": (vectors(spark, d), hash_encoder), "reversed": (swapped, hash_encoder)}, (fulltext.postings(docs, "doc", "text"), places), (fulltext.postings(seg, "segment_id", "text"), seg.select("segment_id", "video_id", "start_time", "end_time")))
+    return SearchSystem(spark, f, {"hash": (vectors(spark, d), hash_encoder), "reversed": (swapped, hash_encoder)}, (stored(fulltext.postings(docs, "doc", "text"), "postings"), places), (stored(fulltext.postings(seg, "segment_id", "text"), "postings"), seg.select("segment_id", "video_id", "start_time", "end_time")))
 
 
 def q2(spark, d):
