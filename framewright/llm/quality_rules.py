@@ -133,6 +133,6 @@ def ablations(ledger: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, version: str = "v2") -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns."""
+    """The rows of docs that the policy keeps, with all their columns: nulls, empty and blank texts go as having few words, repeated rows stay or go alike."""
     failures = _let(_measures(F.col("text")), _failures)
     return docs.where(failures.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
