@@ -3,9 +3,10 @@
 Every token is predicted from the two tokens on either side; a document's score
 is the sum of the log-probabilities of its tokens.  Word counts of the whole
 corpus give the vocabulary.  Each task trains a copy of the network on its own
-documents, of which each gives a fixed share of its positions, and the copies
-are averaged by numbers of positions, level by level; so what training gathers
-grows with the corpus, and no task sees more than its share.
+documents, and the copies are averaged by numbers of positions, level by level.
+A round takes every EVERY-th position of each text, from another one on each
+time, so that the rounds together meet each position of the corpus once; what
+training gathers grows with the corpus, and no task sees more than its share.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from framewright.llm import words as W
 from framewright.llm.store import small_batches, stored
 
-#: Words of the vocabulary by corpus count, hash buckets for all other words, units, rounds of training, positions per one trained on in a round.
-WORDS, BUCKETS, UNITS, ROUNDS, EVERY = 320, 64, 16, 2, 16
+#: Words of the vocabulary by corpus count, hash buckets for all other words, units, rounds of training, positions per one trained on in a round: as many as rounds.
+WORDS, BUCKETS, UNITS, ROUNDS, EVERY = 320, 64, 16, 2, 2
 #: Offsets of the window, positions of a training step, its size, positions scored at once.
 WINDOW, STEP_ROWS, RATE, CHUNK = (-2, -1, 1, 2), 512, 0.15, 1024
 TOKENS = WORDS + BUCKETS
@@ -55,20 +56,13 @@ class Network:
             h += self.inner[k][around[:, k]]
         return np.tanh(h, out=h)
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden units and probabilities of all tokens, for rows of window tokens."""
-        h = self.hidden(around)
-        z = h @ self.outer
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return h, z
+    def safe(self) -> bool:
+        """Whether no exponent can overflow."""
+        return float(np.abs(self.outer).sum(axis=0).max() + np.abs(self.bias).max()) < 80
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Only the sum over all tokens and the token's own exponent are needed; units lie within 1, which bounds the exponents."""
-        out, ones = np.empty(len(token)), np.ones(TOKENS, np.float32)
-        safe = float(np.abs(self.outer).sum(axis=0).max() + np.abs(self.bias).max()) < 80
+        out, ones, safe = np.empty(len(token)), np.ones(TOKENS, np.float32), self.safe()
         for a in range(0, len(token), CHUNK):
             z = self.hidden(around[a : a + CHUNK]) @ self.outer
             z += self.bias
@@ -82,14 +76,25 @@ class Network:
     def train(self, around: np.ndarray, token: np.ndarray, seen: list[np.ndarray]) -> None:
         """One step of adaptive gradient descent; seen holds the sums of squares of the three parts."""
         n = len(token)
-        h, g = self.forward(around)
-        g[np.arange(n), token] -= 1
-        g /= n
+        h = self.hidden(around)
+        g = h @ self.outer
+        g += self.bias
+        if not self.safe():
+            g -= g.max(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        g *= (1 / (n * (g @ np.ones(TOKENS, np.float32))))[:, None]
+        g[np.arange(n), token] -= np.float32(1 / n)
         back = (g @ self.outer.T) * (1 - h * h)
-        inner = np.zeros_like(self.inner)
-        for k in range(len(WINDOW)):
-            np.add.at(inner[k], around[:, k], back)
-        for part, grad, sum_ in zip((self.inner, self.outer, self.bias), (inner, h.T @ g, g.sum(axis=0)), seen, strict=True):
+        # of the embeddings only those in the windows change: their gradients are summed over equal tokens
+        at = (around + np.arange(len(WINDOW)) * (TOKENS + 1)).ravel()
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        inner, at = np.add.reduceat(back[order // len(WINDOW)], begin, axis=0), at[begin]
+        embeddings, squares = self.inner.reshape(-1, UNITS), seen[0].reshape(-1, UNITS)
+        squares[at] += inner * inner
+        embeddings[at] -= RATE * inner / (np.sqrt(squares[at]) + 1e-6)
+        for part, grad, sum_ in zip((self.outer, self.bias), (h.T @ g, g.sum(axis=0)), seen[1:], strict=True):
             sum_ += grad * grad
             part -= RATE * grad / (np.sqrt(sum_) + 1e-6)
 
@@ -121,6 +126,12 @@ def _windows(tokens: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarra
     return out
 
 
+def _positions(first: np.ndarray, turn: int) -> np.ndarray:
+    """Positions trained on in a round: every EVERY-th of each row, from the turn-th on."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place % EVERY == turn % EVERY)
+
+
 def _count(batches):
     """Word hashes with their counts, summed over a task as far as 2 million of them go."""
     h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -163,7 +174,7 @@ def _trainer(shared, known: np.ndarray, turn: int):
         total = 0
         for batch in batches:
             for _, tokens, first in _token_slices(batch.column(0), known):
-                at = np.arange(turn % EVERY, len(tokens), EVERY)
+                at = _positions(first, turn)
                 around = _windows(tokens, first, at)
                 for a in range(0, len(at), STEP_ROWS):
                     net.train(around[a : a + STEP_ROWS], tokens[at[a : a + STEP_ROWS]], seen)
@@ -193,7 +204,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
     texts = docs.select("text")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net.data)
-        copies = texts.mapInArrow(W.released(_trainer(shared, known, 5 * r)), "n long, weights binary")
+        copies = texts.mapInArrow(W.released(_trainer(shared, known, r)), "n long, weights binary")
         for k in (MERGES, 1):  # a merge streams its copies and holds one sum
             copies = copies.repartition(k).mapInArrow(_average, "n long, weights binary")
         got = copies.collect()

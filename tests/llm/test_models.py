@@ -110,6 +110,35 @@ def test_training_beats_frequencies(spark, corpus):
     assert total(net) > 0.9 * total(P.Network.fresh(counts))
 
 
+def test_rounds_together_train_on_every_position_once():
+    net = P.Network.fresh(np.ones(P.TOKENS))
+    shared = type("Shared", (), {"value": net.data})
+    texts = ["a", "", None, "a b", "a b c d e", " ".join(["w"] * 33)]
+    batch = __import__("pyarrow").record_batch([__import__("pyarrow").array(texts, "string")], names=["text"])
+    known = np.array([], dtype=[("hash", np.uint64), ("token", np.int32)])
+    seen = [out.column("n")[0].as_py() for r in range(P.ROUNDS) for out in P._trainer(shared, known, r)([batch])]
+    assert sum(seen) == sum(len((t or "").split()) for t in texts)
+    first = np.array([0, 1, 1, 1, 3, 8, 41])
+    assert sorted(np.concatenate([P._positions(first, r) for r in range(P.ROUNDS)])) == list(range(41))
+
+
+def test_a_step_follows_the_gradient():
+    rng = np.random.default_rng(4)
+    net, want = P.Network.fresh(np.ones(P.TOKENS)), P.Network.fresh(np.ones(P.TOKENS))
+    around, token = rng.integers(0, P.TOKENS + 1, (50, len(P.WINDOW))), rng.integers(0, P.TOKENS, 50)
+    net.train(around, token, [np.full(s, 1e-3, np.float32) for _, s in P._SHAPES])
+    h = np.tanh(sum(want.inner[k][around[:, k]].astype(float) for k in range(len(P.WINDOW))))
+    z = np.exp(h @ want.outer.astype(float) + want.bias)
+    g = z / z.sum(axis=1, keepdims=True)
+    g[np.arange(50), token] -= 1
+    g /= 50
+    inner = np.zeros(want.inner.shape)
+    for k in range(len(P.WINDOW)):
+        np.add.at(inner[k], around[:, k], (g @ want.outer.T) * (1 - h * h))
+    for part, start, grad in ((net.inner, want.inner, inner), (net.outer, want.outer, h.T @ g), (net.bias, want.bias, g.sum(axis=0))):
+        assert np.allclose(part, start - P.RATE * grad / (np.sqrt(1e-3 + grad * grad) + 1e-6), atol=1e-5)
+
+
 def test_untrained_without_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     known, net = P.train(empty)
