@@ -229,6 +229,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _cut(data: bytes, starts: np.ndarray, ends: np.ndarray, ranges: list[tuple[int, int]]) -> bytes:
+    """data without the words in the merged ranges."""
+    kept, at = [], 0
+    for a, b in ranges:
+        kept.append(data[at : starts[a]])
+        at = int(ends[b - 1])
+    return b"".join([*kept, data[at:]])
+
+
 def _cleaned(data: bytes, machine: Automaton, coverage: float) -> bytes | None:
     """data without its hit words; None if more than that share of its words is hit."""
     words = hit = None
@@ -237,15 +246,27 @@ def _cleaned(data: bytes, machine: Automaton, coverage: float) -> bytes | None:
         starts, ends, _, rows = machine.batch(buf, off)
         if 0 not in rows:
             return data
+        ranges = _merged(rows[0][0])
         if words is None:
-            words, hit = len(starts), sum(b - a for a, b in _merged(rows[0][0]))
+            words, hit = len(starts), sum(b - a for a, b in ranges)
             if hit > coverage * words:
                 return None
-        kept, at = [], 0
-        for a, b in _merged(rows[0][0]):
-            kept.append(data[at : starts[a]])
-            at = int(ends[b - 1])
-        data = b"".join([*kept, data[at:]])
+        data = _cut(data, starts, ends, ranges)
+
+
+def _replaced(batch: pa.RecordBatch, column: int, changed: dict[int, bytes | None]) -> pa.RecordBatch:
+    """batch with other texts in the rows of changed, without the rows that are None there."""
+    if not changed:
+        return batch
+    texts = batch.column(column)
+    order = sorted(changed)
+    flag = np.zeros(len(texts), bool)
+    flag[order] = True
+    new = pa.array([None if changed[r] is None else changed[r].decode() for r in order], pa.string()).cast(texts.type)
+    texts = pc.replace_with_mask(texts, pa.array(flag), new)
+    gone = np.zeros(len(texts), bool)
+    gone[[r for r in order if changed[r] is None]] = True
+    return batch.set_column(column, batch.schema.field(column), texts).filter(pa.array(~gone))
 
 
 def _cleaner(shared, column: int, coverage: float):
@@ -259,36 +280,80 @@ def _cleaner(shared, column: int, coverage: float):
                 _, _, _, rows = machine.batch(own, off[a : b + 1] - off[a])
                 for r in rows:
                     changed[a + r] = _cleaned(buf[off[a + r] : off[a + r + 1]].tobytes(), machine, coverage)
-            if changed:
-                texts = batch.column(column)
-                order = sorted(changed)
-                flag = np.zeros(len(texts), bool)
-                flag[order] = True
-                new = pa.array([None if changed[r] is None else changed[r].decode() for r in order], pa.string()).cast(texts.type)
-                texts = pc.replace_with_mask(texts, pa.array(flag), new)
-                gone = np.zeros(len(texts), bool)
-                gone[[r for r in order if changed[r] is None]] = True
-                batch = batch.set_column(column, batch.schema.field(column), texts).filter(pa.array(~gone))
-            yield batch
+            yield _replaced(batch, column, changed)
 
     return run
 
 
+def _ranger(shared, column: int):
+    """Adds an automaton's hits to the merged ranges in the last column."""
+
+    def run(batches):
+        machine: Automaton = shared.value
+        for batch in batches:
+            buf, off = W.texts(batch.column(column))
+            last = batch.num_columns - 1
+            ranges = batch.column(last).to_pylist()
+            for a, b in W.slices(off):
+                *_, rows = machine.batch(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                for r, (found, _) in rows.items():
+                    ranges[a + r] = [{"a": x, "b": y} for x, y in _merged([*((q["a"], q["b"]) for q in ranges[a + r]), *found])]
+            yield batch.set_column(last, batch.schema.field(last), pa.array(ranges, batch.schema.field(last).type))
+
+    return run
+
+
+def _cutter(column: int, coverage: float):
+    """Cuts the ranges in the last column out; texts of which more than that share of words is hit go."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = W.texts(batch.column(column))
+            changed: dict[int, bytes | None] = {}
+            for r, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                ranges = [(q["a"], q["b"]) for q in found]
+                own = buf[off[r] : off[r + 1]]
+                starts, ends, _ = W.spans(own, np.array([0, len(own)]), W.ALNUM)
+                gone = sum(b - a for a, b in ranges) > coverage * len(starts)
+                changed[r] = None if gone else _cut(own.tobytes(), starts, ends, ranges)
+            yield _replaced(batch, column, changed)
+
+    return run
+
+
+def _by_blocks(docs: DataFrame, machines: list[Automaton], coverage: float) -> DataFrame:
+    """As one automaton of all blocks would clean: the hits of all blocks are gathered before a cut, until none hits."""
+    spark, column = docs.sparkSession, docs.columns.index("text")
+    mark = "ranges"
+    while mark in docs.columns:
+        mark += "_"
+    shared = [spark.sparkContext.broadcast(m) for m in machines]
+    out, rows = None, docs
+    while True:
+        rows = rows.withColumn(mark, F.array().cast(_FOUND))
+        for s in shared:
+            rows = stored(rows.mapInArrow(W.released(_ranger(s, column)), rows.schema), "matched")
+        done, hit = rows.where(F.size(mark) == 0).drop(mark), rows.where(F.size(mark) > 0)
+        out = done if out is None else out.unionAll(done)
+        if hit.isEmpty():
+            return out
+        rows = stored(hit.mapInArrow(W.released(_cutter(column, coverage)), rows.schema).drop(mark), "cut")
+        coverage = 1.0  # decided on the whole text
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8) -> DataFrame:
     """docs without the hit words of their texts, and without documents of which more than that share of words is hit.
 
     A cut joins what stands on its sides, punctuation and white space included;
-    it is repeated until no window occurs.  All columns pass, n_chars is brought
-    up to date where it exists.  Null and empty texts stay as they are.
+    it is repeated until no window occurs.  A benchmark of several blocks gives
+    what one automaton of all its items would.  All columns pass, n_chars is
+    brought up to date where it exists.  Null and empty texts stay as they are.
     """
-    spark = docs.sparkSession
-    out = docs
     machines = automata(benchmark, window)
-    for k, machine in enumerate(machines):
-        out = out.mapInArrow(W.released(_cleaner(spark.sparkContext.broadcast(machine), docs.columns.index("text"), coverage)), docs.schema)
-        if k + 1 < len(machines):
-            out = stored(out, "cleaned")
-    return with_chars(out)
+    if len(machines) > 1:
+        return with_chars(_by_blocks(docs, machines, coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(machines[0])
+    return with_chars(docs.mapInArrow(W.released(_cleaner(shared, docs.columns.index("text"), coverage)), docs.schema))
 
 
 def with_chars(docs: DataFrame) -> DataFrame:

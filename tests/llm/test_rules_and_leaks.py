@@ -113,6 +113,28 @@ def test_report_and_removal(spark, monkeypatch, most):
     assert left[63].text == "start  end"
 
 
+def test_blocks_clean_as_one_automaton(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{'abcd'[i]}{k}" for k in range(14))) for i in range(4)]
+    part = lambda i, a, b: " ".join(f"{'abcd'[i]}{k}" for k in range(a, b))
+    other = lambda n: " ".join(f"z{rng.randrange(99)}" for _ in range(n))
+    docs = [
+        (1, f"{part(0, 0, 14)} {part(1, 0, 10)} {other(4)}"),  # 24 of 28 hit, 14 by the first block
+        (2, f"{part(0, 0, 5)} {part(1, 0, 5)} {part(2, 0, 14)} {part(1, 5, 14)} {part(0, 5, 14)} {other(40)}"),  # windows of earlier blocks formed by later cuts
+        (3, f"{other(9)} {part(3, 2, 13)} {other(9)}"), (4, None), (5, ""), (6, other(30)), (6, other(30)),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ranges", F.lit("mine"))
+    b = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    key = lambda r: (r.doc_id, r.text or "")
+    clean = lambda: sorted(decontaminate.decontaminate(d, b, window=5, coverage=0.8).collect(), key=key)
+    one = clean()
+    assert len(decontaminate.automata(b, 5)) == 1
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 14)
+    assert len(decontaminate.automata(b, 5)) == 4
+    assert clean() == one
+    assert {r.doc_id for r in one} == {2, 3, 4, 5, 6} and all(leaks(r.text, items, 5)[1] == 0 for r in one)
+
+
 def test_no_items_and_no_documents(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(d, b).collect()[0].n_hit == 0 and decontaminate.report(d.limit(0), b).count() == 0
