@@ -1,5 +1,8 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest.
+"""Secret scans: candidates by shape or by name, false positives removed by a random forest.
 
+Words of SHORTEST characters or more are candidates by their shape; whatever is
+assigned to a secret word or follows one is a candidate of any length and of any
+characters up to the next white space.
 Candidates, features and votes are expressions inside the document's row: no
 shuffle, no Python, whatever the number of findings.  The forest is trained by
 MLlib on labelled findings (by default a bounded set that generated() makes by
@@ -9,6 +12,7 @@ rule), then read out as plain arrays, so that scoring needs no model object.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +24,7 @@ from framewright.llm.store import stored
 
 #: Labelled findings the forest is trained on, trees and their depth.
 FINDINGS, TREES, DEPTH = 8_000, 15, 7
-#: Shortest candidate, and the share of votes from which it is a secret.
+#: Shortest candidate by shape, and the share of votes from which it is a secret.
 SHORTEST, THRESHOLD = 14, 0.5
 MASK = "[SECRET]"
 
@@ -40,10 +44,20 @@ DICTIONARY = (
     "work world write your"
 ).split()
 
+#: Dictionary words that don't name secrets.
+PLAIN = [w for w in DICTIONARY if not re.search(SECRET_WORDS, w)]
+
+#: A name of a secret in a word, with what may stand between it and a sign; a sign; a name at the end of a word; a word that only links.
+_NAME = f"(?i)(?:{SECRET_WORDS})[\\w.-]*[\"'`)\\]]*"
+_SIGN = "(?:[=:]+>?|->)"
+_ASSIGNED = f"{_NAME}{_SIGN}(?=(.+))"
+_NAMED = f"{_NAME}{_SIGN}?[\"'`]?$"
+_LINK = f"(?i)^(?:{_SIGN}|is|are|was)[\"'`]?$"
 _CANDIDATE = r"[A-Za-z0-9_+/~-](?:[A-Za-z0-9_+/~.-]*[A-Za-z0-9_+/~-])?={0,2}"
 FEATURES = (
     "length", "transitions", "digits", "upper", "hexadecimal", "distinct", "alternation", "dictionary", "path", "address",
     "secret_word", "harmless_word", "assigned", "quoted", "issued", "empty_value", "uuid", "test_path",
+    "named", "signs",
 )
 
 
@@ -55,7 +69,7 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
 
 
-def _features(value: Column, before: Column, near: Column, after: Column, place: Column) -> Column:
+def _features(value: Column, before: Column, near: Column, after: Column, place: Column, named: Column) -> Column:
     """The features of a candidate, from itself, what its word has before it, the words around it and the path."""
     n = F.length(value)
     share = lambda chars: (n - F.length(F.regexp_replace(value, chars, ""))) / n
@@ -82,24 +96,51 @@ def _features(value: Column, before: Column, near: Column, after: Column, place:
         _flag(F.lower(value).rlike(EMPTY_VALUES)),
         _flag(value.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         _flag(F.lower(place).rlike("test|spec|mock|fixture|example|docs?/")),
+        _flag(named),
+        share("[^A-Za-z0-9]"),
     )
 
 
+def _value(rest: Column) -> Column:
+    """What a text after a secret's name or sign gives as its value: what is quoted, or all without closing signs."""
+    quoted = F.regexp_extract(rest, "^[=:>(\\[{]*([\"'`])(.+?)(?:\\1.*)?$", 2)
+    return F.when(quoted != "", quoted).otherwise(F.regexp_replace(F.regexp_replace(rest, "^[=:>(\\[{\"'`]+", ""), "[,;.)\\]}>\"'`]+$", ""))
+
+
 def _candidates(text: Column, place: Column) -> Column:
     """Array of (value, word_no, features) of the candidates of a text, in order."""
     words = F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+")
+    names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}")
+    word_of = lambda all_words, i, k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
+
+    def follows(i: Column, all_words: Column) -> Column:
+        last, second = word_of(all_words, i, -1), word_of(all_words, i, -2)
+        return last.rlike(_NAMED) | (last.rlike(_LINK) & second.rlike(_NAMED))
+
+    def of_word(w: Column, i: Column, next_one: Column, all_words: Column) -> Column:
+        near = F.concat_ws(" ", word_of(all_words, i, -3), word_of(all_words, i, -2), word_of(all_words, i, -1))
+        at = lambda v, rest: F.length(w) - F.length(rest) + F.position(v, rest) - 1
+        rests = F.concat(F.regexp_extract_all(w, F.lit(_ASSIGNED)), F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(F.array().cast("array<string>")))
+        named = F.filter(F.transform(rests, lambda r: _let(_value(r), lambda v: F.struct(at(v, r).alias("at"), v.alias("value"), F.lit(True).alias("named")))), lambda c: c["value"] != "")
+        shaped = F.filter(F.regexp_extract_all(w, F.lit(f"({_CANDIDATE})")), lambda v: (F.length(v) >= SHORTEST) & v.rlike("[0-9]|.[A-Z]"))
+
+        def both(by_name: Column) -> Column:
+            others = F.filter(F.array_distinct(shaped), lambda v: ~F.exists(by_name, lambda c: c["value"] == v))
+            return F.array_sort(F.array_distinct(F.concat(by_name, F.transform(others, lambda v: F.struct((F.position(v, w) - 1).alias("at"), v.alias("value"), F.lit(False).alias("named"))))))
+
+        whole = lambda c: F.struct(c["value"].alias("value"), i.alias("word_no"), _features(c["value"], F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), place, c["named"]).alias("x"))
+        return F.transform(_let(named, both), whole)
 
-    def of_word(w: Column, i: Column, all_words: Column) -> Column:
-        values = F.array_distinct(F.filter(F.regexp_extract_all(w, F.lit(f"({_CANDIDATE})")), lambda v: (F.length(v) >= SHORTEST) & v.rlike("[0-9]|.[A-Z]")))
-        word = lambda k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
-        near = F.concat_ws(" ", word(-3), word(-2), word(-1))
-        return F.transform(values, lambda v: F.struct(v.alias("value"), i.alias("word_no"), _features(v, F.substr(w, F.lit(1), F.position(v, w) - 1), near, word(1), place).alias("x")))
+    def found(all_words: Column, names: Column) -> Column:
+        def taken(w: Column, i: Column) -> Column:
+            next_one = names & follows(i, all_words)
+            named = names & (follows(i, all_words) | w.rlike(_ASSIGNED))
+            return F.when((F.length(w) >= SHORTEST) | named, F.struct(w.alias("w"), i.alias("i"), next_one.alias("next_one")))
 
-    def found(all_words: Column) -> Column:
-        long_words = F.filter(F.transform(all_words, lambda w, i: F.when(F.length(w) >= SHORTEST, F.struct(w.alias("w"), i.alias("i")))), lambda e: e.isNotNull())
-        return F.flatten(F.transform(long_words, lambda e: of_word(e["w"], e["i"], all_words)))
+        return F.flatten(F.transform(F.filter(F.transform(all_words, taken), lambda e: e.isNotNull()), lambda e: of_word(e["w"], e["i"], e["next_one"], all_words)))
 
-    return _let(words, found)
+    # bound once: within the words it would be taken again for each
+    return _let(F.struct(words.alias("words"), names.alias("names")), lambda t: _let(t["words"], lambda all_words: found(all_words, t["names"])))
 
 
 def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
@@ -132,16 +173,28 @@ def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     spoken = F.concat(*[syllable(k) for k in range(40, 45)], F.when(n(45, 0, 1) == 1, F.concat(syllable(46), syllable(47))).otherwise(""))
     shouted = F.concat(F.upper(F.concat(spoken, syllable(48))), pick(49, "!!", "", "!", ".", "***"))
     joined = F.concat(F.initcap(spoken), pick(50, "-", "/", "_", "."), F.initcap(F.concat(syllable(51), syllable(52), syllable(53))))
-    positive = [F.concat(name, sign, quote, random, quote), F.concat(name, sign, quote, random, quote), issued, other, F.concat(F.lit("password="), cut(hex40, 9, 16, 24)), F.concat(F.lit('token = "'), hex40, F.lit('"'))]
+    title = pick(60, "password", "token", "secret", "passphrase", "credential", "passwd", "pwd")
+    mixed = cut(F.substring(letters, 20, 44), 61, 6, 13)
+    signs = lambda k: pick(k, "!", "@", "#", "$", "%", "&", "*", "?", "^", "+")
+    signed = F.concat(cut(F.substring(letters, 5, 9), 62, 2, 5), signs(63), cut(F.substring(hex32, 7, 9), 64, 2, 5), signs(65), pick(66, "", F.substring(number, 3, 2), F.substring(letters, 14, 5)))
+    phrase = F.concat(syllable(68), syllable(69), syllable(70), pick(67, "", "", "-", "_"), syllable(71), syllable(72), syllable(73), pick(74, "", "", F.substring(number, 1, 2)))
+    short = F.concat(pick(75, name, title), pick(76, "=", ": ", ":", " = "), quote, pick(77, mixed, signed, phrase, mixed, signed, cut(hex32, 78, 8, 13), F.substring(letters, 9, 4)), quote)
+    told = F.concat_ws(" ", F.concat(title, pick(79, "", " is", "", ":")), F.concat(pick(80, mixed, signed, signed), pick(81, "", ".", "")))
+    # what follows a secret word in prose, or is said of it, and values that are none
+    said = F.concat_ws(" ", F.concat(title, pick(82, "", "", "s", " is")), pick(83, "of", "in", "the", "for", "and", "to", "was", F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.concat(syllable(85), syllable(86)), F.concat(syllable(85), syllable(86), syllable(87), syllable(88))))
+    vain = F.concat(pick(75, name, title), pick(76, "=", ": ", ":", " = "), quote, pick(89, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.concat(syllable(85), syllable(86)), "the"), quote)
+    positive = [short, short, told, F.concat(name, sign, quote, random, quote), F.concat(name, sign, quote, random, quote), issued, other, F.concat(F.lit("password="), cut(hex40, 9, 16, 24)), F.concat(F.lit('token = "'), hex40, F.lit('"'))]
     negative = [
         F.concat_ws(" ", harmless, pick(23, hex40, hex32, hex64)), uuid, F.concat_ws(" ", pick(24, "uuid", "order", "session", "id"), uuid), mail, site, route, camel, snake, number,
         F.concat_ws(" ", pick(25, "card", "invoice", "phone", "serial"), number), hollow, pick(23, hex40, hex32, hex64), F.concat(entry(15), F.lit("."), F.substring(hex32, 1, 8), F.lit(".chunk.js")),
         F.concat_ws("-", entry(15), entry(16), n(19, 100, 999).cast("string"), n(21, 1, 99).cast("string")),
-        shouted, shouted, joined,
+        shouted, shouted, joined, said, said, said, vain, vain, vain,
     ]
     made = spark.range(0, rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
     finding = F.when(F.col("label") == 1, pick(26, *positive)).otherwise(pick(27, *negative))
-    prose = lambda k: F.concat_ws(" ", entry(k), entry(k + 1), entry(k + 2))
+    # no secret words in the prose: what follows them would be labelled too
+    plain = lambda k: F.element_at(F.lit(PLAIN), (F.pmod(F.xxhash64(seeded(k)), F.lit(len(PLAIN))) + 1).cast("int"))
+    prose = lambda k: F.concat_ws(" ", plain(k), plain(k + 1), plain(k + 2))
     path = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64(seeded(28)), F.lit(10)) == 0), "tests/fixtures/a.txt").otherwise(pick(29, "src0", "src1", "web", "forum"))
     return made.select(F.concat_ws(" ", prose(30), finding, prose(33)).alias("text"), path.alias("path"), "label")
 
@@ -220,12 +273,14 @@ def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with every occurrence of a secret in its text replaced by [SECRET]; all rows and columns stay, n_chars is brought up to date."""
+    """docs with every occurrence of a secret in its text replaced by [SECRET], of one under SHORTEST where no letter or digit adjoins; all rows and columns stay, n_chars is brought up to date."""
 
     def masked(candidates: Column) -> Column:
         secrets = F.array_distinct(F.transform(F.filter(candidates, lambda c: F.round(c["score"], 6) >= THRESHOLD), lambda c: c["value"]))
         # longer secrets first: a shorter one may be part of them
         longest = F.reverse(F.sort_array(F.transform(secrets, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-        return F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
+        # a secret under SHORTEST may be part of any word, and is replaced where it stands alone
+        alone = lambda v: F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+        return F.aggregate(longest, F.col("text"), lambda t, s: F.when(s["n"] < SHORTEST, F.regexp_replace(t, alone(s["v"]), F.lit(MASK))).otherwise(F.replace(t, s["v"], F.lit(MASK))))
 
     return with_chars(docs.withColumn("text", F.when(F.col("text").isNotNull(), _let(found(docs, forest), masked))))

@@ -33,6 +33,21 @@ def test_scan_and_redaction(spark):
     assert secrets.findings(df.limit(0)).count() == 0
 
 
+def test_short_and_signed_values_of_secret_words(spark):
+    values = {1: ("password=Xk29fa7Q", "Xk29fa7Q"), 2: ('the token: "q7!Zp@4#x" of it', "q7!Zp@4#x"), 3: ("passphrase = tigerlanternmoss now", "tigerlanternmoss"), 4: ("user=a&pwd=9fK!x", "9fK!x"), 5: ('{"secret":"aB3$dE6^"}', "aB3$dE6^"), 6: ("my password is hY7#kk2P.", "hY7#kk2P")}
+    prose = {11: "the password is of the one", 12: "a secret in here", 13: "token: string or password=null", 14: "the password was in the table and the secret of it", 15: "password = changeme"}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in values.items()] + list(prose.items()) + [(20, "password=Xk29fa7Q\nXk29fa7Q2 xXk29fa7Q Xk29fa7Q!")], "doc_id long, text string")
+    import hashlib
+
+    got = [(r.doc_id, r.value_sha256) for r in secrets.findings(df).collect()]
+    assert all((i, hashlib.sha256(v.encode()).hexdigest()) in got for i, (_, v) in values.items())
+    assert {12, 13, 15} <= {i for i, _ in got}
+    left = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert {i: left[i] for i in values} == {i: t.replace(v, "[SECRET]") for i, (t, v) in values.items()}
+    assert {i: left[i] for i in prose} == prose
+    assert left[20] == "password=[SECRET]\nXk29fa7Q2 xXk29fa7Q [SECRET]!"
+
+
 def test_equal_findings_give_an_equal_forest(spark):
     made = secrets.generated(spark, 600)
     a, b = secrets.train(made), secrets.train(made)
