@@ -115,7 +115,7 @@ def _dictionary(spark, d):
 
 
 def x13(spark, d):
-    words = vocab.token_rows(_docs(spark, d).where("doc_id < 60 and lang = 'en'"), "doc_id", "text").select("token")
+    words = vocab.token_rows(_docs(spark, d), "doc_id", "text").select("token")
     return vocab.resolved(words, _dictionary(spark, d), vocab.domain_vocabulary(_docs(spark, d), "source", "text", 19))
 
 

@@ -311,3 +311,10 @@ def test_facade(spark):
         system.semantic("x", model="none")
     with pytest.raises(RuntimeError):
         SearchSystem(spark, frames, {})
+
+
+def test_token_resolver_takes_all_documents(spark, sf):
+    from framewright.registry import language
+
+    got = [r.token for r in language.x13(spark, sf).select("token").collect()]
+    assert sorted(got) == sorted(r.token for r in language._tokens(spark, sf).collect())
