@@ -1,53 +1,100 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network in numpy.
 
 Every token is predicted from the two tokens on either side; a document's score
-is the sum of the log-probabilities of its tokens.  Word counts of the whole
-corpus give the vocabulary.  Each task trains a copy of the network on its own
-documents, and the copies are averaged by numbers of positions, level by level.
-A round takes every EVERY-th position of each text, from another one on each
-time, so that the rounds together meet each position of the corpus once; what
-training gathers grows with the corpus, and no task sees more than its share.
+is the sum of the log-probabilities of its words.
+
+1. Word counts of the whole corpus give the vocabulary: the commonest words are
+   tokens of their own, all others share BUCKETS tokens by their hash.
+2. The texts, as token numbers of two bytes, are dealt by a hash of the row into
+   shards of about SHARD_TOKENS.  In each round every shard trains a copy of the
+   network on its positions in a fixed order (the rounds together take each
+   position once), and the copies are averaged in order of shards: the network
+   depends on the rows alone, not on how they are split, and a larger corpus has
+   more shards of the same size.
+3. The softmax is in two levels, a group of tokens and the token in its group.
+   Words of a bucket share the bucket's probability by their corpus counts.
+4. What a rare word has on its two sides is remembered over the whole corpus: the
+   network's share of the word is mixed with how often other documents have the
+   word between the same neighbours.  A document never counts for itself.
+
+What is gathered (counts, shards, remembered windows) grows with the corpus; what
+is broadcast (the network, NAMED words, 2^18 cells of counts) does not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import words as W
 from framewright.llm.store import small_batches, stored
 
-#: Words of the vocabulary by corpus count, hash buckets for all other words, units, rounds of training, positions per one trained on in a round: as many as rounds.
-WORDS, BUCKETS, UNITS, ROUNDS, EVERY = 320, 64, 16, 2, 2
-#: Offsets of the window, positions of a training step, its size, positions scored at once.
-WINDOW, STEP_ROWS, RATE, CHUNK = (-2, -1, 1, 2), 512, 0.15, 1024
-TOKENS = WORDS + BUCKETS
-#: Averages of networks that are taken side by side before the last one.
-MERGES = 16
+#: Groups of the softmax and tokens in each; tokens that stand for all other words; units; rounds of training.
+GROUPS, MEMBERS, BUCKETS, UNITS, ROUNDS = 32, 128, 64, 16, 2
+TOKENS = GROUPS * MEMBERS
+WORDS = TOKENS - BUCKETS
+#: Words whose counts are broadcast at most; the count up to which a word is rare; bits of the cells that count the others.
+NAMED, RARE, CELL_BITS = 65_536, 128, 18
+#: Offsets of the window, positions of a training step, its size, positions scored at once, tokens of a shard about.
+WINDOW, STEP_ROWS, RATE, CHUNK, SHARD_TOKENS = (-2, -1, 1, 2), 4096, 0.3, 16_384, 2_000_000
+#: Copies of the network that are summed in one place.
+MERGE = 64
+#: Weight of the network's share of a rare word against remembered windows.
+PRIOR = 2.0
+#: The token that stands beyond the edges of a text.
+EDGE = TOKENS
 
-_SHAPES = (("inner", (len(WINDOW), TOKENS + 1, UNITS)), ("outer", (UNITS, TOKENS)), ("bias", (TOKENS,)))
+_SHAPES = (("inner", (len(WINDOW), TOKENS + 1, UNITS)), ("top", (UNITS, GROUPS)), ("top_bias", (GROUPS,)), ("outer", (GROUPS, UNITS, MEMBERS)), ("bias", (GROUPS, MEMBERS)))
+_SIZE = sum(math.prod(s) for _, s in _SHAPES)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    at = z[np.arange(len(z)), own]
+    return at - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _by_group(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places of its tokens."""
+    group = token // MEMBERS
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if cuts[g] < cuts[g + 1]:
+            yield g, order[cuts[g] : cuts[g + 1]]
 
 
 class Network:
-    """Window embeddings summed, tanh, and a softmax over the tokens; token TOKENS stands beyond the edges."""
+    """Window embeddings summed, tanh, a softmax over groups and one over the tokens of the group."""
 
     def __init__(self, data: np.ndarray):
         self.data, at = data, 0
         for name, shape in _SHAPES:
-            size = int(np.prod(shape))
+            size = math.prod(shape)
             setattr(self, name, data[at : at + size].reshape(shape))
             at += size
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Network:
         """A network that starts from the tokens' frequencies."""
-        rng = np.random.default_rng(5)
-        net = cls(rng.normal(0, 0.1, sum(int(np.prod(s)) for _, s in _SHAPES)).astype(np.float32))
-        net.bias[:] = np.log((counts + 1) / (counts + 1).sum())
+        net = cls(np.random.default_rng(5).normal(0, 0.1, _SIZE).astype(np.float32))
+        mass = (counts + 1.0).reshape(GROUPS, MEMBERS)
+        net.top_bias[:] = np.log(mass.sum(1) / mass.sum())
+        net.bias[:] = np.log(mass / mass.sum(1, keepdims=True))
         return net
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
@@ -56,80 +103,103 @@ class Network:
             h += self.inner[k][around[:, k]]
         return np.tanh(h, out=h)
 
-    def safe(self) -> bool:
-        """Whether no exponent can overflow."""
-        return float(np.abs(self.outer).sum(axis=0).max() + np.abs(self.bias).max()) < 80
-
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Only the sum over all tokens and the token's own exponent are needed; units lie within 1, which bounds the exponents."""
-        out, ones, safe = np.empty(len(token)), np.ones(TOKENS, np.float32), self.safe()
+        out = np.empty(len(token))
         for a in range(0, len(token), CHUNK):
-            z = self.hidden(around[a : a + CHUNK]) @ self.outer
-            z += self.bias
-            if not safe:
-                z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), token[a : a + CHUNK]]
-            np.exp(z, out=z)
-            out[a : a + CHUNK] = own - np.log(z @ ones)
+            own = token[a : a + CHUNK]
+            h = self.hidden(around[a : a + CHUNK])
+            part = _log_softmax_at(h @ self.top + self.top_bias, own // MEMBERS).astype(np.float64)
+            for g, at in _by_group(own):
+                part[at] += _log_softmax_at(h[at] @ self.outer[g] + self.bias[g], own[at] % MEMBERS)
+            out[a : a + CHUNK] = part
         return out
 
-    def train(self, around: np.ndarray, token: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One step of adaptive gradient descent; seen holds the sums of squares of the three parts."""
+    def train(self, around: np.ndarray, token: np.ndarray, seen: Network) -> None:
+        """One step of adaptive gradient descent; seen holds the sums of squares, in the same shape."""
         n = len(token)
         h = self.hidden(around)
-        g = h @ self.outer
-        g += self.bias
-        if not self.safe():
-            g -= g.max(axis=1, keepdims=True)
-        np.exp(g, out=g)
-        g *= (1 / (n * (g @ np.ones(TOKENS, np.float32))))[:, None]
-        g[np.arange(n), token] -= np.float32(1 / n)
-        back = (g @ self.outer.T) * (1 - h * h)
+        g1 = _softmax(h @ self.top + self.top_bias)
+        g1[np.arange(n), token // MEMBERS] -= 1
+        g1 /= n
+        back = g1 @ self.top.T
+        changes = []
+        for g, at in _by_group(token):
+            own = h[at]
+            g2 = _softmax(own @ self.outer[g] + self.bias[g])
+            g2[np.arange(len(at)), token[at] % MEMBERS] -= 1
+            g2 /= n
+            back[at] += g2 @ self.outer[g].T
+            changes += [(self.outer[g], own.T @ g2, seen.outer[g]), (self.bias[g], g2.sum(axis=0), seen.bias[g])]
+        back *= 1 - h * h
+        for part, grad, sum_ in [(self.top, h.T @ g1, seen.top), (self.top_bias, g1.sum(axis=0), seen.top_bias), *changes]:
+            sum_ += grad * grad
+            part -= RATE * grad / (np.sqrt(sum_) + 1e-6)
         # of the embeddings only those in the windows change: their gradients are summed over equal tokens
         at = (around + np.arange(len(WINDOW)) * (TOKENS + 1)).ravel()
         order = np.argsort(at, kind="stable")
         at = at[order]
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         inner, at = np.add.reduceat(back[order // len(WINDOW)], begin, axis=0), at[begin]
-        embeddings, squares = self.inner.reshape(-1, UNITS), seen[0].reshape(-1, UNITS)
+        embeddings, squares = self.inner.reshape(-1, UNITS), seen.inner.reshape(-1, UNITS)
         squares[at] += inner * inner
         embeddings[at] -= RATE * inner / (np.sqrt(squares[at]) + 1e-6)
-        for part, grad, sum_ in zip((self.outer, self.bias), (h.T @ g, g.sum(axis=0)), seen[1:], strict=True):
-            sum_ += grad * grad
-            part -= RATE * grad / (np.sqrt(sum_) + 1e-6)
 
 
-def _token_slices(column, vocabulary: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, tokens and the rows' offsets in them, slice by slice; vocabulary: hashes in order of size, with their token."""
-    hashes, tokens = vocabulary["hash"], vocabulary["token"]
+@dataclass
+class Model:
+    """The words whose counts are known, in order of their hashes, the cells that count all others, and the network.
+
+    share: log of a word's part of its bucket, 0 for words that are tokens;
+    cell_share: the same for a word of each cell; rare_share: log of the part of
+    a bucket that is rare words.
+    """
+
+    hashes: np.ndarray
+    token: np.ndarray
+    share: np.ndarray
+    rare: np.ndarray
+    cell_share: np.ndarray
+    rare_share: np.ndarray
+    counts: np.ndarray
+    weights: np.ndarray
+
+    def tokens(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token, log share and rarity of each word hash."""
+        token = (WORDS + (h % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
+        share, rare = self.cell_share[_cell(h)].astype(np.float64), np.ones(len(h), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            at = at[known]
+            token[known], share[known], rare[known] = self.token[at], self.share[at], self.rare[at]
+        return token, share, rare
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    """The high bits of a hash, then its bucket: a cell lies in one bucket."""
+    return (h >> np.uint64(64 - CELL_BITS + 6)).astype(np.int64) << 6 | (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _word_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, word hashes and the rows' offsets in them, slice by slice."""
     buf, off = W.texts(column)
     for a, b in W.slices(off):
         own = buf[off[a] : off[b]]
         starts, ends, first = W.spans(own, off[a : b + 1] - off[a], W.SPACED)
-        h = W.hashes(own, starts, ends)
-        out = (WORDS + (h % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            known = hashes[at] == h
-            out[known] = tokens[at[known]]
-        yield a, out, first
+        yield a, W.hashes(own, starts, ends), first
 
 
-def _windows(tokens: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The window tokens of positions at; beyond the edges of their rows: TOKENS."""
-    row = np.searchsorted(first, at, "right") - 1
-    out = np.empty((len(at), len(WINDOW)), np.int32)
-    for k, d in enumerate(WINDOW):
-        j = at + d
-        inside = (j >= first[row]) & (j < first[row + 1])
-        out[:, k] = np.where(inside, tokens[np.clip(j, 0, max(len(tokens) - 1, 0))] if len(tokens) else 0, TOKENS)
-    return out
+def _stream(values: np.ndarray, first: np.ndarray, edge) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' values with two edges before and after each row, and where the values stand."""
+    rows = len(first) - 1
+    at = np.arange(len(values)) + 2 * np.repeat(np.arange(1, rows + 1), np.diff(first))
+    out = np.full(len(values) + 2 * rows + 2, edge, values.dtype)
+    out[at] = values
+    return out, at
 
 
-def _positions(first: np.ndarray, turn: int) -> np.ndarray:
-    """Positions trained on in a round: every EVERY-th of each row, from the turn-th on."""
-    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
-    return np.flatnonzero(place % EVERY == turn % EVERY)
+def _windows(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([stream[at + d] for d in WINDOW], axis=1)
 
 
 def _count(batches):
@@ -140,11 +210,8 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     for batch in batches:
-        buf, off = W.texts(batch.column(0))
-        for a, b in W.slices(off):
-            own = buf[off[a] : off[b]]
-            starts, ends, _ = W.spans(own, off[a : b + 1] - off[a], W.SPACED)
-            new, count = np.unique(W.hashes(own, starts, ends), return_counts=True)
+        for _, own, _ in _word_slices(batch.column(0)):
+            new, count = np.unique(own, return_counts=True)
             h, inverse = np.unique(np.concatenate([h, new]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([n, count]), len(h)).astype(np.int64)
             if len(h) > 2_000_000:
@@ -153,91 +220,238 @@ def _count(batches):
     yield out()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and tokens of the commonest words of all texts, ties by hash, and the counts of all tokens."""
+def vocabulary(docs: DataFrame) -> Model:
+    """The words of all texts with an untrained network.
+
+    As many words as NAMED allows have counts of their own, in order of counts;
+    words of one count (to three digits) have them together or not at all.
+    """
     counts = stored(docs.select("text").mapInArrow(W.released(_count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
-    top = counts.orderBy(F.desc("n"), "hash").limit(WORDS).collect()
-    known = np.array(sorted((np.int64(r["hash"]).view(np.uint64), k) for k, r in enumerate(top)), dtype=[("hash", np.uint64), ("token", np.int32)])
-    totals = np.zeros(TOKENS)
-    totals[: len(top)] = [r["n"] for r in top]
-    chosen = F.col("hash").isin([r["hash"] for r in top]) if top else F.lit(False)
-    # the unsigned remainder of a signed number by a power of two
-    for r in counts.where(~chosen).groupBy(F.col("hash").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        totals[WORDS + r["bucket"]] = r["n"]
-    return known, totals
-
-
-def _trainer(shared, known: np.ndarray, turn: int):
+    step = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10("n")) - 2))
+    sizes = counts.groupBy((F.floor(F.col("n") / step) * step).cast("long").alias("least")).agg(F.count("*").alias("words"))
+    least, words = 1 << 62, 0
+    for r in sizes.orderBy(F.desc("least")).collect():  # about 900 counts for each power of ten
+        words += r["words"]
+        if words > NAMED:
+            break
+        least = r["least"]
+    named = counts.where(F.col("n") >= least).toArrow()
+    h, n = named.column("hash").to_numpy().view(np.uint64), named.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    h, n = h[order], n[order]
+    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+    token = np.where(np.arange(len(h)) < WORDS, np.arange(len(h)), WORDS + bucket).astype(np.int32)
+    others = counts.where(F.col("n") < least)
+    cell = F.shiftleft(F.shiftrightunsigned("hash", 64 - CELL_BITS + 6), 6).bitwiseOR(F.col("hash").bitwiseAND(F.lit(BUCKETS - 1)))
+    cells = others.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    at, in_cell, different = (cells.column(c).to_numpy() for c in ("cell", "n", "words"))
+    rest = np.bincount(at % BUCKETS, in_cell, BUCKETS)
+    totals = np.bincount(token, n, TOKENS)
+    totals[WORDS:] += rest
+    low = (n <= RARE) & (token >= WORDS)
+    rare = rest + np.bincount(bucket[low], n[low], BUCKETS)
+    every = np.maximum(totals[WORDS:], 1)
+    cell_share = -np.log(np.tile(every, 1 << CELL_BITS - 6) + 1)
+    cell_share[at] = np.log(in_cell / different / every[at % BUCKETS])
+    share = np.where(token < WORDS, 0, np.log(n / every[bucket]))
+    by_hash = np.argsort(h)
+    return Model(
+        h[by_hash], token[by_hash], share[by_hash].astype(np.float32), low[by_hash], cell_share.astype(np.float32), np.log(np.maximum(rare, 1) / every), totals, Network.fresh(totals).data
+    )
+
+
+def _encoder(shared):
+    def run(batches):
+        model: Model = shared.value
+        for batch in batches:
+            for a, h, first in _word_slices(batch.column(1)):
+                rows = len(first) - 1
+                stream, _ = _stream(model.tokens(h)[0].astype(np.uint16), first, EDGE)
+                cut = first + 2 * np.arange(rows + 1) + 2
+                keep = np.flatnonzero(np.diff(first))
+                blobs = [stream[cut[r] - 2 : cut[r + 1] - 2].tobytes() for r in keep]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows).take(pa.array(keep)), pa.array(blobs, pa.binary())], names=["key", "tokens"])
+
+    return run
+
+
+class Learner:
+    """Trains a copy of the network on a stream of texts, STEP_ROWS positions at a time, wherever the texts end.
+
+    A round takes every ROUNDS-th place of the stream, from the turn-th on, so
+    that all rounds together take each position once.
+    """
+
+    def __init__(self, weights: np.ndarray, turn: int):
+        self.net, self.seen, self.turn = Network(weights.copy()), Network(np.full(_SIZE, 1e-3, np.float32)), turn
+        # what is left of the stream, how much of it was left behind, the next place in it, positions taken
+        self.stream, self.behind, self.at, self.total = np.zeros(0, np.int32), 0, 0, 0
+
+    def add(self, texts: list[np.ndarray], last: bool = False) -> None:
+        """Texts with two edges before each; with last, what is left is taken as well."""
+        edges = [np.full(2, EDGE, np.int32)] if last else []
+        self.stream = np.concatenate([self.stream, *texts, *edges])
+        at = np.flatnonzero(self.stream[: max(len(self.stream) - 2, 0)] != EDGE)
+        at = at[(at >= max(self.at, 2)) & ((at + self.behind) % ROUNDS == self.turn)]
+        end = len(at) if last else len(at) // STEP_ROWS * STEP_ROWS
+        for a in range(0, end, STEP_ROWS):
+            p = at[a : min(a + STEP_ROWS, end)]
+            self.net.train(_windows(self.stream, p), self.stream[p], self.seen)
+        self.total += end
+        if end:
+            self.at = int(at[end - 1]) + 1
+        begin = max(self.at - 2, 0)
+        self.stream, self.behind, self.at = self.stream[begin:], self.behind + begin, self.at - begin
+
+
+def _trainer(shared, turn: int):
     def run(batches):
-        net = Network(shared.value.copy())
-        seen = [np.full(s, 1e-3, np.float32) for _, s in _SHAPES]
-        total = 0
+        learner, at = None, None
+
+        def done():
+            learner.add([], last=True)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([learner.total]), pa.array([learner.net.data.tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
         for batch in batches:
-            for _, tokens, first in _token_slices(batch.column(0), known):
-                at = _positions(first, turn)
-                around = _windows(tokens, first, at)
-                for a in range(0, len(at), STEP_ROWS):
-                    net.train(around[a : a + STEP_ROWS], tokens[at[a : a + STEP_ROWS]], seen)
-                total += len(at)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([net.data.tobytes()], pa.binary())], names=["n", "weights"])
+            shards = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+                if shards[a] != at:
+                    if learner:
+                        yield done()
+                    learner, at = Learner(shared.value, turn), int(shards[a])
+                learner.add([np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32) for x in batch.column("tokens").slice(a, b - a)])
+        if learner:
+            yield done()
 
     return run
 
 
-def _average(batches):
-    total, data = 0, None
-    for batch in batches:
-        for n, blob in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.float32).astype(np.float64) * n
-            total, data = total + n, x if data is None else data + x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(data / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
+def _sum(batches):
+    """Weighted sums of the copies of each group, which come in order of group and shard."""
+    at, total, data = None, 0, None
+    kind = ["shard", "n", "weights"]
 
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total]), pa.array([(data / total).astype(np.float32).tobytes()], pa.binary())], names=kind)
 
-def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
-    """The vocabulary and the network learnt from all texts; without words the network is untrained."""
+    for batch in batches:
+        for group, n, blob in zip(batch.column("group").to_pylist(), batch.column("n").to_pylist(), batch.column("weights"), strict=True):
+            x = np.frombuffer(blob.as_buffer(), np.float32).astype(np.float64) * n
+            if group != at:
+                if data is not None:
+                    yield out()
+                at, total, data = group, n, x
+            else:
+                total, data = total + n, data + x
+    if data is not None:
+        yield out()
+
+
+def _averaged(copies: DataFrame, shards: int) -> np.ndarray | None:
+    """The average of all copies, MERGE at a time in order of shards, level by level; equal copies give equal averages."""
+    while True:
+        shards = -(-shards // MERGE)
+        groups = copies.withColumn("group", F.floor(F.col("shard") / MERGE)).repartition(shards, "group").sortWithinPartitions("group", "shard")
+        copies = groups.mapInArrow(_sum, "shard long, n long, weights binary")
+        if shards == 1:
+            got = copies.collect()
+            return np.frombuffer(got[0]["weights"], np.float32).copy() if got else None
+        copies = stored(copies, "copies")
+
+
+def train(docs: DataFrame) -> Model:
+    """The vocabulary and the network learnt from all positions of all texts ``(doc_id, text)``.
+
+    Null, empty and blank texts and tables without words teach nothing; a null
+    doc_id is a row like others; the order and the split of the rows don't count;
+    rows that are equal in both columns may stand for one another; other columns
+    are ignored.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    known, counts = vocabulary(docs)
-    net = Network.fresh(counts)
-    texts = docs.select("text")
-    for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(net.data)
-        copies = texts.mapInArrow(W.released(_trainer(shared, known, r)), "n long, weights binary")
-        for k in (MERGES, 1):  # a merge streams its copies and holds one sum
-            copies = copies.repartition(k).mapInArrow(_average, "n long, weights binary")
-        got = copies.collect()
-        if got:
-            net = Network(np.frombuffer(got[0]["weights"], np.float32).copy())
-    return known, net
-
-
-def _scorer(shared, known: np.ndarray):
+    model = vocabulary(docs)
+    shards = max(1, -(-int(model.counts.sum()) // SHARD_TOKENS))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    encoded = rows.mapInArrow(W.released(_encoder(spark.sparkContext.broadcast(model))), "key long, tokens binary")
+    numbered = stored(encoded.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "tokens"), "shards")
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model.weights)
+        copies = numbered.repartition(shards, "shard").sortWithinPartitions("shard", "key", "tokens").select("shard", "tokens").mapInArrow(W.released(_trainer(shared, turn)), "shard long, n long, weights binary")
+        got = _averaged(copies, shards)
+        shared.destroy()
+        if got is not None:
+            model.weights = got
+    return model
+
+
+def _remembered(h: np.ndarray, first: np.ndarray, token: np.ndarray, share: np.ndarray, model: Model, rare: np.ndarray):
+    """Row, window and word-in-window hashes, log share among the rare words, count in the row of the word in the window and of the window."""
+    stream, at = _stream(h, first, np.uint64(0))
+    row, at = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare], at[rare]
+    word, bucket = h[rare], token[rare] - WORDS
+    with np.errstate(over="ignore"):
+        window = W.mix(stream[at - 1] * W.SALTS[20] + stream[at + 1] * W.SALTS[21] + bucket.astype(np.uint64) * W.SALTS[22])
+        pair = W.mix(window + word * W.SALTS[23])
+        in_row = row.astype(np.uint64) * W.SALTS[24]
+        _, of_window, n_window = np.unique(W.mix(window + in_row), return_inverse=True, return_counts=True)
+        _, place, n_pair = np.unique(W.mix(pair + in_row), return_index=True, return_counts=True)
+    part = share[rare][place] - model.rare_share[bucket[place]]
+    return row[place], window[place].view(np.int64), pair[place].view(np.int64), part, n_pair, n_window[of_window[place]]
+
+
+def _scorer(shared):
     def run(batches):
-        net = Network(shared.value)
+        model: Model = shared.value
+        net = Network(model.weights)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, tokens, first in _token_slices(batch.column(1), known):
+            for a, h, first in _word_slices(batch.column(1)):
                 rows = len(first) - 1
-                logs = np.zeros(len(tokens) + 1)
-                for c in range(0, len(tokens), 1 << 16):
-                    at = np.arange(c, min(c + (1 << 16), len(tokens)))
-                    logs[at + 1] = net.log_probability(_windows(tokens, first, at), tokens[at])
+                token, share, rare = model.tokens(h)
+                stream, at = _stream(token, first, EDGE)
+                logs = share.copy()
+                for c in range(0, len(token), 1 << 16):
+                    logs[c : c + (1 << 16)] += net.log_probability(_windows(stream, at[c : c + (1 << 16)]), token[c : c + (1 << 16)])
                 row = np.repeat(np.arange(rows), np.diff(first))
-                total = np.bincount(row, logs[1:], rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), pa.array(np.diff(first)), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"])
+                ids = batch.column(0).slice(a, rows)
+                yield _scored(number + np.arange(rows), ids, np.diff(first), np.bincount(row, logs, rows))
+                if rare.any():
+                    r, window, pair, part, n, own = _remembered(h, first, token, share, model, rare)
+                    yield _scored(number + r, pa.nulls(len(r), ids.type), None, None, window, pair, part, n, own)
+                number += rows
 
     return run
 
 
-def score(docs: DataFrame, known: np.ndarray, net: Network) -> DataFrame:
-    """``(doc_id, text)`` -> doc_id, n_tokens (long), log_likelihood (the sum over all tokens) and mean_log_likelihood.
+def _scored(number, ids, *columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    columns = [pa.nulls(len(number), k) if c is None else pa.array(c, k) for c, k in zip([*columns, *[None] * (7 - len(columns))], kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(number), ids, *columns], names=["number", "doc_id", "n_tokens", "base", "window", "pair", "part", "n", "own"])
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, text)`` -> doc_id, n_tokens (long), log_likelihood (the sum over all words) and mean_log_likelihood.
 
-    Null, empty and blank texts have 0 tokens, a sum of 0 and a null mean; texts
-    are scored whole; repeated rows get equal scores; other columns are ignored.
+    Windows of rare words are those of docs.  Null, empty and blank texts have 0
+    tokens, a sum of 0 and a null mean; texts are scored whole; each row is a
+    document, repeated rows too, and those get equal scores; other columns are
+    ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net.data)
-    rows = docs.select("doc_id", "text")
-    kind = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood")).schema
-    return rows.mapInArrow(W.released(_scorer(shared, known)), kind).withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"number long, doc_id {kind}, n_tokens long, base double, window long, pair long, part double, n long, own long"
+    scored = stored(docs.select("doc_id", "text").mapInArrow(W.released(_scorer(shared)), schema), "scored")
+    rows = scored.where("window is not null").select("number", "window", "pair", "part", "n", "own")
+    # windows that several documents have
+    windows = rows.groupBy("window").agg(F.sum("n").alias("all"), F.max("own").alias("most")).where(F.col("all") > F.col("most")).select("window", "all")
+    near = stored(rows.join(windows, "window").drop("window"), "near")
+    pairs = near.groupBy("pair").agg(F.sum("n").alias("times"))
+    mixed = (F.col("times") - F.col("n") + PRIOR * F.exp("part")) / (F.col("all") - F.col("own") + PRIOR)
+    gain = F.col("n") * (F.log(mixed) - F.col("part"))
+    # whole millionths: sums don't depend on their order
+    gains = near.join(stored(pairs, "pairs"), "pair").groupBy("number").agg(F.sum(F.round(gain * 1e6).cast("long")).alias("gain"))
+    found = scored.where("window is null").select("number", "doc_id", "n_tokens", "base").join(gains, "number", "left")
+    total = F.when(F.col("n_tokens") > 0, F.round(F.col("base") + F.coalesce(F.col("gain") / 1e6, F.lit(0.0)), 6)).otherwise(0.0)
+    return found.select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))

@@ -42,7 +42,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, *pseudo_likelihood.train(docs))
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

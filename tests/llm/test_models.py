@@ -1,3 +1,4 @@
+import collections
 import os
 import zlib
 
@@ -85,62 +86,165 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("n_tokens", F.lit("x")).repartition(3).persist()
 
 
-def test_scores_are_the_sums_of_masked_predictions(spark, corpus):
-    known, net = P.train(corpus)
-    by_hash = {int(h): int(t) for h, t in zip(known["hash"], known["token"], strict=True)}
-    got = {r.doc_id: r for r in P.score(corpus, known, net).collect()}
-    for r in corpus.where("doc_id % 37 = 0 or doc_id >= 1000").collect():
-        buf, off = W.texts(__import__("pyarrow").array([r.text], "string"))
-        starts, ends, _ = W.spans(buf, off, W.SPACED)
-        ids = [by_hash.get(int(h), P.WORDS + int(h) % P.BUCKETS) for h in W.hashes(buf, starts, ends)]
-        total = 0.0
-        for p, token in enumerate(ids):
-            h = sum(net.inner[k][ids[p + d] if 0 <= p + d < len(ids) else P.TOKENS].astype(float) for k, d in enumerate(P.WINDOW))
-            z = np.tanh(h) @ net.outer.astype(float) + net.bias
-            total += z[token] - np.log(np.exp(z).sum())
-        assert got[r.doc_id].n_tokens == len(ids) and abs(got[r.doc_id].log_likelihood - total) < 1e-3 * max(1, len(ids))
-    assert got[1000].log_likelihood == 0 and got[1000].mean_log_likelihood is None
+def hashed(text):
+    buf, off = W.texts(__import__("pyarrow").array([text], "string"))
+    starts, ends, _ = W.spans(buf, off, W.SPACED)
+    return W.hashes(buf, starts, ends)
 
 
-def test_training_beats_frequencies(spark, corpus):
-    known, net = P.train(corpus)
-    _, counts = P.vocabulary(corpus)
-    assert counts.sum() == sum(len((r.text or "").split()) for r in corpus.collect())
-    total = lambda n: P.score(corpus, known, n).agg(F.sum("log_likelihood")).collect()[0][0]
-    assert total(net) > 0.9 * total(P.Network.fresh(counts))
+def windows(text):
+    """(left, word, right) at each place of a text."""
+    w = [None, *(text or "").lower().split(), None]
+    return list(zip(w, w[1:], w[2:]))
+
+
+def test_scores_are_the_sums_of_masked_predictions(spark, corpus):
+    rare = [(2000 + i, f"the n1 odd{i // 2} v2 . a n{i % 3} odd{i // 4} v1 . odd{i // 2}") for i in range(12)] + [(3000, "odd0 " * 50), (3000, "odd0 " * 50)]
+    docs = corpus.select("doc_id", "text").union(spark.createDataFrame(rare, "doc_id long, text string"))
+    rows = docs.collect()
+    counts = collections.Counter(w for r in rows for w in (r.text or "").lower().split())
+    model = P.train(docs)
+    # the common words of this corpus are tokens: take those of a few texts for buckets
+    moved = np.isin(model.hashes, hashed(" ".join(w for w in counts if w.startswith(("odd", "v1")))))
+    bucket = (model.hashes % np.uint64(P.BUCKETS)).astype(int)
+    number = {int(h): w for w in counts for h in hashed(w)}
+    model.token[moved], model.rare[moved] = P.WORDS + bucket[moved], True
+    total = np.bincount(bucket[moved], [counts[number[int(h)]] for h in model.hashes[moved]], P.BUCKETS)
+    model.share[moved] = [np.log(counts[number[int(h)]] / total[b]) for h, b in zip(model.hashes[moved], bucket[moved])]
+    model.rare_share[:] = 0
+    net = P.Network(model.weights)
+    among = collections.Counter()  # (window, word) and window, for each row and over all, of rare words
+    own = []
+    by_hash = {number[int(h)]: (int(t), float(s), bool(r)) for h, t, s, r in zip(model.hashes, model.token, model.share, model.rare)}
+    key = lambda x, y, b: (x, y, b)
+    for r in rows:
+        mine = collections.Counter()
+        for x, w, y in windows(r.text):
+            t, _, is_rare = by_hash[w]
+            if is_rare:
+                mine[key(x, y, t)] += 1
+                mine[key(x, y, t), w] += 1
+        own.append(mine)
+        among += mine
+    got = {}
+    for r in P.score(docs.repartition(5), model).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for r, mine in zip(rows, own):
+        if r.doc_id % 37 and r.doc_id < 1000:
+            continue
+        ids = [by_hash[w][0] for _, w, _ in windows(r.text)]
+        expected = 0.0
+        for p, (x, w, y) in enumerate(windows(r.text)):
+            h = np.tanh(sum(net.inner[k][ids[p + d] if 0 <= p + d < len(ids) else P.EDGE].astype(float) for k, d in enumerate(P.WINDOW)))
+            g, m = divmod(ids[p], P.MEMBERS)
+            for z, at in ((h @ net.top + net.top_bias, g), (h @ net.outer[g] + net.bias[g], m)):
+                expected += z[at] - np.log(np.exp(z).sum())
+            _, share, is_rare = by_hash[w]
+            if is_rare:
+                k = key(x, y, ids[p])
+                expected += np.log((among[k, w] - mine[k, w] + P.PRIOR * np.exp(share)) / (among[k] - mine[k] + P.PRIOR))
+            else:
+                expected += share
+        for found in got[r.doc_id]:
+            assert found.n_tokens == len(ids) and abs(found.log_likelihood - expected) < 1e-3 * max(1, len(ids))
+    assert got[1000][0].log_likelihood == 0 and got[1000][0].mean_log_likelihood is None and len(got[3000]) == 2
 
 
-def test_rounds_together_train_on_every_position_once():
-    net = P.Network.fresh(np.ones(P.TOKENS))
-    shared = type("Shared", (), {"value": net.data})
-    texts = ["a", "", None, "a b", "a b c d e", " ".join(["w"] * 33)]
-    batch = __import__("pyarrow").record_batch([__import__("pyarrow").array(texts, "string")], names=["text"])
-    known = np.array([], dtype=[("hash", np.uint64), ("token", np.int32)])
-    seen = [out.column("n")[0].as_py() for r in range(P.ROUNDS) for out in P._trainer(shared, known, r)([batch])]
-    assert sum(seen) == sum(len((t or "").split()) for t in texts)
-    first = np.array([0, 1, 1, 1, 3, 8, 41])
-    assert sorted(np.concatenate([P._positions(first, r) for r in range(P.ROUNDS)])) == list(range(41))
+def test_training_beats_frequencies(spark, corpus):
+    model = P.train(corpus)
+    assert model.counts.sum() == sum(len((r.text or "").split()) for r in corpus.collect())
+    total = lambda: P.score(corpus, model).agg(F.sum("log_likelihood")).collect()[0][0]
+    trained = total()
+    model.weights = P.Network.fresh(model.counts).data
+    assert trained > 0.95 * total()
+
+
+def test_the_split_of_the_rows_does_not_count(spark, corpus, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(P, "MERGE", 2)
+    a, b = P.train(corpus.repartition(2)), P.train(corpus.repartition(16))
+    assert a.counts.sum() > 3 * 3000 and np.array_equal(a.weights, b.weights) and np.array_equal(a.hashes, b.hashes)
+    assert not np.array_equal(a.weights, P.Network.fresh(a.counts).data)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    net = P.Network(rng.normal(0, 0.5, P._SIZE).astype(np.float32))
+    around = np.repeat(rng.integers(0, P.TOKENS + 1, (2, len(P.WINDOW))), P.TOKENS, axis=0)
+    p = np.exp(net.log_probability(around, np.tile(np.arange(P.TOKENS), 2)))
+    assert np.allclose(p.reshape(2, -1).sum(axis=1), 1, atol=1e-4)
+
+
+def test_words_of_a_bucket_share_it(spark, monkeypatch):
+    monkeypatch.setattr(P, "NAMED", 4500)
+    monkeypatch.setattr(P, "RARE", 2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(5000) if i < 1 + (5000 - k) // 500)) for i in range(8)], "doc_id long, text string")
+    model = P.vocabulary(docs)
+    words = np.concatenate([hashed(f"w{k}") for k in range(5000)])
+    token, share, rare = model.tokens(words)
+    assert len(model.hashes) <= 4500 and np.bincount(token, minlength=P.TOKENS)[: P.WORDS].max() == 1 and rare.any() and not rare.all()
+    other = token >= P.WORDS
+    sums = np.bincount(token[other] - P.WORDS, np.exp(share[other]), P.BUCKETS)
+    assert np.allclose(sums[sums > 0], 1, atol=1e-4)
+    assert np.allclose(np.bincount(token[rare] - P.WORDS, np.exp(share[rare]), P.BUCKETS)[sums > 0], np.exp(model.rare_share)[sums > 0], atol=1e-4)
+
+
+def test_rounds_together_take_every_position_once(monkeypatch):
+    taken = []
+    monkeypatch.setattr(P.Network, "train", lambda net, around, token, seen: taken.append((around.copy(), token.copy())))
+    monkeypatch.setattr(P, "STEP_ROWS", 7)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 50, n) for n in (1, 2, 5, 33, 1, 80)]
+    streams = [np.concatenate([[P.EDGE] * 2, t]).astype(np.int32) for t in texts]
+    weights = np.zeros(P._SIZE, np.float32)
+    seen = {}
+    for cut in (1, 2, 6):
+        taken.clear()
+        total = 0
+        for turn in range(P.ROUNDS):
+            learner = P.Learner(weights, turn)
+            for a in range(0, len(streams), cut):
+                learner.add(streams[a : a + cut])
+            learner.add([], last=True)
+            total += learner.total
+        assert total == sum(map(len, texts))
+        seen[cut] = [(a.tolist(), t.tolist()) for a, t in taken]
+    assert seen[1] == seen[2] == seen[6]
+    expected = []
+    for t in texts:
+        padded = [P.EDGE] * 2 + t.tolist() + [P.EDGE] * 2
+        expected += [([padded[i + 2 + d] for d in P.WINDOW], padded[i + 2]) for i in range(len(t))]
+    assert sorted((w, t) for a, b in seen[1] for w, t in zip(a, b)) == sorted(expected)
 
 
 def test_a_step_follows_the_gradient():
     rng = np.random.default_rng(4)
     net, want = P.Network.fresh(np.ones(P.TOKENS)), P.Network.fresh(np.ones(P.TOKENS))
     around, token = rng.integers(0, P.TOKENS + 1, (50, len(P.WINDOW))), rng.integers(0, P.TOKENS, 50)
-    net.train(around, token, [np.full(s, 1e-3, np.float32) for _, s in P._SHAPES])
-    h = np.tanh(sum(want.inner[k][around[:, k]].astype(float) for k in range(len(P.WINDOW))))
-    z = np.exp(h @ want.outer.astype(float) + want.bias)
-    g = z / z.sum(axis=1, keepdims=True)
-    g[np.arange(50), token] -= 1
-    g /= 50
-    inner = np.zeros(want.inner.shape)
-    for k in range(len(P.WINDOW)):
-        np.add.at(inner[k], around[:, k], (g @ want.outer.T) * (1 - h * h))
-    for part, start, grad in ((net.inner, want.inner, inner), (net.outer, want.outer, h.T @ g), (net.bias, want.bias, g.sum(axis=0))):
-        assert np.allclose(part, start - P.RATE * grad / (np.sqrt(1e-3 + grad * grad) + 1e-6), atol=1e-5)
+    around[:9], token[:9] = around[0], token[0]
+    net.train(around, token, P.Network(np.full(P._SIZE, 1e-3, np.float32)))
+    grads = P.Network(np.zeros(P._SIZE))
+    for w, t in zip(around, token):
+        h = np.tanh(sum(want.inner[k][w[k]].astype(float) for k in range(len(P.WINDOW))))
+        g, m = divmod(int(t), P.MEMBERS)
+        back = np.zeros(P.UNITS)
+        for matrix, bias, at, dm, db in ((want.top, want.top_bias, g, grads.top, grads.top_bias), (want.outer[g], want.bias[g], m, grads.outer[g], grads.bias[g])):
+            e = np.exp(h @ matrix.astype(float) + bias)
+            e /= e.sum()
+            e[at] -= 1
+            e /= 50
+            dm += np.outer(h, e)
+            db += e
+            back += matrix @ e
+        for k in range(len(P.WINDOW)):
+            grads.inner[k][w[k]] += back * (1 - h * h)
+    assert np.allclose(net.data, want.data - P.RATE * grads.data / (np.sqrt(1e-3 + grads.data**2) + 1e-6), atol=1e-5)
 
 
 def test_untrained_without_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    known, net = P.train(empty)
-    assert len(known) == 0 and P.score(empty, known, net).count() == 0
-    assert P.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), known, net).collect()[0].n_tokens == 2
+    model = P.train(empty)
+    assert len(model.hashes) == 0 and P.score(empty, model).count() == 0
+    assert P.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()[0].n_tokens == 2
+    long = spark.createDataFrame([(1, "so long " * 60_000), (2, None)], "doc_id long, text string")
+    assert {r.n_tokens for r in P.score(long, P.train(long)).collect()} == {0, 120_000}
