@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from framewright.scratch import clear, new_path, shared_dir, stored
 
 __all__ = ["clear", "new_path", "shared_dir", "small_batches", "stored"]
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Whole texts of an Arrow batch at most: they are held by the JVM and by the Python worker at once.
-BATCH_ROWS = 1_000
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Whole texts of an Arrow batch and their bytes at most (a longer text is a batch of its own): they are held by the JVM and by the Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
-    have = int(spark.conf.get(_ROWS))
-    if have <= 0 or have > BATCH_ROWS:
-        spark.conf.set(_ROWS, BATCH_ROWS)
+    """Hold the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES; smaller settings stay."""
+    for key, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        digits, unit = re.fullmatch(r"(-?\d+)([a-z]?).*", spark.conf.get(key).lower()).groups()
+        have = int(digits) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+        if have <= 0 or have > most:
+            spark.conf.set(key, most)

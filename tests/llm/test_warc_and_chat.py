@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -40,21 +41,55 @@ def test_round_trip(spark, least):
     assert warc.archived(df.limit(0)).count() == 0
 
 
-def test_archives_hold_what_they_say(spark):
+def test_records_are_fetched_by_the_index(spark, monkeypatch):
     path = store.new_path(spark, "warc-test")
-    warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1), path)
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, path)
     local = path.removeprefix("file://")
-    import glob
-
-    data = gzip.open(glob.glob(f"{local}/*.gz")[0]).read()
-    found = list(warc.records(data))
-    assert len(found) == len(ROWS) and sum(n for _, n, _, _ in found) == len(data)
+    rows = warc.index(spark, path).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        with open(f"{local}/{r.archive}", "rb") as f:
+            f.seek(r.offset)
+            head, block = warc.parsed(gzip.decompress(f.read(r.length)))
+        assert warc.capture(head, block)[0] == r.page_id and head["WARC-Type"] == r.record_type
+        if r.record_type == "response":
+            assert block.partition(b"\r\n\r\n")[2] in {(h or "").encode() for i, _, h in ROWS if i == r.page_id}
+    whole = gzip.open(f"{local}/{rows[0].archive}").read()
+    assert whole.count(b"WARC/1.1\r\nWARC-Type") == len(ROWS)
     with pytest.raises(ValueError):
-        head, block = found[0][2], found[0][3]
         warc.capture(head | {"WARC-Type": "response"}, block + b"!")
     assert warc.url_key("HTTP://www.A.b/P?q") == "b,a,www)/p?q" and warc.url_key(None) == ""
 
 
+def test_archives_are_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5_000)
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    monkeypatch.setattr(warc.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    rng = random.Random(1)
+    records = [rng.randbytes(rng.choice([10, 100, 3_000])) for _ in range(200)]
+    batch = pa.record_batch([pa.array(records, pa.binary())], names=["record"])
+    sizes = {}
+    for out in warc._packer([batch.slice(0, 90), batch.slice(90)]):
+        for name, member in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            sizes.setdefault(name, []).append(member)
+    assert [gzip.decompress(m) for name in sorted(sizes) for m in sizes[name]] == records
+    assert all(len(m) <= 7 and sum(map(len, m[:-1])) < 5_000 for m in sizes.values()) and len(sizes) > 20
+    data = warc.EMPTY_MEMBER.join(gzip.compress(r) for r in records) + warc.EMPTY_MEMBER
+    assert [(data[a : a + n], c) for a, n, c in warc.members(data)] == [(data[a : a + n], gzip.decompress(data[a : a + n])) for a, n, _ in warc.members(data)] and [c for *_, c in warc.members(data)] == records
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-25]))
+
+
+def test_payloads_of_many_rows_are_joined_alike(spark, monkeypatch):
+    rows = [(i, f"u{i}", "hot" if i % 3 else f"cold {i // 9}") for i in range(90)] + [(100, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = lambda: sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archived(df).collect())
+    one = found()
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 3)
+    assert found() == one and sum(t == "revisit" for _, t, _ in one) == 59 + 20
+
+
 def test_base32(spark):
     df = spark.createDataFrame([(str(i),) for i in range(50)], "t string").select("t", warc.base32(F.sha1(F.col("t").cast("binary"))).alias("b"))
     assert all(r.b == base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode() for r in df.collect())
