@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.functions.text import once
+
 #: Criteria with their weights, decision thresholds, and the scores that stand for a bare yes or no.
 WEIGHTS = {
     "object_match": 0.25, "action_match": 0.20, "scene_match": 0.15, "attribute_match": 0.10, "relation_match": 0.10,
@@ -18,19 +20,32 @@ ALPHA, YES, NO = 0.4, 0.75, 0.10
 YES_NO = ("object_match", "action_match", "scene_match", "attribute_match", "relation_match")
 
 
-def _number(raw: Column, key: str) -> Column:
-    return F.regexp_extract(raw, rf'["\s]?{key}["\s]?\s*:\s*([0-9]+(?:\.[0-9]*)?)', 1).try_cast("double")
+def _named_numbers(text: Column) -> Column:
+    """Array of (name, value): every name in the text that a colon and a number follow, in order."""
+    pair = F.lit(r'(\w+)"?\s*:\s*(\d+(?:[.]\d*)?)')
+    return F.zip_with(F.regexp_extract_all(text, pair, F.lit(1)), F.regexp_extract_all(text, pair, F.lit(2)), lambda name, n: F.struct(name.alias("name"), n.try_cast("double").alias("n")))
 
 
 def parsed(raw: Column) -> Column:
     """struct of the criteria, held within 0 and 1 (absent: 0), confidence (0.5), explanation (at most 300 characters), and
-    whether any criterion was there.  Whole, broken and fenced JSON and plain "name: number" text are read alike."""
-    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), "```(?:json)?", ""))
-    continued = F.when(text.rlike("^[0-9]"), F.concat(F.lit('{"object_match":'), text)).otherwise(text)
-    found = {k: _number(continued, k) for k in WEIGHTS}
-    held = lambda c, otherwise: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(otherwise))))
-    some = reduce(lambda a, b: a | b, (c.isNotNull() for c in found.values()))
-    return F.struct(*[held(c, 0.0).alias(k) for k, c in found.items()], F.when(some, held(_number(continued, "confidence"), 0.5)).otherwise(0.0).alias("confidence"), F.when(some, F.substring(F.regexp_extract(continued, '"explanation"\\s*:\\s*"([^"]*)"', 1), 1, 300)).otherwise("parse_error").alias("explanation"), some.alias("parsed"))
+    whether any criterion was there.  Whole, broken and fenced JSON and plain "name: number" text are read alike; an answer
+    that starts with a number goes on from the first criterion's name, and the first number of a name counts."""
+    bare = F.trim(F.replace(F.replace(F.coalesce(raw, F.lit("")), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    text = F.when(bare.rlike("^[0-9]"), F.concat(F.lit(f"{next(iter(WEIGHTS))}:"), bare)).otherwise(bare)
+
+    def judged(numbers: Column) -> Column:
+        value = lambda name: F.get(F.filter(numbers, lambda x: x["name"] == name), F.lit(0))["n"]
+        held = lambda name, otherwise: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value(name), F.lit(otherwise))))
+        some = F.exists(numbers, lambda x: x["name"].isin(*WEIGHTS))
+        said = F.coalesce(F.get_json_object(text, "$.explanation"), F.regexp_extract(text, 'explanation"\\s*:\\s*"([^"]*)', 1))
+        return F.struct(
+            *[held(name, 0.0).alias(name) for name in WEIGHTS],
+            F.when(some, held("confidence", 0.5)).otherwise(0.0).alias("confidence"),
+            F.when(some, F.left(said, F.lit(300))).otherwise("parse_error").alias("explanation"),
+            some.alias("parsed"),
+        )
+
+    return once(_named_numbers(text), judged)
 
 
 def with_fallback(scores: Column, answer: Column) -> Column:
@@ -64,11 +79,18 @@ def reranked(rows: DataFrame, keys: list[str], raw: str, clip: str, answer: str
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("final_score"), *keys)))
 
 
-def closest_grid(width: int, height: int, most: int = 12, tile: int = 448) -> tuple[int, int]:
-    """Columns and rows, at most so many tiles, whose shape is nearest to the picture's; of equal ones the larger, if the picture has over half its area."""
-    best, apart = (1, 1), float("inf")
-    for c, r in sorted(((c, r) for c in range(1, most + 1) for r in range(1, most + 1) if c * r <= most), key=lambda g: g[0] * g[1]):
-        d = abs(width / height - c / r)
-        if d < apart or d == apart and width * height > 0.5 * tile * tile * c * r:
-            best, apart = (c, r), d
-    return best
+def picture_grid(width: Column, height: Column, most: int = 12, tile: int = 448) -> Column:
+    """struct(columns, rows) of at most so many tiles, of the shape nearest to the picture's.
+
+    Of grids that are equally near, the largest that the picture fills by half;
+    if it fills none, the smallest.
+    """
+    grids = F.lit([f"{c},{r}" for c in range(1, most + 1) for r in range(1, most // c + 1)])
+
+    def rated(grid: Column) -> Column:
+        columns, rows = (F.get(F.split(grid, ","), F.lit(k)).cast("int") for k in (0, 1))
+        filled = width * height > columns * rows * (tile * tile / 2)
+        apart = F.abs(width / height - columns / rows)
+        return F.struct(apart.alias("apart"), F.when(filled, -columns * rows).otherwise(columns * rows).alias("size"), columns.alias("columns"), rows.alias("rows"))
+
+    return once(F.array_min(F.transform(grids, rated)), lambda best: F.struct(best["columns"].alias("columns"), best["rows"].alias("rows")))

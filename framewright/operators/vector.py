@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.functions.text import once
+
 #: Query vectors of one search at most; they are sent to every task.
 MOST_QUERIES = 10_000
 
@@ -16,11 +18,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 
 
-def once(value: Column, body) -> Column:
-    """body(value), with value computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def l2_normalise(v: Column, floor: float = 1e-12) -> Column:
     """v over the larger of its length and floor."""
     return once(v, lambda a: once(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x.cast("double") / n)))

@@ -47,6 +47,11 @@ def test_windowed_alignment_equals_the_sequential_one(spark):
     assert plan.count("Exchange hashpartitioning(video_id") == 1
 
 
+def time_iou(a, b, c, d):
+    hull = max(b, d) - min(a, c)
+    return max(0.0, min(b, d) - max(a, c)) / hull if hull > 1e-12 else 0.0
+
+
 def test_k_best_keeps_limits():
     r = np.random.default_rng(3)
     for _ in range(100):
@@ -56,7 +61,7 @@ def test_k_best_keeps_limits():
         for score, path, a, b in found:
             assert path == sorted(set(path)) and b - a <= 30.0
         for x, y in itertools.combinations(found, 2):
-            assert len({*x[1]} & {*y[1]}) / 3 < 0.6 and temporal.time_iou(x[2], x[3], y[2], y[3]) < 0.6
+            assert len({*x[1]} & {*y[1]}) / 3 < 0.6 and time_iou(x[2], x[3], y[2], y[3]) < 0.6
         assert [f[0] for f in found] == sorted((f[0] for f in found), reverse=True)
     assert temporal.k_best(np.ones((3, 2)), np.arange(2.0), None) == []
 
@@ -196,7 +201,7 @@ def test_plans_and_requests():
 
 
 def test_model_answers(spark):
-    rows = [("<|im_start|>assistant\nTranslation: \"Hello\"<|im_end|>", "Hello"), ("user: assistant: hi  \n", "hi"), ('"a" and "b"', '"a" and "b"')]
+    rows = [("<|im_start|>assistant\nTranslation: \"Hello\"<|im_end|>", "Hello"), ("assistant: system\nHere's the translation： “x“", "x"), ("a: b ", "a: b"), ("'it's'", "'it's'"), ("x  \n y\t\n\n", "x\n y"), ("user: assistant: hi  \n", "hi"), ('"a" and "b"', '"a" and "b"')]
     df = spark.createDataFrame(rows, "a string, b string").select("b", T.model_output(F.col("a")).alias("c"))
     assert [r.c for r in df.collect()] == [b for _, b in rows]
     raw = spark.createDataFrame([('{"object_match":0.8,"action_match":0.',), ("prose",), (None,)], "r string").select(rerank.parsed(F.col("r")).alias("s"))
@@ -283,8 +288,16 @@ def test_synthetic_rows_repeat(spark):
     assert all(3 <= r.end_time - r.start_time <= 8 for r in s) and all(x.end_time == y.start_time for x, y in zip(s, s[1:]) if x.video_id == y.video_id) and max(r.end_time for r in s) <= 60
 
 
-def test_grids():
-    assert rerank.closest_grid(896, 448) == (2, 1) and rerank.closest_grid(448, 448) == (1, 1) and rerank.closest_grid(1600, 400)[0] == 4 * rerank.closest_grid(1600, 400)[1]
+def test_grids(spark):
+    sizes = [(896, 448), (448, 448), (1600, 400), (100, 100), (900, 900), (300, 700)]
+    got = spark.createDataFrame(sizes, "w int, h int").select("w", "h", rerank.picture_grid(F.col("w"), F.col("h")).alias("g")).collect()
+    for r in got:
+        every = [(c, n) for c in range(1, 13) for n in range(1, 13) if c * n <= 12]
+        near = min(abs(r.w / r.h - c / n) for c, n in every)
+        tied = sorted((c * n, c, n) for c, n in every if abs(r.w / r.h - c / n) == near)
+        filled = [x for x in tied if r.w * r.h > x[0] * 448 * 448 / 2]
+        assert tuple(r.g) == (filled[-1] if filled else tied[0])[1:]
+    assert tuple(got[0].g) == (2, 1)
 
 
 def test_facade(spark):
