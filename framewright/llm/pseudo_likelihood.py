@@ -4,7 +4,7 @@ Every token is predicted from the two tokens on either side; a document's score
 is the sum of the log-probabilities of its words.
 
 1. Word counts of the whole corpus give the vocabulary: the commonest words are
-   tokens of their own, all others share BUCKETS tokens by their hash.
+   tokens of their own, all others share one.
 2. The texts, as token numbers of two bytes, are dealt by a hash of the row into
    shards of about SHARD_TOKENS.  In each round every shard trains a copy of the
    network on its positions in a fixed order (the rounds together take each
@@ -12,7 +12,7 @@ is the sum of the log-probabilities of its words.
    depends on the rows alone, not on how they are split, and a larger corpus has
    more shards of the same size.
 3. The softmax is in two levels, a group of tokens and the token in its group.
-   Words of a bucket share the bucket's probability by their corpus counts.
+   Words without a token share the probability of OTHER by their corpus counts.
 4. What a rare word has on its two sides is remembered over the whole corpus: the
    network's share of the word is mixed with how often other documents have the
    word between the same neighbours.  A document never counts for itself.
@@ -36,41 +36,44 @@ from pyspark.sql import functions as F
 from framewright.llm import words as W
 from framewright.llm.store import small_batches, stored
 
-#: Groups of the softmax and tokens in each; tokens that stand for all other words; units; rounds of training.
-GROUPS, MEMBERS, BUCKETS, UNITS, ROUNDS = 32, 128, 64, 16, 2
-TOKENS = GROUPS * MEMBERS
-WORDS = TOKENS - BUCKETS
+#: Groups of words in the softmax and words in each; units; rounds of training.
+GROUPS, MEMBERS, UNITS, ROUNDS = 32, 128, 16, 2
+WORDS = GROUPS * MEMBERS
+#: The token, and group of its own, of all other words; the token that stands beyond the edges of a text.
+OTHER, EDGE = WORDS, WORDS + 1
 #: Words whose counts are broadcast at most; the count up to which a word is rare; bits of the cells that count the others.
-NAMED, RARE, CELL_BITS = 65_536, 128, 18
+NAMED, RARE, CELL_BITS = 131_072, 64, 18
 #: Offsets of the window, positions of a training step, its size, positions scored at once, tokens of a shard about.
 WINDOW, STEP_ROWS, RATE, CHUNK, SHARD_TOKENS = (-2, -1, 1, 2), 4096, 0.3, 16_384, 2_000_000
 #: Copies of the network that are summed in one place.
 MERGE = 64
 #: Weight of the network's share of a rare word against remembered windows.
 PRIOR = 2.0
-#: The token that stands beyond the edges of a text.
-EDGE = TOKENS
-
-_SHAPES = (("inner", (len(WINDOW), TOKENS + 1, UNITS)), ("top", (UNITS, GROUPS)), ("top_bias", (GROUPS,)), ("outer", (GROUPS, UNITS, MEMBERS)), ("bias", (GROUPS, MEMBERS)))
+_SHAPES = (("inner", (len(WINDOW), EDGE + 1, UNITS)), ("top", (UNITS, GROUPS + 1)), ("top_bias", (GROUPS + 1,)), ("outer", (GROUPS, UNITS, MEMBERS)), ("bias", (GROUPS, MEMBERS)))
 _SIZE = sum(math.prod(s) for _, s in _SHAPES)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+def _exponents(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return np.exp(z, out=z)
 
 
 def _log_softmax_at(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    at = z[np.arange(len(z)), own]
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    at = np.arange(len(z))
+    e = _exponents(z)
+    return np.log(e[at, own] / e.sum(axis=1))
+
 
+def _errors(z: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+    """The gradient of the mean loss over so many rows: probabilities, less 1 at the own token."""
+    e = _exponents(z)
+    e *= (1 / (rows * e.sum(axis=1)))[:, None]
+    e[np.arange(len(z)), own] -= np.float32(1 / rows)
+    return e
 
-def _by_group(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group with the places of its tokens."""
-    group = token // MEMBERS
+
+def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group of words with the places of its words."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
     cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
     for g in range(GROUPS):
@@ -92,8 +95,9 @@ class Network:
     def fresh(cls, counts: np.ndarray) -> Network:
         """A network that starts from the tokens' frequencies."""
         net = cls(np.random.default_rng(5).normal(0, 0.1, _SIZE).astype(np.float32))
-        mass = (counts + 1.0).reshape(GROUPS, MEMBERS)
-        net.top_bias[:] = np.log(mass.sum(1) / mass.sum())
+        mass = (counts[:WORDS] + 1.0).reshape(GROUPS, MEMBERS)
+        groups = np.append(mass.sum(1), counts[OTHER] + 1)
+        net.top_bias[:] = np.log(groups / groups.sum())
         net.bias[:] = np.log(mass / mass.sum(1, keepdims=True))
         return net
 
@@ -106,28 +110,25 @@ class Network:
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.empty(len(token))
         for a in range(0, len(token), CHUNK):
-            own = token[a : a + CHUNK]
+            group, member = np.divmod(token[a : a + CHUNK], MEMBERS)
             h = self.hidden(around[a : a + CHUNK])
-            part = _log_softmax_at(h @ self.top + self.top_bias, own // MEMBERS).astype(np.float64)
-            for g, at in _by_group(own):
-                part[at] += _log_softmax_at(h[at] @ self.outer[g] + self.bias[g], own[at] % MEMBERS)
+            part = _log_softmax_at(h @ self.top + self.top_bias, group).astype(np.float64)
+            for g, at in _by_group(group):
+                part[at] += _log_softmax_at(h[at] @ self.outer[g] + self.bias[g], member[at])
             out[a : a + CHUNK] = part
         return out
 
     def train(self, around: np.ndarray, token: np.ndarray, seen: Network) -> None:
         """One step of adaptive gradient descent; seen holds the sums of squares, in the same shape."""
         n = len(token)
+        group, member = np.divmod(token, MEMBERS)
         h = self.hidden(around)
-        g1 = _softmax(h @ self.top + self.top_bias)
-        g1[np.arange(n), token // MEMBERS] -= 1
-        g1 /= n
+        g1 = _errors(h @ self.top + self.top_bias, group, n)
         back = g1 @ self.top.T
         changes = []
-        for g, at in _by_group(token):
+        for g, at in _by_group(group):
             own = h[at]
-            g2 = _softmax(own @ self.outer[g] + self.bias[g])
-            g2[np.arange(len(at)), token[at] % MEMBERS] -= 1
-            g2 /= n
+            g2 = _errors(own @ self.outer[g] + self.bias[g], member[at], n)
             back[at] += g2 @ self.outer[g].T
             changes += [(self.outer[g], own.T @ g2, seen.outer[g]), (self.bias[g], g2.sum(axis=0), seen.bias[g])]
         back *= 1 - h * h
@@ -135,23 +136,24 @@ class Network:
             sum_ += grad * grad
             part -= RATE * grad / (np.sqrt(sum_) + 1e-6)
         # of the embeddings only those in the windows change: their gradients are summed over equal tokens
-        at = (around + np.arange(len(WINDOW)) * (TOKENS + 1)).ravel()
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        inner, at = np.add.reduceat(back[order // len(WINDOW)], begin, axis=0), at[begin]
-        embeddings, squares = self.inner.reshape(-1, UNITS), seen.inner.reshape(-1, UNITS)
-        squares[at] += inner * inner
-        embeddings[at] -= RATE * inner / (np.sqrt(squares[at]) + 1e-6)
+        for k in range(len(WINDOW)):
+            at = around[:, k].astype(np.uint16)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            grad, at = np.add.reduceat(back[order], begin, axis=0), at[begin]
+            sum_ = seen.inner[k][at] + grad * grad
+            seen.inner[k][at] = sum_
+            self.inner[k][at] -= RATE * grad / (np.sqrt(sum_) + 1e-6)
 
 
 @dataclass
 class Model:
     """The words whose counts are known, in order of their hashes, the cells that count all others, and the network.
 
-    share: log of a word's part of its bucket, 0 for words that are tokens;
+    share: log of a word's part of OTHER, 0 for words that are tokens;
     cell_share: the same for a word of each cell; rare_share: log of the part of
-    a bucket that is rare words.
+    OTHER that is rare words; counts: of the tokens.
     """
 
     hashes: np.ndarray
@@ -159,14 +161,14 @@ class Model:
     share: np.ndarray
     rare: np.ndarray
     cell_share: np.ndarray
-    rare_share: np.ndarray
+    rare_share: float
     counts: np.ndarray
     weights: np.ndarray
 
     def tokens(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token, log share and rarity of each word hash."""
-        token = (WORDS + (h % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
-        share, rare = self.cell_share[_cell(h)].astype(np.float64), np.ones(len(h), bool)
+        token, rare = np.full(len(h), OTHER, np.int32), np.ones(len(h), bool)
+        share = self.cell_share[h >> np.uint64(64 - CELL_BITS)].astype(np.float64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[at] == h
@@ -175,11 +177,6 @@ class Model:
         return token, share, rare
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    """The high bits of a hash, then its bucket: a cell lies in one bucket."""
-    return (h >> np.uint64(64 - CELL_BITS + 6)).astype(np.int64) << 6 | (h % np.uint64(BUCKETS)).astype(np.int64)
-
-
 def _word_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, word hashes and the rows' offsets in them, slice by slice."""
     buf, off = W.texts(column)
@@ -239,25 +236,20 @@ def vocabulary(docs: DataFrame) -> Model:
     h, n = named.column("hash").to_numpy().view(np.uint64), named.column("n").to_numpy()
     order = np.lexsort((h, -n))
     h, n = h[order], n[order]
-    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-    token = np.where(np.arange(len(h)) < WORDS, np.arange(len(h)), WORDS + bucket).astype(np.int32)
+    token = np.minimum(np.arange(len(h)), OTHER).astype(np.int32)
     others = counts.where(F.col("n") < least)
-    cell = F.shiftleft(F.shiftrightunsigned("hash", 64 - CELL_BITS + 6), 6).bitwiseOR(F.col("hash").bitwiseAND(F.lit(BUCKETS - 1)))
-    cells = others.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    cells = others.groupBy(F.shiftrightunsigned("hash", 64 - CELL_BITS).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     at, in_cell, different = (cells.column(c).to_numpy() for c in ("cell", "n", "words"))
-    rest = np.bincount(at % BUCKETS, in_cell, BUCKETS)
-    totals = np.bincount(token, n, TOKENS)
-    totals[WORDS:] += rest
-    low = (n <= RARE) & (token >= WORDS)
-    rare = rest + np.bincount(bucket[low], n[low], BUCKETS)
-    every = np.maximum(totals[WORDS:], 1)
-    cell_share = -np.log(np.tile(every, 1 << CELL_BITS - 6) + 1)
-    cell_share[at] = np.log(in_cell / different / every[at % BUCKETS])
-    share = np.where(token < WORDS, 0, np.log(n / every[bucket]))
+    totals = np.bincount(token, n, OTHER + 1)
+    totals[OTHER] += in_cell.sum()
+    low = (n <= RARE) & (token == OTHER)
+    every = max(totals[OTHER], 1)
+    cell_share = np.full(1 << CELL_BITS, -np.log(every + 1))
+    cell_share[at] = np.log(in_cell / different / every)
+    share = np.where(token == OTHER, np.log(n / every), 0)
+    rare_share = float(np.log(max(n[low].sum() + in_cell.sum(), 1) / every))
     by_hash = np.argsort(h)
-    return Model(
-        h[by_hash], token[by_hash], share[by_hash].astype(np.float32), low[by_hash], cell_share.astype(np.float32), np.log(np.maximum(rare, 1) / every), totals, Network.fresh(totals).data
-    )
+    return Model(h[by_hash], token[by_hash], share[by_hash].astype(np.float32), low[by_hash], cell_share.astype(np.float32), rare_share, totals, Network.fresh(totals).data)
 
 
 def _encoder(shared):
@@ -385,19 +377,17 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def _remembered(h: np.ndarray, first: np.ndarray, token: np.ndarray, share: np.ndarray, model: Model, rare: np.ndarray):
-    """Row, window and word-in-window hashes, log share among the rare words, count in the row of the word in the window and of the window."""
+def _remembered(h: np.ndarray, first: np.ndarray, part: np.ndarray, rare: np.ndarray):
+    """Row, window and word-in-window hashes, log share, count in the row of the word in the window, and of the window, of rare words."""
     stream, at = _stream(h, first, np.uint64(0))
     row, at = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare], at[rare]
-    word, bucket = h[rare], token[rare] - WORDS
     with np.errstate(over="ignore"):
-        window = W.mix(stream[at - 1] * W.SALTS[20] + stream[at + 1] * W.SALTS[21] + bucket.astype(np.uint64) * W.SALTS[22])
-        pair = W.mix(window + word * W.SALTS[23])
+        window = W.mix(stream[at - 1] * W.SALTS[20] + stream[at + 1] * W.SALTS[21])
+        pair = W.mix(window + h[rare] * W.SALTS[23])
         in_row = row.astype(np.uint64) * W.SALTS[24]
         _, of_window, n_window = np.unique(W.mix(window + in_row), return_inverse=True, return_counts=True)
         _, place, n_pair = np.unique(W.mix(pair + in_row), return_index=True, return_counts=True)
-    part = share[rare][place] - model.rare_share[bucket[place]]
-    return row[place], window[place].view(np.int64), pair[place].view(np.int64), part, n_pair, n_window[of_window[place]]
+    return row[place], window[place].view(np.int64), pair[place].view(np.int64), part[rare][place], n_pair, n_window[of_window[place]]
 
 
 def _scorer(shared):
@@ -417,7 +407,7 @@ def _scorer(shared):
                 ids = batch.column(0).slice(a, rows)
                 yield _scored(number + np.arange(rows), ids, np.diff(first), np.bincount(row, logs, rows))
                 if rare.any():
-                    r, window, pair, part, n, own = _remembered(h, first, token, share, model, rare)
+                    r, window, pair, part, n, own = _remembered(h, first, share - model.rare_share, rare)
                     yield _scored(number + r, pa.nulls(len(r), ids.type), None, None, window, pair, part, n, own)
                 number += rows
 

@@ -104,26 +104,22 @@ def test_scores_are_the_sums_of_masked_predictions(spark, corpus):
     rows = docs.collect()
     counts = collections.Counter(w for r in rows for w in (r.text or "").lower().split())
     model = P.train(docs)
-    # the common words of this corpus are tokens: take those of a few texts for buckets
+    # the common words of this corpus are tokens: take some of them from it
     moved = np.isin(model.hashes, hashed(" ".join(w for w in counts if w.startswith(("odd", "v1")))))
-    bucket = (model.hashes % np.uint64(P.BUCKETS)).astype(int)
     number = {int(h): w for w in counts for h in hashed(w)}
-    model.token[moved], model.rare[moved] = P.WORDS + bucket[moved], True
-    total = np.bincount(bucket[moved], [counts[number[int(h)]] for h in model.hashes[moved]], P.BUCKETS)
-    model.share[moved] = [np.log(counts[number[int(h)]] / total[b]) for h, b in zip(model.hashes[moved], bucket[moved])]
-    model.rare_share[:] = 0
+    model.token[moved], model.rare[moved] = P.OTHER, True
+    n = np.array([counts[number[int(h)]] for h in model.hashes[moved]])
+    model.share[moved], model.rare_share = np.log(n / n.sum()), 0.0
     net = P.Network(model.weights)
     among = collections.Counter()  # (window, word) and window, for each row and over all, of rare words
     own = []
     by_hash = {number[int(h)]: (int(t), float(s), bool(r)) for h, t, s, r in zip(model.hashes, model.token, model.share, model.rare)}
-    key = lambda x, y, b: (x, y, b)
     for r in rows:
         mine = collections.Counter()
         for x, w, y in windows(r.text):
-            t, _, is_rare = by_hash[w]
-            if is_rare:
-                mine[key(x, y, t)] += 1
-                mine[key(x, y, t), w] += 1
+            if by_hash[w][2]:
+                mine[x, y] += 1
+                mine[(x, y), w] += 1
         own.append(mine)
         among += mine
     got = {}
@@ -137,11 +133,11 @@ def test_scores_are_the_sums_of_masked_predictions(spark, corpus):
         for p, (x, w, y) in enumerate(windows(r.text)):
             h = np.tanh(sum(net.inner[k][ids[p + d] if 0 <= p + d < len(ids) else P.EDGE].astype(float) for k, d in enumerate(P.WINDOW)))
             g, m = divmod(ids[p], P.MEMBERS)
-            for z, at in ((h @ net.top + net.top_bias, g), (h @ net.outer[g] + net.bias[g], m)):
+            for z, at in [(h @ net.top + net.top_bias, g)] + ([(h @ net.outer[g] + net.bias[g], m)] if ids[p] < P.OTHER else []):
                 expected += z[at] - np.log(np.exp(z).sum())
             _, share, is_rare = by_hash[w]
             if is_rare:
-                k = key(x, y, ids[p])
+                k = (x, y)
                 expected += np.log((among[k, w] - mine[k, w] + P.PRIOR * np.exp(share)) / (among[k] - mine[k] + P.PRIOR))
             else:
                 expected += share
@@ -170,23 +166,20 @@ def test_the_split_of_the_rows_does_not_count(spark, corpus, monkeypatch):
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     net = P.Network(rng.normal(0, 0.5, P._SIZE).astype(np.float32))
-    around = np.repeat(rng.integers(0, P.TOKENS + 1, (2, len(P.WINDOW))), P.TOKENS, axis=0)
-    p = np.exp(net.log_probability(around, np.tile(np.arange(P.TOKENS), 2)))
+    around = np.repeat(rng.integers(0, P.EDGE + 1, (2, len(P.WINDOW))), P.OTHER + 1, axis=0)
+    p = np.exp(net.log_probability(around, np.tile(np.arange(P.OTHER + 1), 2)))
     assert np.allclose(p.reshape(2, -1).sum(axis=1), 1, atol=1e-4)
 
 
-def test_words_of_a_bucket_share_it(spark, monkeypatch):
+def test_other_words_share_a_token(spark, monkeypatch):
     monkeypatch.setattr(P, "NAMED", 4500)
     monkeypatch.setattr(P, "RARE", 2)
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(5000) if i < 1 + (5000 - k) // 500)) for i in range(8)], "doc_id long, text string")
     model = P.vocabulary(docs)
-    words = np.concatenate([hashed(f"w{k}") for k in range(5000)])
-    token, share, rare = model.tokens(words)
-    assert len(model.hashes) <= 4500 and np.bincount(token, minlength=P.TOKENS)[: P.WORDS].max() == 1 and rare.any() and not rare.all()
-    other = token >= P.WORDS
-    sums = np.bincount(token[other] - P.WORDS, np.exp(share[other]), P.BUCKETS)
-    assert np.allclose(sums[sums > 0], 1, atol=1e-4)
-    assert np.allclose(np.bincount(token[rare] - P.WORDS, np.exp(share[rare]), P.BUCKETS)[sums > 0], np.exp(model.rare_share)[sums > 0], atol=1e-4)
+    token, share, rare = model.tokens(np.concatenate([hashed(f"w{k}") for k in range(5000)]))
+    assert len(model.hashes) <= 4500 and np.bincount(token)[: P.WORDS].max() == 1 and rare.any() and not rare.all()
+    assert abs(np.exp(share[token == P.OTHER]).sum() - 1) < 1e-4 and not share[token < P.OTHER].any()
+    assert abs(np.exp(share[rare]).sum() - np.exp(model.rare_share)) < 1e-4
 
 
 def test_rounds_together_take_every_position_once(monkeypatch):
@@ -219,16 +212,19 @@ def test_rounds_together_take_every_position_once(monkeypatch):
 
 def test_a_step_follows_the_gradient():
     rng = np.random.default_rng(4)
-    net, want = P.Network.fresh(np.ones(P.TOKENS)), P.Network.fresh(np.ones(P.TOKENS))
-    around, token = rng.integers(0, P.TOKENS + 1, (50, len(P.WINDOW))), rng.integers(0, P.TOKENS, 50)
-    around[:9], token[:9] = around[0], token[0]
+    net, want = P.Network.fresh(np.ones(P.OTHER + 1)), P.Network.fresh(np.ones(P.OTHER + 1))
+    around, token = rng.integers(0, P.EDGE + 1, (50, len(P.WINDOW))), rng.integers(0, P.WORDS, 50)
+    around[:9], token[:9], token[9:12] = around[0], token[0], P.OTHER
     net.train(around, token, P.Network(np.full(P._SIZE, 1e-3, np.float32)))
     grads = P.Network(np.zeros(P._SIZE))
     for w, t in zip(around, token):
         h = np.tanh(sum(want.inner[k][w[k]].astype(float) for k in range(len(P.WINDOW))))
         g, m = divmod(int(t), P.MEMBERS)
         back = np.zeros(P.UNITS)
-        for matrix, bias, at, dm, db in ((want.top, want.top_bias, g, grads.top, grads.top_bias), (want.outer[g], want.bias[g], m, grads.outer[g], grads.bias[g])):
+        levels = [(want.top, want.top_bias, g, grads.top, grads.top_bias)]
+        if t < P.OTHER:
+            levels.append((want.outer[g], want.bias[g], m, grads.outer[g], grads.bias[g]))
+        for matrix, bias, at, dm, db in levels:
             e = np.exp(h @ matrix.astype(float) + bias)
             e /= e.sum()
             e[at] -= 1
