@@ -10,35 +10,15 @@ prefix sums over ranges of messages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from framewright.llm.store import stored
+from framewright.llm.ranges import prefix_sums
 
 #: Roles that speak to the participants without being one.
 CONTEXT_ROLES = ("system",)
 END = "<|end|>\n"
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """df with ``before``, the sum of value over the rows of its group that come first in order, and ``place`` (0..).
-
-    Rows are dealt by ranges of (group, order), so that a group of any size is
-    spread over tasks; what lies before a range is a sum over earlier ranges.
-    Equal rows stand in either order.
-    """
-    dealt = stored(df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("__range", *group).agg(F.sum(value).alias("__sum"), F.count("*").alias("__n"))
-    ahead = Win.partitionBy(*group).orderBy("__range").rowsBetween(Win.unboundedPreceding, -1)
-    earlier = sums.select("__range", *group, F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__sum"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n"))
-    own = Win.partitionBy("__range", *group).orderBy(*order)
-    inner = own.rowsBetween(Win.unboundedPreceding, -1)
-    rows = dealt.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0))).withColumn("__k", F.row_number().over(own) - 1)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ["__range", *group]]
-    joined = rows.alias("r").join(earlier.alias("e"), same)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r.__in") + F.col("e.__sum")).alias("before"), (F.col("r.__k") + F.col("e.__n")).alias("place"))
-
-
 def views(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text)`` -> a row for each message and participant of its conversation.
 
@@ -62,7 +42,7 @@ def views(messages: DataFrame) -> DataFrame:
     head = F.concat(F.lit("<|"), role, F.lit("|>"), name, F.lit("\n"))
     rows = pairs.select("conv_id", "perspective", "turn", "speaker", "text", role.alias("chat_role"), F.length(head).alias("head"), F.concat(head, F.col("text"), F.lit(END)).alias("rendered"))
     rows = rows.withColumn("chars", F.length("rendered").cast("long"))
-    placed = prefix_sums(rows, ["conv_id", "perspective"], ["turn", "speaker", "text"], "chars")
-    stop = F.col("before") + F.col("chars")
-    begin = F.when(F.col("chat_role") == "assistant", F.col("before") + F.col("head")).otherwise(stop)
-    return placed.select("conv_id", "perspective", F.col("place").cast("long").alias("place"), "turn", "speaker", "chat_role", "rendered", F.col("before").alias("start"), stop.alias("stop"), begin.alias("mask_start"), stop.alias("mask_stop"))
+    placed = prefix_sums(rows, ["conv_id", "perspective"], ["turn", "speaker", "text"], ["chars"])
+    stop = F.col("before_chars") + F.col("chars")
+    begin = F.when(F.col("chat_role") == "assistant", F.col("before_chars") + F.col("head")).otherwise(stop)
+    return placed.select("conv_id", "perspective", F.col("place").cast("long").alias("place"), "turn", "speaker", "chat_role", "rendered", F.col("before_chars").alias("start"), stop.alias("stop"), begin.alias("mask_start"), stop.alias("mask_stop"))

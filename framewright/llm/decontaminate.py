@@ -1,14 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The items are a bounded table: their words are counted first, and at most
-MOST_WORDS of them form one automaton, which is broadcast; a larger benchmark is
-taken in several passes over the documents.  A document's words stream through
+Items of at most MOST_WORDS words together form one automaton, which is built,
+broadcast and let go before the next one; a larger benchmark is taken in as many
+passes over the documents, with the same results.  A document's words stream through
 the automaton; the state and length of the longest match that ends at each word
 tell which windows of which items end there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -159,19 +161,19 @@ class Automaton:
         return starts, ends, first, rows
 
 
-def automata(benchmark: DataFrame, window: int) -> list[Automaton]:
+def automata(benchmark: DataFrame, window: int) -> Iterator[Automaton]:
     """One automaton for each block of at most MOST_WORDS words of the items, read block by block; null texts have none."""
     small_batches(benchmark.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
     sized = items.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))
-    out, block, n = [], [], 0
+    block, n = [], 0
     for row in sized.toLocalIterator():
         if block and n + row["n"] > MOST_WORDS:
-            out.append(Automaton(block, window))
+            yield Automaton(block, window)
             block, n = [], 0
         block.append((row["item"], split_words(row["text"])))
         n += row["n"]
-    return [*out, Automaton(block, window)]
+    yield Automaton(block, window)
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,11 +216,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_FOUND).alias("ranges"), F.array().cast("array<string>").alias("items"))
-    machines = automata(benchmark, window)
-    for k, machine in enumerate(machines):
-        rows = rows.mapInArrow(W.released(_matcher(spark.sparkContext.broadcast(machine))), rows.schema)
-        if k + 1 < len(machines):
+    shared = None
+    for machine in automata(benchmark, window):
+        if shared is not None:
             rows = stored(rows, "matched")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(machine)
+        rows = rows.mapInArrow(W.released(_matcher(shared)), rows.schema)
     return rows.drop("text")
 
 
@@ -321,18 +325,19 @@ def _cutter(column: int, coverage: float):
     return run
 
 
-def _by_blocks(docs: DataFrame, machines: list[Automaton], coverage: float) -> DataFrame:
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
     """As one automaton of all blocks would clean: the hits of all blocks are gathered before a cut, until none hits."""
     spark, column = docs.sparkSession, docs.columns.index("text")
     mark = "ranges"
     while mark in docs.columns:
         mark += "_"
-    shared = [spark.sparkContext.broadcast(m) for m in machines]
     out, rows = None, docs
     while True:
         rows = rows.withColumn(mark, F.array().cast(_FOUND))
-        for s in shared:
-            rows = stored(rows.mapInArrow(W.released(_ranger(s, column)), rows.schema), "matched")
+        for machine in automata(benchmark, window):
+            shared = spark.sparkContext.broadcast(machine)
+            rows = stored(rows.mapInArrow(W.released(_ranger(shared, column)), rows.schema), "matched")
+            shared.destroy()
         done, hit = rows.where(F.size(mark) == 0).drop(mark), rows.where(F.size(mark) > 0)
         out = done if out is None else out.unionAll(done)
         if hit.isEmpty():
@@ -347,12 +352,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     A cut joins what stands on its sides, punctuation and white space included;
     it is repeated until no window occurs.  A benchmark of several blocks gives
     what one automaton of all its items would.  All columns pass, n_chars is
-    brought up to date where it exists.  Null and empty texts stay as they are.
+    brought up to date where it exists.  Null and empty texts stay as they are,
+    texts of any length are read whole, repeated rows stay or go alike, and empty
+    tables give no rows or take nothing out.
     """
     machines = automata(benchmark, window)
-    if len(machines) > 1:
-        return with_chars(_by_blocks(docs, machines, coverage))
-    shared = docs.sparkSession.sparkContext.broadcast(machines[0])
+    first = next(machines)
+    if next(machines, None):
+        return with_chars(_by_blocks(docs, benchmark, window, coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
     return with_chars(docs.mapInArrow(W.released(_cleaner(shared, docs.columns.index("text"), coverage)), docs.schema))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from framewright.llm.ranges import prefix_sums
 from framewright.llm.store import stored
 
 #: Weights of the sources, repeating; most times that a source's words are taken.
@@ -21,7 +22,7 @@ WEIGHTS, MOST_TIMES = (5, 2, 1), 3
 #: Words of a block at most; blocks of the whole, and of the smallest source, at least.
 BLOCK_WORDS, BLOCKS, SOURCE_BLOCKS = 4096, 100_000, 100
 #: Words and documents of a shard, and shards of a source at most.
-SHARD_WORDS, MOST_SHARDS = 2_000_000, 100_000
+SHARD_WORDS, MOST_SHARDS = 500_000, 100_000
 #: Sources that are sent to all executors at most (about 100 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 10_000
 
@@ -36,16 +37,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     its source's size stops there, and the rest is shared again by weight.  With
     sources in order of size over weight, those that stop are the first ones.
     """
-    ranked = sources.withColumn("sid", F.row_number().over(Win.orderBy(F.asc_nulls_last("source"))))
-    ranked = ranked.withColumn("weight", F.get(F.lit(list(weights)), (F.col("sid") - 1) % len(weights)))
-    everything = Win.partitionBy()
-    before = Win.orderBy(F.col("source_size") / F.col("weight"), "sid").rowsBetween(Win.unboundedPreceding, -1)
-    cap = F.col("source_size") * most
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    shared = ranked.withColumn("level", left / weight_left).withColumn("stops", cap <= F.col("level") * F.col("weight"))
-    level = F.max(F.when(~F.col("stops"), F.col("level"))).over(everything)
-    return shared.withColumn("target", F.when(F.col("stops"), cap.cast("double")).otherwise(level * F.col("weight"))).drop("level", "stops")
+    placed = prefix_sums(sources.withColumn("__none", F.col("source").isNull()), [], ["__none", "source"], [])
+    ranked = placed.withColumn("sid", F.col("place") + 1).withColumn("weight", F.get(F.lit(list(weights)), (F.col("place") % len(weights)).cast("int"))).drop("place", "__none")
+    ranked = ranked.withColumn("__cap", F.col("source_size") * most).withColumn("__full", F.col("source_size") / F.col("weight"))
+    filled = stored(prefix_sums(ranked, [], ["__full", "sid"], ["__cap", "weight"]), "filled")
+    sums = filled.agg(F.sum("source_size").alias("__all"), F.sum("weight").alias("__weights"))
+    level = (F.col("__all") - F.col("before___cap")) / (F.col("__weights") - F.col("before_weight"))
+    levelled = filled.join(F.broadcast(sums)).withColumn("__level", level).withColumn("__stops", F.col("__cap") <= F.col("__level") * F.col("weight"))  # one row
+    last = levelled.agg(F.max(F.when(~F.col("__stops"), F.col("__level"))).alias("__last"))
+    target = F.when(F.col("__stops"), F.col("__cap").cast("double")).otherwise(F.col("__last") * F.col("weight"))
+    return levelled.join(F.broadcast(last)).select(*sources.columns, "sid", "weight", target.alias("target"))  # one row
 
 
 def apportion(cells: DataFrame, group: str, key: str, weight: str, seats: str) -> DataFrame:
@@ -54,17 +55,17 @@ def apportion(cells: DataFrame, group: str, key: str, weight: str, seats: str) -
     Seats that the largest possible divisor gives anyway are counted without
     making their quotients; about six quotients a cell are compared.
     """
-    w = Win.partitionBy(group)
-    some = F.col("__all") > 0
+    sums = cells.groupBy(group).agg(F.sum(weight).alias("__all"), F.count("*").alias("__cells"))
     share = F.col(seats) * F.col(weight) / F.col("__all")
     slack = F.col("__cells") / F.greatest(F.col(seats), F.lit(1))
-    x = cells.withColumn("__all", F.sum(weight).over(w)).withColumn("__cells", F.count("*").over(w)).where(some & (F.col(weight) > 0) & (F.col(seats) > 0))
-    x = x.withColumn("__base", F.greatest(F.lit(0), F.floor(share * (1 - slack)) - 2).cast("long")).withColumn("__top", (F.ceil(share * (1 + slack)) + 2).cast("long"))
-    x = x.withColumn("__rest", F.col(seats) - F.sum("__base").over(w))
-    quotients = x.select(group, key, "__base", "__rest", F.explode(F.sequence("__base", "__top")).alias("__k"), F.col(weight).alias("__w"))
-    best = quotients.withColumn("__rank", F.row_number().over(Win.partitionBy(group).orderBy(F.desc(F.col("__w") / (2 * F.col("__k") + 1)), key, "__k")))
-    won = best.groupBy(group, key).agg((F.first("__base") + F.count(F.when(F.col("__rank") <= F.col("__rest"), 1))).alias("quota"))
-    return cells.join(won, [group, key], "left").withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
+    x = cells.join(sums, group).where((F.col("__all") > 0) & (F.col(weight) > 0) & (F.col(seats) > 0))
+    x = stored(x.withColumn("__base", F.greatest(F.lit(0), F.floor(share * (1 - slack)) - 2).cast("long")).withColumn("__top", (F.ceil(share * (1 + slack)) + 2).cast("long")), "cells")
+    left = x.groupBy(group).agg((F.first(seats) - F.sum("__base")).alias("__rest"))
+    quotients = x.select(group, key, F.explode(F.sequence("__base", "__top")).alias("__k"), F.col(weight).alias("__w")).withColumn("__minus", -F.col("__w") / (2 * F.col("__k") + 1))
+    best = prefix_sums(quotients, [group], ["__minus", key, "__k"], []).join(left, group)
+    won = best.where(F.col("place") < F.col("__rest")).groupBy(group, key).agg(F.count("*").alias("__won"))
+    counted = x.select(group, key, "__base").join(won, [group, key], "left").select(group, key, (F.col("__base") + F.coalesce("__won", F.lit(0))).alias("quota"))
+    return cells.join(counted, [group, key], "left").withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -76,32 +77,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
 
     taken counts the words that the mix takes of the document, repeats included,
     at most `most` times its size.  Null, empty and blank texts have size 0 and
-    give nothing; the null source is a source.  Order depends on doc_id and the
-    seed alone, so that reruns agree; repeated rows are documents of their own,
-    next to each other.  Other columns are ignored; no rows give no rows.
+    give nothing; texts of any length are counted whole; the null source is a
+    source.  Order depends on doc_id, text and the seed alone, so that reruns
+    agree; repeated rows are documents of their own, next to each other.  Other
+    columns are ignored; no rows give no rows.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = stored(docs.select("doc_id", "source", words.alias("size")), "sized")
+    sized = stored(docs.select("doc_id", "source", words.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash")), "sized")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
-    everything = Win.partitionBy()
-    total = F.sum("source_size").over(everything)
-    smallest = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything)
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), total / BLOCKS, smallest / SOURCE_BLOCKS)).cast("long")
-    sources = sources.withColumn("block", F.coalesce(block, F.lit(1).cast("long"))).withColumn("blocks", F.ceil(total / F.col("block"))).withColumn("one", F.lit(1))
+    sources = stored(sources, "targets")
+    whole = sources.agg(F.sum("source_size").alias("__total"), F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).alias("__smallest"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.col("__total") / BLOCKS, F.col("__smallest") / SOURCE_BLOCKS)).cast("long")
+    sources = sources.join(F.broadcast(whole)).withColumn("block", F.coalesce(block, F.lit(1).cast("long")))  # one row
+    sources = sources.withColumn("blocks", F.ceil(F.col("__total") / F.col("block"))).withColumn("one", F.lit(1)).drop("__total", "__smallest")
     shard_words = F.greatest(F.lit(SHARD_WORDS), F.ceil((F.col("source_size") + F.col("n_docs")) / MOST_SHARDS))
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("n_docs")) / shard_words)).cast("long"))
     sources = stored(apportion(sources, "one", "sid", "target", "blocks").withColumnRenamed("quota", "source_quota"), "sources")
 
     of = _small(sources.select(F.col("source").alias("s"), "sid", "shards"))
-    placed = sized.join(of, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "sid", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards").alias("shard"))
+    placed = sized.join(of, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "sid", "hash", F.pmod("hash", "shards").alias("shard"))
     cells = placed.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"))
     facts = sources.select("sid", "source", "source_size", "target", "block", "source_quota")
-    cells = apportion(cells.join(_small(facts), "sid"), "sid", "shard", "shard_size", "source_quota")
+    cells = apportion(stored(cells.join(_small(facts), "sid"), "shards"), "sid", "shard", "shard_size", "source_quota")
     there = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")
     quota = F.least(F.col("quota"), most * F.col("there"))
     cells = cells.withColumn("there", there).withColumn("times", F.floor(quota / F.col("there"))).withColumn("more", quota % F.col("there"))
 
-    line = Win.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Win.unboundedPreceding, 0)
+    line = Win.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "hash"), "hash", "doc_id", "size").rowsBetween(Win.unboundedPreceding, 0)
     lined = placed.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
     rows = lined.join(cells.select("sid", "shard", "source", "source_size", "target", "block", "there", "times", "more"), ["sid", "shard"])
     prime = F.get(F.lit(list(_PRIMES)), F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), F.lit(len(_PRIMES))).cast("int"))

@@ -181,7 +181,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     percent * union of the sets, and component_id is the smallest doc_id reached.
     percent must be 80 or more: the bands and the cut on bits are set for that.
 
-    Null, empty and blank texts have an empty set and are their own component.
+    Null, empty and blank texts have an empty set and are their own component;
+    texts of any length are read whole.  doc_id counts as a whole number: one that
+    isn't is an error under ANSI rules, else null.
     Rows of one doc_id are one document: the links of any of its texts hold.
     A null doc_id takes part in nothing: component_id null, kept true.  Columns
     but doc_id and text are ignored, an empty table gives no rows.
@@ -218,8 +220,13 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     none, itself = F.array().cast("array<bigint>"), F.col("vid") == F.col("b")
     own = lambda c, at_center: F.when(itself, at_center).otherwise(F.col(c)).alias(c)
     mixed = stored(mixed.join(apart, ["vid", "b"], "left").select("bucket", "vid", "label", "main", "n", "bits", own("added", none), own("removed", none), own("size_b", F.col("n").cast("int"))), "mixed")
-    odd, rest = mixed.where("label <> main").alias("x"), mixed.alias("y")
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.vid") < F.col("y.vid")))
+    # sets of a bucket meet those of their own size class and the next ones, PAIRS of them in one place
+    mixed = mixed.withColumn("class", F.floor(F.log("n") / np.log(max(100 / percent, 1.01)) + 1e-9))
+    parts = mixed.groupBy("bucket", "class").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
+    rest = mixed.join(parts, ["bucket", "class"]).withColumn("part", F.pmod(F.xxhash64("vid"), "parts")).drop("parts").alias("y")
+    odd = mixed.where("label <> main").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    odd = odd.join(parts, ["bucket", "class"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").alias("x")
+    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.vid") < F.col("y.vid")))
     alike = F.coalesce(_known_alike(percent), F.lit(True))
     sure = F.col("x.removed").isNotNull() & F.col("y.removed").isNotNull()
     more = stored(odd.join(rest, across & _possible(percent) & alike).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), sure.alias("sure")).distinct(), "more")

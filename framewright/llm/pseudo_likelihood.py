@@ -44,7 +44,7 @@ OTHER, EDGE = WORDS, WORDS + 1
 #: Words whose counts are broadcast at most; the count up to which a word is rare; bits of the cells that count the others.
 NAMED, RARE, CELL_BITS = 131_072, 64, 18
 #: Offsets of the window, positions of a training step, its size, positions scored at once, tokens of a shard about.
-WINDOW, STEP_ROWS, RATE, CHUNK, SHARD_TOKENS = (-2, -1, 1, 2), 4096, 0.3, 16_384, 2_000_000
+WINDOW, STEP_ROWS, RATE, CHUNK, SHARD_TOKENS = (-2, -1, 1, 2), 4096, 0.3, 4096, 2_000_000
 #: Copies of the network that are summed in one place.
 MERGE = 64
 #: Weight of the network's share of a rare word against remembered windows.
@@ -53,32 +53,29 @@ _SHAPES = (("inner", (len(WINDOW), EDGE + 1, UNITS)), ("top", (UNITS, GROUPS + 1
 _SIZE = sum(math.prod(s) for _, s in _SHAPES)
 
 
-def _exponents(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exponents(z: np.ndarray, bounded: bool) -> np.ndarray:
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     return np.exp(z, out=z)
 
 
-def _log_softmax_at(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    at = np.arange(len(z))
-    e = _exponents(z)
-    return np.log(e[at, own] / e.sum(axis=1))
+def _at(e: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of each row's own share of its exponents."""
+    return np.log(e[np.arange(len(e)), own] / (e @ np.ones(e.shape[1], np.float32)))
 
 
-def _errors(z: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+def _errors(e: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
     """The gradient of the mean loss over so many rows: probabilities, less 1 at the own token."""
-    e = _exponents(z)
-    e *= (1 / (rows * e.sum(axis=1)))[:, None]
-    e[np.arange(len(z)), own] -= np.float32(1 / rows)
+    e *= (1 / (rows * (e @ np.ones(e.shape[1], np.float32))))[:, None]
+    e[np.arange(len(e)), own] -= np.float32(1 / rows)
     return e
 
 
-def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group of words with the places of its words."""
+def _sorted(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the words in order of their groups, and for each group its part of them."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if cuts[g] < cuts[g + 1]:
-            yield g, order[cuts[g] : cuts[g + 1]]
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    return order[: cuts[-1]], [(g, slice(cuts[g], cuts[g + 1])) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
 
 
 class Network:
@@ -107,32 +104,48 @@ class Network:
             h += self.inner[k][around[:, k]]
         return np.tanh(h, out=h)
 
+    def _bounded(self) -> bool:
+        """Whether no exponent can overflow, as units lie within 1."""
+        most = lambda weights, bias: float((np.abs(weights).sum(axis=-2) + np.abs(bias)).max())
+        return max(most(self.top, self.top_bias), most(self.outer, self.bias)) < 60
+
+    def _members(self, own: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """What the second level says of each word, whose hidden units stand in order of groups."""
+        z = np.empty((len(own), MEMBERS), np.float32)
+        for g, part in parts:
+            np.matmul(own[part], self.outer[g], out=z[part])
+            z[part] += self.bias[g]
+        return z
+
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = np.empty(len(token))
+        out, bounded = np.empty(len(token)), self._bounded()
         for a in range(0, len(token), CHUNK):
             group, member = np.divmod(token[a : a + CHUNK], MEMBERS)
             h = self.hidden(around[a : a + CHUNK])
-            part = _log_softmax_at(h @ self.top + self.top_bias, group).astype(np.float64)
-            for g, at in _by_group(group):
-                part[at] += _log_softmax_at(h[at] @ self.outer[g] + self.bias[g], member[at])
-            out[a : a + CHUNK] = part
+            logs = _at(_exponents(h @ self.top + self.top_bias, bounded), group).astype(np.float64)
+            order, parts = _sorted(group)
+            logs[order] += _at(_exponents(self._members(h[order], parts), bounded), member[order])
+            out[a : a + CHUNK] = logs
         return out
 
     def train(self, around: np.ndarray, token: np.ndarray, seen: Network) -> None:
         """One step of adaptive gradient descent; seen holds the sums of squares, in the same shape."""
-        n = len(token)
+        n, bounded = len(token), self._bounded()
         group, member = np.divmod(token, MEMBERS)
         h = self.hidden(around)
-        g1 = _errors(h @ self.top + self.top_bias, group, n)
+        g1 = _errors(_exponents(h @ self.top + self.top_bias, bounded), group, n)
         back = g1 @ self.top.T
-        changes = []
-        for g, at in _by_group(group):
-            own = h[at]
-            g2 = _errors(own @ self.outer[g] + self.bias[g], member[at], n)
-            back[at] += g2 @ self.outer[g].T
-            changes += [(self.outer[g], own.T @ g2, seen.outer[g]), (self.bias[g], g2.sum(axis=0), seen.bias[g])]
+        order, parts = _sorted(group)
+        own = h[order]
+        g2 = _errors(_exponents(self._members(own, parts), bounded), member[order], n)
+        down, outer, bias = np.empty_like(own), np.zeros_like(self.outer), np.zeros_like(self.bias)
+        for g, part in parts:
+            np.matmul(g2[part], self.outer[g].T, out=down[part])
+            np.matmul(own[part].T, g2[part], out=outer[g])
+            np.matmul(np.ones(part.stop - part.start, np.float32), g2[part], out=bias[g])
+        back[order] += down
         back *= 1 - h * h
-        for part, grad, sum_ in [(self.top, h.T @ g1, seen.top), (self.top_bias, g1.sum(axis=0), seen.top_bias), *changes]:
+        for part, grad, sum_ in ((self.top, h.T @ g1, seen.top), (self.top_bias, g1.sum(axis=0), seen.top_bias), (self.outer, outer, seen.outer), (self.bias, bias, seen.bias)):
             sum_ += grad * grad
             part -= RATE * grad / (np.sqrt(sum_) + 1e-6)
         # of the embeddings only those in the windows change: their gradients are summed over equal tokens
@@ -149,15 +162,16 @@ class Network:
 
 @dataclass
 class Model:
-    """The words whose counts are known, in order of their hashes, the cells that count all others, and the network.
+    """The words that are tokens and those whose counts are known, in order of their hashes, the cells that count all others, and the network.
 
-    share: log of a word's part of OTHER, 0 for words that are tokens;
-    cell_share: the same for a word of each cell; rare_share: log of the part of
-    OTHER that is rare words; counts: of the tokens.
+    share: log of a known word's part of OTHER; cell_share: the same for a word of
+    each cell; rare_share: log of the part of OTHER that is rare words; counts: of
+    the tokens.
     """
 
+    top_hashes: np.ndarray
+    top_tokens: np.ndarray
     hashes: np.ndarray
-    token: np.ndarray
     share: np.ndarray
     rare: np.ndarray
     cell_share: np.ndarray
@@ -165,16 +179,28 @@ class Model:
     counts: np.ndarray
     weights: np.ndarray
 
-    def tokens(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token, log share and rarity of each word hash."""
-        token, rare = np.full(len(h), OTHER, np.int32), np.ones(len(h), bool)
-        share = self.cell_share[h >> np.uint64(64 - CELL_BITS)].astype(np.float64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            at = at[known]
-            token[known], share[known], rare[known] = self.token[at], self.share[at], self.rare[at]
-        return token, share, rare
+    def tokens(self, h: np.ndarray) -> np.ndarray:
+        """The token of each word hash."""
+        return _found(self.top_hashes, self.top_tokens, h, OTHER)
+
+    def shares(self, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log share and rarity of each word hash."""
+        share, rare = np.zeros(len(h)), np.zeros(len(h), bool)
+        others = np.flatnonzero(token == OTHER)
+        h = h[others]
+        place = _found(self.hashes, np.arange(len(self.hashes), dtype=np.int32), h, -1)
+        named = place >= 0
+        share[others] = np.where(named, self.share[place] if len(self.share) else 0, self.cell_share[h >> np.uint64(64 - CELL_BITS)])
+        rare[others] = ~named | (self.rare[place] if len(self.rare) else True)
+        return share, rare
+
+
+def _found(hashes: np.ndarray, values: np.ndarray, h: np.ndarray, otherwise: int) -> np.ndarray:
+    """The value of each hash in a sorted table."""
+    if not len(hashes):
+        return np.full(len(h), otherwise, np.int32)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, values[at], np.int32(otherwise))
 
 
 def _word_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -200,20 +226,26 @@ def _windows(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    """Word hashes with their counts, summed over a task as far as 2 million of them go."""
-    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """Word hashes with their counts, summed over a task as far as 2 million of them go; new ones are merged when they are as many as the old."""
+    h, n, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def merged():
+        every, inverse = np.unique(np.concatenate([h, *(x for x, _ in new)]), return_inverse=True)
+        return every, np.bincount(inverse, np.concatenate([n, *(c for _, c in new)]), len(every)).astype(np.int64)
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     for batch in batches:
         for _, own, _ in _word_slices(batch.column(0)):
-            new, count = np.unique(own, return_counts=True)
-            h, inverse = np.unique(np.concatenate([h, new]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n, count]), len(h)).astype(np.int64)
+            new.append(np.unique(own, return_counts=True))
+            if sum(len(x) for x, _ in new) > max(len(h), 1 << 19):
+                h, n = merged()
+                new = []
             if len(h) > 2_000_000:
                 yield out()
                 h, n = h[:0], n[:0]
+    h, n = merged()
     yield out()
 
 
@@ -242,14 +274,14 @@ def vocabulary(docs: DataFrame) -> Model:
     at, in_cell, different = (cells.column(c).to_numpy() for c in ("cell", "n", "words"))
     totals = np.bincount(token, n, OTHER + 1)
     totals[OTHER] += in_cell.sum()
-    low = (n <= RARE) & (token == OTHER)
     every = max(totals[OTHER], 1)
     cell_share = np.full(1 << CELL_BITS, -np.log(every + 1))
     cell_share[at] = np.log(in_cell / different / every)
-    share = np.where(token == OTHER, np.log(n / every), 0)
-    rare_share = float(np.log(max(n[low].sum() + in_cell.sum(), 1) / every))
-    by_hash = np.argsort(h)
-    return Model(h[by_hash], token[by_hash], share[by_hash].astype(np.float32), low[by_hash], cell_share.astype(np.float32), rare_share, totals, Network.fresh(totals).data)
+    top, known, low = h[:WORDS], h[WORDS:], n[WORDS:] <= RARE
+    rare_share = float(np.log(max(n[WORDS:][low].sum() + in_cell.sum(), 1) / every))
+    by_top, by_hash = np.argsort(top), np.argsort(known)
+    share = np.log(n[WORDS:] / every)[by_hash].astype(np.float32)
+    return Model(top[by_top], by_top.astype(np.int32), known[by_hash], share, low[by_hash], cell_share.astype(np.float32), rare_share, totals, Network.fresh(totals).data)
 
 
 def _encoder(shared):
@@ -258,7 +290,7 @@ def _encoder(shared):
         for batch in batches:
             for a, h, first in _word_slices(batch.column(1)):
                 rows = len(first) - 1
-                stream, _ = _stream(model.tokens(h)[0].astype(np.uint16), first, EDGE)
+                stream, _ = _stream(model.tokens(h).astype(np.uint16), first, EDGE)
                 cut = first + 2 * np.arange(rows + 1) + 2
                 keep = np.flatnonzero(np.diff(first))
                 blobs = [stream[cut[r] - 2 : cut[r + 1] - 2].tobytes() for r in keep]
@@ -398,7 +430,8 @@ def _scorer(shared):
         for batch in batches:
             for a, h, first in _word_slices(batch.column(1)):
                 rows = len(first) - 1
-                token, share, rare = model.tokens(h)
+                token = model.tokens(h)
+                share, rare = model.shares(h, token)
                 stream, at = _stream(token, first, EDGE)
                 logs = share.copy()
                 for c in range(0, len(token), 1 << 16):

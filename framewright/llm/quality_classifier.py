@@ -100,13 +100,15 @@ def _learn(batches):
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights learnt from at most SAMPLE labelled documents, those of the smallest hashes of doc_id, in that order.
 
-    ``labels`` is ``(doc_id, quality)``; rows with nulls are left out; no labels give weights of 0.
+    ``labels`` is ``(doc_id, quality)``; rows with nulls are left out; no labels
+    give weights of 0.  Of rows of one doc_id the smallest text counts, so that
+    SAMPLE bounds what is learnt; texts of any length are learnt whole.
     """
     small_batches(docs.sparkSession)
     place = F.xxhash64(F.lit(3), "doc_id")
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where("doc_id is not null and label is not null")
     chosen = known.withColumn("place", place).orderBy("place", "doc_id", "label").limit(SAMPLE)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("place", "doc_id", "label").agg(F.min("text").alias("text")).select("place", "label", "text")
     rows = texts.mapInArrow(W.released(_featurise), "place long, label double, i array<int>, x array<float>")
     got = rows.repartition(1).sortWithinPartitions("place", "label", "i").mapInArrow(W.released(_learn), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(1 << BITS, np.float32)
@@ -128,7 +130,8 @@ def _scorer(shared):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``(doc_id, text)`` -> doc_id and score, the probability of quality 1.
 
-    Null and empty texts have the constant alone.  Repeated rows get equal
+    Null and empty texts have the constant alone; texts of any length are read
+    whole.  Repeated rows get equal
     scores, other columns are ignored, no rows give no rows.
     """
     small_batches(docs.sparkSession)

@@ -1,12 +1,15 @@
 """Secret scans: candidates by shape or by name, false positives removed by a random forest.
 
 Words of SHORTEST characters or more are candidates by their shape; whatever is
-assigned to a secret word or follows one is a candidate of any length and of any
-characters up to the next white space.
+assigned to a secret word, follows one or stands as a password in an address is a
+candidate of any length and of any characters up to the next white space; a
+private key in its frame is one candidate over its lines.
 Candidates, features and votes are expressions inside the document's row: no
-shuffle, no Python, whatever the number of findings.  The forest is trained by
-MLlib on labelled findings (by default a bounded set that generated() makes by
-rule), then read out as plain arrays, so that scoring needs no model object.
+shuffle, no Python, whatever the number of findings.  The words that a candidate
+is compared with are those of most documents, counted once over the corpus.  The
+forest is trained by MLlib on labelled findings (by default a bounded set that
+generated() makes by rule from public formats), then read out as plain arrays, so
+that scoring needs no model object.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from pyspark.sql import functions as F
 from framewright.llm.decontaminate import with_chars
 from framewright.llm.store import stored
 
-#: Labelled findings the forest is trained on, trees and their depth.
-FINDINGS, TREES, DEPTH = 8_000, 15, 7
+#: Labelled findings the forest is trained on at most, trees and their depth.
+FINDINGS, TREES, DEPTH = 8_000, 15, 9
+#: Words of the corpus that the dictionary takes at most, and documents that must have a word.
+COMMON, COMMON_DOCS = 2_000, 5
 #: Shortest candidate by shape, and the share of votes from which it is a secret.
 SHORTEST, THRESHOLD = 14, 0.5
 MASK = "[SECRET]"
 
-#: Words that name secrets, words that name harmless codes, prefixes of issued keys, and a small dictionary.
-SECRET_WORDS = "token|secret|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
+#: Words that name secrets, words that name harmless codes, prefixes of issued keys, and words that any dictionary has.
+SECRET_WORDS = "token|secret|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[ _-]?key|auth|bearer|credential"
 HARMLESS_WORDS = "sha1|sha256|sha512|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|fingerprint|blob|example|sample|placeholder|card|phone|order|invoice|isbn|serial|session"
 ISSUED = "^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|npm_|pypi-|hf_|eyJ|SG[.])"
 EMPTY_VALUES = "x{4,}|0{6,}|1234567|abcdefg|your|change|example|dummy|sample|placeholder|todo|none|null|redacted|test"
@@ -47,6 +52,9 @@ DICTIONARY = (
 #: Dictionary words that don't name secrets.
 PLAIN = [w for w in DICTIONARY if not re.search(SECRET_WORDS, w)]
 
+#: A private key in its frame; what an address has between a colon and the at sign.
+_BLOCK = "(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[^-]+-----END [A-Z0-9 ]*PRIVATE KEY-----)"
+_ADDRESS = "(?i)[a-z][a-z0-9+.-]*://[^\\s/:@]*:(?=([^\\s/@]+)@)"
 #: A name of a secret in a word, with what may stand between it and a sign; a sign; a name at the end of a word; a word that only links.
 _NAME = f"(?i)(?:{SECRET_WORDS})[\\w.-]*[\"'`)\\]]*"
 _SIGN = "(?:[=:]+>?|->)"
@@ -69,13 +77,13 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
 
 
-def _features(value: Column, before: Column, near: Column, after: Column, place: Column, named: Column) -> Column:
-    """The features of a candidate, from itself, what its word has before it, the words around it and the path."""
+def _features(value: Column, before: Column, near: Column, after: Column, place: Column, named: Column, words: tuple[str, ...]) -> Column:
+    """The features of a candidate, from itself, what its word has before it, the words around it, the path and the dictionary."""
     n = F.length(value)
     share = lambda chars: (n - F.length(F.regexp_replace(value, chars, ""))) / n
     classes = F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_~.=", "A" * 26 + "a" * 26 + "0" * 10 + "-" * 6)
-    parts = F.filter(F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+"), lambda w: F.length(w) > 2)
-    known = F.filter(parts, lambda w: F.array_contains(F.lit(DICTIONARY), w))
+    parts = F.filter(F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
+    known = F.filter(parts, lambda w: w.isin(*words))
     around = F.lower(F.concat_ws(" ", near, before))
     return F.array(
         F.least(n, F.lit(200)).cast("double"),
@@ -107,8 +115,8 @@ def _value(rest: Column) -> Column:
     return F.when(quoted != "", quoted).otherwise(F.regexp_replace(F.regexp_replace(rest, "^[=:>(\\[{\"'`]+", ""), "[,;.)\\]}>\"'`]+$", ""))
 
 
-def _candidates(text: Column, place: Column) -> Column:
-    """Array of (value, word_no, features) of the candidates of a text, in order."""
+def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Column:
+    """Array of (value, word_no, features) of the candidates of a text: private keys, then others in order.  A value that a word has twice counts once."""
     words = F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+")
     names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}")
     word_of = lambda all_words, i, k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
@@ -120,7 +128,7 @@ def _candidates(text: Column, place: Column) -> Column:
     def of_word(w: Column, i: Column, next_one: Column, all_words: Column) -> Column:
         near = F.concat_ws(" ", word_of(all_words, i, -3), word_of(all_words, i, -2), word_of(all_words, i, -1))
         at = lambda v, rest: F.length(w) - F.length(rest) + F.position(v, rest) - 1
-        rests = F.concat(F.regexp_extract_all(w, F.lit(_ASSIGNED)), F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(F.array().cast("array<string>")))
+        rests = F.concat(F.regexp_extract_all(w, F.lit(_ADDRESS)), F.regexp_extract_all(w, F.lit(_ASSIGNED)), F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(F.array().cast("array<string>")))
         named = F.filter(F.transform(rests, lambda r: _let(_value(r), lambda v: F.struct(at(v, r).alias("at"), v.alias("value"), F.lit(True).alias("named")))), lambda c: c["value"] != "")
         shaped = F.filter(F.regexp_extract_all(w, F.lit(f"({_CANDIDATE})")), lambda v: (F.length(v) >= SHORTEST) & v.rlike("[0-9]|.[A-Z]"))
 
@@ -128,81 +136,126 @@ def _candidates(text: Column, place: Column) -> Column:
             others = F.filter(F.array_distinct(shaped), lambda v: ~F.exists(by_name, lambda c: c["value"] == v))
             return F.array_sort(F.array_distinct(F.concat(by_name, F.transform(others, lambda v: F.struct((F.position(v, w) - 1).alias("at"), v.alias("value"), F.lit(False).alias("named"))))))
 
-        whole = lambda c: F.struct(c["value"].alias("value"), i.alias("word_no"), _features(c["value"], F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), place, c["named"]).alias("x"))
+        whole = lambda c: F.struct(c["value"].alias("value"), i.alias("word_no"), _features(c["value"], F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), place, c["named"], dictionary).alias("x"))
         return F.transform(_let(named, both), whole)
 
     def found(all_words: Column, names: Column) -> Column:
         def taken(w: Column, i: Column) -> Column:
             next_one = names & follows(i, all_words)
-            named = names & (follows(i, all_words) | w.rlike(_ASSIGNED))
+            named = names & (follows(i, all_words) | w.rlike(_ASSIGNED)) | w.rlike(_ADDRESS)
             return F.when((F.length(w) >= SHORTEST) | named, F.struct(w.alias("w"), i.alias("i"), next_one.alias("next_one")))
 
         return F.flatten(F.transform(F.filter(F.transform(all_words, taken), lambda e: e.isNotNull()), lambda e: of_word(e["w"], e["i"], e["next_one"], all_words)))
 
     # bound once: within the words it would be taken again for each
-    return _let(F.struct(words.alias("words"), names.alias("names")), lambda t: _let(t["words"], lambda all_words: found(all_words, t["names"])))
+    others = _let(F.struct(words.alias("words"), names.alias("names")), lambda t: _let(t["words"], lambda all_words: found(all_words, t["names"])))
+    at = lambda v: F.size(F.split(F.left(text, F.position(v, text)), "[ \\t-\\r]+")) - 1
+    none, frame = F.lit(""), F.lit("private key")
+    key = lambda v: F.struct(v.alias("value"), at(v).alias("word_no"), _features(v, none, frame, none, place, F.lit(True), dictionary).alias("x"))
+    keys = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_BLOCK))), key))
+    return _let(others, lambda o: F.when(keys.isNull(), o).otherwise(F.concat(keys, o)))
+
+
+def common_words(docs: DataFrame) -> tuple[str, ...]:
+    """The dictionary: DICTIONARY, and of the words of three letters or more those that most documents have, COMMON at most and none of under COMMON_DOCS documents."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: (F.length(w) > 2) & (F.length(w) <= 24))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    return tuple(sorted({*DICTIONARY, *(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect())}))
 
 
 def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers, each text with one finding."""
+    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers, each text with one finding.
+
+    Secrets have the forms that issuers and configuration files publish: issued
+    keys by their prefixes, random values and passwords assigned to names, told in
+    prose or set in addresses, and private keys.  What isn't one are digests,
+    identifiers, addresses, paths, numbers, placeholders, certificates, and the
+    words that stand after a secret word in prose.
+    """
     seeded = lambda k: F.concat(F.lit(f"{k}-"), F.col("id").cast("string"))
+    hashed = lambda k, most: F.pmod(F.xxhash64(seeded(k)), F.lit(most))
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    pick = lambda k, *of: F.element_at(F.array(*map(text, of)), (hashed(k, len(of)) + 1).cast("int"))
+    entry = lambda k, of=DICTIONARY: F.element_at(F.lit(of), (hashed(k, len(of)) + 1).cast("int"))
+    count = lambda k, low, high: (hashed(k, high - low + 1) + low).cast("int")
+    number = lambda k, low, high: count(k, low, high).cast("string")
+    cut = lambda s, k, low, high: F.substr(s, F.lit(1), count(k, low, high))
+    part = lambda s, at, n: F.substring(s, at, n)
+    join = lambda *of: F.concat(*map(text, of))
+    line = lambda *of: F.concat_ws(" ", *map(text, of))
+
     hex40, hex32, hex64 = F.sha1(seeded(1)), F.md5(seeded(2)), F.sha2(seeded(3), 256)
-    base = F.regexp_replace(F.base64(F.unhex(F.sha2(seeded(4), 384))), "=", "")
-    letters = F.regexp_replace(base, "[+/]", "Q")
-    upper = F.upper(letters)
-    number = F.substring(F.concat(F.abs(F.xxhash64(seeded(5))).cast("string"), F.abs(F.xxhash64(seeded(6))).cast("string")), 1, 16)
-    entry = lambda k: F.element_at(F.lit(DICTIONARY), (F.pmod(F.xxhash64(seeded(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    pick = lambda k, *of: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in of]), (F.pmod(F.xxhash64(seeded(k)), F.lit(len(of))) + 1).cast("int"))
-    name = pick(7, "token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "db_password", "credential")
-    n = lambda k, low, high: (F.pmod(F.xxhash64(seeded(k)), F.lit(high - low + 1)) + low).cast("int")
-    cut = lambda s, k, low, high: F.substr(s, F.lit(1), n(k, low, high))
-    random = pick(8, cut(hex40, 9, 16, 40), cut(hex32, 9, 16, 32), cut(letters, 9, 18, 44), cut(base, 9, 20, 60), hex40)
-    sign = pick(10, "=", " = ", ": ", ":", " = ")
-    quote = pick(11, '"', "'", "", '"')
-    issued = F.concat(pick(12, "AKIA", "ASIA", "AKIA"), F.substring(upper, 1, 16))
-    other = pick(13, F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("sk-"), F.substring(letters, 1, 48)), F.concat(F.lit("AIza"), F.substring(letters, 1, 35)), F.concat(F.lit("xoxb-"), number, F.lit("-"), F.substring(letters, 1, 24)), F.concat(F.lit("eyJ"), F.substring(letters, 1, 30), F.lit("."), F.substring(base, 1, 40)), F.concat(F.lit("glpat-"), F.substring(letters, 1, 20)))
-    uuid = F.concat_ws("-", F.substring(hex32, 1, 8), F.substring(hex32, 9, 4), F.substring(hex32, 13, 4), F.substring(hex32, 17, 4), F.substring(hex32, 21, 12))
-    harmless = pick(14, "commit", "sha256:", "md5", "checksum", "digest", "revision", "etag", "blob", "uuid", "hash")
-    route = F.concat_ws("/", entry(15), entry(16), entry(17), F.concat(entry(18), n(19, 1, 99).cast("string"), pick(20, ".java", ".py", ".html", ".js", "")))
-    camel = F.concat(entry(15), F.initcap(entry(16)), F.initcap(entry(17)), n(19, 1, 99).cast("string"))
-    snake = F.concat_ws("_", entry(15), entry(16), entry(17), n(19, 1, 999).cast("string"))
-    mail = F.concat(entry(15), F.lit("."), n(19, 1, 99).cast("string"), F.lit("@mail"), n(21, 1, 9).cast("string"), F.lit(".example.com"))
-    site = F.concat(F.lit("https://www."), entry(15), n(19, 1, 99).cast("string"), F.lit(".example.org/"), route)
-    hollow = F.concat(name, sign, quote, pick(22, "YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxx1", "0000000000000000", "example1234567890", "changeme12345678", "<your-api-key-1234>", "test_password_123", "dummySecretValue1"), quote)
-    syllable = lambda k: pick(k, "tion", "ther", "en", "re", "la", "mi", "so", "ung", "ver", "eau", "ing", "ble", "ent", "or", "ha", "de")
-    spoken = F.concat(*[syllable(k) for k in range(40, 45)], F.when(n(45, 0, 1) == 1, F.concat(syllable(46), syllable(47))).otherwise(""))
-    shouted = F.concat(F.upper(F.concat(spoken, syllable(48))), pick(49, "!!", "", "!", ".", "***"))
-    joined = F.concat(F.initcap(spoken), pick(50, "-", "/", "_", "."), F.initcap(F.concat(syllable(51), syllable(52), syllable(53))))
-    title = pick(60, "password", "token", "secret", "passphrase", "credential", "passwd", "pwd")
-    mixed = cut(F.substring(letters, 20, 44), 61, 6, 13)
-    signs = lambda k: pick(k, "!", "@", "#", "$", "%", "&", "*", "?", "^", "+")
-    signed = F.concat(cut(F.substring(letters, 5, 9), 62, 2, 5), signs(63), cut(F.substring(hex32, 7, 9), 64, 2, 5), signs(65), pick(66, "", F.substring(number, 3, 2), F.substring(letters, 14, 5)))
-    phrase = F.concat(syllable(68), syllable(69), syllable(70), pick(67, "", "", "-", "_"), syllable(71), syllable(72), syllable(73), pick(74, "", "", F.substring(number, 1, 2)))
-    short = F.concat(pick(75, name, title), pick(76, "=", ": ", ":", " = "), quote, pick(77, mixed, signed, phrase, mixed, signed, cut(hex32, 78, 8, 13), F.substring(letters, 9, 4)), quote)
-    told = F.concat_ws(" ", F.concat(title, pick(79, "", " is", "", ":")), F.concat(pick(80, mixed, signed, signed), pick(81, "", ".", "")))
-    # what follows a secret word in prose, or is said of it, and values that are none
-    said = F.concat_ws(" ", F.concat(title, pick(82, "", "", "s", " is")), pick(83, "of", "in", "the", "for", "and", "to", "was", F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.concat(syllable(85), syllable(86)), F.concat(syllable(85), syllable(86), syllable(87), syllable(88))))
-    vain = F.concat(pick(75, name, title), pick(76, "=", ": ", ":", " = "), quote, pick(89, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.element_at(F.lit(PLAIN), n(84, 1, len(PLAIN))), F.concat(syllable(85), syllable(86)), "the"), quote)
-    positive = [short, short, told, F.concat(name, sign, quote, random, quote), F.concat(name, sign, quote, random, quote), issued, other, F.concat(F.lit("password="), cut(hex40, 9, 16, 24)), F.concat(F.lit('token = "'), hex40, F.lit('"'))]
+    base64 = F.regexp_replace(F.base64(F.unhex(F.sha2(seeded(4), 384))), "=", "")
+    letters = F.regexp_replace(base64, "[+/]", "Q")
+    digits = part(join(F.abs(F.xxhash64(seeded(5))).cast("string"), F.abs(F.xxhash64(seeded(6))).cast("string")), 1, 16)
+    uuid = F.concat_ws("-", part(hex32, 1, 8), part(hex32, 9, 4), part(hex32, 13, 4), part(hex32, 17, 4), part(hex32, 21, 12))
+    # invented words: consonants and vowels in turn
+    syllable = lambda k: join(pick(k, *"bcdfghklmnprstvz"), pick(k + 100, *"aeiou"), pick(k + 200, "", "", "n", "r", "s"))
+    spoken = join(*[syllable(k) for k in range(400, 404)], F.when(hashed(405, 2) == 1, join(syllable(406), syllable(407))).otherwise(""))
+    signs = lambda k: pick(k, *"!@#$%&*?^+")
+
+    name = pick(10, "token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "db_password", "credential", "apikey", "passwd", "DB_PASS_PASSWORD", "SECRET_KEY")
+    title = pick(11, "password", "token", "secret", "passphrase", "credential", "passwd", "pwd")
+    sign, quote = pick(12, "=", " = ", ": ", ":", " = "), pick(13, '"', "'", "", '"')
+    set_to = lambda value: join(pick(14, name, title), sign, quote, value, quote)
+
+    random = pick(20, cut(hex40, 21, 16, 40), cut(hex32, 21, 16, 32), cut(letters, 21, 14, 44), cut(base64, 21, 20, 60), hex40)
+    mixed = cut(part(letters, 20, 44), 22, 6, 13)
+    signed = join(cut(part(letters, 5, 9), 23, 2, 5), signs(24), cut(part(hex32, 7, 9), 25, 2, 5), signs(26), pick(27, "", part(digits, 3, 2), part(letters, 14, 5)))
+    # passwords that people make: words, capitals, figures for letters, signs
+    two, capital = join(entry(30, PLAIN), pick(31, "", "", "-", "_"), entry(32, PLAIN)), F.initcap(entry(30, PLAIN))
+    made = pick(
+        33, join(entry(30, PLAIN), number(34, 1, 9), entry(32, PLAIN)), join(two, entry(35, PLAIN), entry(36, PLAIN)), join(spoken, number(34, 1, 99)), join(capital, signs(37), number(34, 1, 9999)),
+        F.translate(join(capital, signs(37), F.initcap(entry(32, PLAIN)), number(34, 1, 99)), "aeo", "430"), join(syllable(38), syllable(39), signs(37), number(34, 10, 9999)), join(spoken, syllable(40), syllable(41)),
+    )
+    human = pick(42, mixed, signed, made, made, cut(hex32, 43, 8, 13), part(letters, 9, 4))
+    told = line(join(title, pick(44, "", " is", "", ":")), join(pick(45, mixed, signed, signed), pick(46, "", ".", "")))
+    user = pick(50, "admin", "root", "user", "app", entry(51))
+    host = join(pick(52, "db", "mail", "cache", entry(53)), ".", entry(54), pick(55, ".com:5432", ".org", ".internal:6379", ".net"))
+    scheme = pick(56, "postgres", "mysql", "redis", "amqp", "https", "mongodb", "ftp")
+    address = lambda password: join(scheme, "://", user, ":", password, "@", host, pick(57, "", "/", join("/", entry(58))))
+    issued = pick(
+        60, join(pick(61, "AKIA", "ASIA"), part(F.upper(letters), 1, 16)), join(pick(61, "ghp_", "gho_", "ghs_"), part(letters, 1, 36)), join("sk-", part(letters, 1, 48)), join("AIza", part(letters, 1, 35)),
+        join("xoxb-", digits, "-", part(letters, 1, 24)), join("eyJ", part(letters, 1, 30), ".", part(base64, 1, 40)), join("glpat-", part(letters, 1, 20)), join("sk_live_", part(letters, 1, 24)), join("npm_", part(letters, 1, 36)),
+    )
+    frame = lambda kind, *body: F.concat_ws("\n", join("-----BEGIN ", kind, "-----"), *body, join("-----END ", kind, "-----"))
+    lines = [part(F.base64(F.unhex(join(F.sha2(seeded(k), 512)))), 1, 64) for k in (62, 63, 64)]
+    private = frame(pick(65, "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"), *lines)
+    bare = pick(66, cut(letters, 67, 16, 40), join(part(letters, 3, 9), "-", part(letters, 14, 9)))
+
+    harmless = pick(70, "commit", "sha256:", "md5", "checksum", "digest", "revision", "etag", "blob", "uuid", "hash")
+    route = F.concat_ws("/", entry(71), entry(72), entry(73), join(entry(74), number(75, 1, 99), pick(76, ".java", ".py", ".html", ".js", "")))
+    camel = join(entry(71), F.initcap(entry(72)), F.initcap(entry(73)), number(75, 1, 99))
+    snake = F.concat_ws("_", entry(71), entry(72), entry(73), number(75, 1, 999))
+    mail = join(entry(71), ".", number(75, 1, 99), "@mail", number(77, 1, 9), ".example.com")
+    site = join("https://www.", entry(71), number(75, 1, 99), ".example.org", pick(78, "", ":8080"), "/", route)
+    build = F.concat_ws("-", entry(71), entry(72), number(75, 100, 999), number(77, 1, 99))
+    hollow = pick(79, "YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxx1", "0000000000000000", "example1234567890", "changeme12345678", "<your-api-key-1234>", "test_password_123", "dummySecretValue1")
+    shouted = join(F.upper(join(spoken, syllable(408))), pick(80, "!!", "", "!", ".", "***"))
+    joined = join(F.initcap(spoken), pick(81, "-", "/", "_", "."), F.initcap(join(syllable(409), syllable(410), syllable(411))))
+    after = pick(82, "of", "in", "the", "for", "and", "to", "was", entry(83, PLAIN), join(syllable(84), syllable(85)), join(syllable(84), syllable(85), syllable(86)))
+    said = line(join(title, pick(87, "", "", "s", " is")), after)
+    void = pick(88, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", entry(83, PLAIN), entry(83, PLAIN), join(syllable(84), syllable(85)), "the", "password", "${PASSWORD}", "$DB_PASSWORD", "os.environ")
+    certificate = frame(pick(89, "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"), *lines)
+
+    positive = [set_to(human), set_to(human), told, set_to(random), set_to(random), issued, line(pick(90, "key", "login", "with"), issued), address(pick(91, human, random, human)), private, bare]
     negative = [
-        F.concat_ws(" ", harmless, pick(23, hex40, hex32, hex64)), uuid, F.concat_ws(" ", pick(24, "uuid", "order", "session", "id"), uuid), mail, site, route, camel, snake, number,
-        F.concat_ws(" ", pick(25, "card", "invoice", "phone", "serial"), number), hollow, pick(23, hex40, hex32, hex64), F.concat(entry(15), F.lit("."), F.substring(hex32, 1, 8), F.lit(".chunk.js")),
-        F.concat_ws("-", entry(15), entry(16), n(19, 100, 999).cast("string"), n(21, 1, 99).cast("string")),
-        shouted, shouted, joined, said, said, said, vain, vain, vain,
+        line(harmless, pick(92, hex40, hex32, hex64)), line(pick(93, "", "uuid", "order", "session", "id"), uuid), mail, site, route, camel, snake, line(pick(94, "", "card", "invoice", "phone", "serial"), digits),
+        set_to(hollow), pick(92, hex40, hex32, hex64), join(entry(71), ".", part(hex32, 1, 8), ".chunk.js"), build, shouted, shouted, joined, joined, said, said, said, set_to(void), set_to(void), set_to(void), address(void), certificate,
     ]
-    made = spark.range(0, rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
-    finding = F.when(F.col("label") == 1, pick(26, *positive)).otherwise(pick(27, *negative))
+    rows = spark.range(0, rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
+    finding = F.when(F.col("label") == 1, pick(95, *positive)).otherwise(pick(96, *negative))
     # no secret words in the prose: what follows them would be labelled too
-    plain = lambda k: F.element_at(F.lit(PLAIN), (F.pmod(F.xxhash64(seeded(k)), F.lit(len(PLAIN))) + 1).cast("int"))
-    prose = lambda k: F.concat_ws(" ", plain(k), plain(k + 1), plain(k + 2))
-    path = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64(seeded(28)), F.lit(10)) == 0), "tests/fixtures/a.txt").otherwise(pick(29, "src0", "src1", "web", "forum"))
-    return made.select(F.concat_ws(" ", prose(30), finding, prose(33)).alias("text"), path.alias("path"), "label")
+    prose = lambda k: line(*[pick(k + i, entry(k + i + 300, PLAIN), syllable(k + i + 320)) for i in range(3)])
+    path = F.when((F.col("label") == 0) & (hashed(97, 10) == 0), "tests/fixtures/a.txt").otherwise(pick(98, "src0", "src1", "web", "forum"))
+    return rows.select(line(prose(500), finding, prose(510)).alias("text"), path.alias("path"), "label")
 
 
 class Forest:
-    """Trees as parallel arrays: feature (-1 at a leaf), threshold, children, share of positives; roots."""
+    """Trees as parallel arrays: feature (-1 at a leaf), threshold, children, share of positives; roots; the dictionary of the features."""
 
-    def __init__(self, trees):
+    def __init__(self, trees, words: tuple[str, ...] = tuple(DICTIONARY)):
+        self.words = words
         self.feature, self.threshold, self.left, self.right, self.share, self.roots = [], [], [], [], [], []
         for tree in trees:
             self.roots.append(self._add(tree))
@@ -229,43 +282,49 @@ class Forest:
 _forests: dict[tuple, Forest] = {}
 
 
-def train(findings: DataFrame, seed: int = 17) -> Forest:
+def train(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), seed: int = 17) -> Forest:
     """A forest from labelled findings ``(text, path, label)``; every candidate of a text has its label.
 
-    The findings are a bounded table (by default FINDINGS rows) in one partition,
-    so that equal findings give an equal forest.
+    At most FINDINGS of them are taken, those of the smallest hashes, in that
+    order, so that equal findings give an equal forest.  Nulls in text or label
+    teach nothing; both labels must occur.
     """
-    rows = findings.select(F.explode(_candidates(F.col("text"), F.col("path"))).alias("c"), F.col("label"))
-    flat = stored(rows.select(*[F.get("c.x", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)], "label").coalesce(1), "findings")
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
+    rows = findings.where("text is not null and label is not null").select("text", F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("double").alias("label"))
+    chosen = rows.orderBy(F.xxhash64("text", "path", "label"), "text", "path", "label").limit(FINDINGS)
+    flat = chosen.select(F.explode(_candidates(F.col("text"), F.col("path"), words)).alias("c"), "label")
+    flat = stored(flat.select(*[F.get("c.x", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)], "label"), "findings")
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat.coalesce(1))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="sqrt", subsamplingRate=0.8, seed=seed).fit(data)
-    return Forest([t.rootNode() for t in model._java_obj.trees()])
+    return Forest([t.rootNode() for t in model._java_obj.trees()], words)
 
 
-def default_forest(spark: SparkSession) -> Forest:
-    """The forest of the generated findings, trained once per process; equal parameters give equal forests."""
-    key = (FINDINGS, TREES, DEPTH)
+def default_forest(docs: DataFrame) -> Forest:
+    """The forest of the generated findings for the dictionary of docs, trained once per process and dictionary."""
+    words = common_words(docs)
+    key = (FINDINGS, TREES, DEPTH, words)
     if key not in _forests:
-        _forests[key] = train(generated(spark))
+        _forests[key] = train(generated(docs.sparkSession), words)
     return _forests[key]
 
 
 def found(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> Column:
-    """Array of (value, word_no, score) of the candidates of a row's text in order, copies included.
+    """Array of (value, word_no, score) of the candidates of a row's text: private keys, then others in order, a value once per word.
 
     path names a column whose value stands for the place of the text, used where
     it exists.  Null and empty texts have no candidates.
     """
-    forest = forest or default_forest(docs.sparkSession)
+    forest = forest or default_forest(docs)
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    return F.transform(_candidates(F.col("text"), place), lambda c: F.struct(c["value"].alias("value"), c["word_no"].alias("word_no"), forest.score(c["x"]).alias("score")))
+    return F.transform(_candidates(F.col("text"), place, forest.words), lambda c: F.struct(c["value"].alias("value"), c["word_no"].alias("word_no"), forest.score(c["x"]).alias("score")))
 
 
 def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """A row per candidate: doc_id, finding_no (0.. in the document), word_no, length, value_sha256, score, is_secret.
 
-    The value itself isn't returned.  Documents without candidates have no row;
-    repeated rows repeat their findings; other columns are ignored.
+    The value itself isn't returned.  Documents without candidates have no row, nor
+    has an empty table; repeated rows repeat their findings, and equal scores
+    stand in order of the text; texts of any length are scanned whole, within
+    their row; other columns are ignored.
     """
     rows = docs.select("doc_id", F.posexplode(found(docs, forest)).alias("finding_no", "f"))
     score = F.round("f.score", 6)
@@ -273,7 +332,12 @@ def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with every occurrence of a secret in its text replaced by [SECRET], of one under SHORTEST where no letter or digit adjoins; all rows and columns stay, n_chars is brought up to date."""
+    """docs with every occurrence of a secret in its text replaced by [SECRET], of one under SHORTEST where no letter or digit adjoins.
+
+    All rows and columns stay, n_chars is brought up to date.  Longer secrets are
+    replaced first, equal ones once; null and empty texts and empty tables stay as
+    they are; texts of any length are handled whole, within their row.
+    """
 
     def masked(candidates: Column) -> Column:
         secrets = F.array_distinct(F.transform(F.filter(candidates, lambda c: F.round(c["score"], 6) >= THRESHOLD), lambda c: c["value"]))

@@ -104,16 +104,17 @@ def test_scores_are_the_sums_of_masked_predictions(spark, corpus):
     rows = docs.collect()
     counts = collections.Counter(w for r in rows for w in (r.text or "").lower().split())
     model = P.train(docs)
-    # the common words of this corpus are tokens: take some of them from it
-    moved = np.isin(model.hashes, hashed(" ".join(w for w in counts if w.startswith(("odd", "v1")))))
+    # all words of this corpus are tokens: some of them are made other words
     number = {int(h): w for w in counts for h in hashed(w)}
-    model.token[moved], model.rare[moved] = P.OTHER, True
-    n = np.array([counts[number[int(h)]] for h in model.hashes[moved]])
-    model.share[moved], model.rare_share = np.log(n / n.sum()), 0.0
+    assert not len(model.hashes)
+    moved = np.isin(model.top_hashes, hashed(" ".join(w for w in counts if w.startswith(("odd", "v1")))))
+    n = np.array([counts[number[int(h)]] for h in model.top_hashes[moved]])
+    model.hashes, model.share, model.rare, model.rare_share = model.top_hashes[moved], np.log(n / n.sum()), np.ones(len(n), bool), 0.0
+    model.top_hashes, model.top_tokens = model.top_hashes[~moved], model.top_tokens[~moved]
     net = P.Network(model.weights)
     among = collections.Counter()  # (window, word) and window, for each row and over all, of rare words
     own = []
-    by_hash = {number[int(h)]: (int(t), float(s), bool(r)) for h, t, s, r in zip(model.hashes, model.token, model.share, model.rare)}
+    by_hash = {number[int(h)]: (int(t), 0.0, False) for h, t in zip(model.top_hashes, model.top_tokens)} | {number[int(h)]: (P.OTHER, float(s), True) for h, s in zip(model.hashes, model.share)}
     for r in rows:
         mine = collections.Counter()
         for x, w, y in windows(r.text):
@@ -159,7 +160,7 @@ def test_the_split_of_the_rows_does_not_count(spark, corpus, monkeypatch):
     monkeypatch.setattr(P, "SHARD_TOKENS", 3000)
     monkeypatch.setattr(P, "MERGE", 2)
     a, b = P.train(corpus.repartition(2)), P.train(corpus.repartition(16))
-    assert a.counts.sum() > 3 * 3000 and np.array_equal(a.weights, b.weights) and np.array_equal(a.hashes, b.hashes)
+    assert a.counts.sum() > 3 * 3000 and np.array_equal(a.weights, b.weights) and np.array_equal(a.top_hashes, b.top_hashes)
     assert not np.array_equal(a.weights, P.Network.fresh(a.counts).data)
 
 
@@ -176,8 +177,10 @@ def test_other_words_share_a_token(spark, monkeypatch):
     monkeypatch.setattr(P, "RARE", 2)
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(5000) if i < 1 + (5000 - k) // 500)) for i in range(8)], "doc_id long, text string")
     model = P.vocabulary(docs)
-    token, share, rare = model.tokens(np.concatenate([hashed(f"w{k}") for k in range(5000)]))
-    assert len(model.hashes) <= 4500 and np.bincount(token)[: P.WORDS].max() == 1 and rare.any() and not rare.all()
+    h = np.concatenate([hashed(f"w{k}") for k in range(5000)])
+    token = model.tokens(h)
+    share, rare = model.shares(h, token)
+    assert len(model.hashes) + P.WORDS <= 4500 and np.bincount(token)[: P.WORDS].max() == 1 and rare.any() and not rare.all()
     assert abs(np.exp(share[token == P.OTHER]).sum() - 1) < 1e-4 and not share[token < P.OTHER].any()
     assert abs(np.exp(share[rare]).sum() - np.exp(model.rare_share)) < 1e-4
 
@@ -240,7 +243,7 @@ def test_a_step_follows_the_gradient():
 def test_untrained_without_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = P.train(empty)
-    assert len(model.hashes) == 0 and P.score(empty, model).count() == 0
+    assert len(model.top_hashes) == len(model.hashes) == 0 and P.score(empty, model).count() == 0
     assert P.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()[0].n_tokens == 2
     long = spark.createDataFrame([(1, "so long " * 60_000), (2, None)], "doc_id long, text string")
     assert {r.n_tokens for r in P.score(long, P.train(long)).collect()} == {0, 120_000}

@@ -108,7 +108,7 @@ def test_report_and_removal(spark, monkeypatch, most):
         if i in left and not hit:
             assert left[i].text == t
         if i in left:
-            assert most < 100 or leaks(left[i].text, items, 5)[1] == 0
+            assert leaks(left[i].text, items, 5)[1] == 0
             assert left[i].text is None or left[i].n_chars == len(left[i].text)
     assert left[63].text == "start  end"
 
@@ -128,9 +128,9 @@ def test_blocks_clean_as_one_automaton(spark, monkeypatch):
     key = lambda r: (r.doc_id, r.text or "")
     clean = lambda: sorted(decontaminate.decontaminate(d, b, window=5, coverage=0.8).collect(), key=key)
     one = clean()
-    assert len(decontaminate.automata(b, 5)) == 1
+    assert len(list(decontaminate.automata(b, 5))) == 1
     monkeypatch.setattr(decontaminate, "MOST_WORDS", 14)
-    assert len(decontaminate.automata(b, 5)) == 4
+    assert len(list(decontaminate.automata(b, 5))) == 4
     assert clean() == one
     assert {r.doc_id for r in one} == {2, 3, 4, 5, 6} and all(leaks(r.text, items, 5)[1] == 0 for r in one)
 
