@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.operators import vector
+from framewright.operators.ranks import numbered
+
 
 def timestamp(ts: Column, frame_idx: Column, fps: Column) -> Column:
     """Seconds of a frame: its timestamp, else frame number over rate; null without either."""
@@ -18,6 +21,13 @@ def frame_key(c: Column, otherwise: int | None) -> Column:
     return number if otherwise is None else F.coalesce(number, F.lit(otherwise).cast("bigint"))
 
 
+def of_event(frames: DataFrame, event: int, order: list[str]) -> DataFrame:
+    """One source's frames that belong to an event (sub_query_idx, where there is one and it isn't null, says to which), ranked anew in order of columns."""
+    if "sub_query_idx" in frames.columns:
+        frames = frames.where(F.coalesce(F.col("sub_query_idx").cast("int"), F.lit(event)) == event).drop("sub_query_idx")
+    return numbered(frames.drop("rank"), order).withColumn("sub_query_idx", F.lit(event))
+
+
 def normalised(hits: DataFrame) -> DataFrame:
     """Hits with their score over the largest one of all (1 where that is 0)."""
     best = hits.agg(F.max("score").alias("__max"))
@@ -52,6 +62,35 @@ def asr_hits(hits: DataFrame, frames: DataFrame, row_id: str, top_k: int, most_f
     return best.withColumn("cover", F.get("frames", F.floor(F.size("frames") / 2).cast("int"))).withColumn("rank", F.row_number().over(W.orderBy("hit_rank", "segment_id"))).drop("hit_rank")
 
 
+def videos_of(frames: DataFrame, least: int) -> DataFrame:
+    """Frames of the videos that have so many of them."""
+    sizes = frames.groupBy("video_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return frames.join(sizes, "video_id", "left_semi")
+
+
+def exact_frames(frames: DataFrame, video: str, first: int, last: int) -> DataFrame:
+    """The frames of a video by number."""
+    return frames.where((F.col("video_id") == video) & frame_key(F.col("keyframe_id"), -1).between(first, last))
+
+
+def candidate_scores(vectors: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """vec_id, query_id, score of every candidate ``(vec_id)`` with every one of a plan's few queries ``(query_id, vector)``."""
+    each = vectors.join(candidates.select("vec_id").distinct(), "vec_id", "left_semi").join(F.broadcast(queries))  # a row per event of a query
+    return each.select("vec_id", "query_id", F.round(vector.dot(F.col("vector"), F.col("embedding")), 6).alias("score"))
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in order of columns."""
+    k = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__k", k).where("__k = 1").drop("__k")
+
+
+def timestamp_quality(frames: DataFrame) -> DataFrame:
+    """How many frames of each video have no timestamp, 0, or more."""
+    ts = F.col("timestamp_sec")
+    return frames.groupBy("video_id").agg(F.count_if(ts.isNull()).alias("nulls"), F.count_if(ts == 0).alias("zeros"), F.count_if(ts > 0).alias("positive"))
+
+
 def with_map(vectors: DataFrame, maps: DataFrame, row_id: str) -> DataFrame:
     """Vectors ``(video_id, keyframe, frame_no)`` with their map row: by keyframe id, else by frame number; the first row counts."""
     cols = [c for c in maps.columns if c not in ("video_id", "keyframe_id", "frame_idx", row_id)]

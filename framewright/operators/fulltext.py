@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.operators.ranks import numbered
+
 K1, B = 1.2, 0.75
 #: Positions between two elements of a list field.
 GAP = 100
@@ -22,9 +27,13 @@ def terms_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def _split(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+
+
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row per token of a text or list of texts: key, term, pos; elements of a list are GAP positions apart."""
-    split = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"))
+    split = _split
     if dict(docs.dtypes)[text].startswith("array"):
         parts = docs.select(key, F.posexplode(text).alias("__part", "__text"))
         sized = parts.withColumn("__terms", split(F.col("__text")))
@@ -34,11 +43,25 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(split(F.col(text))).alias("pos", "term")).select(key, "term", "pos")
 
 
+def _placed(text: Column, is_list: bool) -> Column:
+    """Array of (term, pos) of a text or list of texts, built in its row."""
+    if not is_list:
+        return F.transform(_split(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,pos:int>>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        own = _split(F.coalesce(part, F.lit("")))
+        placed = F.transform(own, lambda t, i: F.struct(t.alias("term"), (s["at"] + i).cast("int").alias("pos")))
+        return F.struct((s["at"] + F.size(own) + GAP).alias("at"), F.concat(s["found"], placed).alias("found"))
+
+    return F.aggregate(text, start, step, lambda s: s["found"])
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The index: key, term, tf, positions in order, and dl, the document's number of tokens."""
-    t = tokens(docs, key, text)
-    lengths = t.groupBy(key).agg(F.count("*").alias("dl"))
-    return t.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).join(lengths, key)
+    """The index of ``(key, text)``, a row per key: key, term, tf, positions in order, and dl, the document's number of tokens.  One shuffle."""
+    placed = docs.select(key, _placed(F.col(text), dict(docs.dtypes)[text].startswith("array")).alias("__t"))
+    rows = placed.select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("__t")).select(key, "dl", "__t.term", "__t.pos")
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
 def statistics(index: DataFrame, key: str) -> DataFrame:
@@ -46,6 +69,23 @@ def statistics(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+@dataclass
+class Index:
+    """What a search reads: the postings of given terms, ``(term, df)`` with their first letters, and ``(n_docs, avgdl)`` in one row."""
+
+    key: str
+    having: Callable[[list[str]], DataFrame]
+    starting: Callable[[list[str]], DataFrame]
+    totals: DataFrame
+
+    @classmethod
+    def of(cls, postings: DataFrame, key: str) -> Index:
+        """An index of postings alone: counts are taken anew."""
+        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        start = F.substring("term", 1, PREFIX)
+        return cls(key, lambda some: postings.where(F.col("term").isin(some)), lambda some: terms.where(start.isin(some)), statistics(postings, key))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -104,52 +144,68 @@ def _edits(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def expansions(index: DataFrame, terms: list[str]) -> DataFrame:
-    """(query_term, term): index terms with the same first letters within the edits allowed for the length, the nearest and
-    commonest 20 per query term; the term itself included."""
-    spark = index.sparkSession
-    q = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "query_term string").withColumn("start", F.substring("query_term", 1, PREFIX))
-    v = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("start", F.substring("term", 1, PREFIX))
-    near = v.join(F.broadcast(q), "start").withColumn("edits", F.levenshtein("term", "query_term")).where(F.col("edits") <= _edits(F.col("query_term")))
+def expansions(terms: DataFrame, wanted: list[str]) -> DataFrame:
+    """(query_term, term, df): of ``(term, df)`` those with the same first letters within the edits allowed for the length,
+    the nearest and commonest 20 per query term; the term itself included."""
+    q = terms.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(wanted)], "query_term string").withColumn("start", F.substring("query_term", 1, PREFIX))
+    v = terms.select("term", "df", F.substring("term", 1, PREFIX).alias("start"))
+    near = v.join(F.broadcast(q), "start").withColumn("edits", F.levenshtein("term", "query_term")).where(F.col("edits") <= _edits(F.col("query_term")))  # the terms of one query
     best = W.partitionBy("query_term").orderBy("edits", F.desc("df"), "term")
-    return near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= EXPANSIONS).select("query_term", "term")
-
+    return near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= EXPANSIONS).select("query_term", "term", "df")
 
-def fuzzy_scores(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """Best BM25 part over the expansions of each query term, summed by document."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    found = expansions(index, terms).join(df, "term").join(F.broadcast(statistics(index, key)))  # one row of statistics
-    parts = index.join(F.broadcast(found), "term").withColumn("part", idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    best = parts.groupBy(key, "query_term").agg(F.max("part").alias("part"))
-    return best.groupBy(key).agg(F.sum("part").alias("fuzzy"))
 
-
-def search(index: DataFrame, key: str, query: str, top_k: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame | Index, key: str, query: str, top_k: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """The boosted query: key, score, rank.
 
     A document needs half of the query's different terms; BM25 over them is the
     base, to which come the boosted clauses: exact phrase, phrase within 3 places,
-    all terms, 85% of the terms, fuzzy terms, and phrase within 10 places.
-    weights, ``(term, weight)``, multiplies the parts of given terms (such as
-    watermarks) in the base.  A blank query finds nothing.
+    all terms, 85% of the terms, fuzzy terms (for each query term the best of its
+    expansions), and phrase within 10 places.  weights, ``(term, weight)``,
+    multiplies the parts of given terms (such as watermarks).  A blank query finds
+    nothing.
+
+    The expansions, at most 20 a query term, are found first; then the postings of
+    those terms are read once and meet by document.
     """
+    index = index if isinstance(index, Index) else Index.of(index, key)
     terms = terms_of(query)
-    if not terms:
-        return index.select(key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
-    n = len(set(terms))
+    distinct = list(dict.fromkeys(terms))
+    found = expansions(index.starting(list({t[:PREFIX] for t in distinct})), distinct).collect() if terms else []
+    rows = index.having(sorted({r["term"] for r in found}))
+    if not found:
+        return rows.where("false").select(key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    totals = index.totals.collect()[0]
+    n_docs, avgdl = totals["n_docs"], totals["avgdl"]
+    rare = lambda df: math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    names = rows.sparkSession.createDataFrame([(r["query_term"], r["term"], rare(r["df"])) for r in found], "query_term string, term string, idf double")
     if weights is not None:
-        index = index.join(F.broadcast(weights.withColumnRenamed("weight", "__weight")), "term", "left").withColumn("tf", F.col("tf") * F.coalesce("__weight", F.lit(1.0))).drop("__weight")
-    m = matched(index, key, terms).where(F.col("matched") >= at_least(n, 0.5)).join(fuzzy_scores(index, key, terms), key, "left")
+        own = weights.where(F.col("term").isin([r["term"] for r in found])).select("term", F.col("weight").alias("__weight"))
+        rows = rows.join(F.broadcast(own), "term", "left").withColumn("tf", F.col("tf") * F.coalesce("__weight", F.lit(1.0))).drop("__weight")  # weights of the terms found
+    parts = rows.join(F.broadcast(names), "term").withColumn("part", F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.lit(avgdl)))  # a row per expansion
+    of = lambda t: F.col("query_term") == t
+    exact = lambda t: of(t) & (F.col("term") == t)
+    m = parts.groupBy(key).agg(
+        F.first("dl").alias("dl"),
+        *[F.max(F.when(exact(t), F.col("part"))).alias(f"b{i}") for i, t in enumerate(distinct)],
+        *[F.max(F.when(of(t), F.col("part"))).alias(f"f{i}") for i, t in enumerate(distinct)],
+        *[F.max(F.when(exact(t), F.col("positions"))).alias(f"p{i}") for i, t in enumerate(distinct)],
+    )
+    n, of_all = len(distinct), {r["term"]: rare(r["df"]) for r in found if r["term"] == r["query_term"]}
+    total = lambda values: reduce(lambda a, b: a + b, values)
+    there = lambda i: F.col(f"b{i}").isNotNull()
+    m = m.withColumn("matched", total(there(i).cast("int") for i in range(n))).where(F.col("matched") >= at_least(n, 0.5))
+    m = m.withColumn("bm25", total(terms.count(t) * F.coalesce(f"b{i}", F.lit(0.0)) for i, t in enumerate(distinct)))
+    m = m.withColumn("idf_sum", total(F.when(there(i), terms.count(t) * of_all.get(t, 0.0)).otherwise(0.0) for i, t in enumerate(distinct)))
     m = m.withColumn("__spreads", spreads(terms))
     m = m.withColumns({f"__slop{s}": phrase_frequency(F.col("__spreads"), s) for s in (0, 3, 10)})
-    phrase = lambda slop: F.col("idf_sum") * tf_part(F.col(f"__slop{slop}"), F.col("dl"), F.col("avgdl"))
+    phrase = lambda slop: F.col("idf_sum") * tf_part(F.col(f"__slop{slop}"), F.col("dl"), F.lit(avgdl))
     clauses = {
-        "phrase": phrase(0), "near_phrase": phrase(3), "proximity": phrase(10), "fuzzy": F.coalesce("fuzzy", F.lit(0.0)),
+        "phrase": phrase(0), "near_phrase": phrase(3), "proximity": phrase(10), "fuzzy": total(F.coalesce(f"f{i}", F.lit(0.0)) for i in range(n)),
         "all_terms": F.when(F.col("matched") == n, F.col("bm25")).otherwise(0.0), "most_terms": F.when(F.col("matched") >= at_least(n, 0.85), F.col("bm25")).otherwise(0.0),
     }
     score = reduce(lambda s, c: s + BOOSTS[c] * clauses[c], clauses, F.col("bm25"))
+    scored = m.select(key, F.round(score, 6).alias("score"))
+    if top_k is None:
+        return numbered(scored, ["-score", key])
     order = [F.desc("score"), key]
-    found = m.select(key, F.round(score, 6).alias("score"))
-    if top_k is not None:
-        found = found.orderBy(*order).limit(top_k)
-    return found.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return scored.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(W.orderBy(*order)))

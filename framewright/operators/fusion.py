@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.operators.ranks import numbered
+
 IDENTITY = ("dataset", "video_id", "keyframe_id")
 
 
@@ -43,12 +45,15 @@ def fuse(lists: list[tuple[DataFrame, str, float]], k: int = 60, top_k: int | No
     )
     fused = fused.withColumn("rrf_score", F.round("rrf_score", 9))
     order = [F.desc("rrf_score"), "__seen", "__key"]
-    if top_k is not None and not group:
+    shown = [*group, "__row.*", "rrf_score", "matched_sources", "source_models", "rank"]
+    if top_k is None and not group:
+        return numbered(fused, ["-rrf_score", "__seen", "__key"]).select(*shown)
+    if not group:
         fused = fused.orderBy(*order).limit(top_k)
     ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
-    return ranked.select(*group, "__row.*", "rrf_score", "matched_sources", "source_models", "rank")
+    return ranked.select(*shown)
 
 
 def fuse_candidates(candidates: DataFrame, k: int = 60) -> DataFrame:

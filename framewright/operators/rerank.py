@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.text import once
+from framewright.operators.ranks import numbered
 
 #: Criteria with their weights, decision thresholds, and the scores that stand for a bare yes or no.
 WEIGHTS = {
@@ -76,7 +76,7 @@ def reranked(rows: DataFrame, keys: list[str], raw: str, clip: str, answer: str
     whole = each.groupBy(*keys).agg(F.struct(*[F.avg(f"s.{k}").alias(k) for k in WEIGHTS]).alias("s"), F.avg("s.confidence").alias("confidence"), F.max(clip).alias("clip"))
     r = relevance(F.col("s"))
     out = whole.select(*keys, F.round(r, 4).alias("relevance_score"), decision(r).alias("decision"), F.round("confidence", 4).alias("confidence"), final_score(F.col("clip"), r).alias("final_score"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("final_score"), *keys)))
+    return numbered(out, ["-final_score", *keys])
 
 
 def picture_grid(width: Column, height: Column, most: int = 12, tile: int = 448) -> Column:

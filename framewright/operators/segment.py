@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,22 +16,20 @@ def scenes(cuts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``(video_id, pos, p)`` -> video_id, start, end: scenes end at frames with p above the threshold.
 
     A scene starts after the cut before it; a cut at a scene's own first frame
-    is passed over and leaves the start where it is.  The rest is a scene, and a
-    video without any is one scene.  Cuts are folded in order inside one row.
+    is passed over and leaves the start where it is: of cuts that follow each
+    other every second one counts, from the first one on, or, where that is the
+    video's first frame, from the second one on.  The rest is a scene, and a video
+    without any is one scene.
     """
-    v = cuts.groupBy("video_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("p") > threshold, F.col("pos").cast("int")))).alias("cuts"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    state = F.struct(F.lit(0).alias("start"), empty.alias("found"))
-
-    def step(s, cut):
-        made = F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), cut.alias("end"))))
-        return F.when(cut > s["start"], F.struct((cut + 1).alias("start"), made.alias("found"))).otherwise(s)
-
-    last = F.col("n").cast("int") - 1
-    tail = lambda s: F.when(s["start"] <= last, F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), last.alias("end"))))).otherwise(s["found"])
-    whole = F.array(F.struct(F.lit(0).alias("start"), last.alias("end")))
-    found = v.withColumn("__s", F.aggregate("cuts", state, step, tail)).withColumn("__s", F.when(F.size("__s") == 0, whole).otherwise(F.col("__s")))
-    return found.select("video_id", F.explode("__s").alias("s")).select("video_id", "s.start", "s.end")
+    video = W.partitionBy("video_id").orderBy("pos")
+    cut = cuts.where(F.col("p") > threshold).select("video_id", F.col("pos").cast("int").alias("pos"))
+    runs = cut.withColumn("__run", F.col("pos") - F.row_number().over(video))
+    placed = runs.withColumn("__first", F.min("pos").over(W.partitionBy("video_id", "__run")))
+    made = placed.where((F.col("pos") - F.col("__first")) % 2 == F.when(F.col("__first") == 0, 1).otherwise(0))
+    ended = made.select("video_id", (F.coalesce(F.lag("pos").over(video), F.lit(-1)) + 1).alias("start"), F.col("pos").alias("end"))
+    sizes = cuts.groupBy("video_id").agg((F.count("*") - 1).cast("int").alias("__last"))
+    tails = sizes.join(made.groupBy("video_id").agg((F.max("pos") + 1).alias("__next")), "video_id", "left").withColumn("start", F.coalesce("__next", F.lit(0)))
+    return ended.unionByName(tails.where(F.col("start") <= F.col("__last")).select("video_id", "start", F.col("__last").alias("end")))
 
 
 def chunks(found: DataFrame, max_gap: int) -> DataFrame:
@@ -36,13 +38,16 @@ def chunks(found: DataFrame, max_gap: int) -> DataFrame:
     return pieces.select("video_id", F.col("__c").alias("start"), F.least(F.col("__c") + max_gap, F.col("end")).alias("end"))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows, from their products."""
+    lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    squares = lengths - 2 * a @ b.T
+    return np.sqrt(np.where(squares > 1e-12 * lengths, squares, 0))
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean of (b - a) / max(a, b) over points: a to the own cluster's others, b to the nearest other cluster; 0 for single points."""
-    d, names = _distances(x, x), np.unique(labels)
+    d, names = distances(x, x), np.unique(labels)
     if not 2 <= len(names) < len(x):
         raise ValueError("as many clusters as from 2 to one less than the points are needed")
     sums = np.stack([d[:, labels == c].sum(1) for c in names], 1)
@@ -56,32 +61,71 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(sizes[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300)).mean())
 
 
-def cluster_keyframes(x: np.ndarray) -> list[int]:
-    """Places of the frames to keep.  Under 3 frames: the middle one.  Else ceil(sqrt n) centroids spread by farthest
-    points; while there are more than 2, the closest two are merged into their mean; of all stages the one of the best
-    silhouette counts, and each of its centroids keeps its nearest frame."""
+def spread_out(x: np.ndarray, most: int) -> np.ndarray:
+    """The first row, then always the row farthest from those taken; fewer where all others coincide with some."""
+    taken, far = [0], distances(x, x[:1])[:, 0]
+    while len(taken) < most and far.max() > 0:
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, distances(x, x[taken[-1:]])[:, 0])
+    return x[taken]
+
+
+def merged_step_by_step(centers: np.ndarray) -> Iterator[np.ndarray]:
+    """The centers, and again with the two closest replaced by their mean, down to three."""
+    while len(centers) > 2:
+        yield centers
+        apart = distances(centers, centers)
+        np.fill_diagonal(apart, np.inf)
+        pair = np.unravel_index(int(apart.argmin()), apart.shape)
+        centers = np.vstack([np.delete(centers, pair, axis=0), centers[list(pair)].mean(axis=0)])
+
+
+def cluster_keyframes(x: np.ndarray, least: int = 3) -> list[int]:
+    """Places of the frames to keep.  Under `least` frames: the middle one.  Else ceil(sqrt n) centers are spread out and
+    merged step by step; the nearest frames of those whose clusters have the best silhouette are kept."""
     n = len(x)
-    if n < 3:
+    if n < least:
         return [n // 2] if n else []
-    centers = x[:1]
-    while len(centers) < int(np.ceil(np.sqrt(n))):
-        far = _distances(x, centers).min(1)
-        if far.max() < 1e-9:
-            break
-        centers = np.vstack([centers, x[int(far.argmax())]])
-    best, kept = -1.0, centers
-    while len(centers) > 2:
-        labels = _distances(x, centers).argmin(1)
-        used = len(np.unique(labels))
-        if used < 2:
-            break
-        if used < n and (score := silhouette(x, labels)) > best:
-            best, kept = score, centers
-        apart = _distances(centers, centers)
-        apart[np.tril_indices(len(centers))] = np.inf
-        i, j = np.unravel_index(int(apart.argmin()), apart.shape)
-        centers = np.vstack([np.delete(centers, (i, j), 0), (centers[i] + centers[j]) / 2])
-    return sorted({int(i) for i in _distances(kept, x).argmin(1)})
+    first = spread_out(x, int(np.ceil(np.sqrt(n))))
+
+    def rating(centers: np.ndarray) -> float:
+        labels = distances(x, centers).argmin(1)
+        return silhouette(x, labels) if 2 <= len(np.unique(labels)) < n else -1.0
+
+    best = max([first, *merged_step_by_step(first)], key=lambda c: rating(c) if len(c) > 2 else -1.0)
+    return sorted({int(i) for i in distances(best, x).argmin(1)})
+
+
+def histogram(pixels: bytes, bins: int = 8) -> np.ndarray:
+    """Counts of the colours of RGB pixels, bins a channel, scaled to 0 .. 1; values of 255 lie beyond the last bin."""
+    rgb = np.frombuffer(pixels, np.uint8)[: len(pixels) // 3 * 3].reshape(-1, 3).astype(np.int64)
+    inside = rgb[(rgb < 255).all(axis=1)] * bins // 255
+    counts = np.bincount(inside @ np.array([bins * bins, bins, 1]), minlength=bins**3).astype(np.float64)
+    low, high = counts.min(), counts.max()
+    return (counts - low) / (high - low) if high > low else np.zeros_like(counts)
+
+
+def histograms(frames: DataFrame, pixels: str) -> DataFrame:
+    """frames with ``histogram`` instead of their pixels; frames without pixels go."""
+    others = [c for c in frames.columns if c != pixels]
+
+    def run(batches):
+        for batch in batches:
+            rows = [histogram(x) for x in batch.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*others, "histogram"])
+
+    schema = frames.select(*others).withColumn("histogram", F.array().cast("array<double>")).schema
+    return frames.where(F.col(pixels).isNotNull()).select(*others, pixels).mapInArrow(run, schema)
+
+
+def keyframes(cuts: DataFrame, frames: DataFrame, threshold: float = 0.5, max_gap: int = 400, least: int = 3, alike: float = 0.95, min_bins: int = 10) -> DataFrame:
+    """``(video_id, pos, p)`` and ``(video_id, pos, vector, pixels)`` -> video_id, pos, keyframe_id: scenes, cut into chunks, cluster keyframes of each, and of those the ones that don't look alike, numbered."""
+    pieces = chunks(scenes(cuts, threshold), max_gap).withColumnRenamed("video_id", "__video")
+    inside = frames.join(pieces, (F.col("video_id") == F.col("__video")) & F.col("pos").between(F.col("start"), F.col("end"))).select("video_id", "start", "pos", "vector")
+    chosen = select_frames(inside, ["video_id", "start"], "pos", "vector", lambda x: cluster_keyframes(x, least)).select("video_id", "pos")
+    seen = histograms(frames.join(chosen, ["video_id", "pos"], "left_semi").select("video_id", "pos", "pixels"), "pixels")
+    kept = select_frames(seen, ["video_id"], "pos", "histogram", lambda x: distinct_in_order(x, alike, min_bins))
+    return kept.withColumn("keyframe_id", F.row_number().over(W.partitionBy("video_id").orderBy("pos")) - 1)
 
 
 def distinct_in_order(x: np.ndarray, threshold: float, min_bins: int) -> list[int]:

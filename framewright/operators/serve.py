@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import text as T
+from framewright.operators.ranks import numbered
 
 
 def by_video(results: DataFrame, score: str = "score", time: str = "ts") -> DataFrame:
     """Results in groups of their video: groups by best score, rows in a group by score, then time."""
-    g = results.withColumn("group_score", F.max(score).over(W.partitionBy("video_id")))
-    g = g.withColumn("place_in_group", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc(score), time)))
-    return g.withColumn("group_rank", F.dense_rank().over(W.orderBy(F.desc("group_score"), "video_id")))
+    groups = numbered(results.groupBy("video_id").agg(F.max(score).alias("group_score")), ["-group_score", "video_id"], "group_rank")
+    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc(score), time))
+    return results.withColumn("place_in_group", place).join(groups, "video_id").select(*results.columns, "group_score", "place_in_group", "group_rank")
 
 
 def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
@@ -32,7 +33,7 @@ def flattened(results: DataFrame, sequence: str = "matched_sequence") -> DataFra
     rows = results.select(*[c for c in results.columns if c != sequence], F.posexplode_outer(sequence).alias("__pos", "__frame"))
     cols = [F.coalesce(F.col(f"__frame.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in results.columns if c not in (sequence, "rank")]
     extra = [F.col(f"__frame.{c}").alias(c) for c in fields if c not in results.columns]
-    return rows.select(*cols, *extra, F.row_number().over(W.orderBy("rank", F.col("__pos").asc_nulls_first())).alias("rank"))
+    return numbered(rows.select(*cols, *extra, F.col("rank").alias("__rank"), "__pos"), ["__rank", "__pos"]).drop("__rank", "__pos")
 
 
 def display(results: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -73,6 +74,17 @@ def clamped_box(box: Column, width: int, height: int) -> Column:
     return F.when((x2 > x1) & (y2 > y1), F.array(x1, y1, x2, y2))
 
 
+def verdict(status: Column, body: Column) -> Column:
+    """struct(status, message) of an answer to a submission, from its HTTP status and JSON body."""
+    said = F.upper(F.coalesce(F.get_json_object(body, "$.submission"), F.lit("")))
+    as_ = lambda name, message: F.struct(F.lit(name).alias("status"), message.alias("message") if isinstance(message, Column) else F.lit(message).alias("message"))
+    failed = F.coalesce(F.get_json_object(body, "$.description"), F.concat(F.lit("HTTP Error "), status.cast("string")))
+    return (
+        F.when(status == 412, as_("wrong", "Wrong Answer")).when(status >= 400, as_("error", failed)).when(status == 202, as_("pending", "Submitted, waiting for verdict"))
+        .when(F.contains(said, F.lit("CORRECT")), as_("correct", "Correct!")).when(F.contains(said, F.lit("WRONG")), as_("wrong", "Wrong Answer")).otherwise(as_("pending", "Submitted"))
+    )
+
+
 def latency_summary(runs: DataFrame, keys: list[str], seconds: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.round(F.avg(seconds), 6).alias("mean_s"), F.round(F.min(seconds), 6).alias("min_s"), F.round(F.max(seconds), 6).alias("max_s"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from framewright.functions.text import once
 
-#: Query vectors of one search at most; they are sent to every task.
-MOST_QUERIES = 10_000
+#: Query vectors of a block, which is sent to every task; scores of a matrix product (32 MB).
+MOST_QUERIES, SCORES = 10_000, 1 << 22
 
 
 def norm(v: Column) -> Column:
@@ -33,10 +33,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def query_rows(queries: DataFrame, query_id: str = "query_id", vector: str = "vector") -> tuple[list, np.ndarray]:
-    """The ids and the matrix of a bounded table of query vectors."""
+    """The ids and the matrix of a block of query vectors."""
     rows = queries.select(query_id, vector).orderBy(query_id).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors in one search")
+        raise ValueError(f"more than {MOST_QUERIES} query vectors in one block")
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
 
 
@@ -45,48 +45,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best scores of each row, ties by id."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = np.divmod(np.arange(scores.size), max(scores.shape[1], 1))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _searcher(shared, k: int, metric: str):
+    """The best k of each batch for each query; with cells, for the queries that probe the row's cell."""
+
     def run(batches):
-        matrix = shared.value
+        matrix, probed = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            s = matrix @ x.T if metric == "cosine" else -(((matrix**2).sum(1)[:, None] - 2 * matrix @ x.T) + (x**2).sum(1)[None, :])
-            s = np.round(s, 6)
-            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(matrix)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids[best.ravel()]), pa.array(s[q, best.ravel()])], names=["q", "vec_id", "score"])
+            all_ids, all_x = batch.column(0).to_numpy(), _matrix(batch.column(1)) if batch.num_rows else None
+            cells = batch.column(2).to_numpy() if probed is not None else np.zeros(batch.num_rows, int)
+            for cell in np.unique(cells):
+                asking = np.arange(len(matrix)) if probed is None else np.flatnonzero(probed[:, cell])
+                here = np.flatnonzero(cells == cell)
+                q = matrix[asking]
+                step = max(1, SCORES // max(len(q), 1))
+                for a in range(0, len(here) if len(q) else 0, step):
+                    ids, x = all_ids[here[a : a + step]], all_x[here[a : a + step]]
+                    s = q @ x.T if metric == "cosine" else -(((q**2).sum(1)[:, None] - 2 * q @ x.T) + (x**2).sum(1)[None, :])
+                    s = np.round(s, 6)
+                    row, col = _best(s, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asking[row], pa.int32()), pa.array(ids[col]), pa.array(s[row, col])], names=["q", "vec_id", "score"])
 
     return run
 
 
+def _blocks(queries: DataFrame, search) -> DataFrame:
+    """search() of each block of at most MOST_QUERIES queries, dealt by a hash of their ids."""
+    n = queries.count()
+    blocks = 1 if n <= MOST_QUERIES else -(-n * 5 // (4 * MOST_QUERIES)) + 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = search(queries) if blocks == 1 else search(queries.where(block == 0))
+    for b in range(1, blocks):
+        found = found.unionByName(search(queries.where(block == b)))
+    return found
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """``(vec_id, embedding)`` and ``(query_id, vector)`` -> query_id, vec_id, score, rank: the best k of each query.
 
     cosine is the inner product of unit vectors, larger is better; l2 is the
-    squared distance, smaller is better.  Each batch of vectors is one matrix
-    product and keeps its best k, so that only those are shuffled; scores count
-    to six digits, ties go to the smaller vec_id.
+    squared distance, smaller is better.  Queries go in blocks of MOST_QUERIES to
+    all tasks; there each batch of vectors is a matrix product and keeps its best
+    k, so that only those are shuffled; scores count to six digits, ties go to the
+    smaller vec_id.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
+    return _blocks(queries, lambda some: _nearest(vectors, some, k, metric, None))
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, probe) -> DataFrame:
     spark = vectors.sparkSession
     ids, matrix = query_rows(queries)
     names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    shared = spark.sparkContext.broadcast(matrix)
-    found = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(_searcher(shared, k, metric), "q int, vec_id long, score double") if ids else vectors.select(F.lit(0).alias("q"), F.col("vec_id").cast("long"), F.lit(0.0).alias("score")).where("false")
+    columns, probed = [F.col("vec_id").cast("long"), "embedding"], None
+    if probe and ids:
+        probed = probe(matrix)
+        vectors, columns = vectors.where(F.col("cell").isin([int(c) for c in np.flatnonzero(probed.any(0))])), [*columns, "cell"]
+    rows = vectors.select(*columns).where("embedding is not null") if ids else vectors.select(*columns).where("false")
+    shared = spark.sparkContext.broadcast((matrix, probed))
+    found = rows.mapInArrow(_searcher(shared, k, metric), "q int, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     score = F.col("score") if metric == "cosine" else -F.col("score")
-    return ranked.join(F.broadcast(names), "q").select("query_id", "vec_id", score.alias("score"), "rank")
+    return ranked.join(F.broadcast(names), "q").select("query_id", "vec_id", score.alias("score"), "rank")  # the ids of a block of queries
 
 
-def aggregate_queries(hits: DataFrame, n_queries: int, top_k: int | None, by: str = "vec_id", group: tuple[str, ...] = ()) -> DataFrame:
+def aggregate_queries(hits: DataFrame, n_queries: int | Column, top_k: int | None, by: str = "vec_id", group: tuple[str, ...] = ()) -> DataFrame:
     """Hits of several queries as one ranking: mean and best score over the lists with the item, share of queries matched, 0.8 mean + 0.2 share.
 
     Means and shares count to eight digits and the sum to nine, so that sixth digits of scores are never halved."""
     a = hits.groupBy(*group, by).agg(F.avg("score").alias("avg_score"), F.max("score").alias("max_score"), F.countDistinct("query_id").alias("matched_queries"))
-    a = a.withColumn("avg_score", F.round("avg_score", 8)).withColumn("coverage_score", F.round(F.col("matched_queries") / F.lit(max(1, n_queries)), 8))
+    a = a.withColumn("avg_score", F.round("avg_score", 8)).withColumn("coverage_score", F.round(F.col("matched_queries") / (n_queries if isinstance(n_queries, Column) else F.lit(max(1, n_queries))), 8))
     a = a.withColumn("alignment_score", F.round(0.8 * F.col("avg_score") + 0.2 * F.col("coverage_score"), 9))
     order = [F.desc("alignment_score"), by]
     if top_k is None:
@@ -97,8 +138,13 @@ def aggregate_queries(hits: DataFrame, n_queries: int, top_k: int | None, by: st
 
 
 def multi_query_search(vectors: DataFrame, queries: DataFrame, top_k: int, candidate_k: int) -> DataFrame:
+    """One ranking of the queries' best vectors; queries with an ``event`` column have one for each event."""
     hits = nearest(vectors, queries, candidate_k)
-    return aggregate_queries(hits, queries.count(), top_k)
+    if "event" not in queries.columns:
+        return aggregate_queries(hits, queries.count(), top_k)
+    sizes = queries.groupBy("event").agg(F.count("*").alias("n_queries"))
+    grouped = hits.join(queries.select("query_id", "event").join(sizes, "event"), "query_id")
+    return aggregate_queries(grouped, F.col("n_queries"), top_k, group=("event", "n_queries")).drop("n_queries")
 
 
 def legacy_rerank(hits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -139,10 +185,15 @@ def with_cell(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
 
 
 def nearest_by_cells(indexed: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """nearest() over the union of the probed cells of all queries; a table partitioned by cell reads no other."""
-    _, matrix = query_rows(queries)
-    cells = np.unique(np.argsort(-(matrix @ centers.T), axis=1)[:, :probes])
-    return nearest(indexed.where(F.col("cell").isin([int(c) for c in cells])), queries, k)
+    """nearest() of each query over the vectors of its own nearest cells; of a table partitioned by cell, cells that no query probes aren't read."""
+
+    def probe(matrix: np.ndarray) -> np.ndarray:
+        near = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :probes]
+        out = np.zeros((len(matrix), len(centers)), bool)
+        np.put_along_axis(out, near, True, axis=1)
+        return out
+
+    return _blocks(queries, lambda some: _nearest(indexed, some, k, "cosine", probe))
 
 
 def hash_encode(text: Column, size: int = 64) -> Column:

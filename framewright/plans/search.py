@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators import enrich, fulltext, fusion, temporal, vector
+from framewright.operators.translate import Gate
 from framewright.plans.query_plan import QueryPlan, candidate_k, plan
 
 Encoder = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Model:
+    """Vectors ``(vec_id, embedding)``, the encoder of texts (None: the model takes pictures alone), and whether it is asked unless named."""
+
+    vectors: DataFrame
+    encoder: Encoder | None
+    enabled: bool = True
+
+    @property
+    def supports_text(self) -> bool:
+        return self.encoder is not None
+
+
+def chosen_models(models: dict[str, Model], names: list[str] | None = None) -> dict[str, Model]:
+    """The named models, enabled or not, or else the enabled ones; unknown names are an error."""
+    if not names:
+        return {name: m for name, m in models.items() if m.enabled}
+    if missing := sorted({*names} - {*models}):
+        raise ValueError(f"unknown models {missing}; there are {sorted(models)}")
+    return {name: m for name, m in models.items() if name in names}
+
+
 def hash_encoder(texts: DataFrame) -> DataFrame:
     """The stand-in for a model: ``(query_id, text)`` -> ``(query_id, vector)``."""
     return texts.select("query_id", vector.hash_encode(F.col("text")).alias("vector"))
@@ -22,30 +46,38 @@ def hash_encoder(texts: DataFrame) -> DataFrame:
 class SearchSystem:
     """Tables and hooks of an installation.
 
-    models: name -> (vectors ``(vec_id, embedding)``, encoder); frames:
+    models: name -> Model, or (vectors, encoder); frames:
     ``(vec_id, dataset, video_id, keyframe_id, ts)``; ocr and asr: postings with
     the key columns of their documents, as made by fulltext.postings() with the
     keys "doc" and "segment_id", and tables that give each key its place.
     Every method returns a lazy DataFrame, best rows first by ``rank``; an empty
-    plan gives no rows.  translate is applied to vector queries only.
+    plan gives no rows.  translate, a Gate or a function, is applied to vector
+    queries only; a request may force it on or off.
     """
 
-    def __init__(self, spark: SparkSession, frames: DataFrame, models: dict[str, tuple[DataFrame, Encoder]], ocr: tuple[DataFrame, DataFrame] | None = None, asr: tuple[DataFrame, DataFrame] | None = None, translate: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, frames: DataFrame, models: dict[str, tuple[DataFrame, Encoder]], ocr: tuple[DataFrame, DataFrame] | None = None, asr: tuple[DataFrame, DataFrame] | None = None, translate: Gate | Callable[[str], str] | None = None):
         if not models:
             raise RuntimeError("no model is loaded")
-        self.spark, self.frames, self.models, self.ocr, self.asr, self.translate = spark, frames, models, ocr, asr, translate
+        self.models = {name: m if isinstance(m, Model) else Model(*m) for name, m in models.items()}
+        self.spark, self.frames, self.ocr, self.asr, self.translate = spark, frames, ocr, asr, translate if isinstance(translate, Gate) else Gate(translate)
 
     def available_models(self) -> list[str]:
-        return sorted(self.models)
+        """Enabled models."""
+        return sorted(chosen_models(self.models))
+
+    def text_models(self) -> list[str]:
+        """Enabled models that take texts."""
+        return [name for name, m in sorted(chosen_models(self.models).items()) if m.supports_text]
 
     def _chosen(self, model: str | None) -> tuple[DataFrame, Encoder]:
-        name = model or next(iter(self.models))
+        if model is None and not self.text_models():
+            raise RuntimeError("no model takes texts")
+        name = model or next(n for n in self.models if n in self.text_models())
         if name not in self.models:
             raise KeyError(f"unknown model {name}")
-        return self.models[name]
-
-    def _said(self, query: str) -> str:
-        return self.translate(query) if self.translate else query
+        if not self.models[name].supports_text:
+            raise ValueError(f"model {name} takes pictures alone")
+        return self.models[name].vectors, self.models[name].encoder
 
     def _semantic(self, subs: list[str], top_k: int, wide_k: int, model: str | None) -> DataFrame:
         vectors, encode = self._chosen(model)
@@ -53,16 +85,16 @@ class SearchSystem:
         found = vector.multi_query_search(vectors, encode(texts), top_k, wide_k)
         return found.join(self.frames, "vec_id").withColumn("score", F.col("alignment_score"))
 
-    def semantic(self, query: str, top_k: int = 10, multiplier: int = 5, model: str | None = None) -> DataFrame:
-        p = plan(self._said(query), "semantic")
+    def semantic(self, query: str, top_k: int = 10, multiplier: int = 5, model: str | None = None, translate: bool | None = None) -> DataFrame:
+        p = plan(self.translate(query, translate), "semantic")
         return self._semantic(p.sub_queries, top_k, candidate_k(top_k, multiplier), model) if p.events else self._none()
 
     def _none(self) -> DataFrame:
         return self.frames.where("false").withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
 
-    def temporal(self, query: str, top_k: int = 10, multiplier: int = 5, model: str | None = None, duration_limit: float | None = None) -> DataFrame:
+    def temporal(self, query: str, top_k: int = 10, multiplier: int = 5, model: str | None = None, duration_limit: float | None = None, translate: bool | None = None) -> DataFrame:
         """Sequences over the candidates of all events, scored by each event's whole text."""
-        p = plan(self._said(query), "temporal")
+        p = plan(self.translate(query, translate), "temporal")
         if not p.events:
             return self._none()
         vectors, encode = self._chosen(model)
@@ -103,7 +135,7 @@ class SearchSystem:
             rows = df.select("rank", "score", F.posexplode("frames").alias("pos", "vec_id"))
         else:
             rows = df.select("rank", "score", F.lit(0).alias("pos"), "vec_id")
-        placed = rows.withColumn("rank", F.row_number().over(W.orderBy("rank", "pos")))
+        placed = rows.withColumn("rank", F.row_number().over(W.orderBy("rank", "pos")))  # the frames of at most top_k hits
         return placed.select("vec_id", "score", "rank").join(self.frames, "vec_id")
 
     def advanced(self, query: str, models: list[str], temporal_mode: bool = False, use_ocr: bool = False, use_asr: bool = False, top_k: int = 10, multiplier: int = 5, duration_limit: float | None = None, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
@@ -113,7 +145,7 @@ class SearchSystem:
         asked with the untranslated query.
         """
         weights, wide = weights or {}, candidate_k(top_k, multiplier)
-        said, raw = plan(self._said(query), "semantic"), plan(query, "semantic")
+        said, raw = plan(self.translate(query), "semantic"), plan(query, "semantic")
 
         def lists(subs: list[str], text: str, text_k: int) -> list[tuple[DataFrame, str, float]]:
             out = [(self._frames_of(self._semantic(subs, top_k, wide, m), m), m, weights.get(m, 1.0)) for m in models]

@@ -20,7 +20,7 @@ def _docs(spark, d):
 
 
 def _index(spark, d):
-    return stored(fulltext.postings(_docs(spark, d).where("lang = 'en'"), "doc_id", "text"), "postings")
+    return stored(fulltext.postings(_docs(spark, d), "doc_id", "text"), "postings")
 
 
 def f8(spark, d):
@@ -30,7 +30,7 @@ def f8(spark, d):
 
 
 def f9(spark, d):
-    lines = _docs(spark, d).where("lang = 'fr'").select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("lines"))
     t = fulltext.tokens(lines, "doc_id", "lines")
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.countDistinct("term").alias("terms"))
 
@@ -41,7 +41,8 @@ def f2(spark, d):
 
 
 def f6(spark, d):
-    return fulltext.expansions(_index(spark, d), ["thtion", "there", "an"])
+    terms = _index(spark, d).groupBy("term").agg(F.count("*").alias("df"))
+    return fulltext.expansions(terms, ["thtion", "there", "an"]).select("query_term", "term")
 
 
 def f_full(spark, d):
@@ -65,7 +66,7 @@ def f14(spark, d):
 
 
 def x1(spark, d):
-    q = _docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("q"))  # a query is a short text
+    q = _docs(spark, d).select("doc_id", F.col("text").alias("q"))
     e = T.events(F.col("q"))
     return q.select("doc_id", F.size(e).alias("events"), F.array_join(e, "|").alias("joined"))
 
@@ -120,32 +121,27 @@ def x13(spark, d):
 
 
 def x14(spark, d):
-    lines = _docs(spark, d).where("lang = 'en'").select(F.concat_ws("-", "doc_id", F.lit("0")).alias("line_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    return vocab.corrected_lines(lines, "line_id", "line", _dictionary(spark, d), vocab.domain_vocabulary(_docs(spark, d), "source", "text", 19), vocab.bigrams(_docs(spark, d).where("lang = 'en'"), "doc_id", "text"))
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.concat_ws("-", "doc_id", "line_no").alias("line_id"), "line")
+    return vocab.corrected_lines(lines, "line_id", "line", _dictionary(spark, d), vocab.domain_vocabulary(_docs(spark, d), "source", "text", 19), vocab.bigrams(_docs(spark, d), "doc_id", "text"))
 
 
 def x15(spark, d):
-    # plain letters alone: the SQL's edit distance counts bytes
-    plain = F.col("token").rlike("^[a-z]+$")
-    dictionary = _dictionary(spark, d).where(plain)
-    rare = vocab.document_frequency(_docs(spark, d).where("lang = 'en'"), "doc_id", "text").where("df = 1 and length(token) between 3 and 6").where(plain).select("token")
-    return vocab.suggestions(rare, dictionary)
+    return vocab.suggestions(_tokens(spark, d), _dictionary(spark, d))
 
 
 def x17(spark, d):
-    fr = _docs(spark, d).where("lang = 'fr'")
-    dictionary = vocab.domain_vocabulary(fr, "doc_id", "text", 2)
-    return vocab.replacements(vocab.in_context(fr, "doc_id", "text"), vocab.accent_candidates(dictionary), vocab.bigrams(fr, "doc_id", "text"), 2, 1.5).select("before", "token", "after", "other", "evidence")
+    docs = _docs(spark, d)
+    dictionary = vocab.domain_vocabulary(docs, "doc_id", "text", 2)
+    return vocab.replacements(vocab.in_context(docs, "doc_id", "text"), vocab.accent_candidates(dictionary), vocab.bigrams(docs, "doc_id", "text"), 2, 1.5).select("before", "token", "after", "other", "evidence")
 
 
 def x18(spark, d):
-    en = _docs(spark, d).where("lang = 'en'")
-    return vocab.replacements(vocab.in_context(en, "doc_id", "text"), vocab.edit_candidates(_dictionary(spark, d)), vocab.bigrams(en, "doc_id", "text"), vocab.WORD_COUNT, 10.0).select("before", "token", "after", "other", "evidence")
+    docs = _docs(spark, d)
+    return vocab.replacements(vocab.in_context(docs, "doc_id", "text"), vocab.edit_candidates(_dictionary(spark, d)), vocab.bigrams(docs, "doc_id", "text"), vocab.WORD_COUNT, 10.0).select("before", "token", "after", "other", "evidence")
 
 
 def x19(spark, d):
-    # the German sharp s has no capital of one letter in one of the engines
-    return _tokens(spark, d).where("not contains(token, 'ß')").select("token", T.risky_token(F.upper("token")).alias("risky"), T.edge_stripped(F.col("token")).alias("core"))
+    return _tokens(spark, d).select("token", T.risky_token(F.upper("token")).alias("risky"), T.edge_stripped(F.col("token")).alias("core"))
 
 
 def a6(spark, d):
@@ -162,13 +158,12 @@ def a8(spark, d):
 
 
 def d11(spark, d):
-    return vocab.bigrams(_docs(spark, d).where("lang = 'de'"), "doc_id", "text")
+    return vocab.bigrams(_docs(spark, d), "doc_id", "text")
 
 
 def u3(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("key", F.trim("line"))
-    first = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("line_no"))
-    return lines.withColumn("k", first).where("k = 1 or key = ''").select("doc_id", "line_no", "line")
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return textclean.first_of_equal(lines, ["doc_id"], ["line_no"])
 
 
 def x9(spark, d):
@@ -178,17 +173,25 @@ def x9(spark, d):
 
 
 def w6(spark, d):
-    return vocab.in_context(_docs(spark, d).where("lang = 'es' and length(text) < 4000"), "doc_id", "text")
+    return vocab.in_context(_docs(spark, d), "doc_id", "text")
+
+
+def _pixels(spark, d):
+    """Stored vectors as frames with pictures: a vector's numbers as 21 RGB pixels."""
+    f = catalog.frames(spark, d)
+    number = F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x * 500 + 128), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
+    return f.select(F.col("video_id").cast("long").alias("video_id"), F.col("pos").cast("int").alias("pos"), F.col("embedding").alias("vector"), F.unhex(F.array_join(number, "")).alias("pixels"))
 
 
 def k5(spark, d):
-    """Scenes of a cut series, cut into chunks, with cluster keyframes of each from the vectors that stand at its frames."""
-    f = catalog.frames(spark, d).select(F.col("video_id").cast("long").alias("video_id"), F.col("pos").cast("int").alias("pos"), "embedding")
-    cuts = _cuts(spark, d).where("video_id < 10")
-    pieces = segment.chunks(segment.scenes(cuts, 0.5), 11)
-    inside = f.join(pieces, (f["video_id"] == pieces["video_id"]) & f["pos"].between(pieces["start"], pieces["end"])).select(f["video_id"], "start", "pos", "embedding")
-    kept = segment.select_frames(inside, ["video_id", "start"], "pos", "embedding", segment.cluster_keyframes)
-    return kept.withColumn("keyframe_id", F.row_number().over(W.partitionBy("video_id").orderBy("pos")) - 1)
+    """The keyframe pipeline over all cut series; frames are the stored vectors that stand at their places."""
+    return segment.keyframes(_cuts(spark, d), _pixels(spark, d), max_gap=11)
+
+
+def k4h(spark, d):
+    """How many colours each picture has, and the sum of its scaled histogram."""
+    h = segment.histograms(_pixels(spark, d).select("video_id", "pos", "pixels"), "pixels")
+    return h.select("video_id", "pos", F.size(F.filter("histogram", lambda x: x > 0)).alias("colours"), F.round(F.aggregate("histogram", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 def _cuts(spark, d):
@@ -219,13 +222,13 @@ QUERIES = {
     "f1_f4_f5_f8_bm25": f8, "f2_f3_f7_phrases": f2, "f6_fuzzy_expansions": f6, "f9_list_tokens": f9, "f11_boosted_query": f_full, "f12_speech_search": f12, "f13_f14_snippets": f14, "f15_watermark_weights": f15,
     "x1_events": x1, "x2_x3_sub_queries": x2, "x5_strip_accents": x5, "x6_glued_parts": x6, "x7_math_notation": x7, "x8_repetition": x8, "x10_token_class": x10, "x12_foreign_lines": x12, "x11_x14_line_correction": x14,
     "x13_token_resolver": x13, "x15_suggestions": x15, "x17_accents_in_context": x17, "x18_real_word_flags": x18, "x19_token_guards": x19, "a6_document_frequency": a6, "a7_domain_vocabulary": a7,
-    "a8_watermark_vocabulary": a8, "d11_bigrams": d11, "u3_line_dedupe": u3, "k1_scenes": k1, "k2_chunks": k2, "k3_cluster_keyframes": k3, "k5_keyframe_pipeline": k5, "x9_p12_p13_frame_normalisation": x9, "w6_token_context": w6, "k4_distinct_in_order": k4,
+    "a8_watermark_vocabulary": a8, "d11_bigrams": d11, "u3_line_dedupe": u3, "k1_scenes": k1, "k2_chunks": k2, "k3_cluster_keyframes": k3, "k5_keyframe_pipeline": k5, "k4_histograms": k4h, "x9_p12_p13_frame_normalisation": x9, "w6_token_context": w6, "k4_distinct_in_order": k4,
 }
 
 _WORDS = "list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')"
 
 
-def _tok(where="lang = 'en'", key="doc_id", table="documents", text="text", weight="1"):
+def _tok(where="true", key="doc_id", table="documents", text="text", weight="1"):
     return (
         f"a AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS ts FROM {table} WHERE {where}), "
         "t AS (SELECT k, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM a), l AS (SELECT k, count(*) AS dl FROM t GROUP BY k), st AS (SELECT count(*) AS n, avg(dl) AS av FROM l), "
@@ -269,6 +272,8 @@ SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, {name}) AS rank
 _N = len(set(TERMS))
 _DF = "w AS (SELECT source, doc_id, lang, " + _WORDS + " AS ws FROM documents), n AS (SELECT count(DISTINCT source) AS n FROM documents), df AS (SELECT token, count(DISTINCT source) AS df FROM (SELECT source, unnest(ws) AS token FROM w) GROUP BY token)"
 _LINES = "l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
+#: Letters of the tables beyond ASCII, and single bytes that stand for them where SQL counts edits in bytes.
+_LETTERS, _LETTERS_AS = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿœæß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123"
 _ACC, _PLAIN = T.ACCENTED + T.ACCENTED.upper(), T.UNACCENTED + T.UNACCENTED.upper()
 
 def _token_class():
@@ -315,16 +320,16 @@ ORACLE_SQL = {
     "x2_x3_sub_queries": """WITH q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM benchmark), p AS (SELECT item_id, list_filter(list_transform(list_prepend(q, string_split(q, ',')), lambda x: trim(x)), lambda x: x <> '') AS p FROM q),
 u AS (SELECT item_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(x) ORDER BY i) AS r FROM u)
 SELECT item_id, string_agg(x, '|' ORDER BY i) AS parts, 'a dog and then a cat after rain, and sun, a dog ' || item_id || '|a dog|a cat|rain|sun|a dog ' || item_id AS connective FROM k WHERE r = 1 GROUP BY item_id""",
-    "w6_token_context": f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'es' AND length(text) < 4000), {_CTX} SELECT * FROM c",
-    "x17_accents_in_context": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'fr'), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
+    "w6_token_context": f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), {_CTX} SELECT * FROM c",
+    "x17_accents_in_context": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
 d AS (SELECT token, translate(token, '{_ACC}', '{_PLAIN}') AS plain FROM df WHERE df >= greatest(2, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w)))), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON x.plain = y.plain AND x.token <> y.token),
 {_BEST} HAVING max(other) >= 2 AND max(other) >= (any_value(evidence) + 1) * 1.5""",
-    "x18_real_word_flags": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'en'), {_CTX}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM c GROUP BY token),
-d AS (SELECT token FROM df WHERE df >= greatest(4, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w))) AND regexp_matches(token, '^\\p{{L}}+$')),
-s AS (SELECT w1 AS word FROM b WHERE n >= 15 UNION SELECT w2 FROM b WHERE n >= 15), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON abs(length(x.token) - length(y.token)) <= 1 AND x.token <> y.token AND levenshtein(x.token, y.token) = 1 WHERE y.token IN (SELECT word FROM s)),
+    "x18_real_word_flags": f"""WITH w AS (SELECT doc_id, lang, {_WORDS} AS ws FROM documents), {_CTX}, df AS (SELECT token, count(DISTINCT w.doc_id) AS df FROM c JOIN w ON w.doc_id = c.doc_id WHERE lang = 'en' GROUP BY token),
+d AS (SELECT token, translate(token, '{_LETTERS}', '{_LETTERS_AS}') AS t FROM df WHERE df >= greatest(4, ceil(0.0005 * (SELECT count(DISTINCT doc_id) FROM w WHERE lang = 'en'))) AND regexp_matches(token, '^\\p{{L}}+$')),
+s AS (SELECT w1 AS word FROM b WHERE n >= 15 UNION SELECT w2 FROM b WHERE n >= 15), k AS (SELECT x.token, y.token AS word FROM d x JOIN d y ON abs(length(x.token) - length(y.token)) <= 1 AND x.token <> y.token AND levenshtein(x.t, y.t) = 1 WHERE y.token IN (SELECT word FROM s)),
 {_BEST} HAVING max(other) >= 30 AND max(other) >= (any_value(evidence) + 1) * 10.0""",
-    "x19_token_guards": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), t AS (SELECT DISTINCT token FROM (SELECT unnest(ws) AS token FROM w) WHERE NOT contains(token, 'ß')),
-c AS (SELECT token, regexp_replace(token, '^[(),"'']+|[(),"'']+$', '', 'g') AS core, regexp_replace(upper(token), '^[(),"'']+|[(),"'']+$', '', 'g') AS up FROM t)
+    "x19_token_guards": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), t AS (SELECT DISTINCT token FROM (SELECT unnest(ws) AS token FROM w)),
+c AS (SELECT token, regexp_replace(token, '^[(),"'']+|[(),"'']+$', '', 'g') AS core, regexp_replace(upper(replace(token, 'ß', 'SS')), '^[(),"'']+|[(),"'']+$', '', 'g') AS up FROM t)
 SELECT token, core, (regexp_matches(up, '^\\p{{L}}{{2,}}$') AND upper(up) = up) OR (regexp_matches(up, '\\p{{L}}') AND regexp_matches(up, '[0-9&.]')) AS risky FROM c""",
     "k1_scenes": """WITH e AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 100 AS p FROM events),
 v AS (SELECT video_id, (count(*) - 1)::INT AS last, coalesce(list(pos::INT ORDER BY pos) FILTER (p > 0.5), []) AS cuts FROM e GROUP BY video_id),
@@ -337,13 +342,13 @@ u AS (SELECT video_id, unnest(CASE WHEN len(a) = 0 THEN [struct_pack(s := 0, e :
     "f2_f3_f7_phrases": f"WITH {_tok()}, {_matched(['of', 'the'])} SELECT k AS doc_id, " + ", ".join(f"round({_slop(['of', 'the'], s)}, 6) AS slop{s}" for s in (0, 3, 10)) + " FROM m WHERE matched = 2",
     "f6_fuzzy_expansions": f"""WITH {_tok()} SELECT query_term, term FROM (SELECT q AS query_term, f.term, row_number() OVER (PARTITION BY q ORDER BY levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES ('thtion'), ('there'), ('an')) v(q) ON f.term[1:2] = q[1:2]
 WHERE levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20""",
-    "f9_list_tokens": f"""WITH {_LINES}, a AS (SELECT l.doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS ts FROM l JOIN documents d ON d.doc_id = l.doc_id WHERE lang = 'fr'),
+    "f9_list_tokens": f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS ts FROM l),
 b AS (SELECT *, coalesce(sum(len(ts)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 * line_no AS s FROM a), t AS (SELECT doc_id, unnest(ts) AS term, s + unnest(range(0, len(ts))) AS pos FROM b)
 SELECT doc_id, count(*) AS n, max(pos)::INT AS last, count(DISTINCT term) AS terms FROM t GROUP BY doc_id""",
     "f11_boosted_query": _full(TERMS, "doc_id", 50),
     "f15_watermark_weights": _full(["the", "of", "and"], "doc_id", 20, weight="CASE WHEN term = 'the' THEN 0.1 ELSE 1.0 END"),
     "f12_speech_search": _full(["of", "the"], "segment_id", 30, where="true", key="conv_id::VARCHAR || '-' || turn::INT", table="conversations"),
-    "x1_events": """WITH q AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text[1:300], chr(10), ' '), '[.;]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS e FROM documents),
+    "x1_events": """WITH q AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), ' '), '[.;]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS e FROM documents),
 u AS (SELECT doc_id, unnest(e) AS p, unnest(range(0, len(e))) AS i FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(p) ORDER BY i) AS r FROM u), g AS (SELECT doc_id, count(*) AS events, string_agg(p, '|' ORDER BY i) AS joined FROM k WHERE r = 1 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(events, 0)::INT AS events, coalesce(joined, '') AS joined FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "x5_strip_accents": f"SELECT doc_id, md5(translate(text, '{_ACC}', '{_PLAIN}')) AS plain_md5, length(text)::INT AS n FROM documents",
@@ -356,13 +361,8 @@ ELSE len(ws) >= 4 AND len(list_filter(ws, lambda x: lower(x) IN ({', '.join(repr
     "a7_domain_vocabulary": f"WITH {_DF} SELECT token, df FROM df CROSS JOIN n WHERE df >= greatest(3, ceil(0.5 * n))",
     "a8_watermark_vocabulary": f"""WITH {_DF}, en AS (SELECT token FROM (SELECT source, unnest(ws) AS token FROM w WHERE lang = 'en') GROUP BY token HAVING count(DISTINCT source) >= 15)
 SELECT token, df FROM df CROSS JOIN n WHERE df >= greatest(5, round_even(0.3 * n, 0)) AND length(token) >= 2 AND token NOT IN ('mekong', 'thuy', 'quayphim', 'mat', '19', 'hit') AND token NOT IN (SELECT token FROM en)""",
-    "d11_bigrams": f"WITH w AS (SELECT {_WORDS} AS ws FROM documents WHERE lang = 'de'), b AS (SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT w1, w2, count(*) AS n FROM b GROUP BY w1, w2",
+    "d11_bigrams": f"WITH w AS (SELECT {_WORDS} AS ws FROM documents), b AS (SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT w1, w2, count(*) AS n FROM b GROUP BY w1, w2",
     "u3_line_dedupe": f"WITH {_LINES}, k AS (SELECT *, trim(line, ' ') AS key FROM l) SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS r FROM k) WHERE r = 1 OR key = ''",
     "k2_chunks": """WITH s AS (SELECT user_id AS video_id, (count(*) - 1)::INT AS e FROM events GROUP BY user_id), c AS (SELECT video_id, e, unnest(range(0, e + 1, 7))::INT AS s FROM s)
 SELECT video_id, s AS start, least(s + 6, e)::INT AS "end" FROM c""",
-    "x15_suggestions": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE lang = 'en'), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(ws) AS token FROM w) GROUP BY token),
-dict AS (SELECT * FROM df WHERE df >= greatest(4, ceil(0.0005 * (SELECT count(*) FROM w))) AND regexp_matches(token, '^[a-z]+$')),
-t AS (SELECT token FROM df WHERE df = 1 AND length(token) BETWEEN 3 AND 6 AND regexp_matches(token, '^[a-z]+$') AND token NOT IN (SELECT token FROM dict)),
-j AS (SELECT t.token, d.token AS word, d.df, levenshtein(t.token, d.token) AS edits FROM t JOIN dict d ON abs(length(t.token) - length(d.token)) <= 2), m AS (SELECT *, min(edits) OVER (PARTITION BY token) AS least FROM j WHERE edits BETWEEN 1 AND 2)
-SELECT token, word, edits::INT AS edits, row_number() OVER (PARTITION BY token ORDER BY df DESC, word) AS k FROM m WHERE edits = least""",
 }

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from framewright import catalog
 from framewright.functions import text as T
-from framewright.operators import fulltext, rerank, serve, vector
+from framewright.operators import enrich, fulltext, rerank, serve, translate, vector
 from framewright.plans.query_plan import plan
 from framewright.plans.search import SearchSystem, hash_encoder
 from framewright.registry import language
-from framewright.registry.retrieval import _FRAMES, _META, SUBS, _agg, _hits, hits, query_vectors, vectors
+from framewright.registry.retrieval import _FRAMES, _META, SUBS, _agg, _hits, asked, hits, vectors
 from framewright.scratch import new_path, stored
 from framewright.sources import files, sinks
 from framewright.streaming import ingest
@@ -40,29 +40,83 @@ def _json(spark, rows, name):
 
 def s4(spark, d):
     """documents as recognised frames: written as JSON text, read back as OCR documents."""
-    docs = catalog.table(spark, d, "documents").select(F.concat(F.lit("v"), F.col("source")).alias("video_id"), F.format_string("%06d", "doc_id").alias("kf"), F.split("text", "\n").alias("texts"))
+    docs = catalog.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("video_id"), F.format_string("%06d", "doc_id").alias("kf"), F.split("text", "\n").alias("texts"))
     boxes = F.transform("texts", lambda t: F.array(F.lit(0), F.lit(0), F.length(t), F.lit(1)))
     frame = F.concat(F.lit('"'), F.col("kf"), F.lit('": ['), F.to_json(boxes), F.lit(", "), F.to_json("texts"), F.lit("]"))
-    rows = docs.select("video_id", F.concat(F.lit("{"), frame, F.lit("}")).alias("value"))
-    path = new_path(spark, "ocr")
-    rows.select("value").write.text(path)
-    lines = spark.read.text(path)
-    parts = lines.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("keyframe_id", "parts"))
-    return parts.select("keyframe_id", F.size(F.from_json(F.get("parts", F.lit(0)), "array<array<double>>")).alias("boxes"), F.md5(F.array_join(F.from_json(F.get("parts", F.lit(1)), "array<string>"), "|")).alias("texts_md5"))
+    videos = docs.select("video_id", frame.alias("frame")).groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list("frame")), ", ").alias("frames"))
+    found = files.ocr_json(spark, _json(spark, videos.select("video_id", F.concat(F.lit("{"), "frames", F.lit("}")).alias("value")), "ocr"), suffix=".txt")
+    return found.select("keyframe_id", F.size("bboxs").alias("boxes"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
+
+
+def s5(spark, d):
+    """Conversations as speech files, one a conversation, read back."""
+    turn = F.to_json(F.struct(F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("text").alias("transcript")))
+    videos = catalog.segments(spark, d).select("video_id", turn.alias("t")).groupBy((F.col("video_id").cast("long") % 40).cast("string").alias("video_id")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("t"), ", "), F.lit("]")).alias("value"))
+    return files.asr_json(spark, _json(spark, videos, "asr"), suffix=".txt").select("start_time", "end_time", "text")
+
+
+def s6(spark, d):
+    """Nested frames with broken files among them: all strings below a keyframe count."""
+    docs = catalog.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("video_id"), F.format_string("%06d", "doc_id").alias("kf"), F.split("text", "\n").alias("texts"))
+    frame = F.concat(F.lit('"'), F.col("kf"), F.lit('": {"a": '), F.to_json("texts"), F.lit(', "b": [1, [["deep"]]]}'))
+    videos = docs.select("video_id", frame.alias("frame")).groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list("frame")), ", ").alias("frames"))
+    whole = videos.select("video_id", F.when(F.col("video_id") % 7 == 3, "{broken").otherwise(F.concat(F.lit("{"), "frames", F.lit("}"))).alias("value"))
+    found = files.screen_text_json(spark, _json(spark, whole, "screen"), suffix=".txt")
+    return found.select("keyframe_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
+
+
+def s9(spark, d):
+    """The vocabulary written as JSON lines and read back."""
+    from framewright.operators import vocab
+
+    path = new_path(spark, "vocabulary")
+    files.write_vocabulary(vocab.domain_vocabulary(catalog.table(spark, d, "documents"), "source", "text", 3, 0.5), path)
+    return files.vocabulary_json(spark, path, lines=True)
+
+
+def s15(spark, d):
+    """Vectors cached as bytes and read back."""
+    path = new_path(spark, "cache")
+    sinks.cache_vectors(vectors(spark, d), path, 64)
+    return sinks.cached_vectors(spark, path).select("vec_id", F.size("embedding").alias("size"), F.round(F.get("embedding", F.lit(7)).cast("double"), 6).alias("eighth"))
+
+
+def p9(spark, d):
+    """Frames of one event: those that name no event or this one."""
+    e = catalog.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3).alias("sub_query_idx"), "value", F.lit(1).alias("rank"))
+    return enrich.of_event(e, 1, ["-value", "event_id"]).select("event_id", "sub_query_idx", "rank")
+
+
+def x30(spark, d):
+    """Texts turned round by a translator that fails on batches with a certain text and on that text."""
+
+    def batch(texts):
+        if any("z" in t for t in texts):
+            raise ValueError("no translation")
+        return [t[::-1] for t in texts]
+
+    c = catalog.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return translate.translated(c, "text", "said", batch).select("conv_id", "turn", "said")
+
+
+def x31(spark, d):
+    e = catalog.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, (200, 412, 500, 202, 200, 200))), (F.col("event_id") % 6 + 1).cast("int")).alias("status"))
+    body = F.when(F.col("event_id") % 6 == 0, '{"submission": "correct"}').when(F.col("event_id") % 6 == 4, '{"submission": "WRONG"}').when(F.col("event_id") % 6 == 2, '{"description": "down"}').otherwise("{}")
+    return e.select("event_id", serve.verdict(F.col("status"), body).alias("v")).select("event_id", "v.status", "v.message")
 
 
 def s8(spark, d):
-    """Bigrams of the German documents written as tab-separated text with a bad row, and read back."""
+    """Bigrams written as tab-separated text with a bad row, and read back."""
     from framewright.operators import vocab
 
     path = new_path(spark, "bigrams")
-    b = vocab.bigrams(catalog.table(spark, d, "documents").where("lang = 'de'"), "doc_id", "text").where("n >= 5")
+    b = vocab.bigrams(catalog.table(spark, d, "documents"), "doc_id", "text")
     b.select(F.concat_ws("\t", "w1", "w2", F.col("n").cast("string")).alias("value")).union(spark.createDataFrame([("w1\tw2\tcount",), ("broken",)], "value string")).write.text(path)
     return files.frequency_tsv(spark, path, 2).select(F.col("w1"), F.col("w2"), "n")
 
 
 def s13(spark, d):
-    docs = catalog.table(spark, d, "documents").where("lang = 'es'").select("doc_id", "text")
+    docs = catalog.table(spark, d, "documents").select("doc_id", "text")
     index = sinks.FullTextIndex(spark, new_path(spark, "fulltext"), "doc_id", "text")
     index.create(docs.where("doc_id % 2 = 0"))
     index.insert(docs)
@@ -71,8 +125,9 @@ def s13(spark, d):
 
 def s14(spark, d):
     index = sinks.VectorIndex(spark, new_path(spark, "vectors"))
-    index.create(vectors(spark, d))
-    return index.search(query_vectors(spark, d), 10).select("query_id", "vec_id", "rank", F.round("score", 3).alias("score"))
+    index.create(vectors(spark, d).where("vec_id % 3 > 0"))
+    index.insert(vectors(spark, d))
+    return sinks.VectorIndex(spark, index.path).search(asked(spark, d), 10).select("query_id", "vec_id", "rank", F.round("score", 3).alias("score"))
 
 
 def s16(spark, d):
@@ -189,7 +244,7 @@ def a11(spark, d):
 
 
 def _pairs(spark, d):
-    c = catalog.table(spark, d, "conversations").where("turn = 0").select("conv_id", "text")
+    c = catalog.table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("int").cast("string")).alias("conv_id"), "text")
     return c.withColumn("out", F.regexp_replace("text", "th", "t"))
 
 
@@ -218,15 +273,13 @@ def u2(spark, d):
 
 def u4(spark, d):
     e = catalog.table(spark, d, "events")
-    first = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return e.withColumn("k", first).where("k = 1").select("user_id", "event_type", "event_id")
+    return enrich.first_of_each(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 def p1(spark, d):
     """Display columns that exist, of frames with a usable id and of videos with enough frames."""
     m = catalog.metadata(spark, d).withColumn("vec_id", F.when(F.col("vec_id") % 17 == 0, -1).otherwise(F.col("vec_id")))
-    enough = m.where("vec_id >= 0").withColumn("n", F.count("*").over(W.partitionBy("video_id"))).where("n >= 45")
-    return serve.display(enough, (*catalog.DISPLAY, "score", "missing")).drop("source_name", "embedding_path", "dataset")
+    return serve.display(enrich.videos_of(m.where("vec_id >= 0"), 45), (*catalog.DISPLAY, "score", "missing")).drop("source_name", "embedding_path", "dataset")
 
 
 def q1(spark, d):
@@ -236,7 +289,7 @@ def q1(spark, d):
 
 def _system(spark, d):
     f = catalog.frames(spark, d).select("vec_id", F.lit("emb").alias("dataset"), "video_id", F.col("keyframe_id").cast("string").alias("keyframe_id"), F.col("timestamp_sec").alias("ts"))
-    docs = catalog.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
+    docs = catalog.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     places = docs.select("doc", (F.col("doc") % 10).cast("string").alias("video_id"), (F.col("doc") % 500).cast("string").alias("keyframe_id"))
     seg = catalog.segments(spark, d).withColumn("segment_id", F.concat_ws("-", "video_id", F.col("start_time").cast("int")))
     swapped = vectors(spark, d).select("vec_id", F.reverse("embedding").alias("embedding"))
@@ -262,7 +315,14 @@ def q3t(spark, d):
     return found.select("video_id", "score", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "rank")
 
 
+def f12_search(spark, d):
+    """Speech search with the frames inside each segment and the one to show."""
+    found = _system(spark, d).asr_search("of the", 10)
+    return found.select("segment_id", "video_id", "score", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"), "cover", "rank")
+
+
 QUERIES = {
+    "s5_asr_json": s5, "s6_nested_text": s6, "s9_vocabulary_json": s9, "s15_vector_cache": s15, "p9_of_event": p9, "x30_translated": x30, "x31_verdicts": x31, "f12_asr_search": f12_search,
     "s1_metadata_csv": s1, "s3_path_keys": s3, "s4_ocr_json": s4, "s8_frequency_tsv": s8, "s12_keyframe_files": s12, "s13_fulltext_index": s13, "s14_vector_index": s14, "s16_s7_keyframe_maps": s16,
     "s17_incremental_stream": s17, "s17_skip_processed": s17_skip, "stream_sessions": sessions, "x32_recognised_lines": x32, "a10_by_video": a10, "w7_pages": w7, "q4_flattened": q4, "q8_serialised": q8,
     "x20_safe_casts": x20, "x21_paths": x21, "x22_x23_times": x22, "x24_x26_judgements": x24, "x27_a13_sequence_rerank": x27, "x29_model_output": x29, "x33_boxes": x33, "a11_latency": a11, "a12_bleu_char_f": a12,
@@ -283,7 +343,7 @@ def _bleu():
         parts.append(f"SELECT ln((coalesce(sum(least(h.c, coalesce(r.c, 0))), 0) + 1.0) / (coalesce(sum(h.c), 0) + 1)) AS p FROM {h} h LEFT JOIN {r} r ON r.conv_id = h.conv_id AND r.g = h.g")
     words = "list_filter(string_split_regex(trim(lower({c}), ' '), '[\\s\\x0b]+'), lambda x: x <> '')"
     chars = "(SELECT conv_id, ch, count(*) AS c FROM (SELECT conv_id, unnest(string_split(replace(lower({c}), ' ', ''), '')) AS ch FROM p) WHERE ch <> '' GROUP BY 1, 2)"
-    return f"""WITH p AS (SELECT conv_id, text, replace(text, 'th', 't') AS o FROM conversations WHERE turn = 0), r AS (SELECT conv_id, {words.format(c='text')} AS ws FROM p), h AS (SELECT conv_id, {words.format(c='o')} AS ws FROM p),
+    return f"""WITH p AS (SELECT conv_id::VARCHAR || '-' || turn::INT AS conv_id, text, replace(text, 'th', 't') AS o FROM conversations), r AS (SELECT conv_id, {words.format(c='text')} AS ws FROM p), h AS (SELECT conv_id, {words.format(c='o')} AS ws FROM p),
 l AS ({' UNION ALL '.join(parts)}), s AS (SELECT (SELECT sum(len(ws)) FROM r) AS a, (SELECT sum(len(ws)) FROM h) AS b),
 m AS (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, sum(least(coalesce(x.c, 0), coalesce(y.c, 0))) AS o, sum(coalesce(x.c, 0)) AS r, sum(coalesce(y.c, 0)) AS h FROM {chars.format(c='text')} x FULL JOIN {chars.format(c='o')} y ON x.conv_id = y.conv_id AND x.ch = y.ch GROUP BY 1),
 f AS (SELECT avg(coalesce(2 * (m.o / greatest(m.h, 1)) * (m.o / greatest(m.r, 1)) / greatest(m.o / greatest(m.h, 1) + m.o / greatest(m.r, 1), 1e-12), 0)) AS f FROM p LEFT JOIN m ON m.conv_id = p.conv_id)
@@ -297,13 +357,20 @@ ORACLE_SQL = {
     "p1_p2_p3_p4_display": f"WITH {_META}, n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM metadata WHERE vec_id % 17 <> 0) SELECT video_id, keyframe_id, frame_idx, timestamp_sec, fps, keyframe_path FROM n WHERE n >= 45",
     "x27_a13_sequence_rerank": f"""WITH e AS (SELECT user_id, avg(round(value % 1.0, 2)) AS o, max(round(value % 1.0, 2)) AS clip FROM events GROUP BY user_id), r AS (SELECT *, 0.0::DOUBLE + 0.25 * o + 0.03 * 1.0 AS rel FROM e),
 f AS (SELECT user_id, round(rel, 4) AS relevance_score, {_DEC.format(r='rel')} AS decision, 0.25::DOUBLE AS confidence FROM r) SELECT * FROM f""",
-    "s13_fulltext_index": language._full(["de", "la"], "doc_id", 25, where="lang = 'es'"),
+    "s13_fulltext_index": language._full(["de", "la"], "doc_id", 25),
+    "s5_asr_json": "SELECT turn::DOUBLE AS start_time, (turn + 1)::DOUBLE AS end_time, text FROM conversations",
+    "s6_nested_text": "WITH l AS (SELECT doc_id, list_append(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]')), 'deep') AS t FROM documents WHERE (doc_id // 50) % 7 <> 3) SELECT lpad(doc_id::VARCHAR, 6, '0') AS keyframe_id, len(t)::INT AS n, md5(array_to_string(t, '|')) AS texts_md5 FROM l",
+    "s9_vocabulary_json": language.ORACLE_SQL["a7_domain_vocabulary"],
+    "s15_vector_cache": "SELECT vec_id, len(embedding)::INT AS size, round(embedding[8]::DOUBLE, 6) AS eighth FROM embeddings",
+    "p9_of_event": "SELECT event_id, 1 AS sub_query_idx, row_number() OVER (ORDER BY value DESC, event_id) AS rank FROM events WHERE event_id % 3 IN (0, 1)",
+    "x30_translated": "SELECT conv_id, turn, CASE WHEN contains(text, 'z') OR trim(text) = '' THEN text ELSE reverse(text) END AS said FROM conversations",
+    "x31_verdicts": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' WHEN 2 THEN 'error' WHEN 4 THEN 'wrong' ELSE 'pending' END AS status, CASE event_id % 6 WHEN 0 THEN 'Correct!' WHEN 1 THEN 'Wrong Answer' WHEN 2 THEN 'down' WHEN 3 THEN 'Submitted, waiting for verdict' WHEN 4 THEN 'Wrong Answer' ELSE 'Submitted' END AS message FROM events",
     "s1_metadata_csv": f"WITH {_META} SELECT video_id, keyframe_id, keyframe_id_int, frame_idx, timestamp_sec, fps, keyframe_path FROM metadata",
     "s3_path_keys": f"WITH {_META} SELECT vec_id, 'emb' AS dataset, video_id, keyframe_id_int, keyframe_id, CASE WHEN vec_id % 3 <> 1 THEN frame_idx END AS frame_idx FROM metadata",
     "s4_ocr_json": "SELECT lpad(doc_id::VARCHAR, 6, '0') AS keyframe_id, len(string_split(text, chr(10)))::INT AS boxes, md5(replace(text, chr(10), '|')) AS texts_md5 FROM documents",
-    "s8_frequency_tsv": "WITH w AS (SELECT list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '') AS ws FROM documents WHERE lang = 'de'), b AS (SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT w1, w2, count(*) AS n FROM b GROUP BY w1, w2 HAVING count(*) >= 5",
+    "s8_frequency_tsv": "WITH w AS (SELECT list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '') AS ws FROM documents), b AS (SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT w1, w2, count(*) AS n FROM b GROUP BY w1, w2",
     "s12_keyframe_files": f"WITH {_META} SELECT keyframe_id_int, CASE vec_id % 3 WHEN 0 THEN 'k/' || video_id || '/' || vec_id || '.jpg' WHEN 1 THEN 'k/' || video_id || '/' || vec_id || '.webp' ELSE 'emb/' || video_id || '/' || keyframe_id || '.jpg' END AS path FROM metadata",
-    "s14_vector_index": f"WITH {_hits(SUBS, 10)} SELECT query_id, vec_id, rank, round(score, 3) AS score FROM hits",
+    "s14_vector_index": f"WITH {_hits(None, 10)} SELECT query_id, vec_id, rank, round(score, 3) AS score FROM hits",
     "s16_s7_keyframe_maps": f"WITH {_META} SELECT video_id, (frame_idx / 25)::INT AS keyframe_id, frame_idx, coalesce(timestamp_sec, -1.0) AS timestamp_sec, fps FROM metadata",
     "s17_incremental_stream": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > 20 GROUP BY user_id",
     "s17_skip_processed": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 
 import numpy as np
 import pandas as pd
@@ -49,24 +50,51 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     return keyed.select("path", "k.*", keyframe_of_stem(F.col("k.stem")).alias("f"), "embedding").select("path", "dataset", "video_id", "stem", "f.*", "embedding")
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+def _whole(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return files.select(F.element_at(parts, -2).alias("dataset"), F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("video_id"), "value")
+    return files.select(F.element_at(parts, -2).alias("dataset"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("video_id"), "value")
 
 
-def ocr_json(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+def ocr_json(spark: SparkSession, path: str, lenient: bool = False, suffix: str = ".json") -> DataFrame:
     """{keyframe: [boxes, texts(, confidences)]} files as OCR documents; other arities are an error, or, leniently, left out."""
-    rows = _whole(spark, path).select("dataset", "video_id", F.explode(F.from_json("value", "map<string,array<string>>")).alias("keyframe_id", "parts"))
+    rows = _whole(spark, path, suffix).select("dataset", "video_id", F.explode(F.from_json("value", "map<string,array<string>>")).alias("keyframe_id", "parts"))
     fits = F.size("parts").isin(2, 3)
     rows = rows.where(fits) if lenient else rows.where(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("two or three lists expected at "), "video_id", F.lit("/"), "keyframe_id"))))
     return rows.select("dataset", "video_id", "keyframe_id", F.from_json(F.get("parts", F.lit(0)), "array<array<double>>").alias("bboxs"), F.from_json(F.get("parts", F.lit(1)), "array<string>").alias("texts"), F.from_json(F.get("parts", F.lit(2)), "array<double>").alias("confidences"))
 
 
-def asr_json(spark: SparkSession, path: str) -> DataFrame:
-    """[{start, end, transcript}] files, or with the keys start_time, end_time and text, as speech segments; the file's name is the video."""
+def string_leaves(value) -> list[str]:
+    """All strings in nested lists and maps that aren't blank, in order."""
+    if isinstance(value, str):
+        return [value] if value.strip() else []
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [leaf for item in inner for leaf in string_leaves(item)]
+
+
+@F.pandas_udf("array<struct<keyframe_id:string,texts:array<string>>>")
+def _frames_with_text(files: pd.Series) -> pd.Series:
+    def frames(text):
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return []
+        rows = [(str(k), string_leaves(v)) for k, v in found.items()] if isinstance(found, dict) else []
+        return [{"keyframe_id": k, "texts": t} for k, t in rows if t]
+
+    return files.map(frames)
+
+
+def screen_text_json(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """{keyframe: anything} files as OCR documents of all strings below each keyframe; files that aren't such JSON and keyframes without text are passed over."""
+    rows = _whole(spark, path, suffix).select("dataset", "video_id", F.explode(_frames_with_text("value")).alias("f"))
+    return rows.select("dataset", "video_id", "f.*")
+
+
+def asr_json(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """[{start, end, transcript}] files, or with the keys start_time, end_time and text, as speech segments; the file's name is the video.  Files that aren't such JSON are passed over."""
     item = "array<struct<start:double,end:double,transcript:string,start_time:double,end_time:double,text:string>>"
-    rows = _whole(spark, path).select("dataset", "video_id", F.explode(F.from_json("value", item)).alias("s"))
+    rows = _whole(spark, path, suffix).select("dataset", "video_id", F.explode(F.from_json("value", item)).alias("s"))
     return rows.select("dataset", "video_id", F.coalesce("s.start", "s.start_time").alias("start_time"), F.coalesce("s.end", "s.end_time").alias("end_time"), F.coalesce("s.transcript", "s.text").alias("text"))
 
 
@@ -87,6 +115,37 @@ def hunspell_stems(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(stem.alias("token")).where(r"token <> '' and not token rlike '^[0-9]+$'").distinct()
 
 
+def affix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of an .aff file: kind (PFX or SFX), flag, joins (whether a prefix and a suffix may meet), cut, added, and the pattern that the cut end must have."""
+    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where("p[0] in ('PFX', 'SFX')")
+    heads = parts.where("size(p) = 4 and p[2] in ('Y', 'N')").select(F.get("p", F.lit(0)).alias("kind"), F.get("p", F.lit(1)).alias("flag"), (F.get("p", F.lit(2)) == "Y").alias("joins"))
+    none = lambda i: F.when(F.get("p", F.lit(i)) == "0", "").otherwise(F.get("p", F.lit(i)))
+    rules = parts.where("size(p) > 4 or size(p) = 4 and p[2] not in ('Y', 'N')").select(
+        F.get("p", F.lit(0)).alias("kind"), F.get("p", F.lit(1)).alias("flag"), none(2).alias("cut"), F.regexp_replace(none(3), "/.*$", "").alias("added"), F.coalesce(F.get("p", F.lit(4)), F.lit(".")).alias("pattern")
+    )
+    return rules.join(F.broadcast(heads), ["kind", "flag"])  # a row per flag
+
+
+def hunspell_words(spark: SparkSession, dic: str, aff: str) -> DataFrame:
+    """The words of a .dic file in lower case with all forms that the .aff rules give them: suffixes, prefixes, and both where the rules may meet."""
+    rules = affix_rules(spark, aff)
+    entry = F.split(F.regexp_replace(F.trim("value"), r"\t.*$", ""), "/")
+    stems = spark.read.text(dic).select(F.get(entry, F.lit(0)).alias("word"), F.split(F.coalesce(F.get(entry, F.lit(1)), F.lit("")), "").alias("flags")).where(r"word <> '' and not word rlike '^[0-9]+$'")
+
+    def forms(words: DataFrame, kind: str, only_joining: bool) -> DataFrame:
+        some = rules.where((F.col("kind") == kind) & (F.col("joins") | F.lit(not only_joining)))
+        met = words.select("word", "flags", F.explode("flags").alias("flag")).join(F.broadcast(some), "flag")  # the rules of one language
+        n, end = F.length("cut"), kind == "SFX"
+        fits = F.expr("word rlike concat('(?:', pattern, ')$')" if end else "word rlike concat('^(?:', pattern, ')')")
+        holds = F.endswith("word", F.col("cut")) if end else F.startswith("word", F.col("cut"))
+        made = F.concat(F.substr("word", F.lit(1), F.length("word") - n), "added") if end else F.concat("added", F.substr("word", n + 1))
+        return met.where(fits & holds & (F.length("word") > n)).select(made.alias("word"), "flags", "joins")
+
+    ends = forms(stems, "SFX", False)
+    whole = stems.select("word").union(ends.select("word")).union(forms(stems, "PFX", False).select("word")).union(forms(ends.where("joins").select("word", "flags"), "PFX", True).select("word"))
+    return whole.select(F.lower("word").alias("token")).distinct()
+
+
 def frequency_tsv(spark: SparkSession, path: str, words: int = 1) -> DataFrame:
     """word(s) and count, tab by tab; a header and bad rows are passed over."""
     names = [f"w{i + 1}" for i in range(words)] if words > 1 else ["token"]
@@ -94,9 +153,15 @@ def frequency_tsv(spark: SparkSession, path: str, words: int = 1) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").csv(path).where("n is not null")
 
 
-def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
-    """The keys of "vocab" or "watermark_tokens" with their counts."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "struct<vocab:map<string,long>,watermark_tokens:map<string,long>>").alias("j"))
+def write_vocabulary(words: DataFrame, path: str, name: str = "vocab") -> None:
+    """``(token, df)`` as lines of JSON, each a document of one token that vocabulary_json() reads."""
+    entry = F.create_map("token", F.col("df").cast("long"))
+    words.select(F.to_json(F.struct(entry.alias(name))).alias("value")).write.mode("overwrite").text(path)
+
+
+def vocabulary_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The keys of "vocab" or "watermark_tokens" with their counts; of one document a file, or, with lines, a line."""
+    raw = spark.read.option("wholetext", not lines).text(path).select(F.from_json("value", "struct<vocab:map<string,long>,watermark_tokens:map<string,long>>").alias("j"))
     return raw.select(F.explode(F.coalesce("j.vocab", "j.watermark_tokens")).alias("token", "df"))
 
 

@@ -4,40 +4,78 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators import fulltext, vector
+from framewright.scratch import stored
 
 
 class Indexer(Protocol):
-    def create(self) -> None: ...
+    """A stored index: made anew, added to, counted, dropped."""
+
+    def create(self, docs: DataFrame) -> None: ...
     def insert(self, docs: DataFrame) -> None: ...
     def count(self) -> int: ...
+    def exists(self) -> bool: ...
+    def delete(self) -> None: ...
 
 
 class Retriever(Protocol):
-    def search(self, query: str, top_k: int) -> DataFrame: ...
+    """Something that finds its best rows for a query."""
+
+    def search(self, query: str | DataFrame, top_k: int) -> DataFrame: ...
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class _Stored:
+    """Tables below a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        path, files = _file_system(self.spark, self.path)
+        return files.exists(path)
+
+    def delete(self) -> None:
+        path, files = _file_system(self.spark, self.path)
+        files.delete(path, True)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
 
+class FullTextIndex(_Stored):
+    """Postings split by a hash of the term, terms with their document counts split by a hash of their first letters, and totals.
 
-class FullTextIndex:
-    """Postings in Parquet, split by a hash of the term, so that a query reads the files of its terms' buckets alone."""
+    A query reads the buckets of its terms and of their expansions alone.  Every
+    insert adds rows to each table; counts of a term are added up when read.
+    """
 
     BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str, key: str, text: str):
-        self.spark, self.path, self.key, self.text = spark, path, key, text
+        super().__init__(spark, path)
+        self.key, self.text = key, text
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")
+    def _bucket(self, of):
+        return F.pmod(F.xxhash64(of), F.lit(self.BUCKETS)).cast("int")
 
-    def exists(self) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _buckets(self, values: list[str]) -> list[int]:
+        """The buckets of some values; a few at a time, found where the tables' were."""
+        rows = self.spark.createDataFrame([(v,) for v in values], "v string").select(self._bucket(F.col("v")).alias("b")).distinct().collect()
+        return sorted(r["b"] for r in rows)
 
     def create(self, docs: DataFrame) -> None:
-        """Write the index anew; rows of a bucket meet in a task, so that a bucket is one file."""
+        """Write the index anew."""
         self._write(docs, "overwrite")
 
     def insert(self, docs: DataFrame) -> None:
@@ -45,42 +83,116 @@ class FullTextIndex:
         self._write(docs.join(self.postings().select(self.key).distinct(), self.key, "left_anti"), "append")
 
     def _write(self, docs: DataFrame, mode: str) -> None:
-        p = fulltext.postings(docs, self.key, self.text).withColumn("bucket", self._bucket())
-        p.repartition("bucket").sortWithinPartitions("term").write.mode(mode).partitionBy("bucket").parquet(self.path)
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("bucket")
-
-    def delete(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        found = stored(fulltext.postings(docs, self.key, self.text), "postings")
+        # a bucket is one file of a write
+        found.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("term").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
+        terms = found.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", self._bucket(F.substring("term", 1, fulltext.PREFIX)))
+        terms.repartition("bucket").sortWithinPartitions("term").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/terms")
+        lengths = found.groupBy(self.key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+        lengths.write.mode(mode).parquet(f"{self.path}/totals")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """All postings, or those of some terms, of which only the buckets are read."""
+        rows = self._read("postings")
+        if terms is not None:
+            rows = rows.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms)) if terms else rows.where("false")
+        return rows.drop("bucket")
+
+    def terms(self, starts: list[str]) -> DataFrame:
+        """``(term, df)`` with the given first letters."""
+        start = F.substring("term", 1, fulltext.PREFIX)
+        rows = self._read("terms").where(F.col("bucket").isin(self._buckets(starts)) & start.isin(starts))
+        return rows.groupBy("term").agg(F.sum("df").alias("df"))
+
+    def index(self) -> fulltext.Index:
+        totals = self._read("totals").agg(F.sum("n_docs").alias("n_docs"), F.try_divide(F.sum("tokens"), F.sum("n_docs")).alias("avgdl"))
+        return fulltext.Index(self.key, self.postings, self.terms, totals)
 
     def count(self) -> int:
-        return self.postings().select(self.key).distinct().count()
+        return self._read("totals").agg(F.coalesce(F.sum("n_docs"), F.lit(0))).collect()[0][0]
 
-    def search(self, query: str, top_k: int) -> DataFrame:
-        return fulltext.search(self.postings(), self.key, query, top_k)
+    def search(self, query: str, top_k: int, weights: DataFrame | None = None) -> DataFrame:
+        return fulltext.search(self.index(), self.key, query, top_k, weights)
 
 
-class VectorIndex:
-    """Unit vectors in Parquet, split by their nearest centroid: an exact search reads all, a pruned one the probed cells."""
+class VectorIndex(_Stored):
+    """Unit vectors split by their nearest centroid, and the centroids: an exact search reads all, a pruned one the cells that its queries probe.
+
+    An index is opened again by its path.
+    """
 
     def __init__(self, spark: SparkSession, path: str, cells: int = 16):
-        self.spark, self.path, self.cells, self.centers = spark, path, cells, None
+        super().__init__(spark, path)
+        self.cells = cells
 
     def create(self, vectors: DataFrame) -> None:
-        unit = vectors.select("vec_id", vector.l2_normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
-        self.centers = vector.train_centroids(unit, self.cells)
-        vector.with_cell(unit, self.centers).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(self.path)
+        """Centroids of these vectors, and the vectors."""
+        unit = self._unit(vectors)
+        centers = vector.train_centroids(unit, self.cells)
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+        self.spark.createDataFrame(rows, "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centers")
+        self._write(unit, centers, "overwrite")
+
+    def insert(self, vectors: DataFrame) -> None:
+        """Add vectors whose ids the index doesn't have, to the cells that it has."""
+        self._write(self._unit(vectors).join(self.table().select("vec_id"), "vec_id", "left_anti"), self.centers(), "append")
+
+    def remove(self, ids: DataFrame) -> None:
+        """Write the cells anew that hold any of these ``(vec_id)``, without them."""
+        touched = [r["cell"] for r in self.table().join(ids.select("vec_id").distinct(), "vec_id", "left_semi").select("cell").distinct().collect()]
+        left = stored(self.table().where(F.col("cell").isin(touched)).join(ids.select("vec_id").distinct(), "vec_id", "left_anti"), "left")
+        for cell in touched:
+            path, files = _file_system(self.spark, f"{self.path}/vectors/cell={cell}")
+            files.delete(path, True)
+        left.repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
+
+    @staticmethod
+    def _unit(vectors: DataFrame) -> DataFrame:
+        return vectors.select("vec_id", vector.l2_normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
+
+    def _write(self, unit: DataFrame, centers, mode: str) -> None:
+        vector.with_cell(unit, centers).repartition("cell").write.mode(mode).partitionBy("cell").parquet(f"{self.path}/vectors")
+
+    def centers(self):
+        return np.array([r["center"] for r in self._read("centers").orderBy("cell").collect()], np.float64)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema("vec_id long, embedding array<float>, cell int").parquet(f"{self.path}/vectors")
 
     def count(self) -> int:
         return self.table().count()
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        return vector.nearest(self.table(), queries, k) if probes is None else vector.nearest_by_cells(self.table(), self.centers, queries, k, probes)
+    def search(self, query: DataFrame, top_k: int, probes: int | None = None) -> DataFrame:
+        """The best of ``(query_id, vector)`` over all vectors, or over those of each query's nearest cells."""
+        return vector.nearest(self.table(), query, top_k) if probes is None else vector.nearest_by_cells(self.table(), self.centers(), query, top_k, probes)
+
+
+def cache_vectors(vectors: DataFrame, path: str, size: int, half: bool = False) -> None:
+    """``(vec_id, embedding)`` as bytes of 32, or 16, bits a number; a vector of another size is an error."""
+    kind = np.float16 if half else np.float32
+
+    def packed(batches):
+        for batch in batches:
+            data = []
+            for v in batch.column(1):
+                x = np.asarray(v.values if v.is_valid else [], kind)
+                if len(x) != size:
+                    raise ValueError(f"a vector of {len(x)} numbers where {size} are expected")
+                data.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array([np.dtype(kind).name] * len(data), pa.string())], names=["vec_id", "data", "kind"])
+
+    vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(packed, "vec_id long, data binary, kind string").write.mode("overwrite").parquet(path)
+
+
+def cached_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """What cache_vectors() wrote, as ``(vec_id, embedding)``."""
+
+    def unpacked(batches):
+        for batch in batches:
+            rows = [np.frombuffer(x.as_buffer(), k).astype(np.float32) for x, k in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+
+    return spark.read.schema("vec_id long, data binary, kind string").parquet(path).mapInArrow(unpacked, "vec_id long, embedding array<float>")
 
 
 def keyframe_map(frames: DataFrame, path: str) -> None:
