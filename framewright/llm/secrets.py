@@ -54,6 +54,7 @@ PLAIN = [w for w in DICTIONARY if not re.search(SECRET_WORDS, w)]
 
 #: A private key in its frame; what an address has between a colon and the at sign.
 _BLOCK = "(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[^-]+-----END [A-Z0-9 ]*PRIVATE KEY-----)"
+_KEY = "\u0001key\u0001"
 _ADDRESS = "(?i)[a-z][a-z0-9+.-]*://[^\\s/:@]*:(?=([^\\s/@]+)@)"
 #: A name of a secret in a word, with what may stand between it and a sign; a sign; a name at the end of a word; a word that only links.
 _NAME = f"(?i)(?:{SECRET_WORDS})[\\w.-]*[\"'`)\\]]*"
@@ -117,7 +118,9 @@ def _value(rest: Column) -> Column:
 
 def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Column:
     """Array of (value, word_no, features) of the candidates of a text: private keys, then others in order.  A value that a word has twice counts once."""
-    words = F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+")
+    framed = F.contains(text, F.lit("PRIVATE KEY-----"))
+    # a private key counts as one word
+    words = F.split(F.coalesce(F.when(framed, F.regexp_replace(text, _BLOCK, _KEY)).otherwise(text), F.lit("")), "[ \\t-\\r]+")
     names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}")
     word_of = lambda all_words, i, k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
 
@@ -129,7 +132,7 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
         near = F.concat_ws(" ", word_of(all_words, i, -3), word_of(all_words, i, -2), word_of(all_words, i, -1))
         at = lambda v, rest: F.length(w) - F.length(rest) + F.position(v, rest) - 1
         rests = F.concat(F.regexp_extract_all(w, F.lit(_ADDRESS)), F.regexp_extract_all(w, F.lit(_ASSIGNED)), F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(F.array().cast("array<string>")))
-        named = F.filter(F.transform(rests, lambda r: _let(_value(r), lambda v: F.struct(at(v, r).alias("at"), v.alias("value"), F.lit(True).alias("named")))), lambda c: c["value"] != "")
+        named = F.filter(F.transform(rests, lambda r: _let(_value(r), lambda v: F.struct(at(v, r).alias("at"), v.alias("value"), F.lit(True).alias("named")))), lambda c: ~c["value"].isin("", _KEY))
         shaped = F.filter(F.regexp_extract_all(w, F.lit(f"({_CANDIDATE})")), lambda v: (F.length(v) >= SHORTEST) & v.rlike("[0-9]|.[A-Z]"))
 
         def both(by_name: Column) -> Column:
@@ -149,10 +152,10 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
 
     # bound once: within the words it would be taken again for each
     others = _let(F.struct(words.alias("words"), names.alias("names")), lambda t: _let(t["words"], lambda all_words: found(all_words, t["names"])))
-    at = lambda v: F.size(F.split(F.left(text, F.position(v, text)), "[ \\t-\\r]+")) - 1
     none, frame = F.lit(""), F.lit("private key")
-    key = lambda v: F.struct(v.alias("value"), at(v).alias("word_no"), _features(v, none, frame, none, place, F.lit(True), dictionary).alias("x"))
-    keys = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_BLOCK))), key))
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(_KEY)), i)), lambda i: i.isNotNull())
+    key = lambda v, at: F.struct(v.alias("value"), at.alias("word_no"), _features(v, none, frame, none, place, F.lit(True), dictionary).alias("x"))
+    keys = F.when(framed, F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(_BLOCK)), places, key), lambda c: c["value"].isNotNull()))
     return _let(others, lambda o: F.when(keys.isNull(), o).otherwise(F.concat(keys, o)))
 
 
@@ -221,11 +224,11 @@ def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     frame = lambda kind, *body: F.concat_ws("\n", join("-----BEGIN ", kind, "-----"), *body, join("-----END ", kind, "-----"))
     lines = [part(F.base64(F.unhex(join(F.sha2(seeded(k), 512)))), 1, 64) for k in (62, 63, 64)]
     private = frame(pick(65, "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"), *lines)
-    bare = pick(66, cut(letters, 67, 16, 40), join(part(letters, 3, 9), "-", part(letters, 14, 9)))
+    bare = cut(letters, 67, 20, 40)
 
     harmless = pick(70, "commit", "sha256:", "md5", "checksum", "digest", "revision", "etag", "blob", "uuid", "hash")
     route = F.concat_ws("/", entry(71), entry(72), entry(73), join(entry(74), number(75, 1, 99), pick(76, ".java", ".py", ".html", ".js", "")))
-    camel = join(entry(71), F.initcap(entry(72)), F.initcap(entry(73)), number(75, 1, 99))
+    camel = join(pick(99, "get", "set", "is", entry(71)), F.initcap(entry(72)), pick(100, "", F.initcap(entry(73)), F.initcap(join(syllable(412), syllable(413)))), pick(101, "", "ById", "Of", F.initcap(entry(74))), number(75, 1, 99))
     snake = F.concat_ws("_", entry(71), entry(72), entry(73), number(75, 1, 999))
     mail = join(entry(71), ".", number(75, 1, 99), "@mail", number(77, 1, 9), ".example.com")
     site = join("https://www.", entry(71), number(75, 1, 99), ".example.org", pick(78, "", ":8080"), "/", route)
@@ -240,8 +243,8 @@ def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
 
     positive = [set_to(human), set_to(human), told, set_to(random), set_to(random), issued, line(pick(90, "key", "login", "with"), issued), address(pick(91, human, random, human)), private, bare]
     negative = [
-        line(harmless, pick(92, hex40, hex32, hex64)), line(pick(93, "", "uuid", "order", "session", "id"), uuid), mail, site, route, camel, snake, line(pick(94, "", "card", "invoice", "phone", "serial"), digits),
-        set_to(hollow), pick(92, hex40, hex32, hex64), join(entry(71), ".", part(hex32, 1, 8), ".chunk.js"), build, shouted, shouted, joined, joined, said, said, said, set_to(void), set_to(void), set_to(void), address(void), certificate,
+        line(harmless, pick(92, hex40, hex32, hex64)), line(pick(93, "", "uuid", "order", "session", "id"), uuid), mail, site, route, camel, camel, snake, line(pick(94, "", "card", "invoice", "phone", "serial"), digits),
+        set_to(hollow), pick(92, hex40, hex32, hex64), join(entry(71), ".", part(hex32, 1, 8), ".chunk.js"), build, shouted, shouted, joined, joined, said, said, said, set_to(void), set_to(void), set_to(void), address(void), certificate, certificate,
     ]
     rows = spark.range(0, rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
     finding = F.when(F.col("label") == 1, pick(95, *positive)).otherwise(pick(96, *negative))

