@@ -45,6 +45,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(squares > 1e-12 * lengths, squares, 0))
 
 
+def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The row of b nearest to each of a; of equal ones (to nine digits) the first."""
+    return np.round(distances(a, b), 9).argmin(1)
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean of (b - a) / max(a, b) over points: a to the own cluster's others, b to the nearest other cluster; 0 for single points."""
     d, names = distances(x, x), np.unique(labels)
@@ -89,11 +94,11 @@ def cluster_keyframes(x: np.ndarray, least: int = 3) -> list[int]:
     first = spread_out(x, int(np.ceil(np.sqrt(n))))
 
     def rating(centers: np.ndarray) -> float:
-        labels = distances(x, centers).argmin(1)
+        labels = nearest(x, centers)
         return silhouette(x, labels) if 2 <= len(np.unique(labels)) < n else -1.0
 
     best = max([first, *merged_step_by_step(first)], key=lambda c: rating(c) if len(c) > 2 else -1.0)
-    return sorted({int(i) for i in distances(best, x).argmin(1)})
+    return sorted({int(i) for i in nearest(best, x)})
 
 
 def histogram(pixels: bytes, bins: int = 8) -> np.ndarray:

@@ -395,5 +395,11 @@ SELECT event_id, CASE WHEN x2 > x1 AND y2 > y1 THEN round(x1, 6) END AS c0, CASE
     "t10_substring_score": "WITH s AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) / 3 AS score FROM documents) SELECT doc_id, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30",
     "t11_token_score": """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(trim(lower(text), ' '), '[\\s\\x0b]+'), lambda x: x <> '')) AS ws FROM documents),
 s AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('the', 'of', 'and', 'ereaan'))) AS c FROM w) SELECT doc_id, round(0.75 * c / 4 + 0.25 * c / greatest(n, 1), 9) AS score FROM s ORDER BY score DESC, doc_id LIMIT 30""",
+    "f10_f11_ocr_search": f"""WITH {_FRAMES}, h AS (SELECT *, round(score / max(score) OVER (), 6) AS ns FROM ({language._full(["of", "the", "and"], "doc", 30)})), j AS (SELECT f.vec_id, h.score AS ocr_score, ns AS score, row_number() OVER (ORDER BY ns DESC, f.video_id, f.vec_id) AS rank FROM h JOIN frames f ON f.video_id = (doc % 10)::VARCHAR AND f.vec_id = doc % 500)
+SELECT * FROM j WHERE rank <= 10""",
+    "f12_asr_search": f"""WITH {_FRAMES}, s AS (SELECT conv_id::VARCHAR || '-' || turn::INT AS segment_id, conv_id::VARCHAR AS video_id, turn::DOUBLE AS a, (turn + 1)::DOUBLE AS b FROM conversations),
+h AS (SELECT x.segment_id, video_id, a, b, x.rank AS hit_rank, round(score / max(score) OVER (), 6) AS score FROM ({language._full(["of", "the"], "segment_id", 30, where="true", key="conv_id::VARCHAR || '-' || turn::INT", table="conversations")}) x JOIN s ON s.segment_id = x.segment_id),
+j AS (SELECT h.*, f.vec_id, row_number() OVER (PARTITION BY segment_id ORDER BY f.vec_id) AS k FROM h JOIN frames f ON f.video_id = h.video_id AND f.pos BETWEEN a AND b), g AS (SELECT segment_id, video_id, score, hit_rank, list(vec_id ORDER BY vec_id) AS frames FROM j WHERE k <= 50 GROUP BY ALL)
+SELECT segment_id, video_id, score, array_to_string(list_transform(frames, lambda x: x::VARCHAR), ',') AS frames, frames[1 + (len(frames) // 2)::BIGINT] AS cover, rank FROM (SELECT *, row_number() OVER (ORDER BY hit_rank) AS rank FROM g) WHERE rank <= 10""",
     "q1_query_plan": "SELECT * FROM (VALUES ('temporal', 0, 0, 'A dog runs, in the park'), ('temporal', 0, 1, 'A dog runs'), ('temporal', 0, 2, 'in the park'), ('temporal', 1, 0, 'two birds')) t(mode, event_idx, sub_idx, text)",
 }

@@ -43,16 +43,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are so far, to give to drop()."""
+    return len(_written)
+
+
+def drop(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables written since then, but for the last few; results that still read them become invalid."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete every table written so far; results that still read them become invalid."""
+    """drop() of all tables, as far as it goes: at the end of the interpreter the session may have ended, and its folder goes with it."""
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # the session has ended; its folder goes with it
+        drop(spark, 0)
+    except Exception:
         return
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        try:
-            path.getFileSystem(conf).delete(path, True)
-        except Exception:  # best effort at interpreter exit
-            return

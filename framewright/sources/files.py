@@ -72,7 +72,7 @@ def string_leaves(value) -> list[str]:
     return [leaf for item in inner for leaf in string_leaves(item)]
 
 
-@F.pandas_udf("array<struct<keyframe_id:string,texts:array<string>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("keyframe_id", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))])))
 def _frames_with_text(files: pd.Series) -> pd.Series:
     def frames(text):
         try:
@@ -95,7 +95,7 @@ def asr_json(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame
     """[{start, end, transcript}] files, or with the keys start_time, end_time and text, as speech segments; the file's name is the video.  Files that aren't such JSON are passed over."""
     item = "array<struct<start:double,end:double,transcript:string,start_time:double,end_time:double,text:string>>"
     rows = _whole(spark, path, suffix).select("dataset", "video_id", F.explode(F.from_json("value", item)).alias("s"))
-    return rows.select("dataset", "video_id", F.coalesce("s.start", "s.start_time").alias("start_time"), F.coalesce("s.end", "s.end_time").alias("end_time"), F.coalesce("s.transcript", "s.text").alias("text"))
+    return rows.select("dataset", "video_id", F.coalesce("s.start", "s.start_time").alias("start_time"), F.coalesce("s.end", "s.end_time").alias("end_time"), F.coalesce("s.transcript", "s.text").alias("text")).where("start_time is not null or end_time is not null or text is not null")
 
 
 def keyframe_maps(spark: SparkSession, path: str) -> DataFrame:

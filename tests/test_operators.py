@@ -73,15 +73,9 @@ def test_fusion_ignores_the_order_of_lists_but_for_ties(spark):
     assert one == two and one[0].matched_sources == 2 and len(one) == 3
 
 
-def test_pruned_search_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    exact = {(r.query_id, r.vec_id) for r in vector.nearest(v, q, 10).collect()}
-    centers = vector.train_centroids(v, 16)
-    pruned = {(r.query_id, r.vec_id) for r in vector.nearest_by_cells(vector.with_cell(v, centers), centers, q, 10, 10).collect()}
-    assert len(exact & pruned) >= 0.9 * len(exact)
+def test_unknown_metric(spark):
     with pytest.raises(ValueError):
-        vector.nearest(v, q, 3, "other")
+        vector.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "query_id long, vector array<float>"), 3, "other")
 
 
 @pytest.mark.parametrize(
@@ -331,3 +325,127 @@ def test_token_resolver_takes_all_documents(spark, sf):
 
     got = [r.token for r in language.x13(spark, sf).select("token").collect()]
     assert sorted(got) == sorted(r.token for r in language._tokens(spark, sf).collect())
+
+
+def test_vector_index_grows_and_opens_again(spark, tmp_path):
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id in (5, 150)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = sinks.VectorIndex(spark, str(tmp_path / "v"), 4)
+    assert not index.exists()
+    index.create(v.where("vec_id < 100"))
+    index.insert(v)
+    again = sinks.VectorIndex(spark, str(tmp_path / "v"))
+    assert again.count() == 200 and {x.vec_id for x in again.search(q, 1).collect()} == {5, 150}
+    pruned = again.search(q, 3, probes=2)
+    assert {x.vec_id for x in pruned.where("rank = 1").collect()} == {5, 150}
+    import re
+
+    plan = again.search(q.limit(1), 3, probes=1)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+    again.remove(spark.createDataFrame([(5,), (7,)], "vec_id long"))
+    assert again.count() == 198 and 5 not in {x.vec_id for x in again.search(q, 200).collect()}
+    again.delete()
+    assert not index.exists()
+
+
+def test_fulltext_reads_the_buckets_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} and word{i + 1} fox") for i in range(200)], "id int, text string")
+    index = sinks.FullTextIndex(spark, str(tmp_path / "ix"), "id", "text")
+    index.create(docs.where("id < 150"))
+    index.insert(docs)
+    assert index.count() == 200 and index.index().totals.collect()[0].avgdl == 4
+    plan = index.postings(["fox"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,fox)" in plan.replace("In(term, [fox])", "EqualTo(term,fox)")
+    assert len(index.postings(["fox"]).inputFiles()) >= 1 and index.postings(["fox"]).count() == 200
+    from_stored = [tuple(r) for r in index.search("word7 fox", 5).collect()]
+    assert from_stored == [tuple(r) for r in fulltext.search(fulltext.postings(docs, "id", "text"), "id", "word7 fox", 5).collect()] and from_stored[0][0] in (6, 7)
+    assert index.search("zzz qqq", 5).count() == 0
+
+
+def test_vector_cache(spark, tmp_path):
+    v = spark.createDataFrame([(i, [i / 3, -1.5, 0.1]) for i in range(20)], "vec_id long, embedding array<float>")
+    for half in (False, True):
+        sinks.cache_vectors(v, str(tmp_path / "c"), 3, half)
+        kind = np.float16 if half else np.float32
+        got = {r.vec_id: r.embedding for r in sinks.cached_vectors(spark, str(tmp_path / "c")).collect()}
+        assert got == {i: [float(kind(x)) for x in (np.float32(i / 3), -1.5, np.float32(0.1))] for i in range(20)}
+    with pytest.raises(Exception, match="4 are expected"):
+        sinks.cache_vectors(v, str(tmp_path / "d"), 4)
+
+
+def test_numbers_by_ranges(spark):
+    from framewright.operators.ranks import numbered
+
+    rows = [(i % 7, i) if i % 11 else (None, i) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), ["-a", "b"]).orderBy("rank").collect()
+    assert [(r.a, r.b, r.rank) for r in got] == [(a, b, k + 1) for k, (a, b) in enumerate(sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1])))]
+
+
+def test_models_and_gate(spark):
+    from framewright.operators.translate import Gate
+    from framewright.plans.search import Model, SearchSystem, chosen_models, hash_encoder
+
+    models = {"a": Model(None, hash_encoder), "b": Model(None, None), "c": Model(None, hash_encoder, enabled=False)}
+    assert list(chosen_models(models)) == ["a", "b"] and list(chosen_models(models, ["c"])) == ["c"]
+    with pytest.raises(ValueError):
+        chosen_models(models, ["d"])
+    system = SearchSystem(spark, None, models)
+    assert system.available_models() == ["a", "b"] and system.text_models() == ["a"]
+    with pytest.raises(ValueError):
+        system._chosen("b")
+    up = Gate(str.upper)
+    assert up("x") == "X" and up("x", False) == "x" and Gate(str.upper, False)("x") == "x" and Gate(str.upper, False)("x", True) == "X" and Gate()("x") == "x"
+    with pytest.raises(RuntimeError):
+        Gate()("x", True)
+    assert [query_plan.error_status(e) for e in (RuntimeError(), KeyError(), ValueError(), OSError())] == [503, 400, 400, 500]
+
+
+def test_translations_fall_back(spark):
+    from framewright.operators.translate import translated
+
+    def batch(texts):
+        if len(texts) > 1:
+            return texts[:-1]
+        if texts == ["bad"]:
+            raise OSError
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("a",), (None,), (" ",)], "t string").coalesce(1)
+    assert sorted((r.t or "", r.u) for r in translated(df, "t", "u", batch).collect()) == [("", None), (" ", " "), ("a", "A"), ("a", "A"), ("bad", "bad")]
+
+
+def test_affixes(spark, tmp_path):
+    (tmp_path / "x.dic").write_text("3\nwork/DG\ntry/DU\nplain\n")
+    (tmp_path / "x.aff").write_text("SET UTF-8\nSFX D Y 2\nSFX D 0 ed [^y]\nSFX D y ied y\nSFX G N 1\nSFX G 0 ing .\nPFX U Y 1\nPFX U 0 re .\n")
+    got = {r.token for r in files.hunspell_words(spark, str(tmp_path / "x.dic"), str(tmp_path / "x.aff")).collect()}
+    assert got == {"work", "worked", "working", "try", "tried", "plain", "retry", "retried"}
+
+
+def test_lenient_files(spark, tmp_path):
+    (tmp_path / "ds").mkdir()
+    (tmp_path / "ds/v1.json").write_text('{"7": [[1, 2], {"a": "x", "b": [" ", ["y"]]}], "8": [3]}')
+    (tmp_path / "ds/v2.json").write_text("{broken")
+    assert [tuple(r) for r in files.screen_text_json(spark, str(tmp_path)).collect()] == [("ds", "v1", "7", ["x", "y"])]
+    assert files.asr_json(spark, str(tmp_path)).count() == 0
+
+
+def test_events_of_a_source(spark):
+    df = spark.createDataFrame([(1, None, 9), (2, 0, 8), (3, 1, 7), (4, None, 6)], "vec_id int, sub_query_idx int, rank int").withColumn("score", -F.col("vec_id"))
+    assert [(r.vec_id, r["rank"], r.sub_query_idx) for r in enrich.of_event(df, 0, ["-score"]).orderBy("rank").collect()] == [(1, 1, 0), (2, 2, 0), (4, 3, 0)]
+    assert [r.vec_id for r in enrich.of_event(df.drop("sub_query_idx"), 0, ["-score"]).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_resolved_frames(spark):
+    from framewright.operators import textclean
+
+    dictionary = spark.createDataFrame([("và", 50), ("nhà", 9), ("đẹp", 9)], "token string, df long")
+    none = spark.createDataFrame([], "token string, df long")
+    table = spark.createDataFrame([], "w1 string, w2 string, n long")
+    df = spark.createDataFrame([(1, [[1.0], None], ["nhá đẹp", "và"])], "id int, bboxs array<array<double>>, texts array<string>")
+    got = textclean.resolved_frames(df, ["id"], dictionary, none, table).collect()
+    assert [(r.id, r.texts, r.bboxs) for r in got] == [(1, ["nhà đẹp", "và"], [[1.0], None])]
+    frames = spark.createDataFrame([(1, None, ["short", "a longer line of text"], None), (2, None, ["only"], None)], "id int, bboxs array<array<double>>, texts array<string>, confidences array<double>")
+    got = textclean.normalised_frames(frames, ["id"], foreign=True, frame_filters=(lambda t: F.size(t) > 1,), line_filters=(lambda x: F.length(x) > 6,)).collect()
+    assert [(r.id, r.texts) for r in got] == [(1, ["a longer line of text"])]
