@@ -84,7 +84,9 @@ def _features(value: Column, before: Column, near: Column, after: Column, place:
     share = lambda chars: (n - F.length(F.regexp_replace(value, chars, ""))) / n
     classes = F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_~.=", "A" * 26 + "a" * 26 + "0" * 10 + "-" * 6)
     parts = F.filter(F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
-    known = F.filter(parts, lambda w: w.isin(*words))
+    # the dictionary is one value of the plan, not one for each word
+    listed = F.lit(f" {' '.join(words)} ")
+    known = F.filter(parts, lambda w: F.contains(listed, F.concat(F.lit(" "), w, F.lit(" "))))
     around = F.lower(F.concat_ws(" ", near, before))
     return F.array(
         F.least(n, F.lit(200)).cast("double"),
@@ -306,7 +308,7 @@ def default_forest(docs: DataFrame) -> Forest:
     words = common_words(docs)
     key = (FINDINGS, TREES, DEPTH, words)
     if key not in _forests:
-        _forests[key] = train(generated(docs.sparkSession), words)
+        _forests[key] = train(stored(generated(docs.sparkSession), "generated"), words)
     return _forests[key]
 
 
