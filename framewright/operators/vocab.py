@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import text as T
-from framewright.operators.vector import once
+from framewright.functions.text import once
+from framewright.scratch import stored
 
 #: Floors and shares of the vocabularies, and thresholds of context evidence.
 DOMAIN_FLOOR, DOMAIN_SHARE = 3, 0.0005
@@ -67,19 +68,24 @@ def deletions(word: Column, edits: int = EDITS) -> Column:
     return out
 
 
+def _variants(words: DataFrame, name: str, edits: int) -> DataFrame:
+    """Each word with the hashes of what deletions leave of it."""
+    return words.select(F.col("token").alias(name), F.explode(F.transform(deletions(F.col("token"), edits), lambda v: F.xxhash64(v))).alias("left_over"))
+
+
 def suggestions(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """token, word, edits, k: dictionary words one edit from a token that isn't one, or two where none is; commonest first.
 
     Tokens of over 20 letters or less than half letters have none.  Both sides
-    meet on what deletions leave of them, so that no pair is made of words that
-    share nothing; ``dictionary`` is (token, df).
+    meet on hashes of what deletions leave of them, so that no pair is made of
+    words that share nothing; the distance decides.  ``dictionary`` is (token,
+    df); one of up to a few megabytes is sent to all tasks, a larger one shuffled.
     """
     t = tokens.select("token").distinct().where((F.length("token") <= LONGEST) & (2 * F.length(F.regexp_replace("token", r"\P{L}+", "")) >= F.length("token")) & (F.col("token") != ""))
     t = t.join(dictionary.select("token"), "token", "left_anti")
-    variants = lambda df, name: df.select(F.col("token").alias(name), F.explode(deletions(F.col("token"))).alias("left_over"))
-    words = dictionary.where(F.length("token") <= LONGEST + EDITS)
-    met = variants(t, "token").join(variants(words, "word"), "left_over").select("token", "word").distinct()
-    near = met.withColumn("edits", F.levenshtein("token", "word")).where(F.col("edits").between(1, EDITS))
+    words = stored(dictionary.where(F.length("token") <= LONGEST + EDITS), "dictionary")
+    met = _variants(t, "token", EDITS).join(stored(_variants(words, "word", EDITS), "variants"), "left_over").select("token", "word").distinct()
+    near = met.withColumn("edits", F.levenshtein("token", "word", EDITS)).where(F.col("edits").between(1, EDITS))
     best = near.withColumn("__least", F.min("edits").over(W.partitionBy("token"))).where("edits = __least").drop("__least")
     ranked = best.join(words.select(F.col("token").alias("word"), "df"), "word")
     return ranked.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(F.desc("df"), "word"))).select("token", "word", "edits", "k")
@@ -123,9 +129,9 @@ def accent_candidates(dictionary: DataFrame) -> DataFrame:
 
 def edit_candidates(dictionary: DataFrame) -> DataFrame:
     """(token, word): dictionary words one edit apart, met on what one deletion leaves."""
-    v = dictionary.select("token", F.explode(deletions(F.col("token"), 1)).alias("left_over"))
+    v = stored(_variants(dictionary, "token", 1), "variants")
     met = v.join(v.withColumnRenamed("token", "word"), "left_over").where("token <> word").select("token", "word").distinct()
-    return met.where(F.levenshtein("token", "word") == 1)
+    return met.where(F.levenshtein("token", "word", 1) == 1)
 
 
 def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> DataFrame:
