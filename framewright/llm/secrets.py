@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from copy import copy
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -126,6 +127,9 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
     names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}")
     word_of = lambda all_words, i, k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
 
+    def raw(value: Column, word_no: Column, before: Column, near: Column, after: Column, named: Column) -> Column:
+        return F.struct(value.alias("value"), word_no.alias("word_no"), before.alias("before"), near.alias("near"), after.alias("after"), named.alias("named"))
+
     def follows(i: Column, all_words: Column) -> Column:
         last, second = word_of(all_words, i, -1), word_of(all_words, i, -2)
         return last.rlike(_NAMED) | (last.rlike(_LINK) & second.rlike(_NAMED))
@@ -141,7 +145,7 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
             others = F.filter(F.array_distinct(shaped), lambda v: ~F.exists(by_name, lambda c: c["value"] == v))
             return F.array_sort(F.array_distinct(F.concat(by_name, F.transform(others, lambda v: F.struct((F.position(v, w) - 1).alias("at"), v.alias("value"), F.lit(False).alias("named"))))))
 
-        whole = lambda c: F.struct(c["value"].alias("value"), i.alias("word_no"), _features(c["value"], F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), place, c["named"], dictionary).alias("x"))
+        whole = lambda c: raw(c["value"], i, F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), c["named"])
         return F.transform(_let(named, both), whole)
 
     def found(all_words: Column, names: Column) -> Column:
@@ -156,16 +160,31 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
     others = _let(F.struct(words.alias("words"), names.alias("names")), lambda t: _let(t["words"], lambda all_words: found(all_words, t["names"])))
     none, frame = F.lit(""), F.lit("private key")
     places = F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(_KEY)), i)), lambda i: i.isNotNull())
-    key = lambda v, at: F.struct(v.alias("value"), at.alias("word_no"), _features(v, none, frame, none, place, F.lit(True), dictionary).alias("x"))
-    keys = F.when(framed, F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(_BLOCK)), places, key), lambda c: c["value"].isNotNull()))
-    return _let(others, lambda o: F.when(keys.isNull(), o).otherwise(F.concat(keys, o)))
+    key = lambda v, at: raw(v, at, none, frame, none, F.lit(True))
+    keys = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(_BLOCK)), places, key), lambda c: c["value"].isNotNull())
+    every = _let(others, lambda o: F.when(framed, F.concat(keys, o)).otherwise(o))
+    described = lambda c: F.struct(c["value"].alias("value"), c["word_no"].alias("word_no"), _features(c["value"], c["before"], c["near"], c["after"], place, c["named"], dictionary).alias("x"))
+    return F.transform(every, described)
 
 
 def common_words(docs: DataFrame) -> tuple[str, ...]:
-    """The dictionary: DICTIONARY, and of the words of three letters or more those that most documents have, COMMON at most and none of under COMMON_DOCS documents."""
+    """The dictionary: DICTIONARY, and of the words of three letters or more those that most documents have, COMMON at most and none of under COMMON_DOCS documents.
+
+    Words of one count (to three digits) are taken together or not at all, so that
+    no task or driver orders all words.
+    """
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: (F.length(w) > 2) & (F.length(w) <= 24))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
-    return tuple(sorted({*DICTIONARY, *(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect())}))
+    counts = stored(counts, "words")
+    step = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10("n")) - 2))
+    sizes = counts.groupBy((F.floor(F.col("n") / step) * step).cast("long").alias("least")).agg(F.count("*").alias("words"))
+    least, words = 1 << 62, 0
+    for r in sizes.orderBy(F.desc("least")).collect():  # about 900 counts for each power of ten
+        words += r["words"]
+        if words > COMMON:
+            break
+        least = r["least"]
+    return tuple(sorted({*DICTIONARY, *(r["word"] for r in counts.where(F.col("n") >= least).collect())}))
 
 
 def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
@@ -265,6 +284,12 @@ class Forest:
         for tree in trees:
             self.roots.append(self._add(tree))
 
+    def knowing(self, words: tuple[str, ...]) -> Forest:
+        """The same trees with another dictionary."""
+        other = copy(self)
+        other.words = words
+        return other
+
     def _add(self, node) -> int:
         at = len(self.feature)
         stats = list(node.impurityStats().stats())
@@ -304,12 +329,11 @@ def train(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), seed:
 
 
 def default_forest(docs: DataFrame) -> Forest:
-    """The forest of the generated findings for the dictionary of docs, trained once per process and dictionary."""
-    words = common_words(docs)
-    key = (FINDINGS, TREES, DEPTH, words)
+    """The forest of the generated findings, trained once per process, with the dictionary of docs: the findings are made of DICTIONARY, which it has too."""
+    key = (FINDINGS, TREES, DEPTH)
     if key not in _forests:
-        _forests[key] = train(stored(generated(docs.sparkSession), "generated"), words)
-    return _forests[key]
+        _forests[key] = train(stored(generated(docs.sparkSession), "generated"))
+    return _forests[key].knowing(common_words(docs))
 
 
 def found(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> Column:

@@ -59,20 +59,21 @@ def tokens(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^0-9a-z\x80-\U0010ffff\x20\x09-\x0d]+", low)
 
 
-def gram(words):
+def gram(words, n):
     one = lambda b: W.hashes(b, np.array([0]), np.array([len(b)]))
     h = np.concatenate([one(W.texts(pa.array([w]))[0]) for w in words])
-    return int(W.grams(h, np.array([0, len(h)]), len(h))[0][0])
+    return int(W.grams(h, np.array([0, len(h)]), n)[0][0])
 
 
 def features(text):
     """Feature -> value, by a loop over the text's words."""
     w, counts, seen = tokens(text), {C._CONSTANT: 1}, set()
     for n in (1, 2, 3):
-        grams = [w[i : i + n] for i in range(len(w) - n + 1)] or ([w] if w and n > 1 else [])
+        # fewer words than n are one gram, which for two words and three isn't repeated
+        grams = [w[i : i + n] for i in range(len(w) - n + 1)] or ([w] if w else [])
         for g in grams:
             if n < 3:
-                k = max(gram(g) >> (64 - C.BITS), 2)
+                k = max(gram(g, n) >> (64 - C.BITS), 2)
                 counts[k] = counts.get(k, 0) + 1
             else:
                 if tuple(g) in seen:

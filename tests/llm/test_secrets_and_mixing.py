@@ -6,44 +6,50 @@ from pyspark.sql import functions as F
 from framewright.llm import mixing, secrets
 
 
-def test_forest_on_findings_it_has_not_seen(spark):
+@pytest.fixture(scope="module")
+def forest(spark):
+    """That of texts of which no word is common."""
+    return secrets.default_forest(spark.createDataFrame([("one",)], "text string"))
+
+
+def test_forest_on_findings_it_has_not_seen(spark, forest):
     """Generated rows that weren't learnt: what the forest makes of them, not how it does on others' texts (see the hand-labelled ones)."""
     rows = secrets.generated(spark, 11_000).withColumn("doc_id", F.monotonically_increasing_id()).where(f"doc_id >= {secrets.FINDINGS}").withColumnRenamed("path", "source").persist()
-    found = secrets.findings(rows).join(rows.select("doc_id", "label"), "doc_id")
+    found = secrets.findings(rows, forest).join(rows.select("doc_id", "label"), "doc_id")
     right = found.where((F.col("label") == 1) == F.col("is_secret")).count()
     assert right >= 0.95 * found.count()
     assert found.where("label = 1").select("doc_id").distinct().count() >= 0.99 * rows.where("label = 1").count()
 
 
-def test_scan_and_redaction(spark):
+def test_scan_and_redaction(spark, forest):
     key, token = "AKIA" + "7Q2ZK9XW1LMN4BVC", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [
         (1, f'the token = "{token}" of the one\nand token = "{token}"'), (2, f"login with {key}, please"), (3, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b checksum"), (4, None), (5, ""), (6, "no secret in here"),
         (7, "write to some.body.42@mail8.example.com or call 4167788149714389"), (8, "word " * 20_000 + f"password={token[:18]} end"), (9, f"password={token[:18]}"), (9, f"password={token[:18]}"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("value", F.lit(1)).withColumn("__found", F.lit("mine")).withColumn("n_chars", F.length("text"))
-    got = secrets.findings(df).collect()
+    got = secrets.findings(df, forest).collect()
     assert {r.doc_id for r in got if r.is_secret} == {1, 2, 8, 9} and sum(r.is_secret for r in got if r.doc_id == 9) == 2
     assert [r.finding_no for r in got if r.doc_id == 1] == [0, 1]
-    clean = secrets.redact(df)
+    clean = secrets.redact(df, forest)
     assert clean.columns == df.columns
     left = {r.doc_id: r for r in clean.collect()}
     assert left[1].text == 'the token = "[SECRET]" of the one\nand token = "[SECRET]"' and left[2].text == "login with [SECRET], please" and left[9].text == "password=[SECRET]"
     assert left[4].text is None and all(left[i].text == dict(rows)[i] for i in (3, 5, 6, 7)) and left[8].text.endswith("password=[SECRET] end")
     assert all(r.text is None or r.n_chars == len(r.text) for r in left.values()) and left[1]["__found"] == "mine"
-    assert secrets.findings(df.limit(0)).count() == 0
+    assert secrets.findings(df.limit(0), forest).count() == 0
 
 
-def test_short_and_signed_values_of_secret_words(spark):
+def test_short_and_signed_values_of_secret_words(spark, forest):
     values = {1: ("password=Xk29fa7Q", "Xk29fa7Q"), 2: ('the token: "q7!Zp@4#x" of it', "q7!Zp@4#x"), 3: ("passphrase = tigerlanternmoss now", "tigerlanternmoss"), 4: ("user=a&pwd=9fK!x", "9fK!x"), 5: ('{"secret":"aB3$dE6^"}', "aB3$dE6^"), 6: ("my password is hY7#kk2P.", "hY7#kk2P")}
     prose = {11: "the password is of the one", 12: "a secret in here", 13: "token: string or password=null", 14: "the password was in the table and the secret of it", 15: "password = changeme"}
     df = spark.createDataFrame([(i, t) for i, (t, _) in values.items()] + list(prose.items()) + [(20, "password=Xk29fa7Q\nXk29fa7Q2 xXk29fa7Q Xk29fa7Q!")], "doc_id long, text string")
     import hashlib
 
-    got = [(r.doc_id, r.value_sha256) for r in secrets.findings(df).collect()]
+    got = [(r.doc_id, r.value_sha256) for r in secrets.findings(df, forest).collect()]
     assert all((i, hashlib.sha256(v.encode()).hexdigest()) in got for i, (_, v) in values.items())
     assert {12, 13, 15} <= {i for i, _ in got}
-    left = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(df, forest).collect()}
     assert {i: left[i] for i in values} == {i: t.replace(v, "[SECRET]") for i, (t, v) in values.items()}
     assert {i: left[i] for i in prose} == prose
     assert left[20] == "password=[SECRET]\nXk29fa7Q2 xXk29fa7Q [SECRET]!"
@@ -66,16 +72,16 @@ HARMLESS = [
 ]
 
 
-def test_hand_labelled_findings(spark):
+def test_hand_labelled_findings(spark, forest):
     """Figures of the README."""
     rows = [(i, f"this is a line with {t} in the text") for i, t in enumerate([t for t, _ in SECRET] + HARMLESS)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id for r in secrets.findings(df).where("is_secret").collect()}
+    got = {r.doc_id for r in secrets.findings(df, forest).where("is_secret").collect()}
     right, wrong = len([i for i in got if i < len(SECRET)]), [HARMLESS[i - len(SECRET)] for i in got if i >= len(SECRET)]
     missed = [t for i, (t, _) in enumerate(SECRET) if i not in got]
     print(f"recall {right / len(SECRET):.2f}, precision {right / max(len(got), 1):.2f}; missed {missed}; wrong {wrong}")
     assert right >= 0.85 * len(SECRET) and right >= 0.85 * len(got)
-    left = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(df, forest).collect()}
     assert all(v not in left[i] for i, (_, v) in enumerate(SECRET) if v and i in got)
     assert 10 not in got or left[10] == "this is a line with [SECRET] in the text"
 
