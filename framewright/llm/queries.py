@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import chat_views, decontaminate, mixing, near_dedup, pseudo_likelihood, quality_classifier, quality_rules, secrets, token_counts, warc
+from framewright.llm import chat_views, collocations, decontaminate, mixing, near_dedup, pseudo_likelihood, quality_classifier, quality_rules, secrets, token_counts, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op9_quality_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "n_lines", "failures")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_perspectives": op2_chat_perspectives,
@@ -71,12 +79,56 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_rule_ledger": op9_quality_rule_ledger,
     "op10_warc_index_merge": op10_warc_index_merge,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Each round of op13 in SQL: nearest entries (ties to the lower index) of the parts x.q by the books b0, b1, ...
+_ROUNDS = ",\n".join(
+    f"""a{k} AS MATERIALIZED (SELECT row, part, q, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT x.row, x.part, x.q, b.entry, list_sum(list_transform(list_zip(x.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} b ON x.part = b.part) GROUP BY row, part, q)"""
+    + (
+        f""",
+s{k} AS (SELECT part, entry, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(range(1, len(q) + 1)) AS i, unnest(q) AS v FROM a{k}) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list(floor_div ORDER BY i) AS q FROM (SELECT part, entry, i, CASE WHEN s % n <> 0 AND s < 0 THEN s // n - 1 ELSE s // n END AS floor_div FROM s{k}) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.q, b.q) AS q FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)"""
+        if k < 4
+        else ""
+    )
+    for k in range(5)
+)
+
 ORACLE_SQL = {
+    "op11_phrase_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * cuts.a) // (x.a + y.a))::BIGINT AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:j], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, array_to_string(ws[p:p + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS p FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""",
+    "op13_vector_codes": f"""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row FROM e
+      WHERE v IS NOT NULL AND len(v) > 0 AND len(v) % 4 = 0 AND len(list_filter(v, lambda c: c IS NULL OR isnan(c) OR isinf(c) OR abs(c) >= 65536)) = 0),
+r AS (SELECT *, len(v) // 4 AS width, list_transform(v, lambda c: floor(1024 * c)::BIGINT) AS w FROM u WHERE len(v) = (SELECT arg_min(len(v), row) FROM u)),
+k AS (SELECT *, row_number() OVER (ORDER BY row) AS place FROM r),
+x AS MATERIALIZED (SELECT row, place, part, w[part * width + 1:(part + 1) * width] AS q FROM k CROSS JOIN (VALUES (0), (1), (2), (3)) AS p(part)),
+b0 AS MATERIALIZED (SELECT part, place - 1 AS entry, q FROM x WHERE place <= 256),
+{_ROUNDS},
+h AS (SELECT sha256(array_to_string(flatten(list(q ORDER BY part, entry)), ',')) AS codebooks_sha256 FROM b4),
+f AS (SELECT row, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY row)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN k ON k.row = f.row CROSS JOIN h""",
     "op2_chat_perspectives": r"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
