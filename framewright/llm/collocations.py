@@ -33,7 +33,7 @@ from framewright.llm.store import small_batches, stored
 #: Words of a phrase at most; occurrences of a phrase at least; phrases reported for a language; share of a longer phrase that makes a shorter one redundant (percent).
 LONGEST, LEAST, TOP, COVER = 4, 30, 2_000, 80
 #: Bytes of text in a shard (a longer text is one alone); blocks extended at once; bits of the filter for each phrase and at most.
-SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 8 << 20, 200_000, 16, 1 << 27
+SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 4 << 20, 100_000, 16, 1 << 27
 #: Parts in which the best of a language are found before they meet.
 SALTS = 64
 
