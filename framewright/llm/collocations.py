@@ -33,7 +33,7 @@ from framewright.llm.store import small_batches, stored
 #: Words of a phrase at most; occurrences of a phrase at least; phrases reported for a language; share of a longer phrase that makes a shorter one redundant (percent).
 LONGEST, LEAST, TOP, COVER = 4, 30, 2_000, 80
 #: Bytes of text in a shard (a longer text is one alone); blocks extended at once; bits of the filter for each phrase and at most.
-SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 4 << 20, 100_000, 16, 1 << 27
+SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 50_000, 16, 1 << 27
 #: Parts in which the best of a language are found before they meet.
 SALTS = 64
 
@@ -132,18 +132,18 @@ class Bitmaps:
         return source[each], self._word[other], target[each], both[hit]
 
 
-def phrases(shard: Shard, lengths: range, filters: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The shard's phrases of so many words whose words and pairs may be frequent: rows of word numbers, and counts.
+def phrases(shard: Shard, lengths: range, filters: list):
+    """The shard's phrases of so many words whose words and pairs may be frequent, by groups: rows of word numbers, and counts.
 
     filters test hashes, the first those of words, the second, needed beyond pairs, those of pairs.
     """
     keep = filters[0](shard.phrase_hashes(np.arange(len(shard.hash))[:, None]))
     of_kept = keep[shard.word]
     if not of_kept.any():
-        return []
-    maps, found = Bitmaps(shard.word[of_kept], shard.position[of_kept]), []
+        return
+    maps = Bitmaps(shard.word[of_kept], shard.position[of_kept])
 
-    def deeper(members: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> None:
+    def deeper(members: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray):
         """Extend phrases (rows of members; blocks ordered by phrase), a group of whole phrases at a time."""
         a = 0
         while a < len(phrase):
@@ -156,16 +156,15 @@ def phrases(shard: Shard, lengths: range, filters: list) -> list[tuple[np.ndarra
             ok = np.ones(len(longer), bool) if len(filters) == 1 else filters[1](shard.phrase_hashes(longer[:, -2:]))
             if n in lengths and len(longer):
                 counts = np.bincount(number, np.bitwise_count(own), len(longer)).astype(np.int64)
-                found.append((longer[ok], counts[ok]))
+                yield longer[ok], counts[ok]
             if n + 1 < lengths.stop:
                 on = np.flatnonzero(ok[number])
                 order = on[np.argsort(number[on], kind="stable")]
-                deeper(longer[ok], (np.cumsum(ok) - 1)[number[order]], blocks[order], own[order])
+                yield from deeper(longer[ok], (np.cumsum(ok) - 1)[number[order]], blocks[order], own[order])
             a = b
 
     words, number = np.unique(maps.word, return_inverse=True)
-    deeper(words[:, None], number, maps.block, maps.bits)
-    return found
+    yield from deeper(words[:, None], number, maps.block, maps.bits)
 
 
 def _shards(batches):
