@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import chat_views, collocations, decontaminate, mixing, near_dedup, pseudo_likelihood, quality_classifier, quality_rules, secrets, token_counts, vector_codes, warc
+from framewright.llm import chat_views, collocations, decontaminate, mixing, near_dedup, pseudo_likelihood, quality_classifier, quality_rules, secrets, token_counts, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~toxicity.held_out())))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_windows")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op9_quality_rule_ledger": op9_quality_rule_ledger,
     "op10_warc_index_merge": op10_warc_index_merge,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
