@@ -9,10 +9,10 @@ all its extensions, whose popcounts are the shard's counts.  Phrases are extende
 depth-first in groups of bounded size.
 
 A phrase is frequent only if all its words and pairs are.  Counts are summed over
-shards for words, then pairs, then longer phrases, and each pass only extends
-what passes a filter of the frequent words or pairs: a bit array of bounded size
-that lets through all of them and few others.  What it lets through wrongly costs
-time, never a result.
+shards for words, then for 40-bit hashes of pairs, then for phrases; each pass
+only extends what passes a filter of the frequent words or pairs: a bit array of
+bounded size that lets through all of them and few others.  What it or an equal
+hash lets through wrongly costs time, never a result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from framewright.llm.store import small_batches, stored
 LONGEST, LEAST, TOP, COVER = 4, 30, 2_000, 80
 #: Bytes of text in a shard (a longer text is one alone); blocks extended at once; bits of the filter for each phrase and at most.
 SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 50_000, 16, 1 << 27
+#: Bits of a pair's hash in its count.
+SLOT_BITS = 40
 #: Parts in which the best of a language are found before they meet.
 SALTS = 64
 
@@ -198,12 +200,25 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.concatenate([counts, totals]))], names=["lang", "phrase", "n"])
 
 
-def _count_phrases(lengths: range, shared: list):
+def _count_pairs(shared):
+    """Of each pair of frequent words SLOT_BITS of its hash, and its count."""
+
+    def run(batches):
+        filters = [_passes(shared.value)]
+        for shard in _shards(batches):
+            for members, counts in phrases(shard, range(2, 3), filters):
+                slot = (shard.phrase_hashes(members) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts)], names=["slot", "n"])
+
+    return run
+
+
+def _count_phrases(shared: list):
     def run(batches):
         filters = [_passes(s.value) for s in shared]
         for shard in _shards(batches):
             texts = shard.texts()
-            for members, counts in phrases(shard, lengths, filters):
+            for members, counts in phrases(shard, range(2, LONGEST + 1), filters):
                 words = [texts.take(pa.array(column)) for column in members.T]
                 lang = shard.langs.take(pa.array(shard.lang[members[:, 0]])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([lang, pc.binary_join_element_wise(*words, " "), pa.array(counts)], names=["lang", "phrase", "n"])
@@ -241,15 +256,28 @@ def _places(width: int):
     return run
 
 
-def _filter(frequent: DataFrame):
-    """A broadcast bit array that all the phrases pass, of FILTER_BITS bits a phrase and MOST_FILTER_BITS (16 MB) at most."""
-    n = frequent.count()
-    width = max(10, (min(max(n * FILTER_BITS, 1), MOST_FILTER_BITS) - 1).bit_length())
-    rows = frequent.select("lang", "phrase").mapInArrow(W.released(_places(width)), "word long, bits long")
+def _width(n: int) -> int:
+    """A filter of so many keys has 2 ** width bits."""
+    return max(10, (min(max(n * FILTER_BITS, 1), MOST_FILTER_BITS) - 1).bit_length())
+
+
+def _filter(rows: DataFrame, width: int):
+    """The broadcast bit array (16 MB at most) of rows of its 64-bit words and their bits."""
     got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << width - 6, np.uint64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(bits)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _of_words(words: DataFrame):
+    width = _width(words.count())
+    return _filter(words.select("lang", "phrase").mapInArrow(W.released(_places(width)), "word long, bits long"), width)
+
+
+def _of_slots(slots: DataFrame):
+    width = _width(slots.count())
+    place = F.shiftright("slot", SLOT_BITS - width)
+    return _filter(slots.select(place.alias("p")).selectExpr("p div 64 AS word", "shiftleft(1L, cast(p % 64 AS int)) AS bits"), width)
 
 
 def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -259,14 +287,14 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     summed = lambda counts: counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     kind = "lang string, phrase string, n long"
     words = stored(summed(rows.mapInArrow(W.released(_count_words), kind)).where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
-    levels, shared = [words.where("phrase is not null")], []
-    for lengths in (range(2, 3), range(3, LONGEST + 1)):
-        shared.append(_filter(levels[-1]))
-        counts = rows.mapInArrow(W.released(_count_phrases(lengths, shared)), kind)
-        levels.append(stored(summed(counts).where(F.col("n") >= least), "phrases"))
+    single = words.where("phrase is not null")
+    shared = [_of_words(single)]
+    slots = rows.mapInArrow(W.released(_count_pairs(shared[0])), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    shared.append(_of_slots(stored(slots.where(F.col("n") >= least).select("slot"), "slots")))
+    longer = stored(summed(rows.mapInArrow(W.released(_count_phrases(shared)), kind)).where(F.col("n") >= least), "phrases")
     for s in shared:
         s.destroy()
-    every = reduce(DataFrame.union, levels).withColumn("words", F.size(F.split("phrase", " ")))
+    every = single.union(longer).withColumn("words", F.size(F.split("phrase", " ")))
     return every, words.where("phrase is null").select("lang", "n")
 
 
