@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators import vector
-from framewright.operators.ranks import numbered
+from framewright.operators.ranks import as_of, numbered
+from framewright.scratch import stored
 
 
 def timestamp(ts: Column, frame_idx: Column, fps: Column) -> Column:
@@ -46,17 +47,39 @@ def ocr_hits(hits: DataFrame, metadata: DataFrame, row_id: str, top_k: int) -> D
     return found.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str, left: tuple[str, str], right: tuple[str, str], width: float | None = None) -> DataFrame:
+    """Rows of a joined with those of b of the same key whose intervals (start and end columns, ends included; equal for points) meet.
+
+    Columns of both must differ but for the key.  Both sides are cut into time
+    bins and meet by key and bin, so that a key of any length is spread over
+    tasks; a pair counts in the first bin that it shares.  Bins are as wide as the
+    intervals are long in the mean, so that a side has two rows a bin and interval
+    or so.  Rows without a key or an end, or that end before they start, meet none.
+    """
+    whole = lambda d, ends: d.where(F.col(key).isNotNull() & (F.col(ends[0]) <= F.col(ends[1])))
+    a, b = whole(a, left), whole(b, right)
+    if width is None:
+        lengths = [d.select((F.col(e[1]) - F.col(e[0])).cast("double").alias("n")) for d, e in ((a, left), (b, right))]
+        width = lengths[0].union(lengths[1]).where("n > 0").agg(F.avg("n")).collect()[0][0] or 1.0
+    number = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    binned = lambda d, ends: d.withColumn("__bin", F.explode(F.sequence(number(ends[0]), number(ends[1]))))
+    meet = (F.col(left[0]) <= F.col(right[1])) & (F.col(right[0]) <= F.col(left[1])) & (F.col("__bin") == F.greatest(number(left[0]), number(right[0])))
+    return binned(a, left).join(binned(b, right), [key, "__bin"]).where(meet).drop("__bin")
+
+
 def asr_hits(hits: DataFrame, frames: DataFrame, row_id: str, top_k: int, most_frames: int = 50) -> DataFrame:
     """Segments ``(segment_id, video_id, start_time, end_time, score, rank)`` with the frames within them, both ends included.
 
     A segment keeps its first frames in order of row_id, and shows the middle one
     of those; segments without frames go, and top_k counts the others by rank.
-    The join is on the video, with the interval as its condition.
+    Segments and frames meet by video and time bin; a segment's first frames are
+    taken of each of many parts before they meet.
     """
-    h, f = normalised(hits).alias("h"), frames.alias("f")
-    inside = (F.col("h.video_id") == F.col("f.video_id")) & F.col("f.ts").between(F.col("h.start_time"), F.col("h.end_time"))
-    each = h.join(f, inside).select("h.segment_id", "h.video_id", "h.start_time", "h.end_time", "h.score", "h.normalised_score", F.col("h.rank").alias("hit_rank"), F.col(f"f.{row_id}").alias("frame"))
-    placed = each.withColumn("__k", F.row_number().over(W.partitionBy("segment_id").orderBy("frame"))).where(F.col("__k") <= most_frames)
+    h = normalised(hits).withColumnRenamed("rank", "hit_rank").select("segment_id", "video_id", "start_time", "end_time", "score", "normalised_score", "hit_rank")
+    f = frames.select("video_id", F.col("ts").alias("__ts"), F.col(row_id).alias("frame"))
+    each = overlapping(h, f, "video_id", ("start_time", "end_time"), ("__ts", "__ts"))
+    first = lambda d, keys: d.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("frame"))).where(F.col("__k") <= most_frames)
+    placed = first(first(each.withColumn("__part", F.pmod(F.xxhash64("frame"), F.lit(64))), ["segment_id", "__part"]), ["segment_id"])
     whole = placed.groupBy("segment_id", "video_id", "start_time", "end_time", "score", "normalised_score", "hit_rank").agg(F.sort_array(F.collect_list("frame")).alias("frames"))
     best = whole.orderBy("hit_rank", "segment_id").limit(top_k)
     return best.withColumn("cover", F.get("frames", F.floor(F.size("frames") / 2).cast("int"))).withColumn("rank", F.row_number().over(W.orderBy("hit_rank", "segment_id"))).drop("hit_rank")
@@ -101,15 +124,24 @@ def with_map(vectors: DataFrame, maps: DataFrame, row_id: str) -> DataFrame:
 
 
 def nearest_frame(frames: DataFrame, wanted: DataFrame, value: str, row_id: str) -> DataFrame:
-    """For each row of ``(video_id, target)`` the frame of its video nearest to it by value; ties go to the first row."""
-    j = wanted.join(frames.where(F.col(value).isNotNull()), "video_id")
-    return j.groupBy("video_id", "target").agg(F.min_by(row_id, F.struct(F.abs(F.col(value) - F.col("target")), F.col(row_id))).alias(row_id))
+    """For each row of ``(video_id, target)`` the frame of its video nearest to it by value; ties go to the first row.
+
+    Only the frames next to a target on either side are compared (ranks.as_of).
+    """
+    rows = frames.select("video_id", F.col(value).cast("double").alias("target"), row_id)
+    found = as_of(rows, wanted.select("video_id", F.col("target").cast("double").alias("target")), "video_id", "target", row_id)
+    near = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.target") - F.col("target")).alias("far"), F.col(f"{side}.{row_id}").alias("row")))
+    return found.select("video_id", "target", F.array_min(F.filter(F.array(near("before"), near("after")), lambda x: x.isNotNull()))["row"].alias(row_id)).where(F.col(row_id).isNotNull())
 
 
 def neighbours(frames: DataFrame, centers: DataFrame, row_id: str, radius: int) -> DataFrame:
-    """Frames up to radius places before and after each center of its video, in order of row_id; radius is held within 1 and 50."""
+    """Frames up to radius places before and after each center of its video, in order of row_id; radius is held within 1 and 50.
+
+    Frames are numbered by ranges; a center asks for 2 radius + 1 places, and
+    places meet by video and number, so that no video is held together.
+    """
     radius = min(50, max(1, radius))
-    placed = frames.withColumn("__at", F.row_number().over(W.partitionBy("video_id").orderBy(row_id)))
-    mid = placed.join(centers.withColumnRenamed("center", row_id), ["video_id", row_id]).select("video_id", F.col(row_id).alias("center"), F.col("__at").alias("__mid"))
-    near = placed.join(mid, "video_id").where(F.col("__at").between(F.col("__mid") - radius, F.col("__mid") + radius))
-    return near.select("video_id", "center", row_id, (F.col("__at") - F.col("__mid")).alias("offset"))
+    placed = stored(numbered(frames.select("video_id", row_id), [row_id], "__at", ["video_id"]), "places")
+    mid = placed.join(centers.withColumnRenamed("center", row_id), ["video_id", row_id]).withColumnRenamed(row_id, "center")
+    asked = mid.withColumn("offset", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("__at", F.col("__at") + F.col("offset"))
+    return placed.join(asked, ["video_id", "__at"]).select("video_id", "center", row_id, F.col("offset").cast("int").alias("offset"))

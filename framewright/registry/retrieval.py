@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright import catalog
 from framewright.operators import enrich, fusion, temporal, vector
+from framewright.operators.ranks import numbered
 
 #: Stored vectors that stand for the sub-queries of two query events.
 EVENTS = ((3, 17), (42, 99, 123))
@@ -186,7 +186,7 @@ def j3(spark, d):
 
 def j4(spark, d):
     s = catalog.segments(spark, d).withColumn("segment_id", F.concat_ws("-", "video_id", F.col("start_time").cast("int"))).withColumn("score", F.length("text").cast("double"))
-    s = s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "segment_id")))
+    s = numbered(s, ["-score", "segment_id"])
     f = catalog.frames(spark, d).select("video_id", "vec_id", (F.col("timestamp_sec") / 4).alias("ts"))
     found = enrich.asr_hits(s, f, "vec_id", 20)
     return found.select("segment_id", "video_id", "normalised_score", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"), "cover", "rank")
