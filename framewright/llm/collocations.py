@@ -33,9 +33,9 @@ from framewright.llm.store import small_batches, stored
 #: Words of a phrase at most; occurrences of a phrase at least; phrases reported for a language; share of a longer phrase that makes a shorter one redundant (percent).
 LONGEST, LEAST, TOP, COVER = 4, 30, 2_000, 80
 #: Bytes of text in a shard (a longer text is one alone); blocks extended at once; bits of the filter for each phrase and at most.
-SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 50_000, 16, 1 << 27
-#: Bits of a pair's hash in its count.
-SLOT_BITS = 40
+SHARD_BYTES, GROUP, FILTER_BITS, MOST_FILTER_BITS = 2 << 20, 30_000, 16, 1 << 27
+#: Bits of a pair's hash in its count; rows of an Arrow batch of counts at most.
+SLOT_BITS, ROWS = 40, 10_000
 #: Parts in which the best of a language are found before they meet.
 SALTS = 64
 
@@ -134,6 +134,30 @@ class Bitmaps:
         return source[each], self._word[other], target[each], both[hit]
 
 
+def _deeper(shard: Shard, maps: Bitmaps, lengths: range, pairs, members: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray):
+    """Extend phrases (rows of members; blocks ordered by phrase), a group of whole phrases at a time.
+
+    No closure: one that calls itself would hold a shard's arrays until cycles are collected.
+    """
+    a = 0
+    while a < len(phrase):
+        b = min(a + GROUP, len(phrase))
+        b = int(np.searchsorted(phrase, phrase[b - 1], "right"))  # the last phrase whole
+        source, word, blocks, own = maps.extended(phrase[a:b], block[a:b], bits[a:b])
+        number, different = pd.factorize((phrase[a:b][source].astype(np.int64) << 32) | word)
+        longer = np.column_stack([members[different >> 32], different & 0xFFFFFFFF])
+        n = longer.shape[1]
+        ok = np.ones(len(longer), bool) if pairs is None else pairs(shard.phrase_hashes(longer[:, -2:]))
+        if n in lengths and len(longer):
+            counts = np.bincount(number, np.bitwise_count(own), len(longer)).astype(np.int64)
+            yield longer[ok], counts[ok]
+        if n + 1 < lengths.stop:
+            on = np.flatnonzero(ok[number])
+            order = on[np.argsort(number[on], kind="stable")]
+            yield from _deeper(shard, maps, lengths, pairs, longer[ok], (np.cumsum(ok) - 1)[number[order]], blocks[order], own[order])
+        a = b
+
+
 def phrases(shard: Shard, lengths: range, filters: list):
     """The shard's phrases of so many words whose words and pairs may be frequent, by groups: rows of word numbers, and counts.
 
@@ -141,32 +165,10 @@ def phrases(shard: Shard, lengths: range, filters: list):
     """
     keep = filters[0](shard.phrase_hashes(np.arange(len(shard.hash))[:, None]))
     of_kept = keep[shard.word]
-    if not of_kept.any():
-        return
-    maps = Bitmaps(shard.word[of_kept], shard.position[of_kept])
-
-    def deeper(members: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray):
-        """Extend phrases (rows of members; blocks ordered by phrase), a group of whole phrases at a time."""
-        a = 0
-        while a < len(phrase):
-            b = min(a + GROUP, len(phrase))
-            b = int(np.searchsorted(phrase, phrase[b - 1], "right"))  # the last phrase whole
-            source, word, blocks, own = maps.extended(phrase[a:b], block[a:b], bits[a:b])
-            number, different = pd.factorize((phrase[a:b][source].astype(np.int64) << 32) | word)
-            longer = np.column_stack([members[different >> 32], different & 0xFFFFFFFF])
-            n = longer.shape[1]
-            ok = np.ones(len(longer), bool) if len(filters) == 1 else filters[1](shard.phrase_hashes(longer[:, -2:]))
-            if n in lengths and len(longer):
-                counts = np.bincount(number, np.bitwise_count(own), len(longer)).astype(np.int64)
-                yield longer[ok], counts[ok]
-            if n + 1 < lengths.stop:
-                on = np.flatnonzero(ok[number])
-                order = on[np.argsort(number[on], kind="stable")]
-                yield from deeper(longer[ok], (np.cumsum(ok) - 1)[number[order]], blocks[order], own[order])
-            a = b
-
-    words, number = np.unique(maps.word, return_inverse=True)
-    yield from deeper(words[:, None], number, maps.block, maps.bits)
+    if of_kept.any():
+        maps = Bitmaps(shard.word[of_kept], shard.position[of_kept])
+        words, number = np.unique(maps.word, return_inverse=True)
+        yield from _deeper(shard, maps, lengths, filters[1] if len(filters) > 1 else None, words[:, None], number, maps.block, maps.bits)
 
 
 def _shards(batches):
@@ -191,13 +193,19 @@ def _shards(batches):
             yield Shard(buf[off[a] : off[b]], off[a : b + 1] - off[a], langs.slice(a, b - a))
 
 
+def _given(names: list[str], columns: list[pa.Array]):
+    """Batches of ROWS rows at most, so that neither side holds many."""
+    for a in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([c.slice(a, ROWS) for c in columns], names=names)
+
+
 def _count_words(batches):
     for shard in _shards(batches):
         counts = np.bincount(shard.word, minlength=len(shard.hash))
         totals = np.bincount(shard.lang, counts, len(shard.langs)).astype(np.int64)
         lang = pa.concat_arrays([shard.langs.take(pa.array(shard.lang)), shard.langs]).cast(pa.string())
         phrase = pa.concat_arrays([shard.texts(), pa.nulls(len(totals), pa.string())])
-        yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.concatenate([counts, totals]))], names=["lang", "phrase", "n"])
+        yield from _given(["lang", "phrase", "n"], [lang, phrase, pa.array(np.concatenate([counts, totals]))])
 
 
 def _count_pairs(shared):
@@ -208,7 +216,7 @@ def _count_pairs(shared):
         for shard in _shards(batches):
             for members, counts in phrases(shard, range(2, 3), filters):
                 slot = (shard.phrase_hashes(members) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts)], names=["slot", "n"])
+                yield from _given(["slot", "n"], [pa.array(slot), pa.array(counts)])
 
     return run
 
@@ -221,7 +229,7 @@ def _count_phrases(shared: list):
             for members, counts in phrases(shard, range(2, LONGEST + 1), filters):
                 words = [texts.take(pa.array(column)) for column in members.T]
                 lang = shard.langs.take(pa.array(shard.lang[members[:, 0]])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, pc.binary_join_element_wise(*words, " "), pa.array(counts)], names=["lang", "phrase", "n"])
+                yield from _given(["lang", "phrase", "n"], [lang, pc.binary_join_element_wise(*words, " "), pa.array(counts)])
 
     return run
 
