@@ -2,7 +2,8 @@
 
 Words of SHORTEST characters or more are candidates by their shape; whatever is
 assigned to a secret word, follows one or stands as a password in an address is a
-candidate of any length and of any characters up to the next white space; a
+candidate of any length and of any characters up to the next white space or, in
+quotes, up to the closing one; so are passwords given as options of commands.  A
 private key in its frame is one candidate over its lines.
 Candidates, features and votes are expressions inside the document's row: no
 shuffle, no Python, whatever the number of findings.  The words that a candidate
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from copy import copy
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,8 +35,14 @@ COMMON, COMMON_DOCS = 2_000, 5
 SHORTEST, THRESHOLD = 14, 0.5
 MASK = "[SECRET]"
 
-#: Words that name secrets, words that name harmless codes, prefixes of issued keys, and words that any dictionary has.
+#: Words that name secrets (as features of words, and as names), commands with passwords as options, words that name harmless codes, prefixes of issued keys, and words that any dictionary has.
 SECRET_WORDS = "token|secret|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[ _-]?key|auth|bearer|credential"
+#: A name of a secret begins where a word does, at a capital after a small letter, or anywhere if it says password; no other letters follow.
+NAMES = (
+    "(?:(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?:(?:[Tt]oken|[Ss]ecret|[Pp]assphrase|[Pp]wd|[Aa]pi[_-]?[Kk]ey|API[_-]?[Kk]ey|[Aa]ccess[_-]?[Kk]ey|[Pp]rivate[ _-]?[Kk]ey|[Aa]uth|[Bb]earer|[Cc]redentials?)(?![a-z])"
+    "|(?:TOKEN|SECRET|PASSPHRASE|PWD|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[ _-]?KEY|AUTH|BEARER|CREDENTIALS?)(?![A-Z]))|(?i:password|passwd)(?![a-zS]))"
+)
+COMMANDS = "sshpass|mysql|mysqldump|mariadb|curl|wget|htpasswd"
 HARMLESS_WORDS = "sha1|sha256|sha512|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|fingerprint|blob|example|sample|placeholder|card|phone|order|invoice|isbn|serial|session"
 ISSUED = "^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|npm_|pypi-|hf_|eyJ|SG[.])"
 EMPTY_VALUES = "x{4,}|0{6,}|1234567|abcdefg|your|change|example|dummy|sample|placeholder|todo|none|null|redacted|test"
@@ -54,14 +61,18 @@ DICTIONARY = (
 PLAIN = [w for w in DICTIONARY if not re.search(SECRET_WORDS, w)]
 
 #: A private key in its frame; what an address has between a colon and the at sign.
-_BLOCK = "(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[^-]+-----END [A-Z0-9 ]*PRIVATE KEY-----)"
+_BLOCK = "(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-(?!----)[^-]*+){0,200}-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
 _KEY = "\u0001key\u0001"
 _ADDRESS = "(?i)[a-z][a-z0-9+.-]*://[^\\s/:@]*:(?=([^\\s/@]+)@)"
 #: A name of a secret in a word, with what may stand between it and a sign; a sign; a name at the end of a word; a word that only links.
-_NAME = f"(?i)(?:{SECRET_WORDS})[\\w.-]*[\"'`)\\]]*"
+_NAME = f"{NAMES}[\\w.-]*[\"'`)\\]]*"
 _SIGN = "(?:[=:]+>?|->)"
 _ASSIGNED = f"{_NAME}{_SIGN}(?=(.+))"
 _NAMED = f"{_NAME}{_SIGN}?[\"'`]?$"
+#: A quoted value of several words, its blanks while they hold it together, and the user before a password in an option.
+_QUOTED = f"{_NAME}[ \\t]*{_SIGN}[ \\t]*([\"'`])([^\"'`\\n]*[ \\t][^\"'`\\n]*)\\1"
+_BLANKS, _HELD = " \t", "\ufdd0\ufdd1"
+_USER = "^[\"']?[^:/\\s]+:(.+)$"
 _LINK = f"(?i)^(?:{_SIGN}|is|are|was)[\"'`]?$"
 _CANDIDATE = r"[A-Za-z0-9_+/~-](?:[A-Za-z0-9_+/~.-]*[A-Za-z0-9_+/~-])?={0,2}"
 FEATURES = (
@@ -88,7 +99,7 @@ def _features(value: Column, before: Column, near: Column, after: Column, place:
     # the dictionary is one value of the plan, not one for each word
     listed = F.lit(f" {' '.join(words)} ")
     known = F.filter(parts, lambda w: F.contains(listed, F.concat(F.lit(" "), w, F.lit(" "))))
-    around = F.lower(F.concat_ws(" ", near, before))
+    around = F.concat_ws(" ", near, before)
     return F.array(
         F.least(n, F.lit(200)).cast("double"),
         (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / n,
@@ -100,8 +111,8 @@ def _features(value: Column, before: Column, near: Column, after: Column, place:
         F.length(F.array_join(known, "")) / n,
         F.least(F.regexp_count(value, F.lit("[/.]")), F.lit(8)).cast("double"),
         _flag(before.rlike("@$|://|www[.]")),
-        _flag(around.rlike(SECRET_WORDS)),
-        _flag(F.concat_ws(" ", around, F.lower(after)).rlike(HARMLESS_WORDS)),
+        _flag(around.rlike(NAMES)),
+        _flag(F.lower(F.concat_ws(" ", around, after)).rlike(HARMLESS_WORDS)),
         _flag(F.concat(near, before).rlike("[=:][\"'`]?$")),
         _flag(before.rlike("[\"'`]$")),
         _flag(value.rlike(ISSUED)),
@@ -121,10 +132,13 @@ def _value(rest: Column) -> Column:
 
 def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Column:
     """Array of (value, word_no, features) of the candidates of a text: private keys, then others in order.  A value that a word has twice counts once."""
-    framed = F.contains(text, F.lit("PRIVATE KEY-----"))
-    # a private key counts as one word
-    words = F.split(F.coalesce(F.when(framed, F.regexp_replace(text, _BLOCK, _KEY)).otherwise(text), F.lit("")), "[ \\t-\\r]+")
-    names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}")
+    framed = text.rlike("PRIVATE KEY(?: BLOCK)?-----")
+    names = F.coalesce(text, F.lit("")).rlike(f"(?i){SECRET_WORDS}|{COMMANDS}")
+    # a private key counts as one word, and so does a quoted value of a secret's name
+    quoted = F.array_distinct(F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(2)))
+    held = F.aggregate(quoted, text, lambda t, v: F.replace(t, v, F.translate(v, _BLANKS, _HELD)))
+    whole_text = F.when(text.rlike(_QUOTED), held).otherwise(text)
+    words = F.split(F.coalesce(F.when(framed, F.regexp_replace(whole_text, _BLOCK, _KEY)).otherwise(whole_text), F.lit("")), "[ \\t-\\r]+")
     word_of = lambda all_words, i, k: F.coalesce(F.when(i + k >= 0, F.get(all_words, i + k)), F.lit(""))
 
     def raw(value: Column, word_no: Column, before: Column, near: Column, after: Column, named: Column) -> Column:
@@ -132,12 +146,18 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
 
     def follows(i: Column, all_words: Column) -> Column:
         last, second = word_of(all_words, i, -1), word_of(all_words, i, -2)
-        return last.rlike(_NAMED) | (last.rlike(_LINK) & second.rlike(_NAMED))
+        command = F.concat_ws(" ", *[word_of(all_words, i, -k) for k in (5, 4, 3, 2)]).rlike(COMMANDS)
+        return last.rlike(_NAMED) | (last.rlike(_LINK) & second.rlike(_NAMED)) | (last.rlike("^(-p|--pass)$") & command)
+
+    def users(w: Column, i: Column, all_words: Column) -> Column:
+        return word_of(all_words, i, -1).rlike("^(-u|--user)$") & w.rlike(_USER)
 
     def of_word(w: Column, i: Column, next_one: Column, all_words: Column) -> Column:
         near = F.concat_ws(" ", word_of(all_words, i, -3), word_of(all_words, i, -2), word_of(all_words, i, -1))
         at = lambda v, rest: F.length(w) - F.length(rest) + F.position(v, rest) - 1
-        rests = F.concat(F.regexp_extract_all(w, F.lit(_ADDRESS)), F.regexp_extract_all(w, F.lit(_ASSIGNED)), F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(F.array().cast("array<string>")))
+        none = F.array().cast("array<string>")
+        option = F.when(users(w, i, all_words), F.array(F.regexp_extract(w, _USER, 1))).otherwise(none)
+        rests = F.concat(F.regexp_extract_all(w, F.lit(_ADDRESS)), F.regexp_extract_all(w, F.lit(_ASSIGNED)), option, F.when(next_one & ~w.rlike(_LINK), F.array(w)).otherwise(none))
         named = F.filter(F.transform(rests, lambda r: _let(_value(r), lambda v: F.struct(at(v, r).alias("at"), v.alias("value"), F.lit(True).alias("named")))), lambda c: ~c["value"].isin("", _KEY))
         shaped = F.filter(F.regexp_extract_all(w, F.lit(f"({_CANDIDATE})")), lambda v: (F.length(v) >= SHORTEST) & v.rlike("[0-9]|.[A-Z]"))
 
@@ -145,13 +165,13 @@ def _candidates(text: Column, place: Column, dictionary: tuple[str, ...]) -> Col
             others = F.filter(F.array_distinct(shaped), lambda v: ~F.exists(by_name, lambda c: c["value"] == v))
             return F.array_sort(F.array_distinct(F.concat(by_name, F.transform(others, lambda v: F.struct((F.position(v, w) - 1).alias("at"), v.alias("value"), F.lit(False).alias("named"))))))
 
-        whole = lambda c: raw(c["value"], i, F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), c["named"])
+        whole = lambda c: raw(F.translate(c["value"], _HELD, _BLANKS), i, F.substr(w, F.lit(1), c["at"]), near, word_of(all_words, i, 1), c["named"])
         return F.transform(_let(named, both), whole)
 
     def found(all_words: Column, names: Column) -> Column:
         def taken(w: Column, i: Column) -> Column:
             next_one = names & follows(i, all_words)
-            named = names & (follows(i, all_words) | w.rlike(_ASSIGNED)) | w.rlike(_ADDRESS)
+            named = names & (follows(i, all_words) | w.rlike(_ASSIGNED) | users(w, i, all_words)) | w.rlike(_ADDRESS)
             return F.when((F.length(w) >= SHORTEST) | named, F.struct(w.alias("w"), i.alias("i"), next_one.alias("next_one")))
 
         return F.flatten(F.transform(F.filter(F.transform(all_words, taken), lambda e: e.isNotNull()), lambda e: of_word(e["w"], e["i"], e["next_one"], all_words)))
@@ -187,15 +207,17 @@ def common_words(docs: DataFrame) -> tuple[str, ...]:
     return tuple(sorted({*DICTIONARY, *(r["word"] for r in counts.where(F.col("n") >= least).collect())}))
 
 
-def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers, each text with one finding.
+def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers (from the first on), each text with one finding.
 
     Secrets have the forms that issuers and configuration files publish: issued
     keys by their prefixes, random values and passwords assigned to names, told in
     prose or set in addresses, and private keys.  What isn't one are digests,
-    identifiers, addresses, paths, numbers, placeholders, certificates, and the
-    words that stand after a secret word in prose.
+    identifiers, addresses, paths, numbers, placeholders, certificates, expressions of
+    code, and the words that stand after a secret word in prose.  Harmless words are
+    taken from the dictionary of the corpus, ``words``, as well.
     """
+    plain = [*PLAIN, *(w for w in words if not re.search(SECRET_WORDS, w))]
     seeded = lambda k: F.concat(F.lit(f"{k}-"), F.col("id").cast("string"))
     hashed = lambda k, most: F.pmod(F.xxhash64(seeded(k)), F.lit(most))
     text = lambda x: F.lit(x) if isinstance(x, str) else x
@@ -242,7 +264,7 @@ def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         60, join(pick(61, "AKIA", "ASIA"), part(F.upper(letters), 1, 16)), join(pick(61, "ghp_", "gho_", "ghs_"), part(letters, 1, 36)), join("sk-", part(letters, 1, 48)), join("AIza", part(letters, 1, 35)),
         join("xoxb-", digits, "-", part(letters, 1, 24)), join("eyJ", part(letters, 1, 30), ".", part(base64, 1, 40)), join("glpat-", part(letters, 1, 20)), join("sk_live_", part(letters, 1, 24)), join("npm_", part(letters, 1, 36)),
     )
-    frame = lambda kind, *body: F.concat_ws("\n", join("-----BEGIN ", kind, "-----"), *body, join("-----END ", kind, "-----"))
+    frame = lambda kind, *body: F.concat_ws("\n", join("-----BEGIN ", kind, "-----"), *map(text, body), join("-----END ", kind, "-----"))
     lines = [part(F.base64(F.unhex(join(F.sha2(seeded(k), 512)))), 1, 64) for k in (62, 63, 64)]
     private = frame(pick(65, "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"), *lines)
     bare = cut(letters, 67, 20, 40)
@@ -257,22 +279,40 @@ def generated(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     hollow = pick(79, "YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxx1", "0000000000000000", "example1234567890", "changeme12345678", "<your-api-key-1234>", "test_password_123", "dummySecretValue1")
     shouted = join(F.upper(join(spoken, syllable(408))), pick(80, "!!", "", "!", ".", "***"))
     joined = join(F.initcap(spoken), pick(81, "-", "/", "_", "."), F.initcap(join(syllable(409), syllable(410), syllable(411))))
-    after = pick(82, "of", "in", "the", "for", "and", "to", "was", entry(83, PLAIN), join(syllable(84), syllable(85)), join(syllable(84), syllable(85), syllable(86)))
+    after = pick(82, "of", "in", "the", "for", "and", "to", "was", entry(83, plain), join(syllable(84), syllable(85)), join(syllable(84), syllable(85), syllable(86)))
     said = line(join(title, pick(87, "", "", "s", " is")), after)
-    void = pick(88, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", entry(83, PLAIN), entry(83, PLAIN), join(syllable(84), syllable(85)), "the", "password", "${PASSWORD}", "$DB_PASSWORD", "os.environ")
+    void = pick(88, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", entry(83, plain), entry(83, plain), join(syllable(84), syllable(85)), "the", "password", "${PASSWORD}", "$DB_PASSWORD", "os.environ")
+    key = F.upper(join(entry(71), "_", entry(72)))
+    code = pick(
+        102, join(entry(71), ".", entry(72), "['", F.initcap(entry(73)), "-", F.initcap(entry(74)), "']"), join(entry(71), "(", entry(72), ")"), join("get", F.initcap(entry(71)), F.initcap(entry(72)), "()"), join("os.environ[\"", key, "\"]"),
+        join("process.env.", key), join(entry(71), ".", entry(72), ".", entry(73)), join("new", " ", F.initcap(entry(71)), "()"), join("${", key, "}"), join("%(", entry(71), ")s"), join("{{ ", entry(71), ".", entry(72), " }}"),
+    )
+    phrase = line(*[pick(410 + k, entry(430 + k, PLAIN), syllable(440 + k), join(syllable(450 + k), syllable(460 + k))) for k in range(4)])
+    sentence = line(pick(103, "enter", "your", "the", "please", "invalid", "a"), entry(104, plain), pick(105, "of", "for", "is", "to", "and", "in"), pick(106, "the", "your", "this", "a"), entry(107, plain))
+    mark = pick(108, '"', "'", '"')
+    quoted = lambda value: join(pick(14, name, title), pick(109, "=", " = ", ": "), mark, value, mark)
+    option = pick(110, line("sshpass", "-p", join("'", human, "'")), line("curl", "-u", join(user, ":", human)), line("mysql", "-h", entry(54), "-p", human))
+    folded = frame("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED", join("DEK-Info: AES-128-CBC,", F.upper(hex32)), *lines)
     certificate = frame(pick(89, "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"), *lines)
 
-    positive = [set_to(human), set_to(human), told, set_to(random), set_to(random), issued, line(pick(90, "key", "login", "with"), issued), address(pick(91, human, random, human)), private, bare]
+    positive = [set_to(human), set_to(human), told, set_to(random), set_to(random), issued, line(pick(90, "key", "login", "with"), issued), address(pick(91, human, random, human)), private, bare, quoted(phrase), option, folded]
     negative = [
         line(harmless, pick(92, hex40, hex32, hex64)), line(pick(93, "", "uuid", "order", "session", "id"), uuid), mail, site, route, camel, camel, snake, line(pick(94, "", "card", "invoice", "phone", "serial"), digits),
         set_to(hollow), pick(92, hex40, hex32, hex64), join(entry(71), ".", part(hex32, 1, 8), ".chunk.js"), build, shouted, shouted, joined, joined, said, said, said, set_to(void), set_to(void), set_to(void), address(void), certificate, certificate,
+        set_to(code), set_to(code), set_to(code), quoted(sentence),
     ]
-    rows = spark.range(0, rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
-    finding = F.when(F.col("label") == 1, pick(95, *positive)).otherwise(pick(96, *negative))
+    numbered = spark.range(first, first + rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
     # no secret words in the prose: what follows them would be labelled too
     prose = lambda k: line(*[pick(k + i, entry(k + i + 300, PLAIN), syllable(k + i + 320)) for i in range(3)])
     path = F.when((F.col("label") == 0) & (hashed(97, 10) == 0), "tests/fixtures/a.txt").otherwise(pick(98, "src0", "src1", "web", "forum"))
-    return rows.select(line(prose(500), finding, prose(510)).alias("text"), path.alias("path"), "label")
+
+    def made_as(label: int, number: int, of: int, finding: Column) -> DataFrame:
+        own = numbered.where((F.col("label") == label) & (hashed(95 + label, of) == number))
+        return own.select(line(prose(500), finding, prose(510)).alias("text"), path.alias("path"), "label")
+
+    # a form each: one expression of all forms is too large to compile
+    forms = [made_as(label, k, len(of), finding) for label, of in ((1, positive), (0, negative)) for k, finding in enumerate(of)]
+    return reduce(DataFrame.union, forms).coalesce(4)
 
 
 class Forest:
@@ -284,12 +324,6 @@ class Forest:
         for tree in trees:
             self.roots.append(self._add(tree))
 
-    def knowing(self, words: tuple[str, ...]) -> Forest:
-        """The same trees with another dictionary."""
-        other = copy(self)
-        other.words = words
-        return other
-
     def _add(self, node) -> int:
         at = len(self.feature)
         stats = list(node.impurityStats().stats())
@@ -329,11 +363,12 @@ def train(findings: DataFrame, words: tuple[str, ...] = tuple(DICTIONARY), seed:
 
 
 def default_forest(docs: DataFrame) -> Forest:
-    """The forest of the generated findings, trained once per process, with the dictionary of docs: the findings are made of DICTIONARY, which it has too."""
-    key = (FINDINGS, TREES, DEPTH)
+    """The forest of the generated findings, trained with the dictionary of docs, with which it scores too; once per process and dictionary."""
+    words = common_words(docs)
+    key = (FINDINGS, TREES, DEPTH, words)
     if key not in _forests:
-        _forests[key] = train(stored(generated(docs.sparkSession), "generated"))
-    return _forests[key].knowing(common_words(docs))
+        _forests[key] = train(stored(generated(docs.sparkSession, words=words), "generated"), words)
+    return _forests[key]
 
 
 def found(docs: DataFrame, forest: Forest | None = None, path: str | None = "source") -> Column:
