@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75
 GAP = 100
 #: Boosts and settings of the query's clauses.
 BOOSTS = {"phrase": 10.0, "near_phrase": 6.0, "all_terms": 4.0, "most_terms": 2.5, "fuzzy": 1.5, "proximity": 1.0}
-EXPANSIONS, PREFIX = 20, 2
+EXPANSIONS, PREFIX, MOST_EDITS = 20, 2, 2
 
 
 def terms_of(text: str) -> list[str]:
@@ -115,26 +115,40 @@ def matched(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
     return rows
 
 
-def _shift_from(wanted: Column):
-    return lambda p: F.struct(F.abs(p - wanted).alias("far"), (p - wanted).alias("d"))
+def spreads(terms: list[str], most: int = 10) -> Column:
+    """The widths, of at most so many places, of the phrase's matches in a row's positions p0.., in order of the text.
 
-
-def spreads(terms: list[str]) -> Column:
-    """For each occurrence of the phrase's first term, how far the nearest occurrences of the others are spread about their places."""
+    A term's occurrences are moved back by its place in the phrase, so that in the
+    exact phrase all meet in one place; a combination of occurrences is as wide as
+    it displaces them from one another.  Its least and largest place are an
+    interval; those that hold no other combination's interval are the matches.
+    All occurrences are merged in order and passed once, with the last one of each
+    term: a match ends where the earliest of these moves on.  A term that is twice
+    in the phrase may stand at one place for both.
+    """
     distinct = list(dict.fromkeys(terms))
-    place = lambda i: F.col(f"p{distinct.index(terms[i])}")
+    none = F.array().cast("array<int>")
+    back = lambda i: lambda p: F.struct((p - i).alias("at"), F.lit(i).alias("i"))
+    moved = [F.transform(F.coalesce(F.col(f"p{distinct.index(t)}").cast("array<int>"), none), back(i)) for i, t in enumerate(terms)]
+    start = F.struct(F.array(*[F.lit(None).cast("int") for _ in terms]).alias("last"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), none.alias("widths"))
+
+    def kept(state: Column) -> Column:
+        width = state["to"] - state["from"]
+        return F.when(width <= most, F.concat(state["widths"], F.array(width))).otherwise(state["widths"])
 
-    def spread(x: Column) -> Column:
-        shifts = [F.lit(0)]
-        for i in range(1, len(terms)):
-            shifts.append(F.array_min(F.transform(place(i), _shift_from(x + i)))["d"])
-        return F.greatest(*shifts, F.lit(0)) - F.least(*shifts, F.lit(0))
+    def step(state: Column, found: Column) -> Column:
+        last = F.transform(state["last"], lambda x, i: F.when(i == found["i"], found["at"]).otherwise(x))
+        first = F.when(~F.exists(last, lambda x: x.isNull()), F.array_min(last))
+        moves = first.isNotNull() & (state["from"].isNull() | (first > state["from"]))
+        # a later start with the same end lies inside the match that is open
+        done = F.when(moves & state["to"].isNotNull() & (state["to"] < found["at"]), kept(state)).otherwise(state["widths"])
+        return F.struct(last.alias("last"), F.when(moves, first).otherwise(state["from"]).alias("from"), F.when(moves, found["at"]).otherwise(state["to"]).alias("to"), done.alias("widths"))
 
-    return F.transform(place(0), spread)
+    return F.aggregate(F.array_sort(F.concat(*moved)), start, step, lambda state: F.when(state["to"].isNull(), none).otherwise(kept(state)))
 
 
 def phrase_frequency(spread: Column, slop: int) -> Column:
-    """Sum of 1 / (1 + d) over the spreads d of at most slop; slop 0 counts exact phrases."""
+    """Sum of 1 / (1 + d) over the widths d of at most slop; slop 0 counts exact phrases."""
     hits = F.filter(spread, lambda d: d <= slop)
     return F.coalesce(F.aggregate(hits, F.lit(0.0), lambda s, d: s + 1.0 / (1 + d)), F.lit(0.0))
 
@@ -144,12 +158,41 @@ def _edits(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
+def edits(a: Column, b: Column, most: int) -> Column:
+    """Insertions, deletions, substitutions and swaps of neighbours that make b of a, no part edited twice; null above most.
+
+    A swap is two plain edits, so that most pairs are decided by the plain
+    distance; only those between it and its double take the table of prefixes, by
+    rows in one aggregate over the letters of a.
+    """
+    plain = F.levenshtein(a, b, 2 * most)
+    letters, others = F.split(a, ""), F.split(b, "")
+    n = F.length(b)
+
+    def row(state: Column, letter: Column) -> Column:
+        above, before = state["above"], state["before"]
+        at = lambda j: F.get(others, j - 1)
+
+        def cell(out: Column, j: Column) -> Column:
+            least = F.least(F.get(above, j) + 1, F.element_at(out, -1) + 1, F.get(above, j - 1) + (at(j) != letter).cast("int"))
+            swap = (at(j) == state["letter"]) & (at(j - 1) == letter)
+            return F.concat(out, F.array(F.when((j > 1) & swap, F.least(least, F.get(before, j - 2) + 1)).otherwise(least)))
+
+        made = F.aggregate(F.sequence(F.lit(1), n), F.array(F.get(above, F.lit(0)) + 1), cell)
+        return F.struct(made.alias("above"), above.alias("before"), letter.alias("letter"))
+
+    start = F.struct(F.sequence(F.lit(0), n).alias("above"), F.sequence(F.lit(0), n).alias("before"), F.lit("").alias("letter"))
+    whole = F.aggregate(letters, start, row, lambda state: F.element_at(state["above"], -1))
+    apart = F.abs(F.length(a) - n) > most
+    return F.when((plain < 0) | apart, None).when(plain <= most, F.when(plain <= 1, plain).otherwise(F.least(plain, whole))).otherwise(F.when(whole <= most, whole))
+
+
 def expansions(terms: DataFrame, wanted: list[str]) -> DataFrame:
-    """(query_term, term, df): of ``(term, df)`` those with the same first letters within the edits allowed for the length,
-    the nearest and commonest 20 per query term; the term itself included."""
+    """(query_term, term, df): of ``(term, df)`` those with the same first letters within the edits (swaps of neighbours are one)
+    allowed for the length, the nearest and commonest 20 per query term; the term itself included."""
     q = terms.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(wanted)], "query_term string").withColumn("start", F.substring("query_term", 1, PREFIX))
     v = terms.select("term", "df", F.substring("term", 1, PREFIX).alias("start"))
-    near = v.join(F.broadcast(q), "start").withColumn("edits", F.levenshtein("term", "query_term")).where(F.col("edits") <= _edits(F.col("query_term")))  # the terms of one query
+    near = v.join(F.broadcast(q), "start").withColumn("edits", edits(F.col("term"), F.col("query_term"), MOST_EDITS)).where(F.col("edits") <= _edits(F.col("query_term")))  # the terms of one query
     best = W.partitionBy("query_term").orderBy("edits", F.desc("df"), "term")
     return near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= EXPANSIONS).select("query_term", "term", "df")
 

@@ -238,13 +238,19 @@ def _tok(where="true", key="doc_id", table="documents", text="text", weight="1")
     )
 
 
-def _slop(terms, slop):
-    """The phrase frequency over columns q0.. of positions."""
+def _widths(terms):
+    """Over columns q0.. of positions, the widths of all minimal intervals: for each end the latest start of all terms, of equal starts the first end."""
     names = list(dict.fromkeys(terms))
-    q = lambda i: f"q{names.index(terms[i])}"
-    near = ["0"] + [f"list_min(list_transform({q(i)}, lambda y: struct_pack(a := abs(y - {i} - x), d := y - {i} - x))).d" for i in range(1, len(terms))]
-    spread = f"greatest({', '.join(near)}, 0) - least({', '.join(near)}, 0)"
-    return f"coalesce(list_sum(list_transform(list_filter(list_transform({q(0)}, lambda x: {spread}), lambda g: g <= {slop}), lambda g: 1.0 / (1 + g))), 0.0)"
+    moved = [f"list_transform(coalesce(q{names.index(t)}, []), lambda y: y - {i})" for i, t in enumerate(terms)]
+    start = "least(" + ", ".join(f"list_max(list_filter({m}, lambda x: x <= e))" for m in moved) + ", 1000000000)"
+    there = " AND ".join(f"e >= list_min({m})" for m in moved)
+    pairs = f"list_transform(list_filter(list_distinct(flatten([{', '.join(moved)}])), lambda e: coalesce({there}, false)), lambda e: struct_pack(s := {start}, e := e))"
+    return f"(SELECT list(w) FROM (SELECT min(x.e) - x.s AS w FROM (SELECT unnest({pairs}) AS x) GROUP BY x.s))"
+
+
+def _slop(slop):
+    """The phrase frequency of the column ws of widths."""
+    return f"coalesce(list_sum(list_transform(list_filter(ws, lambda g: g <= {slop}), lambda g: 1.0 / (1 + g))), 0.0)"
 
 
 def _matched(terms):
@@ -252,17 +258,17 @@ def _matched(terms):
     weight = "CASE term " + " ".join(f"WHEN '{t}' THEN {terms.count(t)}" for t in names) + " END"
     cols = ", ".join(f"max(CASE WHEN term = '{t}' THEN ps END) AS q{i}" for i, t in enumerate(names))
     inside = ", ".join(f"'{t}'" for t in names)
-    return f"m AS (SELECT k, any_value(dl) AS dl, any_value(av) AS av, count(*) AS matched, sum(idf * part * {weight}) AS bm25, sum(idf * {weight}) AS idfs, {cols} FROM s WHERE term IN ({inside}) GROUP BY k)"
+    return f"m0 AS (SELECT k, any_value(dl) AS dl, any_value(av) AS av, count(*) AS matched, sum(idf * part * {weight}) AS bm25, sum(idf * {weight}) AS idfs, {cols} FROM s WHERE term IN ({inside}) GROUP BY k), m AS (SELECT *, {_widths(terms)} AS ws FROM m0)"
 
 
 def _full(terms, name, top, **tok):
     names = list(dict.fromkeys(terms))
     n = len(names)
     values = ", ".join(f"('{t}')" for t in names)
-    phrase = lambda s: f"idfs * ({_slop(terms, s)}) * 2.2 / (({_slop(terms, s)}) + 1.2 * (0.25 + 0.75 * dl / av))"
+    phrase = lambda s: f"idfs * {_slop(s)} * 2.2 / ({_slop(s)} + 1.2 * (0.25 + 0.75 * dl / av))"
     return f"""WITH {_tok(**tok)}, {_matched(terms)},
-x AS (SELECT q, term FROM (SELECT q, f.term, row_number() OVER (PARTITION BY q ORDER BY levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES {values}) v(q) ON f.term[1:2] = q[1:2]
-  WHERE levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20),
+x AS (SELECT q, term FROM (SELECT q, f.term, row_number() OVER (PARTITION BY q ORDER BY damerau_levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES {values}) v(q) ON f.term[1:2] = q[1:2]
+  WHERE damerau_levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20),
 z AS (SELECT k, sum(b) AS fz FROM (SELECT k, q, max(idf * part) AS b FROM s JOIN x ON x.term = s.term GROUP BY k, q) GROUP BY k),
 r AS (SELECT m.k AS {name}, round(bm25 + 10 * {phrase(0)} + 6 * {phrase(3)} + {phrase(10)} + 1.5 * coalesce(fz, 0) + CASE WHEN matched = {n} THEN 4 * bm25 ELSE 0 END + CASE WHEN matched >= {max(1, int(n * 0.85))} THEN 2.5 * bm25 ELSE 0 END, 6) AS score
   FROM m LEFT JOIN z ON z.k = m.k WHERE matched >= {max(1, int(n * 0.5))})
@@ -339,9 +345,9 @@ s AS (SELECT video_id, last, list_reduce(list_prepend(struct_pack(s := 0, a := [
 t AS (SELECT video_id, last, CASE WHEN r.s <= last THEN list_append(r.a, struct_pack(s := r.s, e := last)) ELSE r.a END AS a FROM s),
 u AS (SELECT video_id, unnest(CASE WHEN len(a) = 0 THEN [struct_pack(s := 0, e := last)] ELSE a END) AS x FROM t) SELECT video_id, x.s AS start, x.e AS "end" FROM u""",
     "f1_f4_f5_f8_bm25": f"WITH {_tok()}, {_matched(TERMS)} SELECT k AS doc_id, matched, round(bm25, 6) AS bm25, matched >= {max(1, int(_N * .5))} AS half, matched >= {max(1, int(_N * .85))} AS most, matched = {_N} AS all_terms FROM m",
-    "f2_f3_f7_phrases": f"WITH {_tok()}, {_matched(['of', 'the'])} SELECT k AS doc_id, " + ", ".join(f"round({_slop(['of', 'the'], s)}, 6) AS slop{s}" for s in (0, 3, 10)) + " FROM m WHERE matched = 2",
-    "f6_fuzzy_expansions": f"""WITH {_tok()} SELECT query_term, term FROM (SELECT q AS query_term, f.term, row_number() OVER (PARTITION BY q ORDER BY levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES ('thtion'), ('there'), ('an')) v(q) ON f.term[1:2] = q[1:2]
-WHERE levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20""",
+    "f2_f3_f7_phrases": f"WITH {_tok()}, {_matched(['of', 'the'])} SELECT k AS doc_id, " + ", ".join(f"round({_slop(s)}, 6) AS slop{s}" for s in (0, 3, 10)) + " FROM m WHERE matched = 2",
+    "f6_fuzzy_expansions": f"""WITH {_tok()} SELECT query_term, term FROM (SELECT q AS query_term, f.term, row_number() OVER (PARTITION BY q ORDER BY damerau_levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES ('thtion'), ('there'), ('an')) v(q) ON f.term[1:2] = q[1:2]
+WHERE damerau_levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20""",
     "f9_list_tokens": f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS ts FROM l),
 b AS (SELECT *, coalesce(sum(len(ts)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 * line_no AS s FROM a), t AS (SELECT doc_id, unnest(ts) AS term, s + unnest(range(0, len(ts))) AS pos FROM b)
 SELECT doc_id, count(*) AS n, max(pos)::INT AS last, count(DISTINCT term) AS terms FROM t GROUP BY doc_id""",
