@@ -61,7 +61,7 @@ def f15(spark, d):
 
 
 def f14(spark, d):
-    found = T.snippets("and the ereaan")("text")
+    found = T.snippets(F.col("text"), "and the ereaan")
     return _docs(spark, d).select("doc_id", found.alias("s")).select("doc_id", "s.*")
 
 
@@ -348,6 +348,19 @@ u AS (SELECT video_id, unnest(CASE WHEN len(a) = 0 THEN [struct_pack(s := 0, e :
     "f2_f3_f7_phrases": f"WITH {_tok()}, {_matched(['of', 'the'])} SELECT k AS doc_id, " + ", ".join(f"round({_slop(s)}, 6) AS slop{s}" for s in (0, 3, 10)) + " FROM m WHERE matched = 2",
     "f6_fuzzy_expansions": f"""WITH {_tok()} SELECT query_term, term FROM (SELECT q AS query_term, f.term, row_number() OVER (PARTITION BY q ORDER BY damerau_levenshtein(f.term, q), df DESC, f.term) AS r FROM f JOIN (VALUES ('thtion'), ('there'), ('an')) v(q) ON f.term[1:2] = q[1:2]
 WHERE damerau_levenshtein(f.term, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r <= 20""",
+    "f13_f14_snippets": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lower(strip_accents(coalesce(text, ''))) AS f FROM documents),
+p AS (SELECT doc_id, q, string_split(f, q) AS ps FROM t CROSS JOIN (VALUES ('and the ereaan'), ('ereaan')) AS v(q)),
+m AS (SELECT doc_id, a, a + length(q) AS b FROM (SELECT doc_id, q, unnest(list_transform(range(1, len(ps)), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(q)))::BIGINT AS a FROM p)),
+i AS (SELECT *, CASE WHEN a <= max(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY a, b)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM i),
+r AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, g),
+h AS (SELECT doc_id, min(a) AS a, arg_min(b, a) AS b FROM r GROUP BY doc_id),
+e AS (SELECT h.doc_id, h.a, coalesce(max(r.b) FILTER (r.b - h.a <= 160), h.b) AS b FROM h JOIN r ON r.doc_id = h.doc_id GROUP BY h.doc_id, h.a, h.b),
+s AS (SELECT t.*, length(text) AS n, least(length(text), coalesce(greatest(0, e.a - greatest(0, 160 - (e.b - e.a)) // 2), 0) + 160) AS stop FROM t LEFT JOIN e ON e.doc_id = t.doc_id),
+u AS (SELECT *, greatest(0, stop - 160) AS start FROM s),
+k AS (SELECT u.doc_id, greatest(r.a, start) AS a, least(r.b, stop) AS b FROM u JOIN r ON r.doc_id = u.doc_id WHERE greatest(r.a, start) < least(r.b, stop)),
+l AS (SELECT k.doc_id, string_agg(text[coalesce(prev, start) + 1:a] || '[[' || text[a + 1:b] || ']]', '' ORDER BY a) AS x, max(b) AS seen FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM k) k JOIN u ON u.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT u.doc_id, coalesce(x, '') || text[coalesce(seen, start) + 1:stop] AS snippet, start > 0 AS cut_before, stop < n AS cut_after, x IS NOT NULL AS has_match FROM u LEFT JOIN l ON l.doc_id = u.doc_id""",
     "f9_list_tokens": f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') AS ts FROM l),
 b AS (SELECT *, coalesce(sum(len(ts)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 * line_no AS s FROM a), t AS (SELECT doc_id, unnest(ts) AS term, s + unnest(range(0, len(ts))) AS pos FROM b)
 SELECT doc_id, count(*) AS n, max(pos)::INT AS last, count(DISTINCT term) AS terms FROM t GROUP BY doc_id""",

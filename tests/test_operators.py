@@ -116,11 +116,18 @@ def test_protected_spans():
     assert T.landmark_repairs(["Nguyễn", "Bá", "Ná"], spelt) == {}
 
 
-def test_snippet():
-    text, before, after, match = T.snippet("x" * 300 + " Đà Nẵng đẹp " + "y" * 300, "da nang")
+def test_snippet(spark):
+    def of(text, query, most=160):
+        return tuple(spark.createDataFrame([(text,)], "t string").select(T.snippets(F.col("t"), query, most).alias("s")).select("s.*").collect()[0])
+
+    text, before, after, match = of("x" * 300 + " Đà Nẵng đẹp " + "y" * 300, "da nang")
     assert "[[Đà Nẵng]]" in text and before and after and match and len(text) == 164
-    assert T.snippet("", "a") == ("", False, False, False)
-    assert T.query_terms("the cat and dog") == ["the cat and dog", "cat", "dog"]
+    assert of("", "a") == of(None, "ab") == ("", False, False, False)
+    assert of("a.b\\E and A.B", "a.b") == ("[[a.b]]\\E and [[A.B]]", False, False, True)
+    assert of("one two three", "two three, two") == ("one [[two]] [[three]]", False, False, True)
+    assert of("abcabc and " + "z" * 40 + " abc", "abc", 20) == ("[[abcabc]] and zzzzzzzzz", False, True, True)
+    assert of("z" * 40 + " ABC", "abc", 10) == ("zzzzzz [[ABC]]", True, False, True)
+    assert T.search_terms("the cat and Đog, cat!") == ["the cat and dog, cat!", "cat", "dog"] and T.search_terms(" a ") == T.search_terms(None) == []
 
 
 def test_resolver(spark):
