@@ -15,9 +15,11 @@ that scoring needs no model object.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from functools import reduce
+from base64 import b64encode
+from hashlib import blake2b
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -207,37 +209,32 @@ def common_words(docs: DataFrame) -> tuple[str, ...]:
     return tuple(sorted({*DICTIONARY, *(r["word"] for r in counts.where(F.col("n") >= least).collect())}))
 
 
-def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...] = (), first: int = 0) -> DataFrame:
-    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers (from the first on), each text with one finding.
-
-    Secrets have the forms that issuers and configuration files publish: issued
-    keys by their prefixes, random values and passwords assigned to names, told in
-    prose or set in addresses, and private keys.  What isn't one are digests,
-    identifiers, addresses, paths, numbers, placeholders, certificates, expressions of
-    code, and the words that stand after a secret word in prose.  Harmless words are
-    taken from the dictionary of the corpus, ``words``, as well.
-    """
-    plain = [*PLAIN, *(w for w in words if not re.search(SECRET_WORDS, w))]
-    seeded = lambda k: F.concat(F.lit(f"{k}-"), F.col("id").cast("string"))
-    hashed = lambda k, most: F.pmod(F.xxhash64(seeded(k)), F.lit(most))
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    pick = lambda k, *of: F.element_at(F.array(*map(text, of)), (hashed(k, len(of)) + 1).cast("int"))
-    entry = lambda k, of=DICTIONARY: F.element_at(F.lit(of), (hashed(k, len(of)) + 1).cast("int"))
-    count = lambda k, low, high: (hashed(k, high - low + 1) + low).cast("int")
-    number = lambda k, low, high: count(k, low, high).cast("string")
-    cut = lambda s, k, low, high: F.substr(s, F.lit(1), count(k, low, high))
-    part = lambda s, at, n: F.substring(s, at, n)
-    join = lambda *of: F.concat(*map(text, of))
-    line = lambda *of: F.concat_ws(" ", *map(text, of))
-
-    hex40, hex32, hex64 = F.sha1(seeded(1)), F.md5(seeded(2)), F.sha2(seeded(3), 256)
-    base64 = F.regexp_replace(F.base64(F.unhex(F.sha2(seeded(4), 384))), "=", "")
-    letters = F.regexp_replace(base64, "[+/]", "Q")
-    digits = part(join(F.abs(F.xxhash64(seeded(5))).cast("string"), F.abs(F.xxhash64(seeded(6))).cast("string")), 1, 16)
-    uuid = F.concat_ws("-", part(hex32, 1, 8), part(hex32, 9, 4), part(hex32, 13, 4), part(hex32, 17, 4), part(hex32, 21, 12))
+def _finding(i: int, label: int, plain: list[str]) -> tuple[str, str]:
+    """The i-th text with one finding, and its path."""
+
+    def hashed(k: int, most: int) -> int:
+        return int.from_bytes(blake2b(f"{k}-{i}".encode(), digest_size=8).digest(), "big") % most
+
+    sha = lambda k, kind: getattr(hashlib, kind)(f"{k}-{i}".encode()).hexdigest()
+    pick = lambda k, *of: of[hashed(k, len(of))]
+    entry = lambda k, of=DICTIONARY: of[hashed(k, len(of))]
+    count = lambda k, low, high: hashed(k, high - low + 1) + low
+    number = lambda k, low, high: str(count(k, low, high))
+    cut = lambda s, k, low, high: s[: count(k, low, high)]
+    part = lambda s, at, n: s[at - 1 : at - 1 + n]
+    join = lambda *of: "".join(of)
+    joined_by = lambda sign, *of: sign.join(of)
+    line = lambda *of: " ".join(of)
+    title_of = lambda s: s[:1].upper() + s[1:].lower()
+
+    hex40, hex32, hex64 = sha(1, "sha1"), sha(2, "md5"), sha(3, "sha256")
+    base64 = b64encode(bytes.fromhex(sha(4, "sha384"))).decode().replace("=", "")
+    letters = re.sub("[+/]", "Q", base64)
+    digits = f"{hashed(5, 10**16):016d}"
+    uuid = "-".join([part(hex32, 1, 8), part(hex32, 9, 4), part(hex32, 13, 4), part(hex32, 17, 4), part(hex32, 21, 12)])
     # invented words: consonants and vowels in turn
     syllable = lambda k: join(pick(k, *"bcdfghklmnprstvz"), pick(k + 100, *"aeiou"), pick(k + 200, "", "", "n", "r", "s"))
-    spoken = join(*[syllable(k) for k in range(400, 404)], F.when(hashed(405, 2) == 1, join(syllable(406), syllable(407))).otherwise(""))
+    spoken = join(*[syllable(k) for k in range(400, 404)], join(syllable(406), syllable(407)) if hashed(405, 2) else "")
     signs = lambda k: pick(k, *"!@#$%&*?^+")
 
     name = pick(10, "token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret", "db_password", "credential", "apikey", "passwd", "DB_PASS_PASSWORD", "SECRET_KEY")
@@ -249,10 +246,10 @@ def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...]
     mixed = cut(part(letters, 20, 44), 22, 6, 13)
     signed = join(cut(part(letters, 5, 9), 23, 2, 5), signs(24), cut(part(hex32, 7, 9), 25, 2, 5), signs(26), pick(27, "", part(digits, 3, 2), part(letters, 14, 5)))
     # passwords that people make: words, capitals, figures for letters, signs
-    two, capital = join(entry(30, PLAIN), pick(31, "", "", "-", "_"), entry(32, PLAIN)), F.initcap(entry(30, PLAIN))
+    two, capital = join(entry(30, PLAIN), pick(31, "", "", "-", "_"), entry(32, PLAIN)), title_of(entry(30, PLAIN))
     made = pick(
         33, join(entry(30, PLAIN), number(34, 1, 9), entry(32, PLAIN)), join(two, entry(35, PLAIN), entry(36, PLAIN)), join(spoken, number(34, 1, 99)), join(capital, signs(37), number(34, 1, 9999)),
-        F.translate(join(capital, signs(37), F.initcap(entry(32, PLAIN)), number(34, 1, 99)), "aeo", "430"), join(syllable(38), syllable(39), signs(37), number(34, 10, 9999)), join(spoken, syllable(40), syllable(41)),
+        join(capital, signs(37), title_of(entry(32, PLAIN)), number(34, 1, 99)).translate(str.maketrans("aeo", "430")), join(syllable(38), syllable(39), signs(37), number(34, 10, 9999)), join(spoken, syllable(40), syllable(41)),
     )
     human = pick(42, mixed, signed, made, made, cut(hex32, 43, 8, 13), part(letters, 9, 4))
     told = line(join(title, pick(44, "", " is", "", ":")), join(pick(45, mixed, signed, signed), pick(46, "", ".", "")))
@@ -261,38 +258,38 @@ def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...]
     scheme = pick(56, "postgres", "mysql", "redis", "amqp", "https", "mongodb", "ftp")
     address = lambda password: join(scheme, "://", user, ":", password, "@", host, pick(57, "", "/", join("/", entry(58))))
     issued = pick(
-        60, join(pick(61, "AKIA", "ASIA"), part(F.upper(letters), 1, 16)), join(pick(61, "ghp_", "gho_", "ghs_"), part(letters, 1, 36)), join("sk-", part(letters, 1, 48)), join("AIza", part(letters, 1, 35)),
+        60, join(pick(61, "AKIA", "ASIA"), part(str.upper(letters), 1, 16)), join(pick(61, "ghp_", "gho_", "ghs_"), part(letters, 1, 36)), join("sk-", part(letters, 1, 48)), join("AIza", part(letters, 1, 35)),
         join("xoxb-", digits, "-", part(letters, 1, 24)), join("eyJ", part(letters, 1, 30), ".", part(base64, 1, 40)), join("glpat-", part(letters, 1, 20)), join("sk_live_", part(letters, 1, 24)), join("npm_", part(letters, 1, 36)),
     )
-    frame = lambda kind, *body: F.concat_ws("\n", join("-----BEGIN ", kind, "-----"), *map(text, body), join("-----END ", kind, "-----"))
-    lines = [part(F.base64(F.unhex(join(F.sha2(seeded(k), 512)))), 1, 64) for k in (62, 63, 64)]
+    frame = lambda kind, *body: "\n".join([f"-----BEGIN {kind}-----", *body, f"-----END {kind}-----"])
+    lines = [part(b64encode(bytes.fromhex(sha(k, "sha512"))).decode(), 1, 64) for k in (62, 63, 64)]
     private = frame(pick(65, "PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"), *lines)
     bare = cut(letters, 67, 20, 40)
 
     harmless = pick(70, "commit", "sha256:", "md5", "checksum", "digest", "revision", "etag", "blob", "uuid", "hash")
-    route = F.concat_ws("/", entry(71), entry(72), entry(73), join(entry(74), number(75, 1, 99), pick(76, ".java", ".py", ".html", ".js", "")))
-    camel = join(pick(99, "get", "set", "is", entry(71)), F.initcap(entry(72)), pick(100, "", F.initcap(entry(73)), F.initcap(join(syllable(412), syllable(413)))), pick(101, "", "ById", "Of", F.initcap(entry(74))), number(75, 1, 99))
-    snake = F.concat_ws("_", entry(71), entry(72), entry(73), number(75, 1, 999))
+    route = joined_by("/", entry(71), entry(72), entry(73), join(entry(74), number(75, 1, 99), pick(76, ".java", ".py", ".html", ".js", "")))
+    camel = join(pick(99, "get", "set", "is", entry(71)), title_of(entry(72)), pick(100, "", title_of(entry(73)), title_of(join(syllable(412), syllable(413)))), pick(101, "", "ById", "Of", title_of(entry(74))), number(75, 1, 99))
+    snake = joined_by("_", entry(71), entry(72), entry(73), number(75, 1, 999))
     mail = join(entry(71), ".", number(75, 1, 99), "@mail", number(77, 1, 9), ".example.com")
     site = join("https://www.", entry(71), number(75, 1, 99), ".example.org", pick(78, "", ":8080"), "/", route)
-    build = F.concat_ws("-", entry(71), entry(72), number(75, 100, 999), number(77, 1, 99))
+    build = joined_by("-", entry(71), entry(72), number(75, 100, 999), number(77, 1, 99))
     hollow = pick(79, "YOUR_TOKEN_HERE_1", "xxxxxxxxxxxxxxxx1", "0000000000000000", "example1234567890", "changeme12345678", "<your-api-key-1234>", "test_password_123", "dummySecretValue1")
-    shouted = join(F.upper(join(spoken, syllable(408))), pick(80, "!!", "", "!", ".", "***"))
-    joined = join(F.initcap(spoken), pick(81, "-", "/", "_", "."), F.initcap(join(syllable(409), syllable(410), syllable(411))))
+    shouted = join(str.upper(join(spoken, syllable(408))), pick(80, "!!", "", "!", ".", "***"))
+    joined = join(title_of(spoken), pick(81, "-", "/", "_", "."), title_of(join(syllable(409), syllable(410), syllable(411))))
     after = pick(82, "of", "in", "the", "for", "and", "to", "was", entry(83, plain), join(syllable(84), syllable(85)), join(syllable(84), syllable(85), syllable(86)))
     said = line(join(title, pick(87, "", "", "s", " is")), after)
     void = pick(88, "null", "none", "true", "false", "your_password", "changeme", "xxxxxx", "<password>", "example", "test", "todo", "***", "0", "1", entry(83, plain), entry(83, plain), join(syllable(84), syllable(85)), "the", "password", "${PASSWORD}", "$DB_PASSWORD", "os.environ")
-    key = F.upper(join(entry(71), "_", entry(72)))
+    key = str.upper(join(entry(71), "_", entry(72)))
     code = pick(
-        102, join(entry(71), ".", entry(72), "['", F.initcap(entry(73)), "-", F.initcap(entry(74)), "']"), join(entry(71), "(", entry(72), ")"), join("get", F.initcap(entry(71)), F.initcap(entry(72)), "()"), join("os.environ[\"", key, "\"]"),
-        join("process.env.", key), join(entry(71), ".", entry(72), ".", entry(73)), join("new", " ", F.initcap(entry(71)), "()"), join("${", key, "}"), join("%(", entry(71), ")s"), join("{{ ", entry(71), ".", entry(72), " }}"),
+        102, join(entry(71), ".", entry(72), "['", title_of(entry(73)), "-", title_of(entry(74)), "']"), join(entry(71), "(", entry(72), ")"), join("get", title_of(entry(71)), title_of(entry(72)), "()"), join("os.environ[\"", key, "\"]"),
+        join("process.env.", key), join(entry(71), ".", entry(72), ".", entry(73)), join("new", " ", title_of(entry(71)), "()"), join("${", key, "}"), join("%(", entry(71), ")s"), join("{{ ", entry(71), ".", entry(72), " }}"),
     )
     phrase = line(*[pick(410 + k, entry(430 + k, PLAIN), syllable(440 + k), join(syllable(450 + k), syllable(460 + k))) for k in range(4)])
     sentence = line(pick(103, "enter", "your", "the", "please", "invalid", "a"), entry(104, plain), pick(105, "of", "for", "is", "to", "and", "in"), pick(106, "the", "your", "this", "a"), entry(107, plain))
     mark = pick(108, '"', "'", '"')
     quoted = lambda value: join(pick(14, name, title), pick(109, "=", " = ", ": "), mark, value, mark)
     option = pick(110, line("sshpass", "-p", join("'", human, "'")), line("curl", "-u", join(user, ":", human)), line("mysql", "-h", entry(54), "-p", human))
-    folded = frame("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED", join("DEK-Info: AES-128-CBC,", F.upper(hex32)), *lines)
+    folded = frame("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED", join("DEK-Info: AES-128-CBC,", str.upper(hex32)), *lines)
     certificate = frame(pick(89, "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST"), *lines)
 
     positive = [set_to(human), set_to(human), told, set_to(random), set_to(random), issued, line(pick(90, "key", "login", "with"), issued), address(pick(91, human, random, human)), private, bare, quoted(phrase), option, folded]
@@ -301,18 +298,31 @@ def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...]
         set_to(hollow), pick(92, hex40, hex32, hex64), join(entry(71), ".", part(hex32, 1, 8), ".chunk.js"), build, shouted, shouted, joined, joined, said, said, said, set_to(void), set_to(void), set_to(void), address(void), certificate, certificate,
         set_to(code), set_to(code), set_to(code), quoted(sentence),
     ]
-    numbered = spark.range(first, first + rows, 1, 1).withColumn("label", F.pmod("id", F.lit(2)).cast("double"))
+
     # no secret words in the prose: what follows them would be labelled too
-    prose = lambda k: line(*[pick(k + i, entry(k + i + 300, PLAIN), syllable(k + i + 320)) for i in range(3)])
-    path = F.when((F.col("label") == 0) & (hashed(97, 10) == 0), "tests/fixtures/a.txt").otherwise(pick(98, "src0", "src1", "web", "forum"))
+    prose = lambda k: line(*[pick(k + j, entry(k + j + 300, PLAIN), syllable(k + j + 320)) for j in range(3)])
+    finding = pick(95, *positive) if label else pick(96, *negative)
+    path = "tests/fixtures/a.txt" if not label and not hashed(97, 10) else pick(98, "src0", "src1", "web", "forum")
+    return line(prose(500), finding, prose(510)), path
 
-    def made_as(label: int, number: int, of: int, finding: Column) -> DataFrame:
-        own = numbered.where((F.col("label") == label) & (hashed(95 + label, of) == number))
-        return own.select(line(prose(500), finding, prose(510)).alias("text"), path.alias("path"), "label")
 
-    # a form each: one expression of all forms is too large to compile
-    forms = [made_as(label, k, len(of), finding) for label, of in ((1, positive), (0, negative)) for k, finding in enumerate(of)]
-    return reduce(DataFrame.union, forms).coalesce(4)
+def generated(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """``(text, path, label)``: labelled findings made by rule from hashes of row numbers (from the first on), each text with one finding.
+
+    Secrets have the forms that issuers and configuration files publish: issued
+    keys by their prefixes, random values and passwords assigned to names, told in
+    prose, set in addresses or given as options, and private keys.  What isn't one
+    are digests, identifiers, addresses, paths, numbers, placeholders, certificates,
+    expressions of code, and the words that stand after a secret word in prose.
+    Harmless words are taken from the dictionary of the corpus, ``words``, as well.
+
+    The rows are a bounded value of the plan: as expressions of row numbers the
+    forms took longer to compile than the whole scan of a small table takes.
+    """
+    plain = [*PLAIN, *(w for w in words if not re.search(SECRET_WORDS, w))]
+    made = [{"text": text, "path": path, "label": float(i % 2)} for i in range(first, first + rows) for text, path in [_finding(i, i % 2, plain)]]
+    every = F.from_json(F.lit(json.dumps(made)), "array<struct<text:string,path:string,label:double>>")
+    return spark.range(1).select(F.explode(every).alias("r")).select("r.*")
 
 
 class Forest:
