@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewright import catalog
 from framewright.functions import text as T
 from framewright.operators import enrich, fulltext, rerank, serve, translate, vector
-from framewright.plans.query_plan import plan
+from framewright.plans.query_plan import planned
 from framewright.plans.search import SearchSystem, hash_encoder
 from framewright.registry import language
 from framewright.registry.retrieval import _FRAMES, _META, SUBS, _agg, _hits, asked, hits, vectors
@@ -120,12 +120,16 @@ def s13(spark, d):
     index = sinks.FullTextIndex(spark, new_path(spark, "fulltext"), "doc_id", "text")
     index.create(docs.where("doc_id % 2 = 0"))
     index.insert(docs)
+    # a version without some, and one that writes these and others again
+    index.remove(docs.where("doc_id % 5 = 0"))
+    index.bulk(docs.where("doc_id % 5 = 0 or doc_id % 7 = 0"))
     return index.search("de la", 25)
 
 
 def s14(spark, d):
     index = sinks.VectorIndex(spark, new_path(spark, "vectors"))
     index.create(vectors(spark, d).where("vec_id % 3 > 0"))
+    index.remove(vectors(spark, d).where("vec_id % 5 = 0"))
     index.insert(vectors(spark, d))
     return sinks.VectorIndex(spark, index.path).search(asked(spark, d), 10).select("query_id", "vec_id", "rank", F.round("score", 3).alias("score"))
 
@@ -283,8 +287,7 @@ def p1(spark, d):
 
 
 def q1(spark, d):
-    p = plan("A dog runs, in the park. a DOG runs,  in the park; two birds", "auto")
-    return spark.createDataFrame([(p.mode, i, j, s) for i, e in enumerate(p.events) for j, s in enumerate(e)], "mode string, event_idx int, sub_idx int, text string")
+    return planned(catalog.table(spark, d, "benchmark"), "item_id", "text")
 
 
 def _system(spark, d):
@@ -401,5 +404,10 @@ SELECT * FROM j WHERE rank <= 10""",
 h AS (SELECT x.segment_id, video_id, a, b, x.rank AS hit_rank, round(score / max(score) OVER (), 6) AS score FROM ({language._full(["of", "the"], "segment_id", 30, where="true", key="conv_id::VARCHAR || '-' || turn::INT", table="conversations")}) x JOIN s ON s.segment_id = x.segment_id),
 j AS (SELECT h.*, f.vec_id, row_number() OVER (PARTITION BY segment_id ORDER BY f.vec_id) AS k FROM h JOIN frames f ON f.video_id = h.video_id AND f.pos BETWEEN a AND b), g AS (SELECT segment_id, video_id, score, hit_rank, list(vec_id ORDER BY vec_id) AS frames FROM j WHERE k <= 50 GROUP BY ALL)
 SELECT segment_id, video_id, score, array_to_string(list_transform(frames, lambda x: x::VARCHAR), ',') AS frames, frames[1 + (len(frames) // 2)::BIGINT] AS cover, rank FROM (SELECT *, row_number() OVER (ORDER BY hit_rank) AS rank FROM g) WHERE rank <= 10""",
-    "q1_query_plan": "SELECT * FROM (VALUES ('temporal', 0, 0, 'A dog runs, in the park'), ('temporal', 0, 1, 'A dog runs'), ('temporal', 0, 2, 'in the park'), ('temporal', 1, 0, 'two birds')) t(mode, event_idx, sub_idx, text)",
+    "q1_query_plan": r"""WITH q AS (SELECT item_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(10), ' '), '[.;]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS e FROM benchmark),
+d AS (SELECT item_id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) AS e FROM q),
+v AS (SELECT item_id, CASE WHEN len(e) > 1 THEN 'temporal' ELSE 'semantic' END AS mode, unnest(range(0, len(e)))::INT AS event_idx, unnest(e) AS event FROM d),
+p AS (SELECT *, list_filter(list_transform(list_prepend(event, string_split(event, ',')), lambda x: trim(x)), lambda x: x <> '') AS p FROM v),
+s AS (SELECT *, list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i) AS s FROM p)
+SELECT item_id, mode, event_idx, unnest(range(0, len(s)))::INT AS sub_idx, unnest(s) AS text FROM s""",
 }

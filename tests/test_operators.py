@@ -350,7 +350,7 @@ def test_vector_index_grows_and_opens_again(spark, tmp_path):
     import re
 
     plan = again.search(q.limit(1), 3, probes=1)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     again.remove(spark.createDataFrame([(5,), (7,)], "vec_id long"))
     assert again.count() == 198 and 5 not in {x.vec_id for x in again.search(q, 200).collect()}
     again.delete()
