@@ -74,6 +74,10 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_perspectives": op2_chat_perspectives,
@@ -84,6 +88,7 @@ QUERIES = {
     "op7_masked_pseudo_likelihood": op7_masked_pseudo_likelihood,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_rule_ledger": op9_quality_rule_ledger,
+    "quality_rule_ablations": quality_rule_ablations,
     "op10_warc_index_merge": op10_warc_index_merge,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_toxicity": op12_toxicity,
@@ -200,3 +205,9 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
              + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, n_lines, failures FROM f""",
 }
+
+_CASES = ", ".join(f"('{v}', '{r}', {quality_rules.mask(rules)}, {1 << quality_rules.RULES.index(r)})" for v, rules in quality_rules.POLICIES.items() for r in rules)
+ORACLE_SQL["quality_rule_ablations"] = f"""
+WITH l AS ({ORACLE_SQL["op9_quality_rule_ledger"]}), c AS (SELECT * FROM (VALUES {_CASES}) AS v(policy, rule, mask, bit))
+SELECT policy, rule, count(*) FILTER (failures & mask & bit <> 0) AS fails, count(*) FILTER (failures & mask = bit) AS fails_alone, count(*) FILTER ((failures & mask) | bit = bit) AS kept_without
+FROM l CROSS JOIN c GROUP BY policy, rule"""
