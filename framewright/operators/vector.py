@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.text import once
+from framewright.scratch import stored
 
 #: Query vectors of a block, which is sent to every task; scores of a matrix product (32 MB).
 MOST_QUERIES, SCORES = 10_000, 1 << 22
@@ -82,14 +85,21 @@ def _searcher(shared, k: int, metric: str):
 
 
 def _blocks(queries: DataFrame, search) -> DataFrame:
-    """search() of each block of at most MOST_QUERIES queries, dealt by a hash of their ids."""
+    """search() of each block of at most MOST_QUERIES queries, dealt by a hash of their ids.
+
+    Of several blocks each is searched and written before the next one's vectors
+    are sent, so that the tasks hold one block at a time, as does the driver.
+    """
     n = queries.count()
     blocks = 1 if n <= MOST_QUERIES else -(-n * 5 // (4 * MOST_QUERIES)) + 1
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = search(queries) if blocks == 1 else search(queries.where(block == 0))
-    for b in range(1, blocks):
-        found = found.unionByName(search(queries.where(block == b)))
-    return found
+    if blocks == 1:
+        return search(queries)[0]
+    block, parts = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), []
+    for b in range(blocks):
+        found, sent = search(queries.where(block == b))
+        parts.append(stored(found, "nearest"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -106,7 +116,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return _blocks(queries, lambda some: _nearest(vectors, some, k, metric, None))
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, probe) -> DataFrame:
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, probe):
+    """The best k of a block of queries, and the broadcast that it needs."""
     spark = vectors.sparkSession
     ids, matrix = query_rows(queries)
     names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
@@ -119,7 +130,7 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, probe)
     found = rows.mapInArrow(_searcher(shared, k, metric), "q int, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     score = F.col("score") if metric == "cosine" else -F.col("score")
-    return ranked.join(F.broadcast(names), "q").select("query_id", "vec_id", score.alias("score"), "rank")  # the ids of a block of queries
+    return ranked.join(F.broadcast(names), "q").select("query_id", "vec_id", score.alias("score"), "rank"), shared  # the ids of a block of queries
 
 
 def aggregate_queries(hits: DataFrame, n_queries: int | Column, top_k: int | None, by: str = "vec_id", group: tuple[str, ...] = ()) -> DataFrame:
