@@ -260,6 +260,39 @@ def test_keyframe_pipeline(spark, sf):
     assert got == expected and got
 
 
+def test_multi_model_temporal(spark, sf):
+    """The candidates of two models for two events, fused by rank, aligned per video: searched, fused and aligned by loops."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in rows}
+    video, place, seen = {}, {}, {}
+    for r in rows:
+        video[r.vec_id] = str(r.label)
+        place[r.vec_id] = seen[r.label] = seen.get(r.label, -1) + 1
+    fused = {}
+    for change in (lambda v: v, lambda v: np.concatenate([v[:32], v[:32]])):
+        for event, ids in enumerate(retrieval.EVENTS):
+            found = {}
+            for q in ids:
+                scores = {v: round(float(change(x[q]) @ change(x[v])), 6) for v in x}
+                for v in sorted(scores, key=lambda v: (-scores[v], v))[:60]:
+                    found.setdefault(v, []).append(scores[v])
+            rate = {v: round(0.8 * round(sum(s) / len(s), 8) + 0.2 * round(len(s) / len(ids), 8), 9) for v, s in found.items()}
+            for rank, v in enumerate(sorted(rate, key=lambda v: (-rate[v], v))[:40], 1):
+                fused.setdefault(v, {}).setdefault(event, []).append(1 / (60 + rank))
+    expected = []
+    for name in sorted(set(video.values())):
+        frames = sorted((place[v], v) for v in fused if video[v] == name)
+        if len(frames) < 2:
+            continue
+        s = np.array([[round(sum(fused[v][event]), 9) if event in fused[v] else -math.inf for _, v in frames] for event in range(2)])
+        for score, path in sequences(s, [float(t) for t, _ in frames], None):
+            expected.append((-round(round(score, 6) / 2, 6), name, path))
+    got = retrieval.m9(spark, sf).orderBy("rank").collect()
+    expected = sorted(expected)[:10]
+    assert [(r.video_id, r.path) for r in got] == [(v, ",".join(map(str, p))) for _, v, p in expected]
+    assert all(abs(r.avg_score + e[0]) < 2e-6 for r, e in zip(got, expected, strict=True))
+
+
 def test_snippets(spark, sf):
     texts = {r.doc_id: unicodedata.normalize("NFC", r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
