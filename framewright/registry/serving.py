@@ -286,6 +286,12 @@ def p1(spark, d):
     return serve.display(enrich.videos_of(m.where("vec_id >= 0"), 45), (*catalog.DISPLAY, "score", "missing")).drop("source_name", "embedding_path", "dataset")
 
 
+def x28(spark, d):
+    """Parts as pictures whose sides follow from their keys and sizes."""
+    p = catalog.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1800 + 100).cast("int").alias("width"), (F.col("p_size") * 37 + 100).cast("int").alias("height"))
+    return p.select("p_partkey", rerank.picture_grid(F.col("width"), F.col("height")).alias("g")).select("p_partkey", "g.columns", "g.rows")
+
+
 def q1(spark, d):
     return planned(catalog.table(spark, d, "benchmark"), "item_id", "text")
 
@@ -329,7 +335,7 @@ QUERIES = {
     "s1_metadata_csv": s1, "s3_path_keys": s3, "s4_ocr_json": s4, "s8_frequency_tsv": s8, "s12_keyframe_files": s12, "s13_fulltext_index": s13, "s14_vector_index": s14, "s16_s7_keyframe_maps": s16,
     "s17_incremental_stream": s17, "s17_skip_processed": s17_skip, "stream_sessions": sessions, "x32_recognised_lines": x32, "a10_by_video": a10, "w7_pages": w7, "q4_flattened": q4, "q8_serialised": q8,
     "x20_safe_casts": x20, "x21_paths": x21, "x22_x23_times": x22, "x24_x26_judgements": x24, "x27_a13_sequence_rerank": x27, "x29_model_output": x29, "x33_boxes": x33, "a11_latency": a11, "a12_bleu_char_f": a12,
-    "t10_substring_score": t10, "t11_token_score": t11, "q1_query_plan": q1, "u2_u5_u6_sets": u2, "u4_first_of_each": u4, "p1_p2_p3_p4_display": p1, "q2_dispatch": q2, "q3_advanced_frames": q3, "q3_m10_advanced_temporal": q3t, "f10_f11_ocr_search": f11,
+    "t10_substring_score": t10, "t11_token_score": t11, "q1_query_plan": q1, "x28_picture_grid": x28, "u2_u5_u6_sets": u2, "u4_first_of_each": u4, "p1_p2_p3_p4_display": p1, "q2_dispatch": q2, "q3_advanced_frames": q3, "q3_m10_advanced_temporal": q3t, "f10_f11_ocr_search": f11,
 }
 
 _RANKED = f"{_FRAMES}, {_hits(SUBS, 30)}, rk AS (SELECT *, row_number() OVER (ORDER BY alignment_score DESC, vec_id) AS rank FROM {_agg('hits', len(SUBS))} QUALIFY rank <= 60), r AS (SELECT rk.*, f.video_id, f.pos AS ts, alignment_score AS score FROM rk JOIN frames f ON f.vec_id = rk.vec_id)"
@@ -404,6 +410,9 @@ SELECT * FROM j WHERE rank <= 10""",
 h AS (SELECT x.segment_id, video_id, a, b, x.rank AS hit_rank, round(score / max(score) OVER (), 6) AS score FROM ({language._full(["of", "the"], "segment_id", 30, where="true", key="conv_id::VARCHAR || '-' || turn::INT", table="conversations")}) x JOIN s ON s.segment_id = x.segment_id),
 j AS (SELECT h.*, f.vec_id, row_number() OVER (PARTITION BY segment_id ORDER BY f.vec_id) AS k FROM h JOIN frames f ON f.video_id = h.video_id AND f.pos BETWEEN a AND b), g AS (SELECT segment_id, video_id, score, hit_rank, list(vec_id ORDER BY vec_id) AS frames FROM j WHERE k <= 50 GROUP BY ALL)
 SELECT segment_id, video_id, score, array_to_string(list_transform(frames, lambda x: x::VARCHAR), ',') AS frames, frames[1 + (len(frames) // 2)::BIGINT] AS cover, rank FROM (SELECT *, row_number() OVER (ORDER BY hit_rank) AS rank FROM g) WHERE rank <= 10""",
+    "x28_picture_grid": """WITH p AS (SELECT p_partkey, 100 + p_partkey % 1800 AS w, 100 + p_size * 37 AS h FROM part), g AS (SELECT c, r FROM range(1, 13) a(c) CROSS JOIN range(1, 13) b(r) WHERE c * r <= 12),
+k AS (SELECT p_partkey, c, r, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(w / h - c / r), CASE WHEN w * h > c * r * 100352 THEN -c * r ELSE c * r END, c, r) AS n FROM p CROSS JOIN g)
+SELECT p_partkey, c::INT AS columns, r::INT AS rows FROM k WHERE n = 1""",
     "q1_query_plan": r"""WITH q AS (SELECT item_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(10), ' '), '[.;]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS e FROM benchmark),
 d AS (SELECT item_id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) AS e FROM q),
 v AS (SELECT item_id, CASE WHEN len(e) > 1 THEN 'temporal' ELSE 'semantic' END AS mode, unnest(range(0, len(e)))::INT AS event_idx, unnest(e) AS event FROM d),
