@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from typing import Protocol
 
@@ -245,21 +246,26 @@ class FullTextIndex(_Stored):
 class VectorIndex(_Stored):
     """Unit vectors split by their nearest centroid, and the centroids: an exact search reads all, a pruned one the cells that its queries probe.
 
-    An index is opened again by its path.
+    An index is opened again by its path.  Unless a number of cells is given, there
+    are as many as the root of the number of vectors that the index is made of,
+    from FEWEST to MOST, so that a cell grows as slowly as their number.
     """
 
-    def __init__(self, spark: SparkSession, path: str, cells: int = 16):
+    FEWEST, MOST = 16, 4_096
+
+    def __init__(self, spark: SparkSession, path: str, cells: int | None = None):
         super().__init__(spark, path)
         self.cells = cells
 
     @property
     def BUCKETS(self) -> int:  # noqa: N802
-        return self.cells
+        return self.cells or self.FEWEST
 
     def create(self, vectors: DataFrame) -> None:
         """Centroids of these vectors, and the vectors."""
         before, unit = self.manifest(), self._unit(vectors)
-        centers = vector.train_centroids(unit, self.cells)
+        cells = self.cells or min(self.MOST, max(self.FEWEST, math.isqrt(unit.count())))
+        centers = vector.train_centroids(unit, cells, max(20_000, 16 * cells))
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
         made = self.spark.createDataFrame(rows, "cell int, center array<double>").coalesce(1)
         self._commit(before, [self._segment(before, {"centers": made, "vectors": self._celled(unit, centers)})])

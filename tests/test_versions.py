@@ -87,3 +87,15 @@ def test_large_buckets_are_several_files(spark, tmp_path, monkeypatch):
     index = sinks.FullTextIndex(spark, str(tmp_path / "ix"), "id", "text")
     index.create(docs)
     assert len(index.postings(["fox"]).inputFiles()) >= 5 and index.postings(["fox"]).count() == 300
+
+
+def test_cells_grow_with_the_vectors(spark, tmp_path):
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(1100)], "vec_id long, embedding array<float>")
+    index = sinks.VectorIndex(spark, str(tmp_path / "v"))
+    index.create(v)
+    assert len(index.centers()) == 33 and index.table().select("cell").distinct().count() > 20 and index.count() == 1100
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as vector")
+    best = {(x.query_id, x.vec_id) for x in index.search(q, 5).collect()}
+    near = {(x.query_id, x.vec_id) for x in index.search(q, 5, probes=8).collect()}
+    assert len(best & near) >= 0.9 * len(best)
