@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ WATERMARK_FLOOR, WATERMARK_SHARE = 5, 0.3
 ACCENT_COUNT, ACCENT_RATIO = 5, 10.0
 WORD_COUNT, WORD_RATIO = 30, 80.0
 LONGEST, EDITS = 20, 2
+#: A sieve of hashes has at most so many rows of 64 bits; conditions that only sift allow for rounding.
+CELL_BITS = 21
+CELLS = 1 << CELL_BITS
+SLACK = 1.000001
 #: Words that are common on screen without being a watermark.
 EXCLUDED = ("mekong", "thuy", "quayphim", "mat", "19", "hit")
 
@@ -106,16 +112,63 @@ def _evidence(rows: DataFrame, word: str, table: DataFrame, name: str) -> DataFr
     return both.withColumn(name, F.coalesce("__l", F.lit(0)) + F.coalesce("__r", F.lit(0))).drop("__l", "__r")
 
 
-def replacements(context: DataFrame, candidates: DataFrame, table: DataFrame, least: int, ratio: float) -> DataFrame:
+def _sieve(keys: DataFrame) -> DataFrame:
+    """The hashes ``__h`` as bits, of which at most CELLS rows are made, however many hashes there are."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__h, {CELL_BITS}) & 63 as int))")
+    cells = keys.select(F.col("__h").bitwiseAND(F.lit(CELLS - 1)).alias("__cell"), bit.alias("__bit")).groupBy("__cell").agg(F.bit_or("__bit").alias("__bits"))
+    return stored(cells, "sieve")
+
+
+def _sifted(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> DataFrame:
+    """The rows of which a hash is, but for chance, among those of the sieve."""
+    for name, h in hashes.items():
+        bits = F.broadcast(sieve.select(F.col("__cell").alias(f"__c{name}"), F.col("__bits").alias(f"__b{name}")))  # at most CELLS rows
+        rows = rows.join(bits, h.bitwiseAND(F.lit(CELLS - 1)) == F.col(f"__c{name}"), "left")
+    there = lambda name, h: F.coalesce(F.getbit(f"__b{name}", F.shiftrightunsigned(h, CELL_BITS).bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return rows.where(reduce(lambda x, y: x | y, [there(*x) for x in hashes.items()]))
+
+
+def _stronger(pairs: DataFrame, candidates: DataFrame, table: DataFrame, near: str, names: tuple[str, str], ratio: float, fewest: int) -> DataFrame:
+    """(near, token, word): on one side of a token, words whose bigram with the neighbour has ratio times the token's, and half of ratio more.
+
+    ``names`` says which of near and the word comes first; fewest is the least count of a pair.
+    """
+    first, second = names
+    own = lambda c: "token" if c == "word" else c
+    strong = table.where(F.col("n") * SLACK >= ratio * (fewest + 0.5)).select(F.col("w1").alias(first), F.col("w2").alias(second), F.col("n").alias("__of_word"))
+    met = stored(strong.join(candidates, "word"), "strong")
+    mine = pairs.select(F.col("w1").alias(own(first)), F.col("w2").alias(own(second)), F.col("n").alias("__of_token"))
+    mine = mine.join(candidates.select("token").distinct(), "token", "left_semi").join(met.select(near).distinct(), near, "left_semi")
+    return stored(met.join(mine, [near, "token"]).where(F.col("__of_word") * SLACK >= ratio * (F.col("__of_token") + 0.5)).select(near, "token", "word"), "stronger")
+
+
+def replacements(context: DataFrame, candidates: DataFrame, table: DataFrame, least: int, ratio: float, counted: bool = False) -> DataFrame:
     """For distinct (before, token, after): the candidate of the largest evidence, if that is at least `least` and at
-    least ratio times that of the token plus one; ties go to the smaller word.  ``candidates`` is (token, word)."""
-    # evidence of that size needs a bigram of half of it at least: other words can't win
-    strong = table.where(F.col("n") >= (least + 1) // 2)
-    able = strong.select(F.col("w1").alias("word")).union(strong.select(F.col("w2").alias("word"))).distinct()
-    candidates = candidates.join(able, "word", "left_semi")
-    places = context.where("before is not null or after is not null").select("before", "token", "after").distinct()
-    own = _evidence(places, "token", table, "evidence")
-    others = _evidence(own.join(candidates, "token"), "word", table, "other")
+    least ratio (above 0) times that of the token plus one; ties go to the smaller word.  ``candidates`` is (token, word).
+
+    Evidence is the sum of two sides, so a word that has ratio times the token's
+    plus one has on one side at least ratio times the token's plus one half.  Those
+    words are found from the bigrams; only places that have such a side are
+    shuffled, after bits of their hashes (one broadcast of bounded size) have
+    sifted the rest out; then their evidence is counted in full.  counted says that
+    the table, best a stored one, has all pairs of neighbours of the context.
+    """
+    candidates = stored(candidates, "candidates")
+    places = context.where("before is not null or after is not null").select("before", "token", "after")
+    pairs = table
+    if not counted:
+        both = places.select(F.col("before").alias("w1"), F.col("token").alias("w2")).union(places.select("token", "after"))
+        pairs = stored(both.where("w1 is not null and w2 is not null").distinct().join(table, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("n", F.lit(0)).alias("n")), "pairs")
+    left = _stronger(pairs, candidates, table, "before", ("before", "word"), ratio, int(counted))
+    right = _stronger(pairs, candidates, table, "after", ("word", "after"), ratio, int(counted))
+    hashes = {"l": F.xxhash64(F.lit(1), "before", "token"), "r": F.xxhash64(F.lit(2), "token", "after")}
+    sieve = _sieve(left.select(hashes["l"].alias("__h")).union(right.select(hashes["r"].alias("__h"))))
+    some = stored(_sifted(places, sieve, **hashes).select("before", "token", "after").distinct(), "places")
+    rows = stored(some.join(left, ["before", "token"]).select("before", "token", "after", "word").union(some.join(right, ["token", "after"]).select("before", "token", "after", "word")).distinct(), "words")
+    pair = lambda a, b: rows.select(F.col(a).alias("w1"), F.col(b).alias("w2"))
+    wanted = pair("before", "token").union(pair("token", "after")).union(pair("before", "word")).union(pair("word", "after")).distinct()
+    known = stored(table.join(wanted, ["w1", "w2"], "left_semi"), "known")
+    others = _evidence(_evidence(rows, "token", known, "evidence"), "word", known, "other")
     best = others.groupBy("before", "token", "after", "evidence").agg(F.max_by(F.struct("word", "other"), F.struct("other", F.transform(F.split("word", ""), lambda c: -F.ascii(c)))).alias("b"))
     enough = (F.col("b.other") >= least) & (F.col("b.other") >= (F.col("evidence") + 1) * ratio)
     return best.where(enough).select("before", "token", "after", F.col("b.word").alias("word"), F.col("b.other").alias("other"), "evidence")
@@ -165,7 +218,7 @@ def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> Dat
     return t.select("token", r.alias("r")).select("token", "r.*")
 
 
-def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame, domain: DataFrame, table: DataFrame) -> DataFrame:
+def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame, domain: DataFrame, table: DataFrame, counted: bool = False) -> DataFrame:
     """key, line, corrected, flags: protected words, then the resolver, then accents by context; real words that look wrong in
     their context are only counted.  Every distinct token is resolved once and joined back."""
     spelt = lines.select(key, T.words(F.col(text)).alias("w")).withColumn("kept", T.protected("w"))
@@ -173,8 +226,8 @@ def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame
     rows = spelt.select(key, F.explode_outer(near).alias("t")).select(key, "t.*")
     rows = rows.join(resolved(rows.where("kept = ''"), dictionary, domain).select("token", "corrected", "source"), "token", "left")
     known = rows.where("source = 'dict_exact'").select("before", F.lower("token").alias("token"), "after")
-    accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("accent"))
-    flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("flag"))
+    accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("accent"))
+    flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("flag"))
     rows = rows.withColumn("__low", F.lower("token"))
     for found in (accents, flags):
         same = [rows[c].eqNullSafe(found[c]) for c in ("before", "__low", "after")]
