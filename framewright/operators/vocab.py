@@ -30,6 +30,11 @@ def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(T.words(F.lower(text))).alias("pos", "token"))
 
 
+def distinct_tokens(docs: DataFrame, text: str) -> DataFrame:
+    """token: each once; what a text repeats is dropped in its row."""
+    return docs.select(F.explode(F.array_distinct(T.words(F.lower(text)))).alias("token")).distinct()
+
+
 def document_frequency(docs: DataFrame, unit: str, text: str) -> DataFrame:
     """token, df: in how many units (videos, sources) a token occurs."""
     return docs.select(unit, F.explode(F.array_distinct(T.words(F.lower(text)))).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df"))
