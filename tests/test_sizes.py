@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from framewright.operators import vocab
+from framewright.operators import fulltext, vocab
 
 
 def _kept(monkeypatch, module, rows):
@@ -42,3 +43,37 @@ def test_replacements_keep_few_places(spark, monkeypatch, counted):
     assert {tuple(r) for r in got.collect()} == want and len(want) >= 3
     # of the distinct places hardly more than those with a stronger word on a side are shuffled and counted
     assert rows["places"] <= 60 and rows["words"] <= 60
+
+
+def test_postings_take_no_shuffle(spark):
+    docs = {1: "b a b", 2: "A b-a, c a", 3: "", 4: None, 5: "..."}
+    want = set()
+    for k, text in docs.items():
+        words = fulltext.terms_of(text or "")
+        for t in set(words):
+            places = tuple(i for i, w in enumerate(words) if w == t)
+            want.add((k, t, len(places), places, len(words)))
+    index = fulltext.postings(spark.createDataFrame(list(docs.items()), "id int, text string"), "id", "text")
+    assert {(r.id, r.term, r.tf, tuple(r.positions), r.dl) for r in index.collect()} == want
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    lists = spark.createDataFrame([(1, ["x y", None, "y"])], "id int, text array<string>")
+    assert {(r.term, tuple(r.positions)) for r in fulltext.postings(lists, "id", "text").collect()} == {("x", (0,)), ("y", (1, 2 + 2 * fulltext.GAP))}
+
+
+def test_deletions_are_made_once(spark):
+    def left(word, n):
+        return {word} | ({x for i in range(len(word)) for x in left(word[:i] + word[i + 1 :], n - 1)} if n else set())
+
+    words = ["", "a", "ab", "aab", "banana", "năng"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", vocab.deletions(F.col("w"), 2).alias("two"), vocab.deletions(F.col("w"), 1).alias("one")).collect()
+    for r in rows:
+        assert set(r.two) == left(r.w, 2) and len(r.two) == len(set(r.two)) and set(r.one) == left(r.w, 1)
+
+
+def test_the_resolver_reads_its_tokens_once(spark, monkeypatch):
+    rows = {}
+    _kept(monkeypatch, vocab, rows)
+    tokens = spark.createDataFrame([("helo",), ("helo",), ("20/07",)], "token string")
+    words = spark.createDataFrame([("hello", 4)], "token string, df long")
+    got = {r.token: (r.corrected, r.source) for r in vocab.resolved(tokens, words, words.where("false")).collect()}
+    assert got == {"helo": ("hello", "dict_suggest"), "20/07": ("20/07", "regex")} and rows["tokens"] == rows["looked_up"] == 2
