@@ -65,18 +65,18 @@ def bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def deletions(word: Column, edits: int = EDITS) -> Column:
-    """The word and all words that deleting up to so many letters leaves."""
+    """The word and all words that deleting up to so many letters leaves; letters are taken out from left to right, so that no two ways lead to the same places."""
 
-    def without(w: Column):
-        return lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
+    def shorter(x: Column) -> Column:
+        n = F.length(x["w"])
+        without = lambda i: F.struct(F.concat(F.substr(x["w"], F.lit(1), i - 1), F.substr(x["w"], i + 1)).alias("w"), i.alias("at"))
+        return F.when(x["at"] > n, F.array().cast("array<struct<w:string,at:int>>")).otherwise(F.transform(F.sequence(x["at"], n), without))
 
-    def shorter(w: Column) -> Column:
-        return F.when(F.length(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(w)), without(w)))
+    def level(words: Column, left: int) -> Column:
+        own = F.transform(words, lambda x: x["w"])
+        return own if left == 0 else once(words, lambda w: F.concat(F.transform(w, lambda x: x["w"]), level(F.flatten(F.transform(w, shorter)), left - 1)))
 
-    out = F.array(word)
-    for _ in range(edits):
-        out = once(out, lambda words: F.array_distinct(F.concat(words, F.flatten(F.transform(words, shorter)))))
-    return out
+    return F.array_distinct(level(F.array(F.struct(word.alias("w"), F.lit(1).alias("at"))), edits))
 
 
 def _variants(words: DataFrame, name: str, edits: int) -> DataFrame:
@@ -93,8 +93,8 @@ def suggestions(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     df); one of up to a few megabytes is sent to all tasks, a larger one shuffled.
     """
     t = tokens.select("token").distinct().where((F.length("token") <= LONGEST) & (2 * F.length(F.regexp_replace("token", r"\P{L}+", "")) >= F.length("token")) & (F.col("token") != ""))
-    t = t.join(dictionary.select("token"), "token", "left_anti")
     words = stored(dictionary.where(F.length("token") <= LONGEST + EDITS), "dictionary")
+    t = t.join(words.select("token"), "token", "left_anti")
     met = _variants(t, "token", EDITS).join(stored(_variants(words, "word", EDITS), "variants"), "left_over").select("token", "word").distinct()
     near = met.withColumn("edits", F.levenshtein("token", "word", EDITS)).where(F.col("edits").between(1, EDITS))
     best = near.withColumn("__least", F.min("edits").over(W.partitionBy("token"))).where("edits = __least").drop("__least")
@@ -200,13 +200,14 @@ def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> Dat
     token is all capitals or a code and the suggestion differs in more than
     accents.  Only tokens that come so far reach the suggestions.
     """
-    t = tokens.select("token").distinct()
+    # several passes follow: the texts are read, and the classes found, once
+    t, dictionary = stored(tokens.select("token").distinct(), "tokens"), stored(dictionary, "dictionary")
     t = t.withColumn("__low", F.lower("token")).withColumn("__core", T.edge_stripped(F.col("token"))).withColumn("__class", T.token_class(F.col("token")))
     listed = lambda df, on, name: df.select(F.col("token").alias(on), F.lit(True).alias(name)).distinct()
     words = listed(dictionary, "__low", "__word")
     t = t.join(words, "__low", "left").withColumn("__core_low", F.lower("__core"))
     t = t.join(listed(dictionary, "__core_low", "__core_word"), "__core_low", "left").join(listed(domain, "__low", "__domain"), "__low", "left")
-    t = t.withColumn("__done", F.coalesce("__word", F.lit(False)) | F.coalesce("__core_word", F.lit(False)) | F.col("__class").isNotNull() | F.coalesce("__domain", F.lit(False)))
+    t = stored(t, "looked_up").withColumn("__done", F.coalesce("__word", F.lit(False)) | F.coalesce("__core_word", F.lit(False)) | F.col("__class").isNotNull() | F.coalesce("__domain", F.lit(False)))
     best = suggestions(t.where("not __done").select(F.col("__low").alias("token")), dictionary).where("k = 1").select(F.col("token").alias("__low"), "word")
     t = t.join(best, "__low", "left")
     same = F.lower(T.strip_accents(F.col("__core"))) == F.lower(T.strip_accents(F.col("word")))
@@ -229,7 +230,10 @@ def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame
     spelt = lines.select(key, T.words(F.col(text)).alias("w")).withColumn("kept", T.protected("w"))
     near = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get("kept", i).alias("kept"), F.lower(F.get("w", i - 1)).alias("before"), F.lower(F.get("w", i + 1)).alias("after")))
     rows = spelt.select(key, F.explode_outer(near).alias("t")).select(key, "t.*")
-    rows = rows.join(resolved(rows.where("kept = ''"), dictionary, domain).select("token", "corrected", "source"), "token", "left")
+    dictionary = stored(dictionary, "dictionary")
+    found = stored(resolved(rows.where("kept = ''"), dictionary, domain).select("token", "corrected", "source"), "resolved")
+    # the words in their places are read by both corrections and by the result
+    rows = stored(rows.join(found, "token", "left"), "resolved_words")
     known = rows.where("source = 'dict_exact'").select("before", F.lower("token").alias("token"), "after")
     accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("accent"))
     flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("flag"))
