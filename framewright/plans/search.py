@@ -14,6 +14,8 @@ from framewright.operators.translate import Gate
 from framewright.plans.query_plan import QueryPlan, candidate_k, plan
 
 Encoder = Callable[[DataFrame], DataFrame]
+#: Postings and the places of their keys.
+Texts = tuple[DataFrame, DataFrame]
 
 
 @dataclass(frozen=True)
@@ -49,18 +51,25 @@ class SearchSystem:
     models: name -> Model, or (vectors, encoder); frames:
     ``(vec_id, dataset, video_id, keyframe_id, ts)``; ocr and asr: postings with
     the key columns of their documents, as made by fulltext.postings() with the
-    keys "doc" and "segment_id", and tables that give each key its place.
+    keys "doc" and "segment_id", and tables that give each key its place; or a
+    function that gives both, which is called when first searched.
     Every method returns a lazy DataFrame, best rows first by ``rank``; an empty
     plan gives no rows.  translate, a Gate or a function, is applied to vector
     queries only; a request may force it on or off.
     """
 
-    def __init__(self, spark: SparkSession, frames: DataFrame, models: dict[str, tuple[DataFrame, Encoder]], ocr: tuple[DataFrame, DataFrame] | None = None, asr: tuple[DataFrame, DataFrame] | None = None, translate: Gate | Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, frames: DataFrame, models: dict[str, tuple[DataFrame, Encoder]], ocr: Texts | Callable[[], Texts] | None = None, asr: Texts | Callable[[], Texts] | None = None, translate: Gate | Callable[[str], str] | None = None):
         if not models:
             raise RuntimeError("no model is loaded")
         self.models = {name: m if isinstance(m, Model) else Model(*m) for name, m in models.items()}
         self.spark, self.frames, self.ocr, self.asr, self.translate = spark, frames, ocr, asr, translate if isinstance(translate, Gate) else Gate(translate)
 
+    def _texts(self, name: str) -> Texts:
+        """The postings and places of "ocr" or "asr", opened once."""
+        if callable(found := getattr(self, name)):
+            setattr(self, name, found := found())
+        return found
+
     def available_models(self) -> list[str]:
         """Enabled models."""
         return sorted(chosen_models(self.models))
@@ -112,7 +121,7 @@ class SearchSystem:
     def ocr_search(self, query: str, top_k: int = 10, oversample: int = 3) -> DataFrame:
         if self.ocr is None:
             raise RuntimeError("screen text isn't indexed")
-        postings, places = self.ocr
+        postings, places = self._texts("ocr")
         hits = fulltext.search(postings, "doc", query, max(top_k * oversample, top_k)).join(places, "doc").drop("doc", "rank")
         meta = self.frames.select("vec_id", "dataset", "video_id", F.col("keyframe_id").cast("string").alias("keyframe_id"), "ts")
         return enrich.ocr_hits(hits, meta, "vec_id", top_k).withColumn("score", F.col("normalised_score"))
@@ -120,7 +129,7 @@ class SearchSystem:
     def asr_search(self, query: str, top_k: int = 10, oversample: int = 3) -> DataFrame:
         if self.asr is None:
             raise RuntimeError("speech isn't indexed")
-        postings, places = self.asr
+        postings, places = self._texts("asr")
         hits = fulltext.search(postings, "segment_id", query, max(top_k * oversample, top_k)).join(places, "segment_id")
         return enrich.asr_hits(hits, self.frames, "vec_id", top_k).withColumn("score", F.col("normalised_score"))
 
