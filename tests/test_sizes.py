@@ -60,6 +60,32 @@ def test_postings_take_no_shuffle(spark):
     assert {(r.term, tuple(r.positions)) for r in fulltext.postings(lists, "id", "text").collect()} == {("x", (0,)), ("y", (1, 2 + 2 * fulltext.GAP))}
 
 
+def test_postings_are_made_of_slices_of_words(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "a"), (5, "c c a b")], "id int, text string")
+    made = fulltext.postings(docs, "id", "text")
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    words = [["b", "a", "b"], None, [], ["a"], ["c", "c", "a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5], pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+    want = {tuple(map(str, r)) for r in made.select("id", "term", "tf", "positions", "dl").collect()}
+    for most in (1, 3, 5, 100):
+        monkeypatch.setattr(fulltext, "WORDS", most)
+        out = list(fulltext._grouped(iter([batch])))
+        assert {tuple(map(str, r.values())) for b in out for r in b.to_pylist()} == want and len(want) == 6
+        assert len(out) > 1 or most > 8
+
+
+def test_only_rows_with_all_terms_are_passed(spark):
+    """A row without a term has no match; its plan asks for that before it merges occurrences."""
+    rows = spark.createDataFrame([([1, 5], None), ([1, 5], [2]), (None, [2])], "p0 array<int>, p1 array<int>")
+    spread = rows.select(fulltext.spreads(["x", "y"]).alias("w"))
+    got = [r.w for r in spread.collect()]
+    assert got[0] == got[2] == [] and got[1][0] == 0
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("isnull(p") < plan.index("aggregate(")
+
+
 def test_deletions_are_made_once(spark):
     def left(word, n):
         return {word} | ({x for i in range(len(word)) for x in left(word[:i] + word[i + 1 :], n - 1)} if n else set())
