@@ -61,11 +61,46 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[place < k], col[place < k]
 
 
+def _scored(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of vectors for queries to six digits, in one matrix."""
+    s = q @ x.T
+    if metric == "l2":
+        s *= -2
+        s += (q**2).sum(1)[:, None]
+        s += (x**2).sum(1)[None, :]
+        np.negative(s, out=s)
+    return np.round(s, 6, out=s)
+
+
+class _Kept:
+    """The best k of each query over all that a task has seen."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.found = k, np.zeros((queries, k), bool)
+        self.scores, self.ids = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
+
+    def add(self, asking: np.ndarray, row: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Up to k more of each asking query, by row in order."""
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        more = [np.zeros((len(asking), self.k), a.dtype) for a in (self.found, self.scores, self.ids)]
+        for into, value in zip(more, (True, scores, ids), strict=True):
+            into[row, place] = value
+        found, score, vec = (np.concatenate([have[asking], new], 1) for have, new in zip((self.found, self.scores, self.ids), more, strict=True))
+        order = np.lexsort((vec, -score, ~found), axis=1)[:, : self.k]
+        for have, both in zip((self.found, self.scores, self.ids), (found, score, vec), strict=True):
+            have[asking] = np.take_along_axis(both, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        q, _ = np.nonzero(self.found)
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(self.ids[self.found]), pa.array(self.scores[self.found])], names=["q", "vec_id", "score"])
+
+
 def _searcher(shared, k: int, metric: str):
-    """The best k of each batch for each query; with cells, for the queries that probe the row's cell."""
+    """The best k of each task for each query; with cells, for the queries that probe the row's cell."""
 
     def run(batches):
         matrix, probed = shared.value
+        kept = _Kept(len(matrix), k)
         for batch in batches:
             all_ids, all_x = batch.column(0).to_numpy(), _matrix(batch.column(1)) if batch.num_rows else None
             cells = batch.column(2).to_numpy() if probed is not None else np.zeros(batch.num_rows, int)
@@ -76,10 +111,10 @@ def _searcher(shared, k: int, metric: str):
                 step = max(1, SCORES // max(len(q), 1))
                 for a in range(0, len(here) if len(q) else 0, step):
                     ids, x = all_ids[here[a : a + step]], all_x[here[a : a + step]]
-                    s = q @ x.T if metric == "cosine" else -(((q**2).sum(1)[:, None] - 2 * q @ x.T) + (x**2).sum(1)[None, :])
-                    s = np.round(s, 6)
+                    s = _scored(q, x, metric)
                     row, col = _best(s, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(asking[row], pa.int32()), pa.array(ids[col]), pa.array(s[row, col])], names=["q", "vec_id", "score"])
+                    kept.add(asking, row, s[row, col], ids[col])
+        yield kept.rows()
 
     return run
 
@@ -107,8 +142,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
 
     cosine is the inner product of unit vectors, larger is better; l2 is the
     squared distance, smaller is better.  Queries go in blocks of MOST_QUERIES to
-    all tasks; there each batch of vectors is a matrix product and keeps its best
-    k, so that only those are shuffled; scores count to six digits, ties go to the
+    all tasks; there each batch of vectors is a matrix product and a task keeps its
+    best k, so that only those are shuffled; scores count to six digits, ties go to the
     smaller vec_id.
     """
     if metric not in ("cosine", "l2"):
