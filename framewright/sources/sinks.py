@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from framewright.operators import fulltext, vector
 from framewright.scratch import stored
@@ -83,14 +85,16 @@ class _Stored:
         target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(made), files.makeQualified(target), options)
 
-    def _segment(self, before: dict, tables: dict[str, DataFrame], removes: int = 0) -> dict:
-        """A new segment with these tables, split by bucket where they have one; rows get its number."""
+    def _segment(self, before: dict, tables: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], removes: int = 0) -> dict:
+        """A new segment with these tables, split by bucket where they have one; rows get its number.  A function makes its table of the first one, as written."""
         number = 1 + max((s["number"] for s in before["segments"]), default=0)
-        name = f"v{number:06d}-{uuid.uuid4().hex[:8]}"
+        name, first = f"v{number:06d}-{uuid.uuid4().hex[:8]}", None
         for table, rows in tables.items():
-            rows = rows.withColumn("segment", F.lit(number))
-            writer = rows.write.partitionBy("bucket") if "bucket" in rows.columns else rows.write
+            rows = (rows(first) if callable(rows) else rows).withColumn("segment", F.lit(number))
+            writer = rows.write.partitionBy("bucket").option("maxRecordsPerFile", self.FILE_ROWS) if "bucket" in rows.columns else rows.write
             writer.parquet(f"{self.path}/{table}/version={name}")
+            # a segment without rows has no file that tells its columns
+            first = self.spark.read.schema(S.StructType(rows.schema.fields)).parquet(f"{self.path}/{table}/version={name}") if first is None else first
         return {"name": name, "number": number, "tables": sorted(tables), "removes": removes}
 
     def _read(self, table: str, manifest: dict | None = None) -> DataFrame | None:
@@ -181,17 +185,19 @@ class FullTextIndex(_Stored):
         """The live documents in one segment, without what was removed."""
         before = self.manifest()
         rows = self.postings().select(self.key, "term", "tf", "positions", "dl")
-        self._commit(before, [self._written(before, stored(rows, "postings"), self.documents().select(self.key, "dl"))])
+        listed = self.documents().select(self.key, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.array().cast("array<int>").alias("positions"), "dl")
+        self._commit(before, [self._written(before, rows.union(listed))])
 
     def _added(self, before: dict, docs: DataFrame) -> dict:
-        found = stored(fulltext.postings(docs, self.key, self.text), "postings")
-        return self._written(before, found, found.groupBy(self.key).agg(F.first("dl").alias("dl")))
+        return self._written(before, fulltext.postings(docs, self.key, self.text, listed=True))
 
-    def _written(self, before: dict, found: DataFrame, docs: DataFrame) -> dict:
+    def _written(self, before: dict, rows: DataFrame) -> dict:
+        """A segment of postings, among them those of the empty term; they are made once, and counted as they were written."""
+        dealt = rows.withColumn("bucket", self._bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        listed = lambda made: made.where((F.col("bucket") == self._bucket(F.lit(""))) & (F.col("term") == "")).groupBy(self.key).agg(F.first("dl").alias("dl"))
         tables = {
-            "postings": self._files(found.withColumn("bucket", self._bucket("term")), found.count(), self.key, "term"),
-            "terms": self._counted(found.groupBy("term").agg(F.count("*").alias("df"))),
-            "documents": docs, "totals": self._totals(docs, 1),
+            "postings": dealt, "terms": lambda made: self._counted(made.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))),
+            "documents": listed, "totals": lambda made: self._totals(listed(made), 1),
         }
         return self._segment(before, tables)
 
@@ -211,7 +217,7 @@ class FullTextIndex(_Stored):
         n = gone.count()
         if not n:
             return None
-        own = self.postings().join(F.broadcast(gone.select(self.key)) if n <= self.MOST_BROADCAST else gone.select(self.key), self.key, "left_semi")
+        own = self.postings().select(self.key, "term").join(F.broadcast(gone.select(self.key)) if n <= self.MOST_BROADCAST else gone.select(self.key), self.key, "left_semi")
         tables = {"removed": gone.select(self.key), "terms": self._counted(own.groupBy("term").agg((-F.count("*")).alias("df"))), "totals": self._totals(gone, -1)}
         return self._segment(before, tables, n)
 
@@ -222,6 +228,7 @@ class FullTextIndex(_Stored):
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """All postings, or those of some terms, of which only the buckets are read."""
         rows = self._live("postings", self.key)
+        rows = rows.where("term <> ''") if terms is None else rows
         if terms is not None:
             rows = rows.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms)) if terms else rows.where("false")
         return rows.drop("bucket", "segment")

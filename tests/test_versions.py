@@ -36,6 +36,22 @@ def test_removed_and_replaced_documents(spark, tmp_path):
     same_as_anew(sinks.FullTextIndex(spark, str(tmp_path / "ix"), "id", "text"), live)
 
 
+def test_postings_are_written_once(spark, tmp_path, monkeypatch):
+    """No copy of a segment's postings is stored before it; texts without words aren't counted, and a segment may have no rows."""
+    names = []
+    stored = sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda rows, name: names.append(name) or stored(rows, name))
+    docs = spark.createDataFrame([(1, "red fox"), (2, None), (3, "..."), (4, "fox fox"), (5, "")], "id int, text string")
+    index = sinks.FullTextIndex(spark, str(tmp_path / "ix"), "id", "text")
+    index.create(docs.where("id < 4"))
+    index.insert(docs)
+    index.bulk(docs.where("id = 3"))
+    assert "postings" not in names
+    assert sorted(tuple(r) for r in index.documents().select("id", "dl").collect()) == [(1, 2), (4, 2)] and index.count() == 2
+    assert sorted((r.id, r.term, r.tf, list(r.positions)) for r in index.postings().collect()) == [(1, "fox", 1, [1]), (1, "red", 1, [0]), (4, "fox", 2, [0, 1])]
+    same_as_anew(index, docs.where("id in (1, 4)"), "red fox")
+
+
 def test_a_write_that_dies_leaves_the_old_index(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i % 7} fox") for i in range(30)], "id int, text string")
     index = sinks.FullTextIndex(spark, str(tmp_path / "ix"), "id", "text")
