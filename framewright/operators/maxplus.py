@@ -24,7 +24,7 @@ from framewright.operators.ranks import as_of, numbered
 from framewright.scratch import stored
 
 #: Frames of a chunk, chunks multiplied by one task, and whole numbers for a score of 1.
-CHUNK, FAN, SCALE = 4_096, 256, 1e9
+CHUNK, FAN, SCALE = 32_768, 256, 1e9
 #: Videos whose chosen paths are broadcast at most.
 MOST_BROADCAST = 100_000
 
@@ -133,17 +133,18 @@ def _of_rows(rows: list[dict] | None) -> dict:
     return {(r["a"], r["b"]): (r["score"], tuple(zip(r["place"], r["pos"], r["ts"], strict=True))) for r in rows or ()}
 
 
-def _frames_of(row: dict, side: str, events: int) -> tuple[np.ndarray, list[tuple]]:
-    """A chunk's matrix and frames from its column of structs."""
-    cells = row[side]
-    s = np.array([[np.nan if c[f"s{i}"] is None else c[f"s{i}"] for c in cells] for i in range(events)], np.float64).reshape(events, -1)
-    return whole(s), [(c["place"], c["pos"], c["ts"]) for c in cells]
+def _frames_of(batch: pa.RecordBatch, row: int, side: str, events: int) -> tuple[np.ndarray, list[tuple]]:
+    """A chunk's matrix and frames from its row of a column of structs."""
+    cells = batch[side].slice(row, 1).flatten()
+    column = lambda name: cells.field(name).to_numpy(zero_copy_only=False)
+    s = np.array([column(f"s{i}") for i in range(events)], np.float64).reshape(events, -1)
+    return whole(s), list(zip(column("place").tolist(), cells.field("pos").to_pylist(), column("ts").tolist(), strict=True))
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
-def _schema(kind: str, columns: list[tuple[str, pa.DataType]]) -> pa.Schema:
+def schema_of(kind: str, columns: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema([pa.field("video_id", _ARROW[kind]), *(pa.field(*c) for c in columns)])
 
 
@@ -162,13 +163,13 @@ def _multiplied(chunked: DataFrame, taken: DataFrame, events: int, align) -> Dat
     """Products of chunks without the cells of ``(video_id, chunk, event, place)``."""
     out = taken.groupBy("video_id", "chunk").agg(F.collect_list(F.struct("event", "place")).alias("taken"))
     kind = chunked.schema["video_id"].dataType.simpleString()
-    schema = _schema(kind, [("chunk", pa.int32()), ("product", _PRODUCTS)])
+    schema = schema_of(kind, [("chunk", pa.int32()), ("product", _PRODUCTS)])
 
     def run(batches):
         for batch in batches:
             made = []
-            for row in batch.to_pylist():
-                s, frames = _frames_of(row, "frames", events)
+            for i, row in enumerate(batch.drop_columns(["frames"]).to_pylist()):
+                s, frames = _frames_of(batch, i, "frames", events)
                 for cell in row["taken"] or ():
                     s[cell["event"], cell["place"] - frames[0][0]] = -np.inf
                 made.append({"video_id": row["video_id"], "chunk": row["chunk"], "product": _rows(run_product(s, frames, align))})
@@ -180,7 +181,7 @@ def _multiplied(chunked: DataFrame, taken: DataFrame, events: int, align) -> Dat
 def _multiply(products: DataFrame, events: int, keys: list[str]) -> DataFrame:
     """video_id, the whole-number keys and the product of each group's chunks in order."""
     kind = products.schema["video_id"].dataType.simpleString()
-    schema = _schema(kind, [*((k, pa.int32()) for k in keys), ("product", _PRODUCTS)])
+    schema = schema_of(kind, [*((k, pa.int32()) for k in keys), ("product", _PRODUCTS)])
     gathered = products.groupBy("video_id", *keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "product"))).alias("all"))
 
     def run(batches):
@@ -196,9 +197,8 @@ def _multiply(products: DataFrame, events: int, keys: list[str]) -> DataFrame:
     return gathered.mapInArrow(run, f"video_id {kind}, " + ", ".join(f"{k} int" for k in keys) + f", {_PRODUCT}")
 
 
-def tree(products: DataFrame, events: int) -> DataFrame:
-    """(video_id, product): the products of whole videos, FAN chunks at a time."""
-    left = products.agg(F.max("chunk")).collect()[0][0] or 0
+def tree(products: DataFrame, events: int, left: int) -> DataFrame:
+    """(video_id, product): the products of whole videos up to chunk left, FAN chunks at a time."""
     while left:
         grouped = products.withColumn("group", F.floor(F.col("chunk") / FAN).cast("int"))
         products = _multiply(grouped, events, ["group"]).withColumnRenamed("group", "chunk")
@@ -211,8 +211,9 @@ def repeated(placed: DataFrame, events: int, times: int, align) -> DataFrame:
     chunked = stored(chunks(placed, events), "chunks")
     taken = stored(placed.sparkSession.createDataFrame([], "chunk int, event int, place bigint").join(chunked.select("video_id").limit(0)), "taken")
     products, found = stored(_multiplied(chunked, taken.select("video_id", "chunk", "event", "place"), events, align), "products"), []
+    last = products.agg(F.max("chunk")).collect()[0][0] or 0
     for turn in range(times):
-        best = tree(products, events).select("video_id", F.explode(F.filter("product", lambda f: (f["a"] == 0) & (f["b"] == events))).alias("f"))
+        best = tree(products, events, last).select("video_id", F.explode(F.filter("product", lambda f: (f["a"] == 0) & (f["b"] == events))).alias("f"))
         found.append(stored(best.select("video_id", F.lit(turn).alias("turn"), "f.score", "f.place", "f.pos", "f.ts"), "paths"))
         if turn + 1 < times:
             every = found[0]
@@ -248,21 +249,21 @@ def windowed(placed: DataFrame, events: int, duration: float, align) -> DataFram
     between = _multiply(far.join(stored(products, "products"), ["video_id", "chunk"]), events, ["a", "b"])
     rows = groups.join(named("left", "a"), ["video_id", "a"]).join(named("right", "b"), ["video_id", "b"]).join(between, ["video_id", "a", "b"], "left")
     kind = placed.schema["video_id"].dataType.simpleString()
-    schema = _schema(kind, [("turn", pa.int64()), *_PATH])
+    schema = schema_of(kind, [("turn", pa.int64()), *_PATH])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                s, frames = _frames_of(row, "left", events)
+            for i, row in enumerate(batch.drop_columns(["left", "right"]).to_pylist()):
+                s, frames = _frames_of(batch, i, "left", events)
                 start = frames[0][0]
                 if row["a"] == row["b"]:
                     best = windows_best(s, frames, [(w["first"] - start, w["last"] - start + 1) for w in row["windows"]])
                 else:
                     before = suffixes(s, frames, row["windows"][0]["first"] - start, len(frames))
-                    s, frames = _frames_of(row, "right", events)
+                    s, frames = _frames_of(batch, i, "right", events)
                     best = windows_best(s, frames, [(w["first"] - start, w["last"] - frames[0][0] + 1) for w in row["windows"]], before, _of_rows(row["product"]))
                 found = [(w, f) for w, f in zip(row["windows"], best, strict=True) if f]
-                made = [{"video_id": row["video_id"], "turn": w["first"], "score": f[0], **{k: [x[i] for x in f[1]] for i, k in enumerate(("place", "pos", "ts"))}} for w, f in found]
+                made = [{"video_id": row["video_id"], "turn": w["first"], "score": f[0], **{k: [x[n] for x in f[1]] for n, k in enumerate(("place", "pos", "ts"))}} for w, f in found]
                 yield pa.RecordBatch.from_pylist(made, schema)
 
     return rows.select("video_id", "a", "b", "windows", "left", "right", "product").mapInArrow(run, f"video_id {kind}, turn bigint, {_PATH_DDL}")
