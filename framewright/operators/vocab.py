@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ WATERMARK_FLOOR, WATERMARK_SHARE = 5, 0.3
 ACCENT_COUNT, ACCENT_RATIO = 5, 10.0
 WORD_COUNT, WORD_RATIO = 30, 80.0
 LONGEST, EDITS = 20, 2
+#: Bytes of texts whose pairs of words are counted at once, and rows of an Arrow batch of them.
+TEXTS, ROWS = 1 << 25, 50_000
 #: A sieve of hashes has at most so many rows of 64 bits; conditions that only sift allow for rounding.
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
@@ -57,11 +62,44 @@ def watermark_vocabulary(docs: DataFrame, unit: str, text: str, dictionary: Data
     return common.join(dictionary.select("token"), "token", "left_anti").select("token", "df")
 
 
+def _pairs(batches):
+    """Of Arrow batches of texts the pairs of adjacent words, tab between them, with their counts; a pair may come again after TEXTS bytes."""
+
+    def counted(texts: list[pa.Array]):
+        # white space as in T.words(): x09 to x0d and blanks
+        lists = pc.ascii_split_whitespace(pa.chunked_array(texts).combine_chunks())
+        words, text = lists.flatten(), pc.list_parent_indices(lists)
+        filled = pc.not_equal(words, "")
+        coded, text = words.filter(filled).dictionary_encode(), text.filter(filled).to_numpy()
+        ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        both = np.sort((ids[:-1] * size + ids[1:])[text[1:] == text[:-1]])
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        n, both = np.diff(np.append(first, len(both))), both[first]
+        for i in range(0, len(both), ROWS):
+            of = lambda numbers: coded.dictionary.take(pa.array(numbers))
+            own = both[i : i + ROWS]
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(of(own // size), of(own % size), "\t"), pa.array(n[i : i + ROWS])], names=["pair", "n"])
+
+    held: list[pa.Array] = []
+    for batch in batches:
+        held.append(batch["text"])
+        if sum(x.nbytes for x in held) >= TEXTS:
+            yield from counted(held)
+            held = []
+    if held:
+        yield from counted(held)
+
+
 def bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """w1, w2, n: adjacent words."""
-    w = docs.select(T.words(F.lower(text)).alias("w")).where("size(w) > 1")
-    pairs = w.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))).alias("p"))
-    return pairs.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n"))
+    """w1, w2, n: adjacent words.
+
+    Pairs are first counted by numbers of words, for many texts at once.  Most of
+    what is left is distinct, so that it is dealt out before Spark adds it up: a
+    table of a large task's pairs wouldn't fit its memory.
+    """
+    pairs = docs.select(F.lower(text).alias("text")).mapInArrow(_pairs, "pair string, n bigint")
+    every = pairs.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
+    return every.select(F.substring_index("pair", "\t", 1).alias("w1"), F.substring_index("pair", "\t", -1).alias("w2"), "n")
 
 
 def deletions(word: Column, edits: int = EDITS) -> Column:
