@@ -23,6 +23,8 @@ WORD_COUNT, WORD_RATIO = 30, 80.0
 LONGEST, EDITS = 20, 2
 #: Bytes of texts whose pairs of words are counted at once, and rows of an Arrow batch of them.
 TEXTS, ROWS = 1 << 25, 50_000
+#: Hashes of shortened words that are made at once.
+HASHES = 1 << 20
 #: A sieve of hashes has at most so many rows of 64 bits; conditions that only sift allow for rounding.
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
@@ -117,9 +119,51 @@ def deletions(word: Column, edits: int = EDITS) -> Column:
     return F.array_distinct(level(F.array(F.struct(word.alias("w"), F.lit(1).alias("at"))), edits))
 
 
+def _shortened(edits: int):
+    """A function of Arrow batches of words: each with the hashes, each once, of itself and of what deleting up to so many letters leaves (one or two).
+
+    A hash is a sum over letters and places, so that those of what is left come
+    from sums of the beginning, the middle and the end.
+    """
+    base, mixed = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+
+    def hashes(words: pa.Array, n: int) -> pa.Array:
+        letters = np.array(words.to_pylist(), f"U{max(n, 1)}").view(np.uint32).reshape(len(words), -1)[:, :n].astype(np.uint64) + np.uint64(1)
+        letters *= mixed
+        letters ^= letters >> np.uint64(31)
+        letters *= mixed
+        letters *= np.cumprod(np.append(np.uint64(1), np.full(max(n - 1, 0), base)), dtype=np.uint64)[:n]
+        sums = np.zeros((len(words), n + 1), np.uint64)
+        np.cumsum(letters, axis=1, out=sums[:, 1:])
+        whole = sums[:, n:]
+        made = [whole, sums[:, :n] + (whole - sums[:, 1:]) * back]
+        if edits > 1:
+            i, j = np.triu_indices(n, 1)
+            made.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * back * back)
+        each = np.concatenate(made, axis=1)
+        each ^= each >> np.uint64(32)
+        each = np.sort((each * mixed >> np.uint64(32)).astype(np.uint32).view(np.int32), axis=1)
+        first = np.ones(each.shape, bool)
+        np.not_equal(each[:, 1:], each[:, :-1], out=first[:, 1:])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first.sum(axis=1))).astype(np.int32)), pa.array(each[first]))
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.utf8_length(batch[0]).to_numpy()
+            for n in np.unique(sizes).tolist():
+                own, most = batch.filter(pa.array(sizes == n)), max(1, HASHES // (1 + n + (n * (n - 1) // 2 if edits > 1 else 0)))
+                for k in range(0, len(own), most):
+                    some = own.slice(k, most)
+                    yield pa.RecordBatch.from_arrays([some[0], hashes(some[0], n)], names=["word", "left_over"])
+
+    return run
+
+
 def _variants(words: DataFrame, name: str, edits: int) -> DataFrame:
-    """Each word with the hashes of what deletions leave of it."""
-    return words.select(F.col("token").alias(name), F.explode(F.transform(deletions(F.col("token"), edits), lambda v: F.xxhash64(v))).alias("left_over"))
+    """Each word with the hashes of what deletions (see above) leave of it, of 32 bits; equal ones are a hint that only the words themselves confirm."""
+    own = words.where("token is not null").select("token").mapInArrow(_shortened(edits), f"{name} string, left_over array<int>")
+    return own.select(name, F.explode("left_over").alias("left_over"))
 
 
 def suggestions(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -130,14 +174,25 @@ def suggestions(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     words that share nothing; the distance decides.  ``dictionary`` is (token,
     df); one of up to a few megabytes is sent to all tasks, a larger one shuffled.
     """
+    near = _near(tokens, dictionary).distinct()
+    best = near.withColumn("__least", F.min("edits").over(W.partitionBy("token"))).where("edits = __least").drop("__least")
+    return best.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(F.desc("df"), "word"))).select("token", "word", "edits", "k")
+
+
+def best_suggestions(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """token, word: the first of the suggestions; the least is kept while a token's words are met."""
+    best = _near(tokens, dictionary).groupBy("token").agg(F.min(F.struct("edits", -F.col("df"), "word")).alias("b"))
+    return best.select("token", F.col("b.word").alias("word"))
+
+
+def _near(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """token, word, df, edits: dictionary words within EDITS of tokens that can have suggestions; a pair may come more than once."""
     t = tokens.select("token").distinct().where((F.length("token") <= LONGEST) & (2 * F.length(F.regexp_replace("token", r"\P{L}+", "")) >= F.length("token")) & (F.col("token") != ""))
     words = stored(dictionary.where(F.length("token") <= LONGEST + EDITS), "dictionary")
     t = t.join(words.select("token"), "token", "left_anti")
-    met = _variants(t, "token", EDITS).join(stored(_variants(words, "word", EDITS), "variants"), "left_over").select("token", "word").distinct()
-    near = met.withColumn("edits", F.levenshtein("token", "word", EDITS)).where(F.col("edits").between(1, EDITS))
-    best = near.withColumn("__least", F.min("edits").over(W.partitionBy("token"))).where("edits = __least").drop("__least")
-    ranked = best.join(words.select(F.col("token").alias("word"), "df"), "word")
-    return ranked.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(F.desc("df"), "word"))).select("token", "word", "edits", "k")
+    variants = _variants(words, "word", EDITS).join(words.select(F.col("token").alias("word"), "df"), "word")
+    met = _variants(t, "token", EDITS).join(stored(variants, "variants"), "left_over")
+    return met.select("token", "word", "df", F.levenshtein("token", "word", EDITS).alias("edits")).where(F.col("edits").between(1, EDITS))
 
 
 def in_context(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -162,13 +217,19 @@ def _sieve(keys: DataFrame) -> DataFrame:
     return stored(cells, "sieve")
 
 
-def _sifted(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> DataFrame:
-    """The rows of which a hash is, but for chance, among those of the sieve."""
+def _told(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> tuple[DataFrame, Column]:
+    """The rows, and a condition on them: whether a hash is, but for chance, among those of the sieve."""
     for name, h in hashes.items():
         bits = F.broadcast(sieve.select(F.col("__cell").alias(f"__c{name}"), F.col("__bits").alias(f"__b{name}")))  # at most CELLS rows
         rows = rows.join(bits, h.bitwiseAND(F.lit(CELLS - 1)) == F.col(f"__c{name}"), "left")
     there = lambda name, h: F.coalesce(F.getbit(f"__b{name}", F.shiftrightunsigned(h, CELL_BITS).bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
-    return rows.where(reduce(lambda x, y: x | y, [there(*x) for x in hashes.items()]))
+    return rows, reduce(lambda x, y: x | y, [there(*x) for x in hashes.items()])
+
+
+def _sifted(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> DataFrame:
+    """The rows of which a hash is, but for chance, among those of the sieve."""
+    rows, there = _told(rows, sieve, **hashes)
+    return rows.where(there)
 
 
 def _stronger(pairs: DataFrame, candidates: DataFrame, table: DataFrame, near: str, names: tuple[str, str], ratio: float, fewest: int) -> DataFrame:
@@ -197,6 +258,8 @@ def replacements(context: DataFrame, candidates: DataFrame, table: DataFrame, le
     the table, best a stored one, has all pairs of neighbours of the context.
     """
     candidates = stored(candidates, "candidates")
+    if candidates.isEmpty():
+        return candidates.select(F.lit(None).cast("string").alias("before"), "token", F.lit(None).cast("string").alias("after"), "word", F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("evidence"))
     places = context.where("before is not null or after is not null").select("before", "token", "after")
     pairs = table
     if not counted:
@@ -246,7 +309,7 @@ def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> Dat
     t = t.join(words, "__low", "left").withColumn("__core_low", F.lower("__core"))
     t = t.join(listed(dictionary, "__core_low", "__core_word"), "__core_low", "left").join(listed(domain, "__low", "__domain"), "__low", "left")
     t = stored(t, "looked_up").withColumn("__done", F.coalesce("__word", F.lit(False)) | F.coalesce("__core_word", F.lit(False)) | F.col("__class").isNotNull() | F.coalesce("__domain", F.lit(False)))
-    best = suggestions(t.where("not __done").select(F.col("__low").alias("token")), dictionary).where("k = 1").select(F.col("token").alias("__low"), "word")
+    best = best_suggestions(t.where("not __done").select(F.col("__low").alias("token")), dictionary).withColumnRenamed("token", "__low")
     t = t.join(best, "__low", "left")
     same = F.lower(T.strip_accents(F.col("__core"))) == F.lower(T.strip_accents(F.col("word")))
     taken = F.col("word").isNotNull() & (~T.risky_token(F.col("token")) | same)
@@ -264,23 +327,42 @@ def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> Dat
 
 def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame, domain: DataFrame, table: DataFrame, counted: bool = False) -> DataFrame:
     """key, line, corrected, flags: protected words, then the resolver, then accents by context; real words that look wrong in
-    their context are only counted.  Every distinct token is resolved once and joined back."""
-    spelt = lines.select(key, T.words(F.col(text)).alias("w")).withColumn("kept", T.protected("w"))
-    near = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get("kept", i).alias("kept"), F.lower(F.get("w", i - 1)).alias("before"), F.lower(F.get("w", i + 1)).alias("after")))
-    rows = spelt.select(key, F.explode_outer(near).alias("t")).select(key, "t.*")
+    their context are only counted.  Every distinct token is resolved once and joined back.
+
+    A dictionary word changes by its context alone, so that only other words, and
+    places that bits of the found contexts' hashes let through, leave their lines;
+    those that change come back to them by key.
+    """
+    own = lines.select(key, F.coalesce(text, F.lit("")).alias("__text")).repartition(key)
+    words = own.select(key, T.words(F.col("__text")).alias("w"), T.may_be_protected(F.col("__text")).alias("__may"))
+    spelt = stored(words.select(key, "w", T.protected(F.when(F.col("__may"), F.col("w"))).alias("kept")), "spelt")
     dictionary = stored(dictionary, "dictionary")
-    found = stored(resolved(rows.where("kept = ''"), dictionary, domain).select("token", "corrected", "source"), "resolved")
-    # the words in their places are read by both corrections and by the result
-    rows = stored(rows.join(found, "token", "left"), "resolved_words")
-    known = rows.where("source = 'dict_exact'").select("before", F.lower("token").alias("token"), "after")
-    accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("accent"))
-    flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO, counted).select("before", F.col("token").alias("__low"), "after", F.col("word").alias("flag"))
-    rows = rows.withColumn("__low", F.lower("token"))
-    for found in (accents, flags):
-        same = [rows[c].eqNullSafe(found[c]) for c in ("before", "__low", "after")]
-        rows = rows.join(found, same, "left").drop(*[found[c] for c in ("before", "__low", "after")])
-    real = F.col("source") == "dict_exact"
-    word = F.when(F.col("kept") != "", F.col("kept")).otherwise(F.coalesce(F.when(real, F.col("accent")), "corrected", "token"))
-    flagged = F.when(real & F.col("accent").isNull() & F.col("flag").isNotNull() & (F.col("kept") == ""), 1).otherwise(0)
-    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", word.alias("w"))))), lambda x: x["w"])
-    return rows.groupBy(key).agg(F.array_join(ordered, " ").alias("corrected"), F.sum(flagged).alias("flags"))
+    free = lambda i: F.coalesce(F.get("kept", i), F.lit("")) == ""
+    lowered = spelt.withColumn("low", F.transform("w", lambda x: F.lower(x)))
+    near = F.transform("w", lambda x, i: F.when(free(i), F.struct(x.alias("token"), F.get("low", i).alias("low"), F.get("low", i - 1).alias("before"), F.get("low", i + 1).alias("after"))))
+    rows = lowered.select(key, F.explode(near).alias("t")).where("t is not null").select(key, "t.*")
+    # only dictionary words are candidates
+    known = rows.select("before", F.col("low").alias("token"), "after")
+    accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO, counted)
+    flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO, counted)
+    found = [x.select("before", "token", "after", a.alias("accent"), f.alias("flag")) for x, a, f in ((accents, F.col("word"), F.lit(None).cast("string")), (flags, F.lit(None).cast("string"), F.col("word")))]
+    found = stored(found[0].union(found[1]).groupBy("before", F.col("token").alias("low"), "after").agg(F.max("accent").alias("accent"), F.max("flag").alias("flag")), "in_context")
+    place = F.xxhash64("before", "low", "after")
+    told, there = _told(rows.join(dictionary.select(F.col("token").alias("low"), F.lit(True).alias("__word")), "low", "left"), _sieve(found.select(place.alias("__h"))), p=place)
+    real = F.col("__word").isNotNull()
+    some = stored(told.where(~real | there).select(key, "token", "low", "before", "after", real.alias("real")), "leaving")
+    others = some.where("not real").select(key, "token")
+    changed = stored(resolved(others.select("token"), dictionary, domain).where("corrected <> token").select("token", "corrected"), "resolved")
+    spellings = others.join(changed, "token").select(key, F.struct("token", "corrected").alias("spelling"), F.lit(None).cast("struct<before:string,low:string,after:string,accent:string,flag:string>").alias("context"))
+    met = some.where("real").alias("s").join(found.alias("f"), reduce(lambda x, y: x & y, [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("before", "low", "after")]))
+    contexts = met.select(f"s.{key}", F.lit(None).cast("struct<token:string,corrected:string>").alias("spelling"), F.struct("f.before", "f.low", "f.after", "accent", "flag").alias("context"))
+    changes = spellings.union(contexts).groupBy(key).agg(F.map_from_entries(F.collect_set("spelling")).alias("spellings"), F.collect_set("context").alias("contexts"))
+    at = lambda i: F.get(F.filter("contexts", lambda c: (c["low"] == F.get("low", i)) & c["before"].eqNullSafe(F.get("low", i - 1)) & c["after"].eqNullSafe(F.get("low", i + 1))), F.lit(0))
+    placed = lowered.join(changes, key, "left").withColumn("placed", F.when(F.size("contexts") > 0, F.transform("w", lambda x, i: F.when(free(i), at(i)))))
+    word = lambda x, i: F.when(free(i), F.coalesce(F.get("placed", i)["accent"], F.try_element_at("spellings", x), x)).otherwise(F.get("kept", i))
+    flagged = F.coalesce(F.size(F.filter("placed", lambda p: p["accent"].isNull() & p["flag"].isNotNull())), F.lit(0))
+    each = placed.select(key, F.transform("w", word).alias("words"), F.when(F.col("placed").isNotNull(), flagged).otherwise(0).alias("flags"))
+    every = each.groupBy(key).agg(F.collect_list("words").alias("words"), F.sum("flags").alias("flags"))
+    # lines that share a key count as one, word by word
+    merged = F.transform(F.sort_array(F.flatten(F.transform("words", lambda line: F.transform(line, lambda x, i: F.struct(i.alias("pos"), x.alias("w")))))), lambda x: x["w"])
+    return every.select(key, F.array_join(F.when(F.size("words") == 1, F.get("words", F.lit(0))).otherwise(merged), " ").alias("corrected"), "flags")
