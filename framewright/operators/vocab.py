@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -10,9 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from framewright.functions import text as T
 from framewright.functions.text import once
+from framewright.operators import lines as L
 from framewright.scratch import stored
 
 #: Floors and shares of the vocabularies, and thresholds of context evidence.
@@ -23,6 +27,8 @@ WORD_COUNT, WORD_RATIO = 30, 80.0
 LONGEST, EDITS = 20, 2
 #: Bytes of texts whose pairs of words are counted at once, and rows of an Arrow batch of them.
 TEXTS, ROWS = 1 << 25, 50_000
+#: So many units of documents are bits of a number.
+FEW = 64
 #: Hashes of shortened words that are made at once.
 HASHES = 1 << 20
 #: A sieve of hashes has at most so many rows of 64 bits; conditions that only sift allow for rounding.
@@ -43,7 +49,13 @@ def distinct_tokens(docs: DataFrame, text: str) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, unit: str, text: str) -> DataFrame:
-    """token, df: in how many units (videos, sources) a token occurs."""
+    """token, df: in how many units (videos, sources) a token occurs.  Few units are bits of a number, or-ed in Arrow batches and then by Spark."""
+    kind = docs.schema[unit].dataType
+    few = docs.select(unit).distinct().limit(FEW + 1).collect() if isinstance(kind, types.StringType | types.IntegralType) else []
+    if 0 < len(few) <= FEW:
+        each = docs.where(F.col(text).isNotNull()).select(F.col(unit).alias("unit"), F.lower(text).alias("text"))
+        bits = each.mapInArrow(L.units_of({r[0]: i for i, r in enumerate(few)}), "token string, units long")
+        return bits.groupBy("token").agg(F.bit_count(F.bit_or("units")).cast("long").alias("df"))
     return docs.select(unit, F.explode(F.array_distinct(T.words(F.lower(text)))).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df"))
 
 
@@ -64,8 +76,9 @@ def watermark_vocabulary(docs: DataFrame, unit: str, text: str, dictionary: Data
     return common.join(dictionary.select("token"), "token", "left_anti").select("token", "df")
 
 
-def _pairs(batches):
-    """Of Arrow batches of texts the pairs of adjacent words, tab between them, with their counts; a pair may come again after TEXTS bytes."""
+def _pairs(batches, shared=None):
+    """Of Arrow batches of texts the pairs of adjacent words, tab between them, with their counts; a pair may come again after
+    TEXTS bytes.  With shared bits of words' hashes, those with one of these words."""
 
     def counted(texts: list[pa.Array]):
         # white space as in T.words(): x09 to x0d and blanks
@@ -74,7 +87,11 @@ def _pairs(batches):
         filled = pc.not_equal(words, "")
         coded, text = words.filter(filled).dictionary_encode(), text.filter(filled).to_numpy()
         ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        both = np.sort((ids[:-1] * size + ids[1:])[text[1:] == text[:-1]])
+        near = text[1:] == text[:-1]
+        if shared is not None:
+            wanted = L.among(L.hashes(coded.dictionary), shared.value, CELL_BITS)[ids]
+            near &= wanted[1:] | wanted[:-1]
+        both = np.sort((ids[:-1] * size + ids[1:])[near])
         first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
         n, both = np.diff(np.append(first, len(both))), both[first]
         for i in range(0, len(both), ROWS):
@@ -92,14 +109,15 @@ def _pairs(batches):
         yield from counted(held)
 
 
-def bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """w1, w2, n: adjacent words.
+def bigrams(docs: DataFrame, key: str, text: str, near: DataFrame | None = None) -> DataFrame:
+    """w1, w2, n: adjacent words; with near (token), all pairs that have one of its words, and by chance some others.
 
     Pairs are first counted by numbers of words, for many texts at once.  Most of
     what is left is distinct, so that it is dealt out before Spark adds it up: a
     table of a large task's pairs wouldn't fit its memory.
     """
-    pairs = docs.select(F.lower(text).alias("text")).mapInArrow(_pairs, "pair string, n bigint")
+    shared = None if near is None else _bits(near.select("token").mapInArrow(L.word_hashes, "__h long"))
+    pairs = docs.select(F.lower(text).alias("text")).mapInArrow(lambda batches: _pairs(batches, shared), "pair string, n bigint")
     every = pairs.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
     return every.select(F.substring_index("pair", "\t", 1).alias("w1"), F.substring_index("pair", "\t", -1).alias("w2"), "n")
 
@@ -119,8 +137,9 @@ def deletions(word: Column, edits: int = EDITS) -> Column:
     return F.array_distinct(level(F.array(F.struct(word.alias("w"), F.lit(1).alias("at"))), edits))
 
 
-def _shortened(edits: int):
-    """A function of Arrow batches of words: each with the hashes, each once, of itself and of what deleting up to so many letters leaves (one or two).
+def _shortened(edits: int, shared=None):
+    """A function of Arrow batches of words: each with the hashes, each once, of itself and of what deleting up to so many letters leaves (one or two);
+    with shared bits, only of those that are, but for chance, among them.
 
     A hash is a sum over letters and places, so that those of what is left come
     from sums of the beginning, the middle and the end.
@@ -143,10 +162,12 @@ def _shortened(edits: int):
             made.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * back * back)
         each = np.concatenate(made, axis=1)
         each ^= each >> np.uint64(32)
-        each = np.sort((each * mixed >> np.uint64(32)).astype(np.uint32).view(np.int32), axis=1)
+        each = np.sort((each * mixed >> np.uint64(32)).astype(np.uint32), axis=1)
         first = np.ones(each.shape, bool)
         np.not_equal(each[:, 1:], each[:, :-1], out=first[:, 1:])
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first.sum(axis=1))).astype(np.int32)), pa.array(each[first]))
+        if shared is not None:
+            first &= L.among(each, shared.value, CELL_BITS)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first.sum(axis=1))).astype(np.int32)), pa.array(each[first].view(np.int32)))
 
     def run(batches):
         for batch in batches:
@@ -160,9 +181,9 @@ def _shortened(edits: int):
     return run
 
 
-def _variants(words: DataFrame, name: str, edits: int) -> DataFrame:
+def _variants(words: DataFrame, name: str, edits: int, shared=None) -> DataFrame:
     """Each word with the hashes of what deletions (see above) leave of it, of 32 bits; equal ones are a hint that only the words themselves confirm."""
-    own = words.where("token is not null").select("token").mapInArrow(_shortened(edits), f"{name} string, left_over array<int>")
+    own = words.where("token is not null").select("token").mapInArrow(_shortened(edits, shared), f"{name} string, left_over array<int>")
     return own.select(name, F.explode("left_over").alias("left_over"))
 
 
@@ -191,7 +212,9 @@ def _near(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = stored(dictionary.where(F.length("token") <= LONGEST + EDITS), "dictionary")
     t = t.join(words.select("token"), "token", "left_anti")
     variants = _variants(words, "word", EDITS).join(words.select(F.col("token").alias("word"), "df"), "word")
-    met = _variants(t, "token", EDITS).join(stored(variants, "variants"), "left_over")
+    variants = stored(variants, "variants")
+    shared = _bits(variants.select(F.col("left_over").cast("long").alias("__h")))
+    met = _variants(t, "token", EDITS, shared).join(variants, "left_over")
     return met.select("token", "word", "df", F.levenshtein("token", "word", EDITS).alias("edits")).where(F.col("edits").between(1, EDITS))
 
 
@@ -217,33 +240,70 @@ def _sieve(keys: DataFrame) -> DataFrame:
     return stored(cells, "sieve")
 
 
-def _told(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> tuple[DataFrame, Column]:
-    """The rows, and a condition on them: whether a hash is, but for chance, among those of the sieve."""
+def _bits(keys: DataFrame):
+    """The sieve of the hashes ``__h`` as a broadcast array of CELLS numbers."""
+    cells, bits = _sieve(keys).toPandas(), np.zeros(CELLS, np.uint64)
+    bits[cells["__cell"].to_numpy(np.int64)] = cells["__bits"].to_numpy(np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _sifted(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> DataFrame:
+    """The rows of which a hash is, but for chance, among those of the sieve."""
     for name, h in hashes.items():
         bits = F.broadcast(sieve.select(F.col("__cell").alias(f"__c{name}"), F.col("__bits").alias(f"__b{name}")))  # at most CELLS rows
         rows = rows.join(bits, h.bitwiseAND(F.lit(CELLS - 1)) == F.col(f"__c{name}"), "left")
     there = lambda name, h: F.coalesce(F.getbit(f"__b{name}", F.shiftrightunsigned(h, CELL_BITS).bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
-    return rows, reduce(lambda x, y: x | y, [there(*x) for x in hashes.items()])
+    return rows.where(reduce(lambda x, y: x | y, [there(*x) for x in hashes.items()]))
 
 
-def _sifted(rows: DataFrame, sieve: DataFrame, **hashes: Column) -> DataFrame:
-    """The rows of which a hash is, but for chance, among those of the sieve."""
-    rows, there = _told(rows, sieve, **hashes)
-    return rows.where(there)
+def _stronger(pairs: DataFrame, candidates: DataFrame, table: DataFrame, lowest: float, fewest: int) -> tuple[DataFrame, DataFrame]:
+    """(before, token, word, rule) and (token, after, word, rule), with the rule's least and ratio: words whose bigram with the neighbour on one side of a token has ratio times the token's, and half of ratio more.
 
+    lowest is the lowest ratio, fewest the least count of a pair.  Each table of
+    pairs is read once: for strong ones, and for those of the tokens next to them.
+    """
+    strong = stored(table.where(F.col("n") >= math.ceil(lowest * (fewest + 0.5) / SLACK)), "strong")
+    rule = ["rule", "least", "ratio"]
+    met = {}
+    for near, word in (("w1", "w2"), ("w2", "w1")):
+        both = strong.select(F.col(near).alias("near"), F.col(word).alias("word"), F.col("n").alias("__of_word")).join(candidates, "word")
+        met[near] = stored(both.where(F.col("__of_word") * SLACK >= F.col("ratio") * (fewest + 0.5)), "met")
+    role = lambda df, c, **is_: df.select(F.col(c).alias("w"), *[F.lit(is_.get(x, False)).alias(x) for x in ("before", "after", "own")])
+    each = role(met["w1"], "near", before=True).union(role(met["w2"], "near", after=True)).union(role(met["w1"], "token", own=True)).union(role(met["w2"], "token", own=True))
+    roles = stored(each.groupBy("w").agg(*[F.max(x).alias(x) for x in ("before", "after", "own")]), "roles")
+    of = lambda side: roles.select(F.col("w").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("before", "after", "own")])
+    mine = stored(pairs.join(of("w1"), "w1").join(of("w2"), "w2").where("w1_before and w2_own or w1_own and w2_after").select("w1", "w2", "n"), "mine")
+
+    def side(near: str, names: tuple[str, str]) -> DataFrame:
+        own = mine.select(F.col(near).alias("near"), F.col("w2" if near == "w1" else "w1").alias("token"), F.col("n").alias("__of_token"))
+        enough = F.col("__of_word") * SLACK >= F.col("ratio") * (F.col("__of_token") + 0.5)
+        return stored(met[near].join(own, ["near", "token"]).where(enough).withColumnRenamed("near", names[0] if near == "w1" else names[1]).select(*names, "word", *rule), "stronger")
+
+    return side("w1", ("before", "token")), side("w2", ("token", "after"))
+
+
+def _replaced(rules: list[tuple[DataFrame, int, float]], pairs: DataFrame, table: DataFrame, fewest: int, sift: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """replacements() by several rules (candidates, least, ratio) at once, the rule's number in a column; sift gives distinct
+    places, among them those that have a side of the left or right table that it is given."""
+    numbered = [c.select("token", "word", F.lit(i).alias("rule"), F.lit(least).alias("least"), F.lit(float(ratio)).alias("ratio")) for i, (c, least, ratio) in enumerate(rules)]
+    candidates = stored(reduce(DataFrame.union, numbered), "candidates")
+    left, right = _stronger(pairs, candidates, table, min(ratio for _, _, ratio in rules), fewest)
+    some = sift(left, right)
+    columns = ["before", "token", "after", "word", "rule", "least", "ratio"]
+    rows = stored(some.join(left, ["before", "token"]).select(*columns).union(some.join(right, ["token", "after"]).select(*columns)).distinct(), "words")
+    pair = lambda a, b: rows.select(F.col(a).alias("w1"), F.col(b).alias("w2"))
+    wanted = pair("before", "token").union(pair("token", "after")).union(pair("before", "word")).union(pair("word", "after")).distinct()
+    known = stored(table.join(wanted, ["w1", "w2"], "left_semi"), "known")
+    others = _evidence(_evidence(rows, "token", known, "evidence"), "word", known, "other")
+    best = others.groupBy("rule", "least", "ratio", "before", "token", "after", "evidence").agg(F.max_by(F.struct("word", "other"), F.struct("other", F.transform(F.split("word", ""), lambda c: -F.ascii(c)))).alias("b"))
+    enough = (F.col("b.other") >= F.col("least")) & (F.col("b.other") >= (F.col("evidence") + 1) * F.col("ratio"))
+    return best.where(enough).select("rule", "before", "token", "after", F.col("b.word").alias("word"), F.col("b.other").alias("other"), "evidence")
 
-def _stronger(pairs: DataFrame, candidates: DataFrame, table: DataFrame, near: str, names: tuple[str, str], ratio: float, fewest: int) -> DataFrame:
-    """(near, token, word): on one side of a token, words whose bigram with the neighbour has ratio times the token's, and half of ratio more.
 
-    ``names`` says which of near and the word comes first; fewest is the least count of a pair.
-    """
-    first, second = names
-    own = lambda c: "token" if c == "word" else c
-    strong = table.where(F.col("n") * SLACK >= ratio * (fewest + 0.5)).select(F.col("w1").alias(first), F.col("w2").alias(second), F.col("n").alias("__of_word"))
-    met = stored(strong.join(candidates, "word"), "strong")
-    mine = pairs.select(F.col("w1").alias(own(first)), F.col("w2").alias(own(second)), F.col("n").alias("__of_token"))
-    mine = mine.join(candidates.select("token").distinct(), "token", "left_semi").join(met.select(near).distinct(), near, "left_semi")
-    return stored(met.join(mine, [near, "token"]).where(F.col("__of_word") * SLACK >= ratio * (F.col("__of_token") + 0.5)).select(near, "token", "word"), "stronger")
+def _pairs_of(places: DataFrame, table: DataFrame) -> DataFrame:
+    """w1, w2, n: the pairs of neighbours of (before, token, after), 0 for those that the table doesn't have."""
+    both = places.select(F.col("before").alias("w1"), F.col("token").alias("w2")).union(places.select("token", "after"))
+    return stored(both.where("w1 is not null and w2 is not null").distinct().join(table, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("n", F.lit(0)).alias("n")), "pairs")
 
 
 def replacements(context: DataFrame, candidates: DataFrame, table: DataFrame, least: int, ratio: float, counted: bool = False) -> DataFrame:
@@ -257,27 +317,14 @@ def replacements(context: DataFrame, candidates: DataFrame, table: DataFrame, le
     sifted the rest out; then their evidence is counted in full.  counted says that
     the table, best a stored one, has all pairs of neighbours of the context.
     """
-    candidates = stored(candidates, "candidates")
-    if candidates.isEmpty():
-        return candidates.select(F.lit(None).cast("string").alias("before"), "token", F.lit(None).cast("string").alias("after"), "word", F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("evidence"))
     places = context.where("before is not null or after is not null").select("before", "token", "after")
-    pairs = table
-    if not counted:
-        both = places.select(F.col("before").alias("w1"), F.col("token").alias("w2")).union(places.select("token", "after"))
-        pairs = stored(both.where("w1 is not null and w2 is not null").distinct().join(table, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("n", F.lit(0)).alias("n")), "pairs")
-    left = _stronger(pairs, candidates, table, "before", ("before", "word"), ratio, int(counted))
-    right = _stronger(pairs, candidates, table, "after", ("word", "after"), ratio, int(counted))
     hashes = {"l": F.xxhash64(F.lit(1), "before", "token"), "r": F.xxhash64(F.lit(2), "token", "after")}
-    sieve = _sieve(left.select(hashes["l"].alias("__h")).union(right.select(hashes["r"].alias("__h"))))
-    some = stored(_sifted(places, sieve, **hashes).select("before", "token", "after").distinct(), "places")
-    rows = stored(some.join(left, ["before", "token"]).select("before", "token", "after", "word").union(some.join(right, ["token", "after"]).select("before", "token", "after", "word")).distinct(), "words")
-    pair = lambda a, b: rows.select(F.col(a).alias("w1"), F.col(b).alias("w2"))
-    wanted = pair("before", "token").union(pair("token", "after")).union(pair("before", "word")).union(pair("word", "after")).distinct()
-    known = stored(table.join(wanted, ["w1", "w2"], "left_semi"), "known")
-    others = _evidence(_evidence(rows, "token", known, "evidence"), "word", known, "other")
-    best = others.groupBy("before", "token", "after", "evidence").agg(F.max_by(F.struct("word", "other"), F.struct("other", F.transform(F.split("word", ""), lambda c: -F.ascii(c)))).alias("b"))
-    enough = (F.col("b.other") >= least) & (F.col("b.other") >= (F.col("evidence") + 1) * ratio)
-    return best.where(enough).select("before", "token", "after", F.col("b.word").alias("word"), F.col("b.other").alias("other"), "evidence")
+
+    def sift(left: DataFrame, right: DataFrame) -> DataFrame:
+        sieve = _sieve(left.select(hashes["l"].alias("__h")).union(right.select(hashes["r"].alias("__h"))))
+        return stored(_sifted(places, sieve, **hashes).select("before", "token", "after").distinct(), "places")
+
+    return _replaced([(candidates, least, ratio)], table if counted else _pairs_of(places, table), table, int(counted), sift).drop("rule")
 
 
 def accent_candidates(dictionary: DataFrame) -> DataFrame:
@@ -325,44 +372,49 @@ def resolved(tokens: DataFrame, dictionary: DataFrame, domain: DataFrame) -> Dat
     return t.select("token", r.alias("r")).select("token", "r.*")
 
 
+def _in_places(spelt: DataFrame, dictionary: DataFrame, table: DataFrame, counted: bool) -> DataFrame:
+    """part, id, pos, accent, flag: the places of lines whose word, by its context, has other accents, or looks wrong."""
+    pairs, rules = table, [(accent_candidates(dictionary), ACCENT_COUNT, ACCENT_RATIO), (edit_candidates(dictionary), WORD_COUNT, WORD_RATIO)]
+    if not counted:
+        pairs = _pairs_of(in_context(spelt, "id", "text"), table)
+    placed = []
+
+    def sift(left: DataFrame, right: DataFrame) -> DataFrame:
+        of = lambda df, a, b, second: df.select(F.col(a).alias("w1"), F.col(b).alias("w2"), F.lit(second).alias("second"))
+        bits = _bits(of(left, "before", "token", True).union(of(right, "token", "after", False)).mapInArrow(L.pair_hashes, "__h long"))
+        found = spelt.select("part", "id", F.lower("text").alias("low"), "kept").mapInArrow(L.places_of(bits, CELL_BITS), "part int, id long, pos long, before string, token string, after string")
+        placed.append(stored(found, "places"))
+        return placed[0].select("before", "token", "after").distinct()
+
+    found = _replaced(rules, pairs, table, int(counted), sift)
+    accent, flag = (F.max(F.when(F.col("rule") == i, F.col("word"))) for i in (0, 1))
+    found = stored(found.groupBy("before", "token", "after").agg(accent.alias("accent"), flag.alias("flag")), "in_context").alias("f")
+    same = reduce(lambda x, y: x & y, [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("before", "token", "after")])
+    return placed[0].alias("p").join(found, same).select("part", "id", "pos", "accent", "flag")
+
+
 def corrected_lines(lines: DataFrame, key: str, text: str, dictionary: DataFrame, domain: DataFrame, table: DataFrame, counted: bool = False) -> DataFrame:
     """key, line, corrected, flags: protected words, then the resolver, then accents by context; real words that look wrong in
-    their context are only counted.  Every distinct token is resolved once and joined back.
+    their context are only counted.  Every distinct token is resolved once and joined back.  counted says that the table, best a
+    stored one, has all pairs of neighbours in the lines that have a dictionary word.
 
-    A dictionary word changes by its context alone, so that only other words, and
-    places that bits of the found contexts' hashes let through, leave their lines;
-    those that change come back to them by key.
+    Lines are dealt out to parts of about L.TEXTS bytes.  Only the distinct words of a
+    part leave it, and those that change come back; dictionary words change by
+    their context alone, and only where bits of hashes let them through.
     """
-    own = lines.select(key, F.coalesce(text, F.lit("")).alias("__text")).repartition(key)
-    words = own.select(key, T.words(F.col("__text")).alias("w"), T.may_be_protected(F.col("__text")).alias("__may"))
-    spelt = stored(words.select(key, "w", T.protected(F.when(F.col("__may"), F.col("w"))).alias("kept")), "spelt")
+    own = lines.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // L.TEXTS), own.sparkSession.sparkContext.defaultParallelism)
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part").withColumn("id", F.monotonically_increasing_id())
+    spelt = stored(dealt.mapInArrow(L.with_kept, types.StructType([*dealt.schema.fields, types.StructField("kept", types.ArrayType(types.StringType()))])), "spelt")
     dictionary = stored(dictionary, "dictionary")
-    free = lambda i: F.coalesce(F.get("kept", i), F.lit("")) == ""
-    lowered = spelt.withColumn("low", F.transform("w", lambda x: F.lower(x)))
-    near = F.transform("w", lambda x, i: F.when(free(i), F.struct(x.alias("token"), F.get("low", i).alias("low"), F.get("low", i - 1).alias("before"), F.get("low", i + 1).alias("after"))))
-    rows = lowered.select(key, F.explode(near).alias("t")).where("t is not null").select(key, "t.*")
-    # only dictionary words are candidates
-    known = rows.select("before", F.col("low").alias("token"), "after")
-    accents = replacements(known, accent_candidates(dictionary), table, ACCENT_COUNT, ACCENT_RATIO, counted)
-    flags = replacements(known, edit_candidates(dictionary), table, WORD_COUNT, WORD_RATIO, counted)
-    found = [x.select("before", "token", "after", a.alias("accent"), f.alias("flag")) for x, a, f in ((accents, F.col("word"), F.lit(None).cast("string")), (flags, F.lit(None).cast("string"), F.col("word")))]
-    found = stored(found[0].union(found[1]).groupBy("before", F.col("token").alias("low"), "after").agg(F.max("accent").alias("accent"), F.max("flag").alias("flag")), "in_context")
-    place = F.xxhash64("before", "low", "after")
-    told, there = _told(rows.join(dictionary.select(F.col("token").alias("low"), F.lit(True).alias("__word")), "low", "left"), _sieve(found.select(place.alias("__h"))), p=place)
-    real = F.col("__word").isNotNull()
-    some = stored(told.where(~real | there).select(key, "token", "low", "before", "after", real.alias("real")), "leaving")
-    others = some.where("not real").select(key, "token")
+    places = _in_places(spelt, dictionary, table, counted)
+    tokens = spelt.select("part", "text", "kept").mapInArrow(L.tokens_of, "part int, token string")
+    # a dictionary word stays as it is, or changes by its context
+    others = tokens.join(dictionary.select(F.col("token").alias("__word")), F.lower("token") == F.col("__word"), "left_anti")
+    others = stored(others, "part_tokens")
     changed = stored(resolved(others.select("token"), dictionary, domain).where("corrected <> token").select("token", "corrected"), "resolved")
-    spellings = others.join(changed, "token").select(key, F.struct("token", "corrected").alias("spelling"), F.lit(None).cast("struct<before:string,low:string,after:string,accent:string,flag:string>").alias("context"))
-    met = some.where("real").alias("s").join(found.alias("f"), reduce(lambda x, y: x & y, [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("before", "low", "after")]))
-    contexts = met.select(f"s.{key}", F.lit(None).cast("struct<token:string,corrected:string>").alias("spelling"), F.struct("f.before", "f.low", "f.after", "accent", "flag").alias("context"))
-    changes = spellings.union(contexts).groupBy(key).agg(F.map_from_entries(F.collect_set("spelling")).alias("spellings"), F.collect_set("context").alias("contexts"))
-    at = lambda i: F.get(F.filter("contexts", lambda c: (c["low"] == F.get("low", i)) & c["before"].eqNullSafe(F.get("low", i - 1)) & c["after"].eqNullSafe(F.get("low", i + 1))), F.lit(0))
-    placed = lowered.join(changes, key, "left").withColumn("placed", F.when(F.size("contexts") > 0, F.transform("w", lambda x, i: F.when(free(i), at(i)))))
-    word = lambda x, i: F.when(free(i), F.coalesce(F.get("placed", i)["accent"], F.try_element_at("spellings", x), x)).otherwise(F.get("kept", i))
-    flagged = F.coalesce(F.size(F.filter("placed", lambda p: p["accent"].isNull() & p["flag"].isNotNull())), F.lit(0))
-    each = placed.select(key, F.transform("w", word).alias("words"), F.when(F.col("placed").isNotNull(), flagged).otherwise(0).alias("flags"))
-    every = each.groupBy(key).agg(F.collect_list("words").alias("words"), F.sum("flags").alias("flags"))
-    # lines that share a key count as one, word by word
-    merged = F.transform(F.sort_array(F.flatten(F.transform("words", lambda line: F.transform(line, lambda x, i: F.struct(i.alias("pos"), x.alias("w")))))), lambda x: x["w"])
-    return every.select(key, F.array_join(F.when(F.size("words") == 1, F.get("words", F.lit(0))).otherwise(merged), " ").alias("corrected"), "flags")
+    spellings = others.join(changed, "token").select("part", "token", "corrected", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("pos", "long"), ("accent", "string"), ("flag", "string"))])
+    changes = spellings.union(places.select("part", F.lit(None).cast("string"), F.lit(None).cast("string"), "id", "pos", "accent", "flag"))
+    schema = types.StructType([types.StructField("key", lines.schema[key].dataType), types.StructField("corrected", types.StringType()), types.StructField("flags", types.LongType())])
+    return spelt.groupBy("part").cogroup(changes.groupBy("part")).applyInArrow(L.put_together("key"), schema).withColumnRenamed("key", key)
