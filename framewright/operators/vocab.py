@@ -184,6 +184,9 @@ def _shortened(edits: int, shared=None):
 def _variants(words: DataFrame, name: str, edits: int, shared=None) -> DataFrame:
     """Each word with the hashes of what deletions (see above) leave of it, of 32 bits; equal ones are a hint that only the words themselves confirm."""
     own = words.where("token is not null").select("token").mapInArrow(_shortened(edits, shared), f"{name} string, left_over array<int>")
+    if shared is not None:
+        # few hashes are left: once dealt out by word, what is met needs no more shuffles
+        own = own.where(F.size("left_over") > 0).repartition(name)
     return own.select(name, F.explode("left_over").alias("left_over"))
 
 
